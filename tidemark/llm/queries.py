@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import quality, sharding
+from tidemark.llm import bitslice, bpe, quality, sharding
 from tidemark.session import table
 
 
+def op3_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best rows of each hundredth vector."""
+    return bitslice.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op5_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards cut from the Hilbert order; law ``rows``."""
     return sharding.shard_report(table(spark, sf_dir, "documents"))
@@ -20,8 +26,13 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_counts(table(spark, sf_dir, "documents"))
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every document under the 49k-word vocabulary."""
+    return bpe.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_hilbert_sharding, op6_quality_rules)}
+    return {f.__name__: f for f in (op3_bit_sliced_top_k, op5_hilbert_sharding, op6_quality_rules, op8_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
