@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bitslice, bpe, quality, sharding
+from tidemark.llm import bitslice, bpe, quality, sharding, simhash
 from tidemark.session import table
 
 
@@ -26,13 +26,18 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_counts(table(spark, sf_dir, "documents"))
 
 
+def op7_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document under the 49k-word vocabulary."""
     return bpe.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_bit_sliced_top_k, op5_hilbert_sharding, op6_quality_rules, op8_bpe)}
+    return {f.__name__: f for f in (op3_bit_sliced_top_k, op5_hilbert_sharding, op6_quality_rules, op7_simhash_near_duplicates, op8_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
