@@ -1,0 +1,76 @@
+import re
+
+from tidemark.llm import privacy
+from tidemark.llm.privacy import anonymised
+from tidemark.session import table
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+ANY = re.compile(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+|\+\d \(\d{3}\) \d{3}-\d{4}|(?<!\d)\d{16}(?!\d)|(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.]*\d)|AKIA[0-9A-Z]{16}|(?<=password=)\w+|(?<=token = \")\w+")
+
+
+def luhn(digits):
+    return sum(int(d) if i % 2 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(digits)) % 10
+
+
+def one(spark, *texts, key="k"):
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA)
+    return [r["text"] for r in anonymised(docs, key).orderBy("doc_id").collect()]
+
+
+def test_documents_lose_entities_and_keep_the_rest(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    before = {r["doc_id"]: r["text"] for r in docs.collect()}
+    after = {r["doc_id"]: r["text"] for r in anonymised(docs, "k").collect()}
+    maps = {}
+    for d, text in before.items():
+        old, new = ANY.findall(text), ANY.findall(after[d])
+        assert len(old) == len(new) and ANY.split(text) == ANY.split(after[d])
+        for a, b in zip(old, new, strict=True):
+            assert a != b and maps.setdefault(a, b) == b
+            assert re.sub("[a-z]", "a", re.sub(r"\d+", "0", a.split("@")[0])) == re.sub("[a-z]", "a", re.sub(r"\d+", "0", b.split("@")[0])) or re.fullmatch(r"[0-9a-f]+", a)
+    assert len(set(maps.values())) == len(maps) > 50 and not set(maps) & set(maps.values())
+
+
+def test_formats(spark):
+    (out,) = one(spark, "card 4111 1111 1111 1111 and 4111111111111111, call +1 (366) 555-9807, host 10.0.0.1. SSN 123-45-6789")
+    spaced, plain = re.search(r"card (\d{4} \d{4} \d{4} \d{4}) and (\d{16})", out).groups()
+    assert spaced.replace(" ", "") == plain != "4111111111111111" and plain[0] == "4" and luhn(plain) == luhn("4111111111111111")
+    assert re.search(r"call \+1 \(3\d\d\) \d{3}-\d{4}, host (\d{1,3}\.){3}\d{1,3}\. SSN \d{3}-\d\d-\d{4}$", out)
+
+
+def test_names_keep_gender_script_and_coreference(spark):
+    out = one(spark, "Mrs. Mary Smith met Mr. Smith and John Smith.", "Госпожа Анна Петрова пришла", "Frau Schulz")
+    m = re.fullmatch(r"Mrs\. (\w+) (\w+) met Mr\. (\w+) and (\w+) (\w+)\.", out[0])
+    assert m[1] in privacy.FIRST["f"] and m[1] != "Mary" and m[4] in privacy.FIRST["m"] and m[4] != "John"
+    assert m[3] == m[5] and m[3] != "Smith"
+    first, last = re.fullmatch(r"Госпожа (\w+) (\w+) пришла", out[1]).groups()
+    assert first in privacy.FIRST["cf"] and re.fullmatch("[А-ЯЁ][а-яё]+ва", last) and last != "Петрова"
+    assert re.fullmatch(r"Frau [A-Z][a-z]{5}", out[2])
+
+
+def test_collisions_are_drawn_anew(spark):
+    texts = [f"host a{i % 10}@b.cd" for i in range(10)] + [f"x {c}@b.cd" for c in "abcdefghijklmnopqrstuvwxy"]
+    out = one(spark, *texts)
+    maps = dict(zip([t.split()[1] for t in texts], [t.split()[1] for t in out], strict=True))
+    assert len(set(maps.values())) == len(maps) and not set(maps) & set(maps.values())
+
+
+def test_many_collisions_in_a_narrow_format(spark, monkeypatch):
+    # Addresses drawn from few values: rounds go on until all differ.
+    narrow = privacy.surrogate
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(privacy, "surrogate", lambda key, kind, value, turn: F.concat(F.lit("9.9.9."), F.pmod(F.xxhash64(value, turn), F.lit(60)).cast("string")))
+    out = one(spark, *[f"ip 10.1.1.{i}" for i in range(40)], "no entity", "ip 10.1.1.3 again")
+    monkeypatch.setattr(privacy, "surrogate", narrow)
+    assert len(set(out[:40])) == 40 and out[40] == "no entity" and out[41] == out[3] + " again"
+
+
+def test_edge_cases(spark):
+    rows = [(1, None, None, None, None, "x"), (2, "", None, None, 0, "x"), (None, "a@b.com", None, None, 0, "x"), (3, "a@b.com", None, None, 0, "x"), (3, "a@b.com", None, None, 0, "x"), (4, "w " * 60_000 + "a@b.com", None, None, 0, "x")]
+    docs = spark.createDataFrame(rows, SCHEMA + ", _sign string")
+    out = anonymised(docs, "k")
+    got = {str(r["doc_id"]): r["text"] for r in out.collect()}
+    assert out.columns == docs.columns and got["1"] is None and got["2"] == "" and got["None"] == got["3"] != "a@b.com" and got["4"].endswith(got["3"])
+    assert anonymised(docs.limit(0), "k").count() == 0
+    assert one(spark, "a@b.com", key="other") != one(spark, "a@b.com")

@@ -7,15 +7,34 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bitslice, bpe, quality, sharding, simhash
+from tidemark.llm import bitslice, bpe, chat, mixing, packing, privacy, quality, sharding, simhash, toxicity
 from tidemark.session import table
 
 
+#: The key of the surrogates in the registered query and the pipeline; production passes its own.
+SURROGATE_KEY = "tidemark"
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as packed rows of 2,048 tokens under the 50k byte-level vocabulary."""
+    return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def op2_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation from every participant's side."""
+    return chat.rotation_report(table(spark, sf_dir, "conversations"))
+
+
 def op3_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best rows of each hundredth vector."""
     return bitslice.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op4_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents taken for a budget of all tokens, at 95 % of the greatest entropy, each at most four times."""
+    return mixing.mixture(table(spark, sf_dir, "documents"))
+
+
 def op5_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards cut from the Hilbert order; law ``rows``."""
     return sharding.shard_report(table(spark, sf_dir, "documents"))
@@ -36,9 +55,32 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and verdict of every document."""
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text with surrogates for personal data."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return privacy.anonymised(docs, SURROGATE_KEY, n_entities="n_entities")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_bit_sliced_top_k, op5_hilbert_sharding, op6_quality_rules, op7_simhash_near_duplicates, op8_bpe)}
+    every = (
+        op1_best_fit_packing,
+        op2_perspective_rotation,
+        op3_bit_sliced_top_k,
+        op4_temperature_mixing,
+        op5_hilbert_sharding,
+        op6_quality_rules,
+        op7_simhash_near_duplicates,
+        op8_bpe,
+        op9_toxicity,
+        op10_surrogates,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_perspective_rotation": chat.ORACLE}
