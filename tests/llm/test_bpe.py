@@ -33,7 +33,7 @@ def test_random_texts(text):
 
 
 def test_verification_decides(spark):
-    words = list({w for r in table(spark, "/root/testdata/sf0.01", "documents").filter("doc_id % 7 = 0").select("text").collect() for w in OWN.pieces.findall(OWN.normal(r["text"]))})
+    words = list({w for r in table(spark, "/root/testdata/sf0.01", "documents").filter("doc_id % 7 = 0").select("text").collect() for w in OWN.split(r["text"])})
     failed = SpeculativeBpe(PATH).learn(words)
     assert 0 < failed < len(words)
     assert [OWN.ids(w) for w in words] == [library(w)[0] for w in words]

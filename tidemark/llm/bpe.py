@@ -22,10 +22,12 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,8 +35,12 @@ from pyspark.sql import functions as F
 #: Fixed values of the vocabulary's own file format: its white space, and its pattern of words.
 SPACE = r"[\t-\r \x85\xa0  -     　]"
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|(?:(?!{SPACE})[^\p{{L}}\p{{N}}])+"
-#: Distinct words that a worker remembers at a time.
-MOST_WORDS, MOST_CHARACTERS = 300_000, 6_000_000
+#: Distinct words of a generation that a worker remembers, and their characters.
+MOST_WORDS, MOST_CHARACTERS = 400_000, 8_000_000
+
+#: The same pattern for texts without any other character than these, and what shows that there is one.
+_LATIN = re.compile(r"[a-zß-öø-ÿ]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\t-\r a-zß-öø-ÿ0-9]+")
+_OTHER = re.compile(r"[^\t-\r -~ß-öø-ÿ]")
 
 
 def byte_characters() -> dict[int, str]:
@@ -60,29 +66,49 @@ class SpeculativeBpe:
         self.token = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.pieces = regex.compile(PIECES)
-        self.spaces = regex.compile(SPACE + "+")
         self.chars = byte_characters()
-        self.ascii = str.maketrans({chr(b): c for b, c in self.chars.items() if b < 128})
+        self.byte_table = {b: c for b, c in self.chars.items()}
+        self.none = len(self.rank)
+        self.number = {t: str(i) for t, i in self.vocab.items()}
         self.known = all(c in self.vocab and c + self.suffix in self.vocab for c in self.chars.values())
         self.longest = max(map(len, self.vocab))
-        self.words: dict[str, tuple[str, int, str]] = {s: (str(i), 1, s) for s, i in self.special.items()}
-        self.held = 0
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.sound: dict[str, bool] = {}
-
-    def normal(self, text: str) -> str:
-        """NFC, white space runs to one space, lower case character by character."""
-        text = self.spaces.sub(" ", text if text.isascii() else unicodedata.normalize("NFC", text))
-        return text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
-
-    def symbols(self, word: str) -> list[str]:
-        """A word as byte-level characters, the last one with the word end."""
-        out = list(word.translate(self.ascii)) if word.isascii() else [self.chars[b] for b in word.encode()]
-        out[-1] += self.suffix
-        return out
+        self.forget()
+        self.older: tuple[dict[str, str], dict[str, str]] = ({}, {})
+        self.pairs: dict[int, bool] = {}
+        self.sound: dict[int, bool] = {}
+
+    def split(self, text: str) -> list[str]:
+        """The words of a text: NFC, lower case character by character, then the pattern.
+
+        White space only separates words, so its runs need no folding. Texts of Basic Latin and Latin-1 letters,
+        digits and signs take the same pattern with plain classes.
+        """
+        text = text if text.isascii() else unicodedata.normalize("NFC", text)
+        text = text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
+        return self.pieces.findall(text) if _OTHER.search(text) else _LATIN.findall(text)
+
+    def characters(self, word: str) -> str:
+        """A word as byte-level characters."""
+        return word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.byte_table)
 
     def merged(self, symbols: list[str]) -> list[str]:
         """Exact merging: the pair of least rank, leftmost first, until none is left."""
+        if len(symbols) > 64:
+            return self._merged_long(symbols)
+        out, get, none = list(symbols), self.rank.get, self.none
+        ranks = [get(pair, none) for pair in zip(out, out[1:], strict=False)]
+        while ranks and (least := min(ranks)) != none:
+            at = ranks.index(least)
+            out[at : at + 2] = [out[at] + out[at + 1]]
+            del ranks[at]
+            if at:
+                ranks[at - 1] = get((out[at - 1], out[at]), none)
+            if at < len(ranks):
+                ranks[at] = get((out[at], out[at + 1]), none)
+        return out
+
+    def _merged_long(self, symbols: list[str]) -> list[str]:
+        """The same with a heap of pairs, for words of any length."""
         out: list[str | None] = list(symbols)
         n = len(out)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -110,60 +136,71 @@ class SpeculativeBpe:
             return body
         return list(token)
 
-    def greedy(self, symbols: list[str]) -> list[str] | None:
-        """Longest match from the left; None where a symbol is unknown."""
-        out, at, n = [], 0, len(symbols)
-        text = "".join(symbols)
-        body = n  # characters before the suffix: one a symbol
+    def greedy(self, text: str) -> list[int] | None:
+        """Ids by longest match from the left, the last with the word end; None where a character is unknown."""
+        out, at, n, get, suffix = [], 0, len(text), self.vocab.get, self.suffix
         while at < n:
-            for end in range(n, at, -1) if n - at <= self.longest else range(at + self.longest, at, -1):
-                piece = text[at:] if end == body else text[at:end]
-                if piece in self.vocab:
-                    out.append(piece)
+            found = get(text[at:] + suffix) if n - at <= self.longest else None
+            if found is not None:
+                out.append(found)
+                return out
+            for end in range(min(n - 1, at + self.longest), at, -1):
+                found = get(text[at:end])
+                if found is not None:
+                    out.append(found)
                     at = end
                     break
             else:
                 return None
         return out
 
-    def compatible(self, a: str, b: str) -> bool:
-        known = self.pairs.get((a, b))
+    def compatible(self, code: int) -> bool:
+        """Whether two ids, as one number, stay two tokens side by side."""
+        known = self.pairs.get(code)
         if known is None:
-            known = self.pairs[a, b] = self.merged(self.parts(a) + self.parts(b)) == [a, b]
+            a, b = self.token[code >> 32], self.token[code & 0xFFFFFFFF]
+            known = self.pairs[code] = self.merged(self.parts(a) + self.parts(b)) == [a, b]
         return known
 
-    def reachable(self, token: str) -> bool:
-        known = self.sound.get(token)
+    def reachable(self, i: int) -> bool:
+        """Whether a token's own text is encoded as that token."""
+        known = self.sound.get(i)
         if known is None:
-            known = self.sound[token] = self.merged(self.parts(token)) == [token]
+            known = self.sound[i] = self.merged(self.parts(self.token[i])) == [self.token[i]]
         return known
 
     def learn(self, words: list[str]) -> int:
         """Encode distinct new words; returns how many had to be merged exactly."""
         self.held += sum(map(len, words))
-        if len(self.pairs) > MOST_WORDS:
+        if len(self.pairs) > 2 * MOST_WORDS:
             self.pairs.clear()
-        symbols = [self.symbols(w) for w in words]
-        proposed = [self.greedy(s) for s in symbols]
-        flat = pd.DataFrame([(i, t) for i, p in enumerate(proposed) for t in p or ()], columns=["word", "token"])
-        bad = {i for i, p in enumerate(proposed) if p is None}
+        texts = [self.characters(w) for w in words]
+        proposed = [self.greedy(t) for t in texts]
+        size = np.array([len(p or ()) for p in proposed])
+        flat = np.array([i for p in proposed if p for i in p], dtype=np.int64)
+        of = np.repeat(np.arange(len(words)), size)
+        bad = size == 0
         # Every token once, then every adjacent pair once: verdicts are spread back over all words.
-        tokens = flat.token.drop_duplicates()
-        unsound = set(tokens[[not self.reachable(t) for t in tokens]])
-        bad |= set(flat.word[flat.token.isin(unsound)])
-        beside = pd.DataFrame({"word": flat.word[:-1].to_numpy(), "same": flat.word[1:].to_numpy() == flat.word[:-1].to_numpy(), "a": flat.token[:-1].to_numpy(), "b": flat.token[1:].to_numpy()}) if len(flat) > 1 else pd.DataFrame(columns=["word", "same", "a", "b"])
-        beside = beside[beside.same.astype(bool)]
-        pairs = beside[["a", "b"]].drop_duplicates()
-        clash = pairs[[not self.compatible(a, b) for a, b in zip(pairs.a, pairs.b, strict=True)]]
-        if len(clash):
-            bad |= set(beside.merge(clash, on=["a", "b"]).word)
-        for i, w in enumerate(words):
-            tokens = [t for t in self.merged(symbols[i]) if t in self.vocab] if i in bad else proposed[i]
-            self.words[w] = (" ".join(str(self.vocab[t]) for t in tokens), len(tokens), " ".join(tokens))
-        return len(bad)
-
-    def encode_batch(self, texts: list[str | None]) -> list[list[tuple[str, int, str]]]:
-        """For each text its words' (ids, number of ids, tokens), in order."""
+        ids, at = np.unique(flat, return_inverse=True)
+        unsound = np.array([not self.reachable(i) for i in ids.tolist()], dtype=bool)
+        bad[of[unsound[at]]] = True
+        inside = np.flatnonzero(of[1:] == of[:-1])
+        codes, at = np.unique((flat[inside] << 32) | flat[inside + 1], return_inverse=True)
+        clash = np.array([not self.compatible(c) for c in codes.tolist()], dtype=bool)
+        bad[of[inside[clash[at]]]] = True
+        token, number = self.token.__getitem__, self.number
+        for w, text, own, exact in zip(words, texts, proposed, bad.tolist(), strict=True):
+            if exact:
+                symbols = list(text)
+                symbols[-1] += self.suffix
+                tokens = [t for t in self.merged(symbols) if t in number]
+            else:
+                tokens = list(map(token, own))
+            self.ids_of[w], self.tokens_of[w] = " ".join([number[t] for t in tokens]), " ".join(tokens)
+        return int(bad.sum())
+
+    def encode_batch(self, texts: list[str | None]) -> list[tuple[str, str]]:
+        """For each text its ids and its tokens, each joined by one blank."""
         split: list[list[str]] = []
         for text in texts:
             own: list[str] = []
@@ -171,19 +208,34 @@ class SpeculativeBpe:
                 if part in self.special:
                     own.append(part)
                 elif part:
-                    own.extend(self.pieces.findall(self.normal(part)))
+                    own.extend(self.split(part))
             split.append(own)
         need = set().union(*split)
-        fresh = [w for w in need if w not in self.words]
-        if len(self.words) + len(fresh) > MOST_WORDS or self.held > MOST_CHARACTERS:
-            self.words, self.held = {s: (str(i), 1, s) for s, i in self.special.items()}, 0
-            fresh = [w for w in need if w not in self.words]
-        if fresh:
-            self.learn(fresh)
-        return [[self.words[w] for w in own] for own in split]
+        fresh = [w for w in need if w not in self.ids_of]
+        if len(self.ids_of) + len(fresh) > MOST_WORDS or self.held > MOST_CHARACTERS:
+            # The words of two generations are remembered: those in use move on to the next.
+            self.older = (self.ids_of, self.tokens_of)
+            self.forget()
+            fresh = [w for w in need if w not in self.ids_of]
+        again = [w for w in fresh if w in self.older[0]]
+        for w in again:
+            self.ids_of[w], self.tokens_of[w] = self.older[0][w], self.older[1][w]
+        self.held += sum(map(len, again))
+        if len(again) < len(fresh):
+            self.learn([w for w in fresh if w not in self.ids_of])
+        ids, tokens = self.ids_of.__getitem__, self.tokens_of.__getitem__
+        if not self.known:
+            split = [[w for w in own if ids(w)] for own in split]
+        return [(" ".join(map(ids, own)), " ".join(map(tokens, own))) for own in split]
+
+    def forget(self) -> None:
+        """Start a generation with the special tokens alone."""
+        self.ids_of = {s: str(i) for s, i in self.special.items()}
+        self.tokens_of = {s: s for s in self.special}
+        self.held = 0
 
     def ids(self, text: str | None) -> list[int]:
-        return [int(i) for w in self.encode_batch([text])[0] for i in w[0].split(" ") if i]
+        return [int(i) for i in self.encode_batch([text])[0][0].split()]
 
     def decode(self, ids: list[int]) -> str:
         """The tokens joined by spaces: the vocabulary's file names no decoder."""
@@ -209,16 +261,14 @@ def encode_columns(path: str, outputs: tuple[str, ...]):
         for batch in batches:
             rows = []
             for at in range(0, len(batch), CHUNK):
-                for words in bpe.encode_batch([None if x is None or x != x else x for x in batch.iloc[at : at + CHUNK]]):
-                    if not bpe.known:
-                        words = [w for w in words if w[1]]
-                    made = {"n_tokens": sum([w[1] for w in words])}
-                    if "ids" in outputs or "ids_sha256" in outputs:
-                        ids = " ".join([w[0] for w in words])
-                        made |= {"ids_sha256": hashlib.sha256(ids.encode()).hexdigest()} if "ids_sha256" in outputs else {"ids": [int(i) for i in ids.split()]}
-                    if "decoded" in outputs or "decoded_sha256" in outputs:
-                        decoded = " ".join([w[2] for w in words])
-                        made |= {"decoded": decoded} if "decoded" in outputs else {"decoded_sha256": hashlib.sha256(decoded.encode()).hexdigest()}
+                for ids, tokens in bpe.encode_batch([x if isinstance(x, str) else None for x in batch.iloc[at : at + CHUNK]]):
+                    made = {"n_tokens": ids.count(" ") + 1 if ids else 0, "decoded": tokens}
+                    if "ids" in outputs:
+                        made["ids"] = [int(i) for i in ids.split()]
+                    if "ids_sha256" in outputs:
+                        made["ids_sha256"] = hashlib.sha256(ids.encode()).hexdigest()
+                    if "decoded_sha256" in outputs:
+                        made["decoded_sha256"] = hashlib.sha256(tokens.encode()).hexdigest()
                     rows.append([made[name] for name in outputs])
             yield pd.DataFrame(rows, columns=list(outputs))
 
