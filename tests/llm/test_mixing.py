@@ -35,7 +35,11 @@ def brute(rows, entropy, repetition, budget, block_docs, whole=False, seed="mix"
             low, high = (mid, high) if flat(mid) else (low, mid)
         return high
 
-    a = max(bisect(lambda a: h(a) > entropy * math.log(len(p))), bisect(lambda a: max(v ** (a - 1) for v in p.values()) / z(a) > repetition)) if p else 0
+    def often(a):
+        most = max(v ** (a - 1) for v in p.values())
+        return most / max(p.values()) ** (a - 1) if whole else most / z(a) * (1 if budget is None else budget / every)
+
+    a = max(bisect(lambda a: h(a) > entropy * math.log(len(p))), bisect(lambda a: often(a) > repetition)) if p else 0
     if whole:
         budget = math.ceil(every * max(p.values()) * z(a) / max(p.values()) ** a)
     out = Counter()

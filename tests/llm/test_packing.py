@@ -45,7 +45,7 @@ def check(rows, capacity, want, pad):
         ids, positions = np.frombuffer(r["ids"], "<u2"), np.frombuffer(r["position_ids"], "<u2")
         assert len(ids) == len(positions) == capacity and r["cu_seqlens"][0] == 0 and r["cu_seqlens"][-1] == r["n_tokens"]
         assert (ids[r["n_tokens"] :] == pad).all()
-        for s, a, b in zip(r["segments"], r["cu_seqlens"], r["cu_seqlens"][1:], strict=True):
+        for s, a, b in zip(r["segments"], r["cu_seqlens"][:-1], r["cu_seqlens"][1:], strict=True):
             assert b - a == s["length"] and positions[a:b].tolist() == list(range(b - a))
             back[s["doc_id"]][s["start"]] = ids[a:b].tolist()
     assert {d: [t for at in sorted(p) for t in p[at]] for d, p in back.items()} == want

@@ -24,8 +24,11 @@ def test_documents_lose_entities_and_keep_the_rest(spark):
     maps = {}
     for d, text in before.items():
         old, new = ANY.findall(text), ANY.findall(after[d])
-        assert len(old) == len(new) and ANY.split(text) == ANY.split(after[d])
+        assert len(old) == len(new) and ANY.split(text) == ANY.split(after[d])  # noqa: PT018
         for a, b in zip(old, new, strict=True):
+            if re.fullmatch(r"\d{16}", a) and luhn(a) % 10:
+                assert a == b  # not a card
+                continue
             assert a != b and maps.setdefault(a, b) == b
             assert re.sub("[a-z]", "a", re.sub(r"\d+", "0", a.split("@")[0])) == re.sub("[a-z]", "a", re.sub(r"\d+", "0", b.split("@")[0])) or re.fullmatch(r"[0-9a-f]+", a)
     assert len(set(maps.values())) == len(maps) > 50 and not set(maps) & set(maps.values())

@@ -81,18 +81,18 @@ def rotation_report(turns: DataFrame) -> DataFrame:
 ORACLE = r"""
 WITH turns AS (
   SELECT conv_id, coalesce(role, 'unknown') AS role, coalesce(text, '') AS content,
-         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce(text, '')) - 1 AS at
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce(text, '')) - 1 AS pos
   FROM conversations),
 speakers AS (SELECT DISTINCT conv_id, role AS perspective FROM turns WHERE role <> 'system'),
 rendered AS (
-  SELECT t.conv_id, perspective, t.at // 64 AS segment, t.at, content, role = perspective AS train,
+  SELECT t.conv_id, perspective, t.pos // 64 AS segment, t.pos, content, role = perspective AS train,
          '<|im_start|>' || CASE WHEN role = 'system' THEN 'system' WHEN role = perspective THEN 'assistant' ELSE 'user name=' || role END || chr(10) AS head
   FROM turns t JOIN speakers s ON t.conv_id IS NOT DISTINCT FROM s.conv_id),
 placed AS (
-  SELECT *, sum(length(head) + length(content) + 11) OVER (PARTITION BY conv_id, perspective, segment ORDER BY at) - length(content) - 11 AS start
+  SELECT *, sum(length(head) + length(content) + 11) OVER (PARTITION BY conv_id, perspective, segment ORDER BY pos) - length(content) - 11 AS begins
   FROM rendered)
 SELECT conv_id, perspective, segment, CAST(count(*) AS INTEGER) AS n_turns,
-       string_agg(head || content || '<|im_end|>' || chr(10), '' ORDER BY at) AS text,
-       coalesce(string_agg(CASE WHEN train THEN CAST(CAST(start AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(start + length(content) AS BIGINT) AS VARCHAR) END, ',' ORDER BY at), '') AS mask
+       string_agg(head || content || '<|im_end|>' || chr(10), '' ORDER BY pos) AS text,
+       coalesce(string_agg(CASE WHEN train THEN CAST(CAST(begins AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(begins + length(content) AS BIGINT) AS VARCHAR) END, ',' ORDER BY pos), '') AS mask
 FROM placed GROUP BY conv_id, perspective, segment
 """

@@ -36,19 +36,21 @@ def _powers(shares: Column, a: Column) -> Column:
 def _entropy(shares: Column, a: Column) -> Column:
     """Entropy of p ** a / sum, as ln Z - a * sum(p ** a * ln p) / Z."""
     z = _sum(_powers(shares, a))
-    return F.ln(z) - a * _sum(F.transform(shares, lambda p: F.exp(a * F.ln(p)) * F.ln(p))) / z
+    return F.ln(z) - a * _sum(F.transform(shares, lambda p: F.exp(a * F.ln(p)) * F.ln(p))) / F.nullif(z, F.lit(0.0))
 
 
-def _repetition(shares: Column, a: Column) -> Column:
-    """Greatest weight over share: how often the most repeated source comes when the budget is all tokens."""
-    return F.array_max(F.transform(shares, lambda p: F.exp((a - 1) * F.ln(p)))) / _sum(_powers(shares, a))
+def _repetition(shares: Column, a: Column, times: Column | None) -> Column:
+    """How often the most repeated source comes: for a budget of ``times`` all tokens, or of the largest source once."""
+    most = F.array_max(F.transform(shares, lambda p: F.exp((a - 1) * F.ln(p))))
+    return most / F.exp((a - 1) * F.ln(F.array_max(shares))) if times is None else times * most / _sum(_powers(shares, a))
 
 
-def exponents(totals: DataFrame, entropy: float | None, repetition: float | None) -> DataFrame:
+def exponents(totals: DataFrame, entropy: float | None, repetition: float | None, budget: int | None = None, whole: bool = False) -> DataFrame:
     """One row: all tokens, the exponent, and the sum of the powered shares; totals(source, tokens, docs)."""
     ordered = totals.filter("tokens > 0").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("source", F.lit("")).alias("s"), F.col("tokens")))).alias("t"))
     total = F.aggregate("t", F.lit(0).cast("long"), lambda s, x: s + x["tokens"])
     row = ordered.select(total.alias("total"), F.transform("t", lambda x: x["tokens"] / total.cast("double")).alias("p"))
+    times = None if whole else F.lit(1.0) if budget is None else F.lit(float(budget)) / F.nullif(F.col("total"), F.lit(0))
     goal = F.lit(entropy if entropy is not None else 0.0) * F.ln(F.size("p").cast("double"))
 
     def bisect(too_flat) -> Column:
@@ -63,7 +65,7 @@ def exponents(totals: DataFrame, entropy: float | None, repetition: float | None
         return F.when(~too_flat(F.lit(0.0)), F.lit(0.0)).otherwise(found)
 
     by_entropy = bisect(lambda a: _entropy(F.col("p"), a) > goal) if entropy is not None else F.lit(0.0)
-    by_limit = bisect(lambda a: _repetition(F.col("p"), a) > F.lit(float(repetition))) if repetition is not None else F.lit(0.0)
+    by_limit = bisect(lambda a: _repetition(F.col("p"), a, times) > F.lit(float(repetition))) if repetition is not None else F.lit(0.0)
     row = row.withColumn("a", F.greatest(by_entropy, by_limit))
     return row.select("total", "a", _sum(_powers(F.col("p"), F.col("a"))).alias("z"), F.array_max("p").alias("largest"))
 
@@ -77,8 +79,8 @@ def plan(docs: DataFrame, entropy: float | None, repetition: float | None, budge
     """
     counted = docs.groupBy("_source").agg(F.sum("_tokens").alias("tokens"), F.count("*").alias("docs"))
     totals = stored(counted, "totals")
-    mix = exponents(totals.withColumnRenamed("_source", "source"), entropy, repetition)
-    weight = F.exp(F.col("a") * F.ln(F.col("tokens") / F.col("total").cast("double"))) / F.col("z")
+    mix = exponents(totals.withColumnRenamed("_source", "source"), entropy, repetition, budget, whole)
+    weight = F.exp(F.col("a") * F.ln(F.col("tokens") / F.nullif(F.col("total").cast("double"), F.lit(0.0)))) / F.nullif(F.col("z"), F.lit(0.0))
     given = F.col("total").cast("double") if budget is None else F.lit(float(budget))
     # The largest source has the least weight over share; this budget takes it exactly once.
     if whole:
@@ -91,7 +93,7 @@ def plan(docs: DataFrame, entropy: float | None, repetition: float | None, budge
     dealt = docs.withColumn("_h", h).join(goals.select("_source", F.col("blocks").alias("_blocks")), ["_source"])
     dealt = dealt.withColumn("_block", F.pmod("_h", "_blocks")).drop("_blocks")
     blocks = dealt.groupBy("_source", "_block").agg(F.sum("_tokens").alias("n"))
-    full = F.when(F.col("tokens") > 0, F.floor(F.col("goal") / F.col("tokens"))).otherwise(F.lit(1)).cast("long")
+    full = F.when(F.col("tokens") > 0, F.floor(F.col("goal") / F.nullif(F.col("tokens"), F.lit(0)))).otherwise(F.lit(1)).cast("long")
     order = Window.partitionBy("_source").orderBy(unit_hash(seed, F.col("_source"), F.col("_full"), F.col("_block")), "_block")
     ranked = (
         blocks.join(goals, ["_source"])
