@@ -2,51 +2,38 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from tidemark.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Modules that register queries when imported.
+PLANS = ("events", "search", "graph", "vectors", "scores", "text", "stateful")
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+def query(name: str, run: Query, sql: str | None = None) -> None:
     """Register a query, and the SQL that must give the same rows where there is one."""
+    if name in _QUERIES:
+        raise ValueError(f"{name} is registered twice")
+    _QUERIES[name] = run
+    if sql is not None:
+        _ORACLES[name] = sql
 
-    def keep(f: Query) -> Query:
-        if name in _QUERIES:
-            raise ValueError(f"{name} is registered twice")
-        _QUERIES[name] = f
-        if sql is not None:
-            _ORACLES[name] = sql
-        return f
 
-    return keep
+def _load() -> None:
+    for plan in PLANS:
+        importlib.import_module(f"tidemark.plans.{plan}")
 
 
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_ORACLES)
-
-
-@query(
-    "f03_endpoint_latency",
-    "SELECT event_type AS endpoint, avg(value) * 1000 AS avg_ms FROM events GROUP BY event_type ORDER BY avg_ms DESC, endpoint LIMIT 5",
-)
-def endpoint_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """mean response time in milliseconds by endpoint, the five slowest."""
-    return (
-        table(spark, sf_dir, "events")
-        .groupBy(F.col("event_type").alias("endpoint"))
-        .agg((F.avg("value") * 1000).alias("avg_ms"))
-        .orderBy(F.desc("avg_ms"), "endpoint")
-        .limit(5)
-    )
