@@ -1 +1,67 @@
-"""Registered queries."""
+"""Registered queries for order-dependent, chunking and streaming operators."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import functions as F
+
+from tidemark.functions import chunking as C
+from tidemark.operators import stateful as S
+from tidemark.registry import query
+from tidemark.session import table
+from tidemark.streaming import windows as W
+
+
+def _shared(spark) -> str:
+    """The folder that driver and executors share; a local one only where none is set, as in tests."""
+    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-stream-")
+
+
+query("e12_fixed_windows", lambda s, d: table(s, d, "documents").select("doc_id", F.posexplode(C.fixed_windows(F.col("text"))).alias("pos", "w")).select("doc_id", "pos", "w.*"))
+query("h09_sections", lambda s, d: table(s, d, "documents").select("doc_id", F.explode(C.section_starts(F.col("text"))).alias("line")))
+query("h15_packed_sentences", lambda s, d: table(s, d, "documents").select("doc_id", F.posexplode(C.packed_sentences(F.col("text"))).alias("pos", "segment")).select("doc_id", "pos", F.length("segment").alias("length")))
+query(
+    "h10_adaptive_sizes",
+    lambda s, d: table(s, d, "documents").select("doc_id", C.adaptive_sizes((F.col("doc_id") % 10) / 10, F.col("doc_id") % 7 == 0, F.col("doc_id") % 2 == 0).alias("c")).select("doc_id", "c.*"),
+    "SELECT doc_id, CASE WHEN doc_id % 10 > 7 OR doc_id % 7 = 0 THEN 800 WHEN doc_id % 2 = 0 THEN 1200 ELSE 1500 END AS size, CASE WHEN doc_id % 10 > 7 OR doc_id % 7 = 0 THEN 250 WHEN doc_id % 2 = 0 THEN 200 ELSE 150 END AS overlap FROM documents",
+)
+query("e06_anchored_rows", lambda s, d: S.anchored_groups(table(s, d, "part").select("p_brand", "p_partkey", "p_retailprice"), "p_brand", "p_partkey", "p_retailprice", 25.0))
+query("d19_greedy_clusters", lambda s, d: S.greedy_clusters(table(s, d, "part").select("p_brand", "p_partkey", "p_name"), "p_brand", "p_partkey", "p_name", 0.85))
+query("h34_string_ratio", lambda s, d: table(s, d, "part").select("p_partkey", F.round(S.string_ratio("p_name", "p_type"), 6).alias("ratio")))
+query(
+    "k10_retried",
+    lambda s, d: S.retried(table(s, d, "orders").select(F.col("o_orderkey").alias("entry"), (F.col("o_custkey") % 5).alias("retries"), (F.col("o_orderstatus") == "F").alias("succeeds"))).groupBy("state").agg(F.count("*").alias("n")),
+    "SELECT CASE WHEN o_custkey % 5 >= 3 THEN 'remaining' WHEN o_orderstatus = 'F' THEN 'processed' ELSE 'failed' END AS state, count(*) AS n FROM orders GROUP BY 1",
+)
+query(
+    "k11_cache_eviction",
+    lambda s, d: S.evicted(table(s, d, "events").select(F.col("event_id").alias("entry"), F.col("ts").alias("last_used"), F.col("value").alias("size")), "2024-01-31", 14, 100_000.0),
+    "SELECT entry, size FROM (SELECT event_id AS entry, value AS size, sum(value) OVER (ORDER BY ts DESC, event_id DESC ROWS UNBOUNDED PRECEDING) AS used FROM events WHERE ts >= TIMESTAMP '2024-01-17') WHERE round(used, 4) <= 100000.0",
+)
+query(
+    "d30_box_relations",
+    lambda s, d: S.box_relations(
+        table(s, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity")).alias("x1"), (F.col("l_discount") * 100).alias("y1"), (F.col("l_quantity") + 20).alias("x2"), (F.col("l_discount") * 100 + 4).alias("y2")), "l_orderkey", "l_linenumber"
+    ).groupBy("relation").agg(F.count("*").alias("n")),
+    """WITH b AS (SELECT l_orderkey AS o, l_linenumber AS k, l_quantity AS x1, l_discount * 100 AS y1, l_quantity + 20 AS x2, l_discount * 100 + 4 AS y2 FROM lineitem),
+    p AS (SELECT a.*, c.x1 AS u1, c.y1 AS v1, c.x2 AS u2, c.y2 AS v2, least(a.x2, c.x2) - greatest(a.x1, c.x1) AS w, least(a.y2, c.y2) - greatest(a.y1, c.y1) AS h FROM b a JOIN b c ON a.o = c.o AND a.k <> c.k),
+    r AS (SELECT CASE WHEN w > 0 AND h > 0 AND w * h / nullif((u2 - u1) * (v2 - v1), 0) > 0.9 THEN 'contains' WHEN w > 0 AND h > 0 AND w * h / nullif((x2 - x1) * (y2 - y1), 0) > 0.9 THEN 'contained_by' WHEN w > 0 AND h > 0 THEN 'overlaps' WHEN y2 < v1 THEN 'above' WHEN v2 < y1 THEN 'below' WHEN x2 < u1 THEN 'left_of' WHEN u2 < x1 THEN 'right_of' END AS relation FROM p)
+    SELECT relation, count(*) AS n FROM r WHERE relation IS NOT NULL GROUP BY 1""",
+)
+query(
+    "h16_word_error_rate",
+    lambda s, d: table(s, d, "part").select("p_partkey", F.round(S.word_error_rate(F.col("p_name"), F.col("p_type")), 6).alias("wer")),
+)
+query(
+    "f44_joined_parts",
+    lambda s, d: S.joined_parts(table(s, d, "conversations").select(F.col("conv_id").alias("key"), F.col("turn").alias("pos"), F.col("role").alias("part"))),
+    "SELECT conv_id AS key, string_agg(role, chr(10) ORDER BY turn) AS joined FROM conversations GROUP BY 1",
+)
+query(
+    "k01_streamed_windows",
+    lambda s, d: W.run_to_end(W.windowed_counts(W.event_stream(s, d), "1 day"), _shared(s), "complete").select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total")),
+    "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
+)
+query("k06_streamed_thresholds", lambda s, d: W.run_to_end(W.threshold_events(W.event_stream(s, d), 300.0), _shared(s)).select("event_id", "event_type", "value"), "SELECT event_id, event_type, value FROM events WHERE value > 300.0")
+query("e11_streamed_cooldown", lambda s, d: W.run_to_end(W.cooled_down(W.event_stream(s, d).filter("event_type = 'error'"), 3600), _shared(s)))
