@@ -39,7 +39,7 @@ _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: Types in the order in which a place of the text is tried.
 PATTERNS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "secret": r"(?<=(?:password|passwd|pwd|token|secret|api_key|apikey)[ ]{0,2}[=:][ ]{0,2}[\"']{0,1})[A-Za-z0-9+/_-]{8,}",
+    "secret": r"(?:password|passwd|pwd|token|secret|api_?key) {0,2}[=:] {0,2}[\"']?[A-Za-z0-9+/_-]{8,}",
     "key": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "phone": r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9-])[0-9]{3}[-.][0-9]{3}[-.][0-9]{4}(?![0-9-])",
@@ -49,6 +49,10 @@ PATTERNS = {
     "name": rf"\b(?:{'|'.join(TITLES_M + TITLES_F)})\.? {_CAP}(?: {_CAP})?|\b(?:{'|'.join(sum(FIRST.values(), []))}) {_CAP}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: One of these is in every text with an entity; they are quick to rule out.
+SIGNS = (r"[0-9@]|A[KS]IA", r"(?:passw|pwd|token|secret|api_?key)[a-z]{0,4} {0,2}[=:]", rf"(?=[A-ZА-ЯЁ])\b(?:{'|'.join(TITLES_M + TITLES_F + sum(FIRST.values(), []))})\.? ")
+#: What stands before a secret's value in its match.
+SECRET_HEAD = r"^([a-z_]+ {0,2}[=:] {0,2}[\"']?)"
 #: Characters of the stream that a digit or letter takes.
 _WIDE = 4
 
@@ -61,17 +65,16 @@ def let(value: Column, body) -> Column:
 def kind_of(hit: Column) -> Column:
     out = F.lit(None).cast("string")
     for name, pattern in reversed(PATTERNS.items()):
-        if name != "secret":  # its pattern looks at what stands before
-            out = F.when(hit.rlike(f"^(?:{pattern})$"), F.lit(name)).otherwise(out)
+        out = F.when(hit.rlike(f"^(?:{pattern})$"), F.lit(name)).otherwise(out)
     # Sixteen digits whose check sum is not zero are no card.
     digits = F.regexp_replace(hit, "[^0-9]", "")
-    return F.coalesce(F.when((out == "card") & (_luhn(digits) != 0), F.lit("none")).otherwise(out), F.lit("secret"))
+    return F.coalesce(F.when((out == "card") & (_luhn(digits) != 0), F.lit("none")).otherwise(out), F.lit("none"))
 
 
 def canonical(kind: Column, hit: Column) -> Column:
     """The form that all spellings of an entity share."""
     plain = F.regexp_replace(hit, "[^A-Za-z0-9]", "")
-    return F.when(kind == "email", F.lower(hit)).when(kind.isin("phone", "card", "ssn", "iban"), plain).otherwise(hit)
+    return F.when(kind == "email", F.lower(hit)).when(kind == "secret", F.regexp_replace(hit, SECRET_HEAD, "")).when(kind.isin("phone", "card", "ssn", "iban"), plain).otherwise(hit)
 
 
 def _stream(key: str, kind: Column, value: Column, turn: Column) -> Column:
@@ -178,7 +181,11 @@ def _rotated(key: str, part: Column, word: Column) -> Column:
 
 
 def hits_of(text: Column) -> Column:
-    return F.when(text.rlike(ANY), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
+    """The matches of a text, null where no sign of an entity is found."""
+    signs = text.rlike(SIGNS[0])
+    for sign in SIGNS[1:]:
+        signs = signs | text.rlike(sign)
+    return F.when(signs, F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
 
 
 def mentions(hits: Column) -> Column:
@@ -190,7 +197,7 @@ def mentions(hits: Column) -> Column:
     return F.flatten(F.transform(hits, units))
 
 
-def rewritten(text: Column, key: str, rounds: Column | None) -> Column:
+def rewritten(text: Column, hits: Column, key: str, rounds: Column | None) -> Column:
     """The text with surrogates; ``rounds`` maps kind and value to a later round, where there is one."""
 
     def turn(kind: Column, value: Column) -> Column:
@@ -202,14 +209,14 @@ def rewritten(text: Column, key: str, rounds: Column | None) -> Column:
     def replaced(h: Column) -> Column:
         def by_kind(k: Column) -> Column:
             plain = let(canonical(k, h), lambda v: surrogate(key, k, v, turn(k, v)))
-            made = let(plain, lambda m: F.when(k.isin("phone", "card", "ssn", "iban"), _as_written(h, m)).when(k == "email", _email_case(h, m)).otherwise(m))
+            made = let(plain, lambda m: F.when(k.isin("phone", "card", "ssn", "iban"), _as_written(h, m)).when(k == "email", _email_case(h, m)).when(k == "secret", F.concat(F.regexp_extract(h, SECRET_HEAD, 1), m)).otherwise(m))
             return F.when(k == "none", h).when(k == "name", F.array_join(F.transform(name_words(h), word), " ")).otherwise(made)
 
         return let(kind_of(h), by_kind)
 
-    made = F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), replaced)
+    made = F.transform(hits, replaced)
     joined = F.array_join(F.zip_with(F.split(text, ANY, -1), made, lambda gap, m: F.concat(gap, F.coalesce(m, F.lit("")))), "")
-    return F.when(text.rlike(ANY), joined).otherwise(text)
+    return F.when(F.coalesce(F.size(hits), F.lit(0)) > 0, joined).otherwise(text)
 
 
 def settled(entities: DataFrame, key: str, most_rounds: int = 64) -> DataFrame:
@@ -239,13 +246,18 @@ def anonymised(docs: DataFrame, key: str, text: str = "text", n_entities: str |
     found = docs.select(F.explode(mentions(hits_of(F.col(text)))).alias("m")).select("m.*").distinct()
     entities = stored(found, "entities")
     late = stored(settled(entities, key), "late")
-    counted = docs if n_entities is None else docs.withColumn(n_entities, F.coalesce(F.size(F.filter(hits_of(F.col(text)), lambda h: kind_of(h) != "none")), F.lit(0)))
+    hits, sign, rounds = free_names(docs, "_hits", "_sign", "_rounds")
+    # The matches are used more than once, so they stay a column of their own.
+    own = docs.withColumn(hits, hits_of(F.col(text)))
+    names = list(docs.columns)
+    if n_entities is not None:
+        own = own.withColumn(n_entities, F.coalesce(F.size(F.filter(hits, lambda h: kind_of(h) != "none")), F.lit(0)))
+        names.append(n_entities)
     if small_enough(late, 0):
-        return counted.withColumn(text, rewritten(F.col(text), key, None))
+        return own.withColumn(text, rewritten(F.col(text), F.col(hits), key, None)).select(*names)
     # Texts that mention an entity of a later round, once each, with the rounds of those entities.
-    sign, rounds = free_names(counted, "_sign", "_rounds")
-    signed = counted.withColumn(sign, F.sha2(F.col(text), 256))
-    each = signed.select(sign, F.explode(mentions(hits_of(F.col(text)))).alias("m")).select(sign, "m.*").distinct().join(late, ["kind", "value"])
+    signed = own.withColumn(sign, F.when(F.size(hits) > 0, F.sha2(F.col(text), 256)))
+    each = signed.filter(F.col(sign).isNotNull()).select(sign, F.explode(mentions(F.col(hits))).alias("m")).select(sign, "m.*").distinct().join(late, ["kind", "value"])
     maps = stored(each.groupBy(sign).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\x1f", "kind", "value"), "turn"))).alias(rounds)), "maps")
     joined = signed.join(maps, sign, "left")
-    return joined.withColumn(text, F.when(F.col(rounds).isNull(), rewritten(F.col(text), key, None)).otherwise(rewritten(F.col(text), key, F.col(rounds)))).select(*counted.columns)
+    return joined.withColumn(text, F.when(F.col(rounds).isNull(), rewritten(F.col(text), F.col(hits), key, None)).otherwise(rewritten(F.col(text), F.col(hits), key, F.col(rounds)))).select(*names)
