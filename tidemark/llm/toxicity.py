@@ -147,7 +147,7 @@ def fitted(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, ...
     return tuple(map(float, w))
 
 
-def learned(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, least_share: float = 0.003) -> Lexicon:
+def learned(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, least_share: float = 0.005) -> Lexicon:
     """A lexicon from labelled documents; the driver receives bounded tables only (patterns, and measures of the sample)."""
     from tidemark.llm.common import stored
 
@@ -156,7 +156,7 @@ def learned(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, least_s
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
     if not bad or not good:
         return Lexicon()
-    least = max(3, round(least_share * bad))
+    least = max(5, round(least_share * bad))
     # Precise enough: far more often in toxic documents than their share of the sample.
     precise = F.col("bad") / F.col("n") > F.lit(0.5 + 0.5 * bad / (bad + good))
     starts = word_starts(rows).filter((F.col("bad") >= least) & precise).orderBy(F.desc("bad"), "start").limit(MOST_PATTERNS)
