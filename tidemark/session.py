@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+
 from pyspark.sql import DataFrame, SparkSession
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+_SHIPPED: set[str] = set()
+
 
 def local_session(app: str = "tidemark", cores: str = "8", partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A local session with adaptive execution, UTC and one shuffle partition a core."""
@@ -20,6 +27,24 @@ def local_session(app: str = "tidemark", cores: str = "8", partitions: int = 8,
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the package to the Python workers, once an application, where their path does not hold it already."""
+    context = spark.sparkContext
+    known = ROOT in os.environ.get("PYTHONPATH", "").split(":") or (context.master.startswith("local[") and os.getcwd() == ROOT)
+    if known or context.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(context.applicationId)
+    archive = os.path.join(tempfile.mkdtemp(prefix="tidemark-package-"), "tidemark.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(os.path.join(ROOT, "tidemark")):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, ROOT))
+    context.addPyFile(archive)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder; Spark's reader opens it, so any store that Spark knows will do."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
