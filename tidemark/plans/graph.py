@@ -71,7 +71,7 @@ query(
 query(
     "g01_merged_nodes",
     lambda s, d: G.merged_nodes(nodes(s, d).withColumn("ord", F.lit(0)).unionByName(nodes(s, d).filter("kind = 'Supplier'").withColumn("ord", F.lit(1)).withColumn("confidence", F.lit(0.55)))).select("id", "kind", "confidence", "sources"),
-    f"{WITH} SELECT id, kind, CASE WHEN kind = 'Supplier' THEN greatest(confidence, 0.55::DOUBLE) ELSE confidence END AS confidence, CASE WHEN kind = 'Supplier' THEN 2 ELSE 1 END AS sources FROM n",
+    f"{WITH} SELECT id, kind, CASE WHEN kind = 'Supplier' THEN greatest(confidence, 0.55::DOUBLE) ELSE confidence END AS confidence, CAST(CASE WHEN kind = 'Supplier' THEN 2 ELSE 1 END AS BIGINT) AS sources FROM n",
 )
 _trade = lambda s, d: table(s, d, "lineitem").select(F.col("l_partkey").alias("source"), F.col("l_suppkey").alias("target"), F.col("l_returnflag").alias("kind"), F.col("l_discount").alias("confidence"))
 query("g03_distinct_edges", lambda s, d: G.distinct_edges(_trade(s, d), directed=False), "SELECT least(l_partkey, l_suppkey) AS source, greatest(l_partkey, l_suppkey) AS target, l_returnflag AS kind, max(l_discount) AS confidence FROM lineitem GROUP BY 1, 2, 3")
