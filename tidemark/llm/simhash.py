@@ -266,15 +266,18 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("code"), F.col("v").alias("root"))
 
 
-def linked(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The kept columns with ``_code`` (fingerprint) and ``_component`` (smallest doc_id reachable)."""
-    coded = stored(docs.select(*keep, F.col("doc_id").alias("_id"), fingerprints("text").alias("_code")), "codes")
-    nodes = stored(coded.groupBy(F.col("_code").alias("code")).agg(F.min("_id").alias("low")), "nodes")
+def coded(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """The kept columns with ``_id`` and ``_code`` (the fingerprint), stored."""
+    return stored(docs.select(*keep, F.col("doc_id").alias("_id"), fingerprints("text").alias("_code")), "codes")
+
+
+def answers(codes: DataFrame) -> DataFrame:
+    """(_code, _component): for each fingerprint the smallest doc_id reachable; codes(_id, _code)."""
+    nodes = stored(codes.groupBy(F.col("_code").alias("code")).agg(F.min("_id").alias("low")), "nodes")
     roots = components(links(nodes.select("code")))
     rooted = stored(nodes.join(roots, "code", "left").select("code", F.coalesce("root", "code").alias("root"), "low"), "rooted")
     least = rooted.groupBy("root").agg(F.min("low").alias("component"))
-    answer = rooted.join(least, "root").select(F.col("code").alias("_code"), F.col("component").alias("_component"))
-    return coded.join(answer, "_code", "left")
+    return rooted.join(least, "root").select(F.col("code").alias("_code"), F.col("component").alias("_component"))
 
 
 def hex_code(code: Column) -> Column:
@@ -283,24 +286,27 @@ def hex_code(code: Column) -> Column:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, fingerprint, component_id."""
-    return linked(docs.select("doc_id", "text"), ["doc_id"]).select("doc_id", hex_code(F.col("_code")).alias("fingerprint"), F.col("_component").alias("component_id"))
+    codes = coded(docs, [])
+    return codes.join(answers(codes), "_code", "left").select(F.col("_id").alias("doc_id"), hex_code(F.col("_code")).alias("fingerprint"), F.col("_component").alias("component_id"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The document with the smallest doc_id of each component, with its own columns, once.
 
     Rows that repeat that doc_id give way to the first of them by content; a component without any doc_id keeps
-    one row, the first by content.
+    one row, the first by content. The choice is made on narrow rows; texts move once, to meet it.
     """
     (box,) = free_names(docs, "_row")
-    packed = docs.select(F.struct(*docs.columns).alias(box), "doc_id", "text")
-    found = linked(packed, [box]).filter(F.col("_id").eqNullSafe(F.col("_component")))
-    sign = F.xxhash64(*[F.col(f"{box}.{c}").cast("string") if t.startswith("map") else F.col(f"{box}.{c}") for c, t in docs.dtypes])
-    signed = found.withColumn("_sign", sign).withColumn("_group", F.coalesce(F.col("_id").cast("string"), F.concat(F.lit("code "), hex_code(F.col("_code")))))
-    signed = stored(signed, "chosen")
-    again = stored(signed.groupBy("_group").agg(F.count("*").alias("n"), F.min("_sign").alias("_sign")).filter("n > 1").select("_group", "_sign"), "again")
+    sign = F.xxhash64(*[F.to_json(F.struct(c)) if "map<" in t else F.col(c) for c, t in docs.dtypes])
+    rows = coded(docs.select(F.struct(*docs.columns).alias(box), sign.alias("_sign"), "doc_id", "text"), [box, "_sign"])
+    narrow = rows.select("_id", "_code", "_sign")
+    kept = narrow.join(answers(narrow), "_code", "left").filter(F.col("_id").eqNullSafe(F.col("_component")))
+    group = F.coalesce(F.col("_id").cast("string"), F.concat(F.lit("code "), hex_code(F.col("_code"))))
+    chosen = stored(kept.groupBy(group.alias("_group")).agg(F.min(F.struct("_sign", "_code")).alias("_first")).select("_first.*", F.col("_group")), "chosen")
+    taken = rows.withColumn("_group", group).join(chosen, ["_group", "_code", "_sign"], "left_semi")
+    # Rows equal in every column have one sign; where there are such, all but one go.
+    again = stored(narrow.withColumn("_group", group).join(chosen, ["_group", "_code", "_sign"], "left_semi").groupBy("_group").agg(F.count("*").alias("n")).filter("n > 1").select("_group"), "again")
     if small_enough(again, 0):
-        return signed.select(f"{box}.*")
-    once = signed.join(again.select("_group"), "_group", "left_anti").select(box)
-    first = signed.join(again, ["_group", "_sign"], "left_semi").dropDuplicates(["_group"]).select(box)
-    return once.union(first).select(f"{box}.*")
+        return taken.select(f"{box}.*")
+    once = taken.join(again, "_group", "left_anti").select(box)
+    return once.union(taken.join(again, "_group", "left_semi").dropDuplicates(["_group"]).select(box)).select(f"{box}.*")
