@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bitslice, bpe, chat, mixing, packing, privacy, quality, sharding, simhash, toxicity
+from tidemark.llm import bitslice, bpe, chat, mixing, oracles, packing, privacy, quality, sharding, simhash, toxicity
 from tidemark.session import table
 
 
@@ -83,4 +83,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_perspective_rotation": chat.ORACLE}
+    return {"op2_perspective_rotation": chat.ORACLE, "op3_bit_sliced_top_k": oracles.TOP_K, "op4_temperature_mixing": oracles.MIXTURE, "op6_quality_rules": oracles.QUALITY}
