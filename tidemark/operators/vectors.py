@@ -1,11 +1,13 @@
 """Vector operators: cosine, top-k, similarity joins by label blocks, late interaction, fusion.
 
-Arithmetic is in double inside generated code. Queries against all rows are a stated set; the similarity
-join compares vectors of random-hyperplane buckets, never all pairs.
+Arithmetic is in double. A search meets a stated set of queries with all rows in blocks; the similarity join
+compares vectors of random-hyperplane buckets, never all pairs.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,15 +25,38 @@ def cosine(a: Column | str, b: Column | str) -> Column:
     return F.coalesce(dot(a, b) / F.nullif(norm(a) * norm(b), F.lit(0.0)), F.lit(0.0))
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The k nearest rows of each query by cosine; queries are a small stated set, checked before broadcast."""
-    asked = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    if asked.limit(1001).count() > 1000:
-        raise ValueError("this search takes at most 1,000 queries; use the bit-sliced search for more")
-    pairs = vectors.join(F.broadcast(asked), F.col("vec_id") != F.col("query_id"))
-    scored = pairs.select("query_id", "vec_id", F.round(cosine("q", "embedding"), 6).alias("score"))
+def _block_best(k: int):
+    def task(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows) or not len(queries):
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+        a, q = np.stack(rows.embedding.to_numpy()).astype(np.float64), np.stack(queries.embedding.to_numpy()).astype(np.float64)
+        long = np.outer(np.sqrt((q * q).sum(1)), np.sqrt((a * a).sum(1)))
+        score = np.divide(q @ a.T, long, out=np.zeros_like(long), where=long > 0)
+        ids, asked = rows.vec_id.to_numpy(), queries.vec_id.to_numpy()
+        score = np.where(asked[:, None] == ids[None, :], -np.inf, np.round(score, 6))
+        out = []
+        for i, own in enumerate(score):
+            best = np.lexsort((ids, -own))[:k]
+            best = best[np.isfinite(own[best])]
+            out.append(pd.DataFrame({"query_id": asked[i], "vec_id": ids[best], "score": own[best]}))
+        return pd.concat(out)
+
+    return task
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int, block: int = 4096) -> DataFrame:
+    """The k nearest rows of each query by cosine, ties to the smaller id; any number of queries.
+
+    Rows and queries are dealt into blocks by a hash; a block pair is one matrix product and gives its own k best.
+    """
+    rows, asked = vectors.select("vec_id", "embedding").filter("embedding IS NOT NULL"), queries.select("vec_id", "embedding").filter("embedding IS NOT NULL")
+    n, m = max(1, -(-rows.count() // block)), max(1, -(-asked.count() // block))
+    each = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
+    a = rows.withColumn("rb", F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(n)).cast("int")).withColumn("qb", each(m))
+    q = asked.withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(m)).cast("int")).withColumn("rb", each(n))
+    found = a.groupBy("rb", "qb").cogroup(q.groupBy("rb", "qb")).applyInPandas(_block_best(k), "query_id long, vec_id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def similar_pairs(vectors: DataFrame, least: float, planes: int = 4, tables: int = 24, seed: int = 7) -> DataFrame:

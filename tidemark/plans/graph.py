@@ -60,13 +60,13 @@ query(
     lambda s, d: edges(s, d).join(nodes(s, d).select(F.col("id").alias("source"), F.col("kind").alias("from_kind")), "source").join(nodes(s, d).select(F.col("id").alias("target"), F.col("kind").alias("to_kind")), "target").groupBy("kind", "from_kind", "to_kind").agg(F.count("*").alias("n")),
     f"{WITH} SELECT e.kind, a.kind AS from_kind, b.kind AS to_kind, count(*) AS n FROM e JOIN n a ON a.id = source JOIN n b ON b.id = target GROUP BY 1, 2, 3",
 )
-_some = lambda s, d: nodes(s, d).filter("kind != 'Nation' OR id < 'n2'")
-query("d02_dangling_edges", lambda s, d: G.dangling_edges(edges(s, d), _some(s, d)).select("source", "target"), f"{WITH} SELECT source, target FROM e WHERE source NOT IN (SELECT id FROM n WHERE kind <> 'Nation' OR id < 'n2') OR target NOT IN (SELECT id FROM n WHERE kind <> 'Nation' OR id < 'n2')")
-query("d02_complete_edges", lambda s, d: G.complete_edges(edges(s, d), _some(s, d)).select("source", "target"), f"{WITH}, m AS (SELECT id FROM n WHERE kind <> 'Nation' OR id < 'n2') SELECT source, target FROM e WHERE source IN (SELECT id FROM m) AND target IN (SELECT id FROM m)")
+_some = lambda s, d: nodes(s, d).filter("kind != 'Nation' OR label < 'J'")
+query("d02_dangling_edges", lambda s, d: G.dangling_edges(edges(s, d), _some(s, d)).select("source", "target"), f"{WITH} SELECT source, target FROM e WHERE source NOT IN (SELECT id FROM n WHERE kind <> 'Nation' OR label < 'J') OR target NOT IN (SELECT id FROM n WHERE kind <> 'Nation' OR label < 'J')")
+query("d02_complete_edges", lambda s, d: G.complete_edges(edges(s, d), _some(s, d)).select("source", "target"), f"{WITH}, m AS (SELECT id FROM n WHERE kind <> 'Nation' OR label < 'J') SELECT source, target FROM e WHERE source IN (SELECT id FROM m) AND target IN (SELECT id FROM m)")
 query(
     "d03_cascade_delete",
-    lambda s, d: G.updated(nodes(s, d), edges(s, d), nodes(s, d).limit(0), nodes(s, d).filter("kind = 'Nation' AND id >= 'n2'"))[1].groupBy("kind").agg(F.count("*").alias("n")),
-    f"{WITH}, g AS (SELECT id FROM n WHERE kind = 'Nation' AND id >= 'n2') SELECT kind, count(*) AS n FROM e WHERE source NOT IN (SELECT id FROM g) AND target NOT IN (SELECT id FROM g) GROUP BY 1",
+    lambda s, d: G.updated(nodes(s, d), edges(s, d), nodes(s, d).limit(0), nodes(s, d).filter("kind = 'Nation' AND label >= 'J'"))[1].groupBy("kind").agg(F.count("*").alias("n")),
+    f"{WITH}, g AS (SELECT id FROM n WHERE kind = 'Nation' AND label >= 'J') SELECT kind, count(*) AS n FROM e WHERE source NOT IN (SELECT id FROM g) AND target NOT IN (SELECT id FROM g) GROUP BY 1",
 )
 query(
     "g01_merged_nodes",

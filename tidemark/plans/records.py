@@ -51,20 +51,20 @@ query(
 )
 query(
     "d04_append_and_delete",
-    lambda s, d: _nation(s, d).select("n_nationkey").unionAll(_nation(s, d).select("n_nationkey").filter("n_nationkey < 5")).join(_nation(s, d).filter("n_nationkey % 3 = 0").select("n_nationkey"), "n_nationkey", "left_anti"),
-    "SELECT n_nationkey FROM (SELECT n_nationkey FROM nation UNION ALL SELECT n_nationkey FROM nation WHERE n_nationkey < 5) WHERE n_nationkey % 3 <> 0",
+    lambda s, d: _cust(s, d).select("c_custkey").unionAll(_cust(s, d).filter("c_mktsegment = 'BUILDING'").select("c_custkey")).join(_cust(s, d).filter("c_acctbal < 0").select("c_custkey"), "c_custkey", "left_anti"),
+    "SELECT c_custkey FROM (SELECT c_custkey FROM customer UNION ALL SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') WHERE c_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)",
 )
 query(
     "d12_document_entity_index",
     lambda s, d: R.both_indexes(_line(s, d), "l_orderkey", "l_suppkey")[0].withColumnRenamed("l_orderkey", "id").withColumn("side", F.lit("document")).unionByName(R.both_indexes(_line(s, d), "l_orderkey", "l_suppkey")[1].withColumnRenamed("l_suppkey", "id").withColumn("side", F.lit("entity"))),
     "SELECT l_orderkey AS id, count(DISTINCT l_suppkey) AS n, 'document' AS side FROM lineitem GROUP BY 1 UNION ALL SELECT l_suppkey, count(DISTINCT l_orderkey), 'entity' FROM lineitem GROUP BY 1",
 )
-query("d13_entities_of_document", lambda s, d: _line(s, d).filter("l_orderkey = 7").select("l_partkey").distinct(), "SELECT DISTINCT l_partkey FROM lineitem WHERE l_orderkey = 7")
-query("d14_documents_of_entity", lambda s, d: _line(s, d).filter("l_partkey = 7").select("l_orderkey").distinct().withColumn("score", F.lit(1.0)), "SELECT DISTINCT l_orderkey, 1.0::DOUBLE AS score FROM lineitem WHERE l_partkey = 7")
+query("d13_entities_of_documents", lambda s, d: _line(s, d).groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_set("l_partkey")), ",").alias("entities")), "SELECT l_orderkey, array_to_string(list_sort(list(DISTINCT l_partkey)), ',') AS entities FROM lineitem GROUP BY 1")
+query("d14_documents_of_entities", lambda s, d: _line(s, d).select("l_partkey", "l_orderkey").distinct().withColumn("score", F.lit(1.0)), "SELECT DISTINCT l_partkey, l_orderkey, 1.0::DOUBLE AS score FROM lineitem")
 query(
     "d17_graph_and_vector_documents",
-    lambda s, d: S.merged_scores(_line(s, d).filter("l_suppkey < 5").select(F.col("l_orderkey").alias("id"), F.lit(0.9).alias("score")), _orders(s, d).orderBy(F.desc("o_totalprice"), "o_orderkey").limit(20).select(F.col("o_orderkey").alias("id"), (F.row_number().over(Window.orderBy(F.desc("o_totalprice"), "o_orderkey")) - 1).alias("i"), F.lit(20).alias("n")), "id"),
-    "SELECT id, round(coalesce(g * 0.7::DOUBLE, 0) + coalesce((1 - i / 20) * 0.3::DOUBLE, 0), 6) AS score FROM (SELECT l_orderkey AS id, max(0.9::DOUBLE) AS g FROM lineitem WHERE l_suppkey < 5 GROUP BY 1) FULL JOIN (SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS i FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20) USING (id)",
+    lambda s, d: S.merged_scores(_line(s, d).filter("l_discount >= 0.1").select(F.col("l_orderkey").alias("id"), F.lit(0.9).alias("score")), _orders(s, d).orderBy(F.desc("o_totalprice"), "o_orderkey").limit(20).select(F.col("o_orderkey").alias("id"), (F.row_number().over(Window.orderBy(F.desc("o_totalprice"), "o_orderkey")) - 1).alias("i"), F.lit(20).alias("n")), "id"),
+    "SELECT id, round(coalesce(g * 0.7::DOUBLE, 0) + coalesce((1 - i / 20) * 0.3::DOUBLE, 0), 6) AS score FROM (SELECT l_orderkey AS id, max(0.9::DOUBLE) AS g FROM lineitem WHERE l_discount >= 0.1 GROUP BY 1) FULL JOIN (SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS i FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20) USING (id)",
 )
 
 
@@ -125,7 +125,7 @@ query(
 )
 query("h27_document_metadata", lambda s, d: _docs(s, d).select("doc_id", F.length("text").alias("chars"), F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("words"), F.size(F.split("text", "\n")).alias("lines")), r"SELECT doc_id, CAST(length(text) AS INTEGER) AS chars, CAST(len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS INTEGER) AS words, CAST(len(string_split(text, chr(10))) AS INTEGER) AS lines FROM documents")
 query("h47_fusion_confidence", lambda s, d: t("embeddings")(s, d).alias("a").join(t("embeddings")(s, d).select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b")), "vec_id").select("vec_id", F.round((V.cosine("embedding", "b") + 1.0) / 2, 6).alias("confidence")), "SELECT a.vec_id, round((list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) + 1.0) / 2, 6) AS confidence FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
-query("h48_cross_modal_top_k", lambda s, d: V.top_k(t("embeddings")(s, d), t("embeddings")(s, d).filter("vec_id IN (3, 5)"), 8).join(t("embeddings")(s, d).select("vec_id", "label"), "vec_id").select("query_id", "vec_id", F.round(F.col("score") * F.when(F.col("label") % 2 == 0, 0.9).otherwise(1.0), 6).alias("score")), "WITH p AS (SELECT q.vec_id AS query_id, v.vec_id, v.label, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score FROM embeddings q JOIN embeddings v ON q.vec_id IN (3, 5) AND q.vec_id <> v.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) SELECT query_id, vec_id, round(score * CASE WHEN label % 2 = 0 THEN 0.9::DOUBLE ELSE 1.0::DOUBLE END, 6) AS score FROM r WHERE rank <= 8")
+query("h48_cross_modal_top_k", lambda s, d: V.top_k(t("embeddings")(s, d), t("embeddings")(s, d).filter("vec_id % 20 = 0"), 8).join(t("embeddings")(s, d).select("vec_id", "label"), "vec_id").select("query_id", "vec_id", F.round(F.col("score") * F.when(F.col("label") % 2 == 0, 0.9).otherwise(1.0), 9).alias("score")), "WITH p AS (SELECT q.vec_id AS query_id, v.vec_id, v.label, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score FROM embeddings q JOIN embeddings v ON q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) SELECT query_id, vec_id, round(score * CASE WHEN label % 2 = 0 THEN 0.9::DOUBLE ELSE 1.0::DOUBLE END, 9) AS score FROM r WHERE rank <= 8")
 query("h53_valid_entities", lambda s, d: _cust(s, d).select("c_custkey", ((F.col("c_name") != "") & (F.col("c_acctbal") > 0)).alias("valid")).groupBy("valid").agg(F.count("*").alias("n")), "SELECT c_name <> '' AND c_acctbal > 0 AS valid, count(*) AS n FROM customer GROUP BY 1")
 query("h54_valid_edges", lambda s, d: PG.edges(s, d).join(PG.nodes(s, d).select(F.col("id").alias("target"), F.col("kind").alias("range")), "target").groupBy("kind", (F.col("range") == "Nation").alias("valid")).agg(F.count("*").alias("n")), f"{PG.WITH} SELECT e.kind, n.kind = 'Nation' AS valid, count(*) AS n FROM e JOIN n ON n.id = target GROUP BY 1, 2")
 query("h55_type_suggestions", lambda s, d: _part(s, d).select("p_partkey", F.round(R.type_suggestions((F.col("p_size") % 3) / 2, (F.col("p_size") % 5) / 4), 6).alias("score")), "SELECT p_partkey, round(0.7::DOUBLE * ((p_size % 3) / 2) + 0.3::DOUBLE * ((p_size % 5) / 4), 6) AS score FROM part")

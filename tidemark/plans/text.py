@@ -76,7 +76,7 @@ query(
 _column("h11_normalised", "documents", "doc_id", lambda: F.md5(T.normalised(_text())), r"md5(trim(regexp_replace(lower(text), '\s+', ' ', 'g'), ' '))")
 _column("h12_expanded", "documents", "doc_id", lambda: F.length(T.expanded(_text(), {"the": "THE one"})), "CAST(length(replace(replace(replace(replace(replace(replace(text, 'Dr.', 'Doctor'), 'Mr.', 'Mister'), 'Prof.', 'Professor'), 'e.g.', 'for example'), 'etc.', 'et cetera'), 'the', 'THE one')) AS INTEGER)")
 query("h20_cache_key", lambda spark, sf: table(spark, sf, "conversations").select("conv_id", "turn", T.cache_key(_text(), F.col("role"), "rate=1").alias("key")), r"SELECT conv_id, turn, md5(trim(regexp_replace(lower(text), '\s+', ' ', 'g'), ' ') || '|' || role || '|rate=1') AS key FROM conversations")
-_column("h23_invoice_number", "documents", "doc_id", lambda: T.first_match(F.concat(F.lit("x Invoice Number: ABC-"), F.col("doc_id"), F.lit(" "), F.substring("text", 1, 50)), T.INVOICE), "regexp_extract('x Invoice Number: ABC-' || doc_id || ' ' || substr(text, 1, 50), '(?i)Invoice\\s*(?:number|no)\\.?:?\\s*([A-Za-z0-9][-A-Za-z0-9/]{3,20})', 1)")
+_column("h23_invoice_number", "documents", "doc_id", lambda: T.first_match(F.concat(F.lit("x Invoice Number: ABC-"), F.col("doc_id"), F.lit(" "), "text"), T.INVOICE), "regexp_extract('x Invoice Number: ABC-' || doc_id || ' ' || text, '(?i)Invoice\\s*(?:number|no)\\.?:?\\s*([A-Za-z0-9][-A-Za-z0-9/]{3,20})', 1)")
 _column("h24_vat_number", "orders", "o_orderkey", lambda: T.first_match(F.concat(F.lit("VAT ID: DE"), F.lpad(F.col("o_orderkey").cast("string"), 9, "0"), F.lit("!")), T.VAT), "'DE' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0')")
 def _contains(word: str) -> str:
     quoted = word.replace("'", "''")
@@ -93,19 +93,19 @@ query(
 _column("h29_text_confidence", "documents", "doc_id", lambda: T.text_confidence(_text(), 5000), "(CASE WHEN trim(text, ' ') <> '' THEN 4 ELSE 0 END + CASE WHEN length(text) BETWEEN 10 AND 5000 THEN 3 ELSE 0 END + CASE WHEN contains(text, '.') THEN 3 ELSE 0 END) / 10")
 
 
-def _against_items(spark, sf, score):
-    """Each benchmark item against the document with its number: an equi-join."""
-    items = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("reference"))
-    return table(spark, sf, "documents").join(items, F.col("doc_id") == F.col("item_id")).select("doc_id", score.alias("s"))
+def _against_next(spark, sf, score):
+    """Each document against the one with the next number: an equi-join."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return docs.join(docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("reference")), "doc_id").select("doc_id", score.alias("s"))
 
 
-query("h33_token_jaccard", lambda spark, sf: _against_items(spark, sf, F.round(T.token_jaccard(_text(), F.col("reference")), 6)).withColumnRenamed("s", "jaccard"))
+query("h33_token_jaccard", lambda spark, sf: _against_next(spark, sf, F.round(T.token_jaccard(_text(), F.col("reference")), 6)).withColumnRenamed("s", "jaccard"))
 _words = lambda c: rf"list_filter(list_distinct(regexp_split_to_array(lower({c}), '\s+')), lambda w: w <> '')"
-_joined = "FROM documents d JOIN benchmark b ON doc_id = item_id"
+_joined = "FROM documents d JOIN documents b ON b.doc_id = d.doc_id + 1"
 query(
     "h38_lexical_quality",
-    lambda spark, sf: _against_items(spark, sf, T.lexical_quality(_text(), F.col("reference"))).select("doc_id", "s.*"),
-    f"""WITH w AS (SELECT doc_id, {_words('d.text')} AS a, {_words('b.text')} AS b {_joined}), q AS (SELECT doc_id, len(list_intersect(a, b)) / greatest(1, len(a)) AS p, len(list_intersect(a, b)) / greatest(1, len(b)) AS r FROM w)
+    lambda spark, sf: _against_next(spark, sf, T.lexical_quality(_text(), F.col("reference"))).select("doc_id", "s.*"),
+    f"""WITH w AS (SELECT d.doc_id, {_words('d.text')} AS a, {_words('b.text')} AS b {_joined}), q AS (SELECT doc_id, len(list_intersect(a, b)) / greatest(1, len(a)) AS p, len(list_intersect(a, b)) / greatest(1, len(b)) AS r FROM w)
     SELECT doc_id, round(p, 6) AS precision, round(r, 6) AS recall, round(2 * p * r / greatest(0.001, p + r), 6) AS f1 FROM q""",
 )
 query("h31_edit_distance", lambda spark, sf: table(spark, sf, "part").select("p_partkey", F.levenshtein("p_name", "p_type").alias("distance")), "SELECT p_partkey, CAST(levenshtein(p_name, p_type) AS INTEGER) AS distance FROM part")
