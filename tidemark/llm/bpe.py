@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 SPACE = r"[\t-\r \x85\xa0  -     　]"
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|(?:(?!{SPACE})[^\p{{L}}\p{{N}}])+"
 #: Distinct words of a generation that a worker remembers, and their characters.
-MOST_WORDS, MOST_CHARACTERS = 400_000, 8_000_000
+MOST_WORDS, MOST_CHARACTERS = 120_000, 2_000_000
 
 #: The same pattern for texts without any other character than these, and what shows that there is one.
 _LATIN = re.compile(r"[a-zß-öø-ÿ]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\t-\r a-zß-öø-ÿ0-9]+")
@@ -172,7 +172,7 @@ class SpeculativeBpe:
     def learn(self, words: list[str]) -> int:
         """Encode distinct new words; returns how many had to be merged exactly."""
         self.held += sum(map(len, words))
-        if len(self.pairs) > 2 * MOST_WORDS:
+        if len(self.pairs) > 3 * MOST_WORDS:
             self.pairs.clear()
         texts = [self.characters(w) for w in words]
         proposed = [self.greedy(t) for t in texts]
@@ -264,7 +264,7 @@ def encode_columns(path: str, outputs: tuple[str, ...]):
                 for ids, tokens in bpe.encode_batch([x if isinstance(x, str) else None for x in batch.iloc[at : at + CHUNK]]):
                     made = {"n_tokens": ids.count(" ") + 1 if ids else 0, "decoded": tokens}
                     if "ids" in outputs:
-                        made["ids"] = [int(i) for i in ids.split()]
+                        made["ids"] = np.fromstring(ids, dtype=np.int32, sep=" ")  # four bytes an id, a batch holds thousands of texts
                     if "ids_sha256" in outputs:
                         made["ids_sha256"] = hashlib.sha256(ids.encode()).hexdigest()
                     if "decoded_sha256" in outputs:
