@@ -94,7 +94,8 @@ def labelled(docs: DataFrame, labels: DataFrame, most_rows: int) -> DataFrame:
     """(text, toxic) of at most so many labelled documents, least keyed hash first, none of them held out."""
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
-    return docs.select("doc_id", "text").join(some, "doc_id").dropDuplicates(["doc_id"]).select("text", "toxic")
+    # The sample has at most ``most_rows`` narrow rows, so the texts stay where they are.
+    return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"]).select("text", "toxic")
 
 
 def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
