@@ -40,14 +40,21 @@ def hilbert_index(axes: Column, bits: int, dims: int) -> Column:
         swap = first.bitwiseXOR(own).bitwiseAND(p)
         return F.when(own.bitwiseAND(s["q"]) != 0, set_at(x, s["d"], own, inverted)).otherwise(set_at(x, s["d"], own.bitwiseXOR(swap), first.bitwiseXOR(swap)))
 
-    undone = F.aggregate(steps, axes, step)
+    def bound(value: Column, body) -> Column:
+        """body(value) with the value computed once."""
+        return F.get(F.transform(F.array(value), body), F.lit(0))
+
     # Gray encoding: each axis takes the exclusive or of those before it, then the last axis's excess is spread.
-    encoded = F.aggregate(undone, F.array().cast("array<int>"), lambda done, v: F.concat(done, F.array(F.when(F.size(done) == 0, v).otherwise(v.bitwiseXOR(F.element_at(done, -1))))))
+    encoded = F.aggregate(F.aggregate(steps, axes, step), F.array().cast("array<int>"), lambda done, v: F.concat(done, F.array(F.when(F.size(done) == 0, v).otherwise(v.bitwiseXOR(F.element_at(done, -1))))))
     powers = F.array(*[F.lit(1 << b) for b in range(bits - 1, 0, -1)])
-    spread = F.aggregate(powers, F.lit(0), lambda t, q: F.when(F.element_at(encoded, -1).bitwiseAND(q) != 0, t.bitwiseXOR(q - 1)).otherwise(t))
-    transposed = F.transform(encoded, lambda v: v.bitwiseXOR(spread))
+
+    def transposed(e: Column) -> Column:
+        spread = F.aggregate(powers, F.lit(0), lambda t, q: F.when(F.element_at(e, -1).bitwiseAND(q) != 0, t.bitwiseXOR(q - 1)).otherwise(t))
+        return bound(spread, lambda t: F.transform(e, lambda v: v.bitwiseXOR(t)))
+
     places = F.array(*[F.struct(F.lit(b).alias("b"), F.lit(d).alias("d")) for b in range(bits - 1, -1, -1) for d in range(dims)])
-    return F.aggregate(places, F.lit(0).cast("long"), lambda h, s: h * 2 + F.when(F.get(transposed, s["d"]).bitwiseAND(F.call_function("shiftleft", F.lit(1), s["b"])) != 0, 1).otherwise(0))
+    interleaved = lambda x: F.aggregate(places, F.lit(0).cast("long"), lambda h, s: h * 2 + F.when(F.get(x, s["d"]).bitwiseAND(F.call_function("shiftleft", F.lit(1), s["b"])) != 0, 1).otherwise(0))
+    return bound(bound(encoded, transposed), interleaved)
 
 
 def curve_table(spark: SparkSession, bits: int, dims: int) -> DataFrame:
