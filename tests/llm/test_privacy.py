@@ -41,6 +41,24 @@ def test_formats(spark):
     assert re.search(r"call \+1 \(3\d\d\) \d{3}-\d{4}, host (\d{1,3}\.){3}\d{1,3}\. SSN \d{3}-\d\d-\d{4}$", out)
 
 
+def test_secrets_after_names_of_any_case(spark):
+    heads = ["TOKEN = \"", "PASSWORD=", "Password: ", "API_KEY=", "ApiKey = ", "Secret=", "PWD: ", "token = \"", "password="]
+    values = ["9233A8ECF7C5B09FE5949719B6B82BC439E9329B", "hunTER_aceg", "aBcdEfgh", "0f9e8d7c6b5a"]
+    texts = [h + v for h in heads for v in values]
+    out = one(spark, *texts)
+    for (h, v), t in zip([(h, v) for h in heads for v in values], out, strict=True):
+        assert t.startswith(h) and t != h + v
+        assert re.fullmatch("[0-9A-F]{40}" if v == values[0] else "[0-9a-f]{12}" if v == values[3] else "[a-z]{3}[A-Z]{3}_[a-z]{4}|[a-z][A-Z][a-z]{2}[A-Z][a-z]{3}", t[len(h) :])
+    # One value has one surrogate, whatever stands before it.
+    assert len({t[len(h) :] for (h, v), t in zip([(h, v) for h in heads for v in values], out, strict=True)}) == len(values)
+
+
+def test_upper_case_secrets_of_a_document(spark):
+    docs = table(spark, "/root/testdata/sf0.1", "documents").filter("doc_id IN (2514, 8743)")
+    texts = [r["text"] for r in anonymised(docs, "k").collect()]
+    assert len(texts) == 2 and not any("9233A8ECF7C5B09FE5949719B6B82BC439E9329B" in t for t in texts)
+
+
 def test_names_keep_gender_script_and_coreference(spark):
     out = one(spark, "Mrs. Mary Smith met Mr. Smith and John Smith.", "Госпожа Анна Петрова пришла", "Frau Schulz")
     m = re.fullmatch(r"Mrs\. (\w+) (\w+) met Mr\. (\w+) and (\w+) (\w+)\.", out[0])

@@ -1,7 +1,7 @@
 """Surrogates for personal data (operator 10, native).
 
 Entities are found by patterns: e-mail and IPv4 addresses, phone, card and social security numbers, IBANs, access
-keys, values after a password-like name, and names after a title or with a known first name. Each gets a
+keys, values after a password-like name in any case, and names after a title or with a known first name. Each gets a
 surrogate of its type, derived from a keyed digest of its canonical form: letters become letters of the same case
 and script, digits become digits, signs stay; cards keep their issuer digit and their check-sum state, phones
 their country code, addresses stay addresses, hexadecimal stays hexadecimal. A known first name becomes another of the
@@ -39,7 +39,7 @@ _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: Types in the order in which a place of the text is tried.
 PATTERNS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "secret": r"(?:password|passwd|pwd|token|secret|api_?key) {0,2}[=:] {0,2}[\"']?[A-Za-z0-9+/_-]{8,}",
+    "secret": r"(?i:password|passwd|pwd|token|secret|api_?key) {0,2}[=:] {0,2}[\"']?[A-Za-z0-9+/_-]{8,}",
     "key": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "phone": r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9-])[0-9]{3}[-.][0-9]{3}[-.][0-9]{4}(?![0-9-])",
@@ -50,9 +50,9 @@ PATTERNS = {
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: One of these is in every text with an entity; they are quick to rule out.
-SIGNS = (r"[0-9@]|A[KS]IA", r"(?:passw|pwd|token|secret|api_?key)[a-z]{0,4} {0,2}[=:]", rf"(?=[A-ZА-ЯЁ])\b(?:{'|'.join(TITLES_M + TITLES_F + sum(FIRST.values(), []))})\.? ")
+SIGNS = (r"[0-9@]|A[KS]IA", r"(?i:(?:passw|pwd|token|secret|api_?key)[a-z]{0,4}) {0,2}[=:]", rf"(?=[A-ZА-ЯЁ])\b(?:{'|'.join(TITLES_M + TITLES_F + sum(FIRST.values(), []))})\.? ")
 #: What stands before a secret's value in its match.
-SECRET_HEAD = r"^([a-z_]+ {0,2}[=:] {0,2}[\"']?)"
+SECRET_HEAD = r"^([A-Za-z_]+ {0,2}[=:] {0,2}[\"']?)"
 #: Characters of the stream that a digit or letter takes.
 _WIDE = 4
 
@@ -97,6 +97,7 @@ def _character(kind: Column, hexadecimal: Column, keep: Column, c: Column, i: Co
     draw = lambda n: _draw(stream, i, n)
     out = F.when(keep, c).when(c.rlike("[0-9]"), draw(10).cast("string"))
     out = out.when(hexadecimal & c.rlike("[a-f]"), _letter("a", 6, draw))
+    out = out.when(hexadecimal & c.rlike("[A-F]"), _letter("A", 6, draw))
     for pattern, base, n in (("[a-z]", "a", 26), ("[A-Z]", "A", 26), ("[а-яё]", "а", 32), ("[А-ЯЁ]", "А", 32)):
         out = out.when(c.rlike(pattern), _letter(base, n, draw))
     out = out.when(c.rlike("[à-öø-ÿ]"), _letter("a", 26, draw)).when(c.rlike("[À-ÖØ-Þ]"), _letter("A", 26, draw))
@@ -123,7 +124,7 @@ def surrogate(key: str, kind: Column, value: Column, turn: Column) -> Column:
         country = F.when(F.length(value) > 10, F.length(value) - 10).otherwise(0)  # a phone's country code and first area digit stay
         return F.when(kind == "phone", i <= country).when(kind == "card", i == 0).when(kind == "key", i < 4).when(kind == "iban", i < 2).otherwise(F.lit(False))
 
-    hexadecimal = (kind == "secret") & value.rlike("^[0-9a-f]+$")
+    hexadecimal = (kind == "secret") & value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")
     woman = kind == "surname_f"
 
     def drawn(stream: Column) -> Column:
