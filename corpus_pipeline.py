@@ -5,7 +5,7 @@ stays), surrogates for personal data, mixing of sources to target weights (no do
 small sources are repeated), and BPE tokens. Every stage but the last returns the columns of documents. The
 result of each is written as Parquet to the shared folder and read again as the next one's input.
 
-ORACLE_SQL is None: fingerprints, surrogates and BPE have no SQL form. The pipeline is tested against a
+ORACLE_SQL is None: shingle similarity, surrogates and BPE have no SQL form. The pipeline is tested against a
 brute-force version of its stages.
 """
 
@@ -14,7 +14,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, mixing, privacy, quality, simhash
+from tidemark.llm import bpe, mixing, neardup, privacy, quality
 from tidemark.llm.common import stored
 from tidemark.llm.queries import SURROGATE_KEY
 from tidemark.session import table
@@ -25,7 +25,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.deduplicated(docs)
+    return neardup.deduplicated(docs)
 
 
 def privacy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 STAGES = [
     ("quality rules", quality_stage),
-    ("SimHash near-dedup", near_dedup_stage),
+    ("near-dedup", near_dedup_stage),
     ("surrogates", privacy_stage),
     ("temperature mixing", mixing_stage),
     ("BPE tokens", tokens_stage),

@@ -44,23 +44,30 @@ _UPPERCASE = bytes(range(65, 91))
 _LOWER = bytes.maketrans(_UPPERCASE, _UPPERCASE.lower())
 
 
-def fingerprint(text: str | None, size: int = 3) -> int:
-    """SimHash of a whole text, in slices of 65,536 shingles at a time."""
+def shingle_hashes(text: str | None, size: int = 3) -> Iterator[np.ndarray]:
+    """XXH64 of a whole text's shingles, repeats included, in slices of 65,536; a text of fewer words is one shingle."""
     import xxhash
 
     words = _WORD.findall((text or "").encode("utf-8", "surrogatepass").translate(_LOWER))
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     size = min(size, len(words))
     first, last = starts[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist()
-    digest, total = xxhash.xxh64_intdigest, np.zeros(64, dtype=np.int64)
+    digest = xxhash.xxh64_intdigest
     for at in range(0, len(first), 65_536):
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(first[at : at + 65_536], last[at : at + 65_536], strict=True)], dtype="<u8")
+        yield np.array([digest(joined[a:b], SEED) for a, b in zip(first[at : at + 65_536], last[at : at + 65_536], strict=True)], dtype="<u8")
+
+
+def fingerprint(text: str | None, size: int = 3) -> int:
+    """SimHash of a whole text."""
+    total, n = np.zeros(64, dtype=np.int64), 0
+    for hashes in shingle_hashes(text, size):
         total += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = (2 * total > len(first)).astype(np.uint8)
+        n += len(hashes)
+    bits = (2 * total > n).astype(np.uint8)
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
@@ -274,10 +281,14 @@ def coded(docs: DataFrame, keep: list[str]) -> DataFrame:
 def answers(codes: DataFrame) -> DataFrame:
     """(_code, _component): for each fingerprint the smallest doc_id reachable; codes(_id, _code)."""
     nodes = stored(codes.groupBy(F.col("_code").alias("code")).agg(F.min("_id").alias("low")), "nodes")
-    roots = components(links(nodes.select("code")))
-    rooted = stored(nodes.join(roots, "code", "left").select("code", F.coalesce("root", "code").alias("root"), "low"), "rooted")
-    least = rooted.groupBy("root").agg(F.min("low").alias("component"))
-    return rooted.join(least, "root").select(F.col("code").alias("_code"), F.col("component").alias("_component"))
+    return rooted(nodes, components(links(nodes.select("code"))))
+
+
+def rooted(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(_code, _component) from nodes(code, low) and their components."""
+    found = stored(nodes.join(roots, "code", "left").select("code", F.coalesce("root", "code").alias("root"), "low"), "rooted")
+    least = found.groupBy("root").agg(F.min("low").alias("component"))
+    return found.join(least, "root").select(F.col("code").alias("_code"), F.col("component").alias("_component"))
 
 
 def hex_code(code: Column) -> Column:
@@ -291,7 +302,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The document with the smallest doc_id of each component, with its own columns, once.
+    """The document with the smallest doc_id of each component, with its own columns, once."""
+    return first_of_each(docs, coded, lambda rows, box: answers(rows))
+
+
+def first_of_each(docs: DataFrame, coded, answers) -> DataFrame:
+    """The first document of each component, where ``coded`` gives rows a node and ``answers`` nodes a component.
 
     Rows that repeat that doc_id give way to the first of them by content; a component without any doc_id keeps
     one row, the first by content. The choice is made on narrow rows; texts move once, to meet it.
@@ -300,8 +316,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     sign = F.xxhash64(*[F.to_json(F.struct(c)) if "map<" in t else F.col(c) for c, t in docs.dtypes])
     rows = coded(docs.select(F.struct(*docs.columns).alias(box), sign.alias("_sign"), "doc_id", "text"), [box, "_sign"])
     narrow = rows.select("_id", "_code", "_sign")
-    kept = narrow.join(answers(narrow), "_code", "left").filter(F.col("_id").eqNullSafe(F.col("_component")))
-    group = F.coalesce(F.col("_id").cast("string"), F.concat(F.lit("code "), hex_code(F.col("_code"))))
+    kept = narrow.join(answers(rows, box), "_code", "left").filter(F.col("_id").eqNullSafe(F.col("_component")))
+    group = F.coalesce(F.col("_id").cast("string"), F.concat(F.lit("code "), F.col("_code").cast("string")))
     chosen = stored(kept.groupBy(group.alias("_group")).agg(F.min(F.struct("_sign", "_code")).alias("_first")).select("_first.*", F.col("_group")), "chosen")
     taken = rows.withColumn("_group", group).join(chosen, ["_group", "_code", "_sign"], "left_semi")
     # Rows equal in every column have one sign; where there are such, all but one go.
