@@ -70,3 +70,10 @@ def test_word_error_rate(spark):
 def test_stream_equals_batch(spark):
     stream, batch = (sorted(map(tuple, registry.queries()[n](spark, "/root/testdata/sf0.01").select("event_type", "event_id").collect())) for n in ("e11_streamed_cooldown", "e11_cooled_down_alerts"))
     assert stream == batch and len(batch) > 10
+
+
+def test_stream_of_part_files(spark, tmp_path):
+    table(spark, "/root/testdata/sf0.01", "events").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    for name in ("k01_streamed_windows", "k06_streamed_thresholds"):
+        parts, one = (sorted(map(tuple, registry.queries()[name](spark, d).collect())) for d in (str(tmp_path), "/root/testdata/sf0.01"))
+        assert parts == one and len(one) > 10

@@ -14,8 +14,11 @@ EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, valu
 
 
 def event_stream(spark: SparkSession, folder: str, name: str = "events.parquet", files: int = 10) -> DataFrame:
-    """New files of a folder as a stream; the watermark column is a timestamp with a zone."""
-    source = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files).option("pathGlobFilter", name).parquet(folder)
+    """New files of a table, one file or a folder of part files, as a stream; the watermark column is a timestamp with a zone."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    parts = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+    reader = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files)
+    source = reader.parquet(f"{folder}/{name}") if parts else reader.option("pathGlobFilter", name).parquet(folder)
     return source.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
