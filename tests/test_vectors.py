@@ -18,6 +18,15 @@ def test_similar_pairs_recall(spark):
     assert got <= want and len(got) >= 0.9 * len(want)
 
 
+@pytest.mark.parametrize("block", [64, 2048])
+def test_similar_pairs_are_all_found(spark, block):
+    vectors = table(spark, "/root/testdata/sf0.01", "embeddings").filter("vec_id < 200")
+    rows = [(r["vec_id"], r["label"], r["embedding"]) for r in vectors.collect()]
+    want = {(a, b) for a, la, x in rows for b, lb, y in rows if a < b and la != lb and round(cosine(x, y), 6) >= 0.1}
+    got = [(r["a"], r["b"]) for r in V.similar_pairs(vectors, 0.1, block=block).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_cosine_edge_cases(spark):
     df = spark.createDataFrame([([1.0, 0.0], [1.0, 0.0]), ([0.0, 0.0], [1.0, 0.0]), (None, [1.0, 0.0])], "a array<double>, b array<double>")
     assert [r[0] for r in df.select(V.cosine("a", "b")).collect()] == [1.0, 0.0, 0.0]

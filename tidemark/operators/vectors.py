@@ -1,7 +1,7 @@
 """Vector operators: cosine, top-k, similarity joins by label blocks, late interaction, fusion.
 
 Arithmetic is in double. A search meets a stated set of queries with all rows in blocks; the similarity join
-compares vectors of random-hyperplane buckets, never all pairs.
+meets each pair of row blocks once.
 """
 
 from __future__ import annotations
@@ -59,25 +59,34 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, block: int = 4096) ->
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def similar_pairs(vectors: DataFrame, least: float, planes: int = 4, tables: int = 24, seed: int = 7) -> DataFrame:
-    """Pairs of different labels with a cosine of at least ``least``.
+def _block_pairs(least: float):
+    def task(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": [], "b": [], "score": []}).astype({"a": "int64", "b": "int64", "score": "float64"})
+        x, y = np.stack(left.embedding.to_numpy()).astype(np.float64), np.stack(right.embedding.to_numpy()).astype(np.float64)
+        long = np.outer(np.sqrt((x * x).sum(1)), np.sqrt((y * y).sum(1)))
+        score = np.round(np.divide(x @ y.T, long, out=np.zeros_like(long), where=long > 0), 6)
+        u, v = left.vec_id.to_numpy(), right.vec_id.to_numpy()
+        own = left.i.iloc[0] == left.j.iloc[0]
+        keep = (score >= least) & (left.label.to_numpy()[:, None] != right.label.to_numpy()[None, :])
+        p, q = np.nonzero(keep & ((u[:, None] < v[None, :]) if own else True))
+        return pd.DataFrame({"a": np.minimum(u[p], v[q]), "b": np.maximum(u[p], v[q]), "score": score[p, q]})
 
-    A vector is dealt to one bucket in each of ``tables`` tables by the signs of ``planes`` hyperplanes; only
-    vectors of a bucket meet. A pair of angle t shares one with chance 1 - (1 - (1 - t / pi) ** planes) ** tables.
+    return task
+
+
+def similar_pairs(vectors: DataFrame, least: float, block: int = 2048) -> DataFrame:
+    """All pairs of different labels with a cosine of at least ``least``.
+
+    Rows are dealt into blocks by a hash; each pair of blocks is one matrix product, and only pairs that reach the limit
+    leave the task. Rows without an id, label or vector are in no pair.
     """
-    import random
-
-    rnd = random.Random(seed)
-    dims = vectors.select(F.max(F.size("embedding"))).first()[0] or 1
-    keyed = []
-    for t in range(tables):
-        bits = [F.when(dot("embedding", F.array(*[F.lit(rnd.gauss(0, 1)) for _ in range(dims)])) > 0, 1 << p).otherwise(0) for p in range(planes)]
-        keyed.append(F.struct(F.lit(t).alias("t"), sum(bits[1:], bits[0]).alias("b")))
-    dealt = vectors.select("vec_id", "label", "embedding", F.explode(F.array(*keyed)).alias("key"))
-    a = dealt.select(F.col("vec_id").alias("a"), F.col("label").alias("la"), F.col("embedding").alias("ea"), "key")
-    b = dealt.select(F.col("vec_id").alias("b"), F.col("label").alias("lb"), F.col("embedding").alias("eb"), "key")
-    score = F.round(cosine("ea", "eb"), 6)
-    return a.join(b, "key").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb"))).select("a", "b", score.alias("score")).filter(F.col("score") >= least).distinct()
+    rows = vectors.select("vec_id", "label", "embedding").dropna()
+    n = max(1, -(-rows.count() // block))
+    own = rows.withColumn("at", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int"))
+    left = own.withColumn("i", F.col("at")).withColumn("j", F.explode(F.sequence("at", F.lit(n - 1))))
+    right = own.withColumn("j", F.col("at")).withColumn("i", F.explode(F.sequence(F.lit(0), "at")))
+    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(_block_pairs(least), "a long, b long, score double").distinct()
 
 
 def parts(v: Column | str, n: int, width: int) -> Column:

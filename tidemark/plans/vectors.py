@@ -29,4 +29,8 @@ query(
     lambda s, d: _e(s, d).join(_e(s, d).select((F.col("vec_id") - 2).alias("vec_id"), F.col("embedding").alias("other")), "vec_id").select("vec_id", F.round(V.document_similarity("embedding", "other", 4, 16), 6).alias("similarity")),
 )
 query("h45_late_fusion", lambda s, d: _e(s, d).join(_e(s, d).select((F.col("vec_id") - 3).alias("vec_id"), F.col("embedding").alias("other")), "vec_id").select("vec_id", F.transform(V.late_fusion("embedding", "other"), lambda x: F.round(x, 6)).alias("fused")))
-query("d06_similar_pairs", lambda s, d: V.similar_pairs(_e(s, d), 0.7))
+query(
+    "d06_similar_pairs",
+    lambda s, d: V.similar_pairs(_e(s, d), 0.7),
+    f"SELECT * FROM (SELECT a.vec_id AS a, b.vec_id AS b, round({_COS.format(a='a.embedding', b='b.embedding')}, 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND a.label <> b.label) WHERE score >= 0.7",
+)
