@@ -15,12 +15,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
 """
 
-_GAMMA = f"CAST({(1 + quality.ALPHA) / (1 - quality.ALPHA)!r} AS DOUBLE)"
-_FLOOR = "CASE measure " + " ".join(f"WHEN '{k}' THEN {v[0]!r}::DOUBLE" for k, v in quality.MEASURES.items()) + " END"
-_FACTOR = "CASE measure " + " ".join(f"WHEN '{k}' THEN {v[1]!r}::DOUBLE" for k, v in quality.MEASURES.items()) + " END"
-_QUANTILES = ", ".join(f"min(bucket) FILTER (WHERE seen > floor({p} * (n - 1))) AS b{i}" for i, p in enumerate((0.25, 0.5, 0.75)))
-_VALUES = ", ".join(f"CASE WHEN b{i} = -1000000 THEN 0.0::DOUBLE ELSE pow({_GAMMA}, b{i}) * CAST({2 / (1 + (1 + quality.ALPHA) / (1 - quality.ALPHA))!r} AS DOUBLE) END AS q{i}" for i in range(3))
-_PICKED = ", ".join(f"CASE WHEN o.n >= 100 THEN o.q{i} WHEN g.n >= 100 THEN g.q{i} ELSE a.q{i} END AS q{i}" for i in range(3))
+_QUARTILES = ", ".join(f"CAST(min(bucket) FILTER (WHERE seen > floor({p} * (n - 1))) AS DOUBLE) AS q{i}" for i, p in enumerate((0.25, 0.75)))
+_DRAWN = ", ".join(f"(o.n * o.q{i} + 100 * ((g.n * g.q{i} + 100 * a.q{i}) / (g.n + 100))) / (o.n + 100) AS q{i}" for i in range(2))
 
 QUALITY = rf"""
 WITH d AS (SELECT doc_id, coalesce(lang, '') AS l, coalesce(source, '') AS s, coalesce(text, '') AS t FROM documents),
@@ -29,20 +25,19 @@ e AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i F
 g AS (SELECT doc_id, i, word || ' ' || lead(word, 1) OVER o || ' ' || lead(word, 2) OVER o AS g FROM e WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
 c AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g WHERE g IS NOT NULL),
 r AS (SELECT doc_id, count(DISTINCT pos) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS pos FROM c WHERE n > 1) GROUP BY 1),
-m AS (SELECT w.doc_id, l, s, len(words) AS n_words, length(regexp_replace(t, '{_BLANK}', '', 'g')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
-    len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, len(lines) AS n_lines FROM w LEFT JOIN r USING (doc_id)),
-x AS (SELECT doc_id, l, s, unnest(['word_len', 'symbol_share', 'dup_line_share', 'repeat_share']) AS measure, unnest([word_chars / n_words, n_symbols / n_words, n_dup_lines / n_lines, n_repeat_words / n_words]) AS x FROM m WHERE n_words > 0),
-k AS (SELECT l, s, measure, CASE WHEN x > 0 THEN CAST(ceil(round(ln(x) / ln({_GAMMA}), 6)) AS INTEGER) ELSE -1000000 END AS bucket FROM x),
+m AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM (SELECT w.doc_id, l, s, len(words) AS n_words, length(regexp_replace(t, '{_BLANK}', '', 'g')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, len(lines) AS n_lines FROM w LEFT JOIN r USING (doc_id))),
+x AS (SELECT doc_id, l, s, unnest(['word_len', 'symbol_share', 'dup_line_share', 'repeat_share']) AS measure,
+    unnest([word_chars / n_words, (n_symbols + 0.5::DOUBLE) / (n_words + 1), (n_dup_lines + 0.5::DOUBLE) / (n_lines + 1), (n_repeat_words + 0.5::DOUBLE) / (n_words + 1)]) AS x FROM m WHERE NOT base_failed),
+k AS (SELECT doc_id, l, s, measure, CAST(ceil(round(ln(x) / CAST({quality.BUCKET!r} AS DOUBLE), 6)) AS INTEGER) AS bucket FROM x),
 lv AS (SELECT 0 AS level, l, s, measure, bucket FROM k UNION ALL SELECT 1, l, '', measure, bucket FROM k UNION ALL SELECT 2, '', '', measure, bucket FROM k),
 b AS (SELECT level, l, s, measure, bucket, count(*) AS n FROM lv GROUP BY ALL),
-u AS (SELECT level, l, s, measure, bucket, sum(n) OVER (PARTITION BY level, l, s, measure ORDER BY bucket) AS seen, sum(n) OVER (PARTITION BY level, l, s, measure) AS n FROM b),
-q AS (SELECT level, l, s, measure, n, {_QUANTILES} FROM u GROUP BY level, l, s, measure, n),
-v AS (SELECT level, l, s, measure, n, {_VALUES} FROM q),
-f AS (SELECT o.l, o.s, o.measure, {_PICKED} FROM v o JOIN v g ON o.level = 0 AND g.level = 1 AND g.l = o.l AND g.measure = o.measure JOIN v a ON a.level = 2 AND a.measure = o.measure),
-z AS (SELECT l, s, measure, greatest(q2 + 3.0 * (q2 - q0), {_FLOOR}, {_FACTOR} * q1) AS high, CASE WHEN measure = 'word_len' THEN least(q0 - 3.0 * (q2 - q0), q1 / {_FACTOR}) ELSE -1.0 END AS low FROM f),
-o AS (SELECT doc_id FROM x JOIN z USING (l, s, measure) WHERE x < low OR x > high)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-    NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND doc_id NOT IN (SELECT doc_id FROM o) AS kept FROM m
+u AS (SELECT level, l, s, measure, bucket, sum(n) OVER (PARTITION BY level, l, s, measure ORDER BY bucket) AS seen, CAST(sum(n) OVER (PARTITION BY level, l, s, measure) AS BIGINT) AS n FROM b),
+q AS (SELECT level, l, s, measure, n, {_QUARTILES} FROM u GROUP BY level, l, s, measure, n),
+f AS (SELECT o.l, o.s, o.measure, 3.0::DOUBLE * (1 + 100 / a.n) AS wide, {_DRAWN} FROM q o JOIN q g ON o.level = 0 AND g.level = 1 AND g.l = o.l AND g.measure = o.measure JOIN q a ON a.level = 2 AND a.measure = o.measure),
+z AS (SELECT l, s, measure, q1 + wide * (q1 - q0 + 1) AS high, CASE WHEN measure = '{quality.TWO_SIDED}' THEN q0 - wide * (q1 - q0 + 1) END AS low FROM f),
+o AS (SELECT doc_id FROM k JOIN z USING (l, s, measure) WHERE bucket > high OR bucket < low)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM o) AS kept FROM m
 """
 
 _ENTROPY = "ln(list_sum(list_transform(p, lambda x: exp({a} * ln(x))))) - {a} * list_sum(list_transform(p, lambda x: exp({a} * ln(x)) * ln(x))) / list_sum(list_transform(p, lambda x: exp({a} * ln(x))))"
