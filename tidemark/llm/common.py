@@ -43,6 +43,23 @@ def broadcast_if_small(df: DataFrame, most: int = 100_000) -> DataFrame:
     return F.broadcast(df) if small_enough(df, most) else df
 
 
+#: A key with more rows than this is hot.
+HOT = 50_000
+
+
+def join_hot(rows: DataFrame, known: DataFrame, key: str, count: str, most: int = HOT) -> DataFrame:
+    """Inner join of rows with a stored table that has one row a key and, in ``count``, how many rows that key has.
+
+    Rows of hot keys never meet in one task: they are joined by broadcast, the rest by shuffle. There is at most one hot
+    key for every ``most`` rows; should even those be many, the join is left to adaptive execution.
+    """
+    hot = known.filter(F.col(count) > most)
+    if small_enough(hot, 0) or not small_enough(hot, 100_000):
+        return rows.join(known.drop(count), key)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(known.filter(F.col(count) <= most).drop(count), key)
+    return cold.unionByName(rows.join(F.broadcast(hot.drop(count)), key))
+
+
 def unit_hash(*cols: Column | str) -> Column:
     """A keyed 60-bit number from MD5, which DuckDB can form too."""
     text = F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("~")) if isinstance(c, Column) else F.lit(c) for c in cols])

@@ -85,8 +85,8 @@ def _could(least: float) -> Column:
 
 
 def answers(rows: DataFrame, text: Column, size: int = SIZE, least: float = LEAST) -> DataFrame:
-    """(_code, _component): for each shingle set the smallest doc_id reachable; rows(_id, _code, _n, _keys) are stored."""
-    nodes = stored(rows.groupBy(F.col("_code").alias("code")).agg(F.min("_id").alias("low"), F.first("_n").alias("n"), F.first("_keys").alias("keys")), "nodes")
+    """(_code, _component, _n): for each shingle set the smallest doc_id reachable; rows(_id, _code, _n, _keys) are stored."""
+    nodes = stored(rows.groupBy(F.col("_code").alias("code")).agg(F.min("_id").alias("low"), F.count("*").alias("of"), F.first("_n").alias("n"), F.first("_keys").alias("keys")), "nodes")
     keyed = nodes.select("code", "n", F.explode("keys").alias("key"))
     centre = lambda seed: F.min(F.struct(F.xxhash64(F.lit(seed), "code").alias("at"), F.col("code").alias("v"), F.col("n").alias("nv")))
     centres = stored(keyed.groupBy("key").agg(F.count("*").alias("of"), centre(1).alias("c1"), centre(2).alias("c2")).filter("of > 1"), "centres")

@@ -1,30 +1,36 @@
 """SimHash near-duplicates with a Gray-order hierarchical index (operator 7).
 
 Fingerprints: over the XXH64 values (seed 42) of a text's 3-word shingles, repeats included, a bit is 1 if it
-is set in more than half of them. Documents are linked where fingerprints differ in at most three bits.
-
-Equal fingerprints are one node from the start. Two nodes within three bits agree on at least one of four
-16-bit parts (or, for many nodes, on two of five or three of six parts), so a node goes to one bucket for
-every choice of parts; each pair within reach meets in some bucket. A bucket with more than ``TILE`` nodes is
-dealt out as pairs of tiles, so no task holds a hot bucket. In a bucket, nodes are sorted by Gray rank and
-grouped into leaves and these into upper nodes. A group holds the bits that all its members share (mask and
-pattern); the differences between two groups' shared bits bound the distance of any two members from below,
-and a pair of groups above the reach is dropped whole, first at the upper level, then at the leaves. What
-remains is compared member by member. A bucket returns a spanning star for each of its components, never all pairs.
-
-Stars of all buckets become components by alternating large-star and small-star steps, written to the
-shared folder after each round.
+is set in more than half of them. Documents are linked where fingerprints differ in at most three bits. Equal
+fingerprints are one node from the start.
+
+Of two nodes within three bits, one half of the code differs in one bit at most. So the index is built twice, over
+the codes and over the codes turned by 32 bits, and in each the first half may differ in one bit and the whole in
+three; every pair within reach is found in one of them at least.
+
+In Gray order, neighbours differ in few bits and a run of codes shares its leading bits. The upper level of the index
+is cut in Spark: codes with the same leading bits (about ``GROUP`` codes a group) are a node with that masked pattern.
+Groups whose patterns differ in more than one bit are pruned whole: they never meet. A group is at home in one task,
+and the codes of groups one bit away visit it. A group of more than ``TILE`` codes is dealt out in tiles, and more than
+``MOST_VISITORS`` visitors in chunks, so no task holds a hot group. In the task, home and visitors are sorted by Gray
+rank and become trees whose nodes hold the bits that all codes below share. Both trees are descended together;
+differences are accumulated on the way down, counting only bits not shared further up, and pairs of
+nodes beyond the reach are dropped with all that is below them. What remains is compared code by code. A task returns a
+spanning star for each of its components, never all pairs.
+
+Stars of all tasks become components by alternating large-star and small-star steps, written to the shared folder
+after each round. Hot stars and hot fingerprints are joined apart from the rest (``join_hot``).
 
 Defined cases: a null or blank text has fingerprint zero and is linked like any other; a null doc_id does not
 count for component_id (null if a component has no other); repeated rows share one component; an empty
-table gives an empty result.
+table gives an empty result; texts of any length are hashed whole, in slices of 65,536 shingles; extra columns travel in
+one struct, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -32,13 +38,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from tidemark.llm.common import broadcast_if_small, free_names, small_enough, stored
+from tidemark.llm.common import broadcast_if_small, free_names, join_hot, small_enough, stored
 
 REACH = 3
 SEED = 42
-#: Most nodes of a bucket that meet in one task; a larger bucket is dealt out as pairs of tiles.
-TILE = 4096
-LEAF, UPPER = 16, 16
+#: Codes of a group on average, most codes that are at home in a task, and most that visit them.
+GROUP, TILE, MOST_VISITORS = 2048, 4096, 65_536
+LEAF, FANOUT = 8, 8
+FIRST_HALF = np.uint64(0xFFFFFFFF00000000)
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _UPPERCASE = bytes(range(65, 91))
 _LOWER = bytes.maketrans(_UPPERCASE, _UPPERCASE.lower())
@@ -93,71 +100,90 @@ def _spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 class GrayIndex:
-    """Two-level index over sorted runs; a run is a bucket (or a pair of tiles) and sides tell the tiles apart."""
+    """A tree over codes in Gray order: leaves of ``LEAF`` codes, and nodes of ``FANOUT`` lower nodes up to a single root.
 
-    def __init__(self, codes: np.ndarray, run: np.ndarray) -> None:
+    A level, the root's first, has for each node the place of its first lower node (or code), how many there are, the mask
+    of the bits that all codes below share, and their pattern.
+    """
+
+    def __init__(self, codes: np.ndarray) -> None:
         self.codes = codes
-        self.leaf_at = self._cut(run, LEAF)
-        self.leaf_run = run[self.leaf_at]
-        self.leaf = self._shared(codes, codes, self.leaf_at)
-        self.top_at = self._cut(self.leaf_run, UPPER)
-        self.top_run = self.leaf_run[self.top_at]
-        self.top = self._shared(self.leaf[0], self.leaf[2], self.top_at)
-        self.leaf_n = np.diff(np.append(self.leaf_at, len(codes)))
-        self.top_n = np.diff(np.append(self.top_at, len(self.leaf_at)))
-
-    @staticmethod
-    def _cut(run: np.ndarray, size: int) -> np.ndarray:
-        """Where groups start: at each run's start and every ``size`` places within it."""
-        start = np.concatenate(([0], np.flatnonzero(run[1:] != run[:-1]) + 1))
-        n = np.diff(np.append(start, len(run)))
-        groups = -(-n // size)
-        return np.repeat(start, groups) + size * (_spread(np.zeros(len(n), dtype=np.int64), groups))
-
-    @staticmethod
-    def _shared(every: np.ndarray, some: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each group: bits set in all members, the mask of bits on which all agree, bits set in some member."""
-        low, high = np.bitwise_and.reduceat(every, at), np.bitwise_or.reduceat(some, at)
-        return low, ~(low ^ high), high
-
-    @staticmethod
-    def _near(level: tuple[np.ndarray, np.ndarray, np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.bitwise_count((level[0][a] ^ level[0][b]) & level[1][a] & level[1][b]) <= REACH
-
-    def links(self, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of places within reach; ``label`` holds components so far, and groups already in one component meet no more."""
-        tops = len(self.top_at)
-        start = np.concatenate(([0], np.flatnonzero(self.top_run[1:] != self.top_run[:-1]) + 1))
-        ends = np.repeat(np.append(start[1:], tops), np.diff(np.append(start, tops)))
-        for at in _chunks(ends - np.arange(tops)):
-            count = ends[at] - at
-            a, b = np.repeat(at, count), _spread(at, count)
-            near = self._near(self.top, a, b)
-            yield from self._leaves(a[near], b[near], label)
-
-    def _leaves(self, a: np.ndarray, b: np.ndarray, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for at in _chunks(self.top_n[a] * self.top_n[b]):
-            x, y = self._product(self.top_at[a[at]], self.top_n[a[at]], self.top_at[b[at]], self.top_n[b[at]])
-            keep = x <= y
-            x, y = x[keep], y[keep]
-            near = self._near(self.leaf, x, y)
-            yield from self._members(x[near], y[near], label)
-
-    def _members(self, a: np.ndarray, b: np.ndarray, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for at in _chunks(self.leaf_n[a] * self.leaf_n[b]):
-            low, high = np.minimum.reduceat(label, self.leaf_at), np.maximum.reduceat(label, self.leaf_at)
-            open_ = (low[a[at]] != high[a[at]]) | (low[b[at]] != high[b[at]]) | (low[a[at]] != low[b[at]])
-            p, q = a[at][open_], b[at][open_]
-            x, y = self._product(self.leaf_at[p], self.leaf_n[p], self.leaf_at[q], self.leaf_n[q])
-            keep = x < y
-            x, y = x[keep], y[keep]
-            near = np.bitwise_count(self.codes[x] ^ self.codes[y]) <= REACH
-            yield x[near], y[near]
-
-    @staticmethod
-    def _product(a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        x, times = _spread(a, n), np.repeat(m, n)
-        return np.repeat(x, times), _spread(np.repeat(b, n), times)
+        at = np.arange(0, len(codes), LEAF)
+        low, high = np.bitwise_and.reduceat(codes, at), np.bitwise_or.reduceat(codes, at)
+        levels = [(at, np.diff(np.append(at, len(codes))), ~(low ^ high), low)]
+        while len(at) > 1:
+            nodes, at = len(at), np.arange(0, len(at), FANOUT)
+            low, high = np.bitwise_and.reduceat(low, at), np.bitwise_or.reduceat(high, at)
+            levels.append((at, np.diff(np.append(at, nodes)), ~(low ^ high), low))
+        self.levels = levels[::-1]
+        below = [levels[0][1]]
+        for at, *_ in levels[1:]:
+            below.append(np.add.reduceat(below[-1], at))
+        self.below = below[::-1]
+
+
+class Search:
+    """Pairs of codes within reach of two trees (or of one), descended together from their roots.
+
+    ``pruned`` and ``compared`` count the pairs of codes that were dropped with a pair of nodes and that were compared.
+    """
+
+    def __init__(self, a: GrayIndex, b: GrayIndex, a_label: np.ndarray, b_label: np.ndarray) -> None:
+        self.a, self.b, self.same = a, b, a is b
+        self.a_label, self.b_label = a_label, b_label
+        self.pruned = self.compared = 0
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places (in a, in b) within reach; labels hold components so far, and leaves of one component meet no more."""
+        none = np.zeros(1, dtype=np.int64)
+        yield from self._descend(0, 0, none, none, none, none, np.zeros(1, dtype=np.uint64))
+
+    def _descend(self, i: int, j: int, x: np.ndarray, y: np.ndarray, first: np.ndarray, every: np.ndarray, known: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Nodes x of level i and y of level j, with the differences (in the first half, in all) among the bits known from above."""
+        a, b = self.a.levels[i], self.b.levels[j]
+        shared = a[2][x] & b[2][y]
+        fresh = (a[3][x] ^ b[3][y]) & shared & ~known
+        first, every = first + np.bitwise_count(fresh & FIRST_HALF), every + np.bitwise_count(fresh)
+        near = (first <= 1) & (every <= REACH)
+        self.pruned += int((self.a.below[i][x] * self.b.below[j][y])[~near].sum())
+        x, y, first, every, shared = x[near], y[near], first[near], every[near], shared[near]
+        left_a, left_b = len(self.a.levels) - 1 - i, len(self.b.levels) - 1 - j
+        if not left_a and not left_b:
+            yield from self._members(x, y)
+            return
+        # The higher tree goes down a level, or both where they are equally high.
+        down_a, down_b = left_a >= left_b, left_b >= left_a
+        one = np.ones(len(x), dtype=np.int64)
+        m, n = a[1][x] if down_a else one, b[1][y] if down_b else one
+        for at in _chunks(m * n):
+            p, q = _product(a[0][x[at]] if down_a else x[at], m[at], b[0][y[at]] if down_b else y[at], n[at])
+            carried = [np.repeat(c[at], m[at] * n[at]) for c in (first, every, shared)]
+            if self.same:
+                keep = p <= q
+                p, q, carried = p[keep], q[keep], [c[keep] for c in carried]
+            yield from self._descend(i + down_a, j + down_b, p, q, *carried)
+
+    def _members(self, x: np.ndarray, y: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        a, b = self.a.levels[-1], self.b.levels[-1]
+        for at in _chunks(a[1][x] * b[1][y]):
+            least_a, most_a = np.minimum.reduceat(self.a_label, a[0]), np.maximum.reduceat(self.a_label, a[0])
+            least_b, most_b = np.minimum.reduceat(self.b_label, b[0]), np.maximum.reduceat(self.b_label, b[0])
+            u, v = x[at], y[at]
+            apart = (least_a[u] != most_a[u]) | (least_b[v] != most_b[v]) | (least_a[u] != least_b[v])
+            u, v = u[apart], v[apart]
+            p, q = _product(a[0][u], a[1][u], b[0][v], b[1][v])
+            if self.same:
+                keep = p < q
+                p, q = p[keep], q[keep]
+            self.compared += len(p)
+            near = np.bitwise_count(self.a.codes[p] ^ self.b.codes[q]) <= REACH
+            yield p[near], q[near]
+
+
+def _product(a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each i, all pairs of a[i], a[i] + 1, ... (n[i] of them) and b[i], b[i] + 1, ... (m[i])."""
+    x, times = _spread(a, n), np.repeat(m, n)
+    return np.repeat(x, times), _spread(np.repeat(b, n), times)
 
 
 def _chunks(sizes: np.ndarray, most: int = 500_000) -> Iterator[np.ndarray]:
@@ -183,27 +209,44 @@ def join_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = up
 
 
+def meet(home: np.ndarray, visitors: np.ndarray, among_home: bool = True) -> tuple[np.ndarray, list[Search]]:
+    """Labels of home and visitors, both in Gray order, after all links of the task; and the searches made."""
+    label = np.arange(len(home) + len(visitors))
+    own, others = label[: len(home)], label[len(home) :]
+    tree = GrayIndex(home)
+    searches = [Search(tree, tree, own, own)] if among_home else []
+    if len(visitors):
+        searches.append(Search(tree, GrayIndex(visitors), own, others))
+    for search in searches:
+        for a, b in search.pairs():
+            join_labels(label, a, b if search.same else b + len(home))
+    return label, searches
+
+
 def _stars(frame: pd.DataFrame) -> pd.DataFrame:
-    """Links of a star for each component of each run: (u, v) with v the component's least code."""
-    codes = frame.code.to_numpy().view(np.uint64)
-    key = frame[["choice", "part", "tile"]].to_numpy()
+    """Links of a star for each component of each task: (u, v) with v a code of the component."""
+    codes, visiting = frame.code.to_numpy().view(np.uint64), frame.visiting.to_numpy()
+    key = frame[["turn", "home", "tile", "chunk"]].to_numpy()
     run = np.concatenate(([0], np.cumsum((key[1:] != key[:-1]).any(axis=1))))
-    size = np.bincount(run)
-    more = size[run] > 1
-    codes, run = codes[more], run[more]
-    if not len(codes):
-        return pd.DataFrame({"u": [], "v": []}, dtype="int64")
-    order = np.lexsort((gray_rank(codes), run))
-    codes, run = codes[order], run[order]
-    label = np.arange(len(codes))
-    for a, b in GrayIndex(codes, run).links(label):
-        join_labels(label, a, b)
-    linked = label != np.arange(len(codes))
-    return pd.DataFrame({"u": codes[linked].view(np.int64), "v": codes[label[linked]].view(np.int64)}).drop_duplicates()
-
-
-def _bucket_stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Whole runs of a partition sorted by run; about 200,000 rows at a time."""
+    order = np.lexsort((gray_rank(codes), visiting, run))
+    codes, visiting, run, key = codes[order], visiting[order], run[order], key[order]
+    out = []
+    starts = np.concatenate(([0], np.flatnonzero(run[1:] != run[:-1]) + 1, [len(run)]))
+    for start, end in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+        here = codes[start:end]
+        home = int(np.count_nonzero(~visiting[start:end]))
+        if not home or end - start < 2:
+            continue
+        label, _ = meet(here[:home], here[home:], among_home=bool(key[start, 3] == 0))
+        linked = np.flatnonzero(label != np.arange(len(label)))
+        pair = np.stack([here[linked], here[label[linked]]])
+        out.append(pair << np.uint64(32) | pair >> np.uint64(32) if key[start, 0] else pair)
+    u, v = np.concatenate(out, axis=1).view(np.int64) if out else np.empty((2, 0), dtype=np.int64)
+    return pd.DataFrame({"u": u, "v": v})
+
+
+def _task_stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Whole tasks of a partition sorted by task; about 200,000 rows at a time."""
     held: list[pd.DataFrame] = []
     rows = 0
     for batch in batches:
@@ -212,65 +255,73 @@ def _bucket_stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if rows < 200_000:
             continue
         frame = pd.concat(held)
-        last = frame.iloc[-1]
-        open_ = (frame.choice == last.choice) & (frame.part == last.part) & (frame.tile == last.tile)
+        key = frame[["turn", "home", "tile", "chunk"]].to_numpy()
+        open_ = (key == key[-1]).all(axis=1)
         yield _stars(frame[~open_])
         held, rows = [frame[open_]], int(open_.sum())
     if rows:
         yield _stars(pd.concat(held))
 
 
-def part_masks(nodes: int) -> list[int]:
-    """Bit masks of the parts that two codes within reach must agree on, for one choice at least.
+def group_bits(nodes: int) -> int:
+    """Leading bits of a group, so that random codes make groups of about ``GROUP``; within the first half."""
+    return max(0, min(32, (nodes // GROUP).bit_length()))
+
+
+def dealt(nodes: DataFrame) -> DataFrame:
+    """The upper level of the index: rows (turn, home, tile, chunk, code, visiting) of all tasks; nodes(code) are distinct."""
+    bits = group_bits(nodes.count())
+    swapped = F.shiftleft("code", 32).bitwiseOR(F.shiftrightunsigned("code", 32))
+    both = nodes.select(F.explode(F.array(F.struct(F.lit(0).alias("turn"), F.col("code")), F.struct(F.lit(1).alias("turn"), swapped.alias("code")))).alias("c")).select("c.*")
+    grouped = both.withColumn("group", F.shiftrightunsigned("code", 64 - bits) if bits else F.lit(0).cast("long"))
+    # Of two groups one bit apart, the one without the bit is home to both.
+    lower = F.filter(F.array(*[F.when(F.col("group").bitwiseAND(F.lit(1 << b)) != 0, F.col("group") - (1 << b)) for b in range(bits)]).cast("array<bigint>"), lambda g: g.isNotNull())
+    counts = grouped.groupBy("turn", "group").agg(F.count("*").alias("n"))
+    visits = counts.select("turn", F.explode(lower).alias("group"), "n").groupBy("turn", "group").agg(F.sum("n").alias("visitors"))
+    sized = counts.join(visits, ["turn", "group"], "left").withColumn("meets", F.coalesce("visitors", F.lit(0)) + F.when(F.col("n") > TILE, F.col("n")).otherwise(0))
+    # Only hot groups are listed: each stands for more than TILE of the codes or of their visits.
+    hot = sized.filter((F.col("n") > TILE) | (F.col("meets") > MOST_VISITORS))
+    hot = stored(hot.select("turn", F.col("group").alias("home"), F.ceil(F.col("n") / TILE).cast("int").alias("tiles"), F.greatest(F.lit(1), F.ceil(F.col("meets") / MOST_VISITORS)).cast("int").alias("chunks")), "hot")
+    homes = F.concat(F.array(F.struct(F.col("group").alias("home"), F.lit(False).alias("visiting"))), F.transform(lower, lambda g: F.struct(g.alias("home"), F.lit(True).alias("visiting"))))
+    sent = grouped.select("turn", "code", F.explode(homes).alias("h")).select("turn", "code", "h.*").join(broadcast_if_small(hot), ["turn", "home"], "left")
+    tiles, chunks = F.coalesce("tiles", F.lit(1)), F.coalesce("chunks", F.lit(1))
+    own, chunk = F.pmod(F.xxhash64("code"), tiles).cast("int"), F.pmod(F.xxhash64(F.lit(1), "code"), chunks).cast("int")
+    place = lambda tile, part, visiting: F.struct(tile.alias("tile"), part.alias("chunk"), F.lit(visiting).alias("visiting"))
+    visit = lambda i: F.array(place(i, chunk, True))
+    # A code at home meets its own tile's codes in chunk 0, its tile's visitors in every chunk, and visits the later tiles.
+    stay = lambda i: F.when(i == own, F.transform(F.sequence(F.lit(0), chunks - 1), lambda c: place(i, c, False))).when(i > own, visit(i)).otherwise(F.slice(visit(i), 1, 0))
+    places = F.flatten(F.transform(F.sequence(F.lit(0), tiles - 1), lambda i: F.when(F.col("visiting"), visit(i)).otherwise(stay(i))))
+    return sent.select("turn", "home", "code", F.explode(places).alias("p")).select("turn", "home", "p.tile", "p.chunk", "code", "p.visiting")
 
-    More nodes take more and longer keys, so that a bucket of random codes stays small.
-    """
-    parts = 4 if nodes < 4_000_000 else 5 if nodes < 1_000_000_000 else 6
-    edges = [round(i * 64 / parts) for i in range(parts + 1)]
-    pieces = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:], strict=False)]
-    return [sum(c) for c in combinations(pieces, parts - REACH)]
 
+def links(nodes: DataFrame) -> DataFrame:
+    """Stars (u, v) that join all codes within reach of each other; nodes(code) holds distinct codes."""
+    task = ["turn", "home", "tile", "chunk"]
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt(nodes).repartition(n, *task).sortWithinPartitions(*task).mapInPandas(_task_stars, "u long, v long")
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
 
+def components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
+    """(code, root): the least code of each linked code's component, by alternating large-star and small-star steps.
 
-def links(nodes: DataFrame) -> DataFrame:
-    """Stars (u, v) that join all codes within reach of each other; nodes(code) holds distinct codes."""
-    spark = nodes.sparkSession
-    masks = part_masks(nodes.count())
-    keys = F.array(*[F.struct(F.lit(i).alias("choice"), F.col("code").bitwiseAND(F.lit(_signed(m))).alias("part")) for i, m in enumerate(masks)])
-    keyed = nodes.select("code", F.explode(keys).alias("k")).select("code", "k.*")
-    # A bucket of more than TILE nodes is hot: only those are listed, a thousandth of the nodes at the very most.
-    hot = stored(keyed.groupBy("choice", "part").agg(F.count("*").alias("n")).filter(F.col("n") > TILE).select("choice", "part", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")), "hot")
-    tiles = F.coalesce("tiles", F.lit(1))
-    own = F.pmod(F.xxhash64("code"), tiles).cast("int")
-    # Pair of tiles (i, j), i <= j, as i * tiles + j: a node of tile t goes to every pair that has t.
-    pairs = F.transform(F.sequence(F.lit(0), tiles - 1), lambda o: (F.least(own, o) * tiles + F.greatest(own, o)).cast("int"))
-    tiled = keyed.join(broadcast_if_small(hot), ["choice", "part"], "left").select("choice", "part", "code", F.explode(pairs).alias("tile"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = tiled.repartition(n, "choice", "part", "tile").sortWithinPartitions("choice", "part", "tile")
-    return dealt.mapInPandas(_bucket_stars, "u long, v long")
-
-
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(code, root): the least code of each linked code's component, by alternating large-star and small-star steps."""
+    The number of rounds grows with the logarithm of the longest chain; should they run out, that is an error.
+    """
     edges = stored(edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     state = None
     for _ in range(most_rounds):
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        least = stored(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n")), "least")
         # Large star: neighbours above a node go to the least of its neighbourhood.
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
-        # Small star: a node and its lower neighbours go to the least of them.
+        large = join_hot(both.filter("v > u"), least, "u", "n").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+        # Small star: a node and its lower neighbours go to the least of them; these are one a star that the node is in.
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lower, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lower.select("u", F.col("m").alias("v")))
         edges = stored(small.filter("u != v").distinct(), "edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
-            break
+            return edges.select(F.col("u").alias("code"), F.col("v").alias("root"))
         state = now
-    return edges.select(F.col("u").alias("code"), F.col("v").alias("root"))
+    raise RuntimeError(f"components are not settled after {most_rounds} rounds")
 
 
 def coded(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -279,16 +330,16 @@ def coded(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def answers(codes: DataFrame) -> DataFrame:
-    """(_code, _component): for each fingerprint the smallest doc_id reachable; codes(_id, _code)."""
-    nodes = stored(codes.groupBy(F.col("_code").alias("code")).agg(F.min("_id").alias("low")), "nodes")
+    """(_code, _component, _n): for each fingerprint the smallest doc_id reachable, and its documents; codes(_id, _code)."""
+    nodes = stored(codes.groupBy(F.col("_code").alias("code")).agg(F.min("_id").alias("low"), F.count("*").alias("of")), "nodes")
     return rooted(nodes, components(links(nodes.select("code"))))
 
 
 def rooted(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """(_code, _component) from nodes(code, low) and their components."""
-    found = stored(nodes.join(roots, "code", "left").select("code", F.coalesce("root", "code").alias("root"), "low"), "rooted")
-    least = found.groupBy("root").agg(F.min("low").alias("component"))
-    return found.join(least, "root").select(F.col("code").alias("_code"), F.col("component").alias("_component"))
+    """(_code, _component, _n), stored, from nodes(code, low, of) and their components."""
+    found = stored(nodes.join(roots, "code", "left").select("code", F.coalesce("root", "code").alias("root"), "low", "of"), "rooted")
+    least = stored(found.groupBy("root").agg(F.min("low").alias("component"), F.count("*").alias("n")), "least")
+    return stored(join_hot(found, least, "root", "n").select(F.col("code").alias("_code"), F.col("component").alias("_component"), F.col("of").alias("_n")), "answers")
 
 
 def hex_code(code: Column) -> Column:
@@ -298,7 +349,7 @@ def hex_code(code: Column) -> Column:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, fingerprint, component_id."""
     codes = coded(docs, [])
-    return codes.join(answers(codes), "_code", "left").select(F.col("_id").alias("doc_id"), hex_code(F.col("_code")).alias("fingerprint"), F.col("_component").alias("component_id"))
+    return join_hot(codes, answers(codes), "_code", "_n").select(F.col("_id").alias("doc_id"), hex_code(F.col("_code")).alias("fingerprint"), F.col("_component").alias("component_id"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -316,7 +367,7 @@ def first_of_each(docs: DataFrame, coded, answers) -> DataFrame:
     sign = F.xxhash64(*[F.to_json(F.struct(c)) if "map<" in t else F.col(c) for c, t in docs.dtypes])
     rows = coded(docs.select(F.struct(*docs.columns).alias(box), sign.alias("_sign"), "doc_id", "text"), [box, "_sign"])
     narrow = rows.select("_id", "_code", "_sign")
-    kept = narrow.join(answers(rows, box), "_code", "left").filter(F.col("_id").eqNullSafe(F.col("_component")))
+    kept = join_hot(narrow, answers(rows, box), "_code", "_n").filter(F.col("_id").eqNullSafe(F.col("_component")))
     group = F.coalesce(F.col("_id").cast("string"), F.concat(F.lit("code "), F.col("_code").cast("string")))
     chosen = stored(kept.groupBy(group.alias("_group")).agg(F.min(F.struct("_sign", "_code")).alias("_first")).select("_first.*", F.col("_group")), "chosen")
     taken = rows.withColumn("_group", group).join(chosen, ["_group", "_code", "_sign"], "left_semi")
