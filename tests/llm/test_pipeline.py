@@ -3,7 +3,7 @@ from collections import Counter
 
 import public_tokenizers
 from test_mixing import brute as brute_mixture
-from test_simhash import expected
+from test_neardup import firsts as brute_firsts
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -29,7 +29,7 @@ def test_run_matches_brute_force(spark):
     docs = table(spark, sf, "documents")
     rows = {r["doc_id"]: r for r in docs.collect()}
     kept = {r["doc_id"] for r in quality_counts(docs).collect() if r["kept"]}
-    firsts = {c for _, _, c in expected([(d, rows[d]["text"]) for d in sorted(kept)])}
+    firsts = set(brute_firsts([(d, rows[d]["text"]) for d in sorted(kept)]))
     clean = anonymised(docs.filter(docs.doc_id.isin(sorted(firsts))), SURROGATE_KEY).collect()
     copies = brute_mixture([(r["doc_id"], r["text"], r["source"]) for r in clean], 0.95, 2.0, None, 1024, True)
     want = Counter()
@@ -39,3 +39,19 @@ def test_run_matches_brute_force(spark):
         want[(r["doc_id"], r["source"], len(ids), tuple(ids), digest)] = copies[r["doc_id"]]
     got = Counter((r["doc_id"], r["source"], r["n_tokens"], tuple(r["ids"]), r["decoded_sha256"]) for r in corpus_pipeline.run(spark, sf).collect())
     assert got == +want and len(got) == len(firsts)
+
+
+def test_defined_cases_pass_all_stages(spark):
+    """Nulls in every column, repeated rows, empty and long texts, and extra columns whose names clash."""
+    clean = " ".join(f"wort{i * 7919 % 10007}" for i in range(80))
+    other = " ".join(f"term{i * 104729 % 10007}" for i in range(90)) + " mail anna.b@example.com"
+    long = " ".join(f"w{i * i % 99991}" for i in range(60_000))
+    rows = [(1, clean, "en", "s", 1), (1, clean, "en", "s", 1), (2, clean, "en", "s", 1), (None, other, None, None, None), (3, None, None, "s", None), (4, "", "en", None, 0), (5, long, "en", "s", 1), (6, None, None, None, None)]
+    docs = spark.createDataFrame([(*r, 7, 8, "x") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, _row int, Kept int, _hits string")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, None)
+        assert out.columns == docs.columns
+        docs = spark.createDataFrame(out.collect(), docs.schema)
+    left = {(r["doc_id"], r["text"].split(" ")[0]) for r in docs.collect()}
+    assert left == {(1, "wort0"), (None, "term0"), (5, "w0")} and not any("anna.b@example.com" in r["text"] for r in docs.collect())
+    assert {r["doc_id"] for r in corpus_pipeline.STAGES[-1][1](spark, docs, None).collect()} == {1, None, 5}

@@ -1,17 +1,20 @@
-"""Near-duplicates by shingle similarity, for the pipeline (the stage built on operator 7's components).
+"""Near-duplicates by shingle similarity, for the pipeline: operator 7 with candidates completed and links verified.
 
 Two documents are linked where the Jaccard similarity of their sets of ``size``-word shingles (64-bit hashes) is
-``least`` or more; of each component one document stays. Operator 7's reach of three bits finds a small part of
-such pairs only: at a similarity of .8 about ten of 64 bits differ, and no exact part index is that wide. So candidates
-come from MinHash bands (20 bands of 5 least values: a pair at .8 is missed with chance 4e-4, at .9 with 1e-8), and
-every link is verified on the whole shingle sets.
+``least`` or more; of each component one document stays. Texts with the same shingle set are one node from the start.
 
-Texts with the same shingle set are one node from the start. In each band's bucket, members are compared
-with two centres first; then whatever is not yet in the first centre's component is compared with all members of
-other components. A hot bucket of near copies thus takes a few comparisons a member, and no candidate pair is left out.
+Candidates come from operator 7's Gray index over SimHash fingerprints of the shingles. Its reach of three bits finds a
+part of the pairs only: at a similarity of .8 about ten of 64 bits differ, and no exact index is that wide. The rest comes
+from MinHash bands (20 bands of 5 least values: a pair at .8 is missed with chance 4e-4, at .9 with 1e-8).
+
+A bucket's nodes gather around its centre, the node of least keyed hash; the buckets of a cluster mostly have the same
+centre, so a node joins few groups. A group is one task; one of more than ``MOST`` nodes or ``MOST_TOKENS``
+shingles is dealt out as pairs of tiles. A task compares all pairs of its nodes on their whole sets, by products
+of token matrices, and returns a spanning star for each component: candidate pairs never become rows. A hot group
+of near copies costs its tasks quadratic arithmetic, with no candidate left out, but only linear rows.
 
 Defined cases: null and blank texts have an empty set and are alike; shorter texts than a shingle are one shingle;
-null doc_ids, repeated rows and empty tables as in operator 7.
+texts of any length are hashed whole; null doc_ids, repeated rows, empty tables and extra columns as in operator 7.
 """
 
 from __future__ import annotations
@@ -24,10 +27,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import simhash
-from tidemark.llm.common import stored
+from tidemark.llm.common import broadcast_if_small, join_hot, stored
 
 SIZE, LEAST = 5, 0.8
 BANDS, ROWS = 20, 5
+#: Most nodes and shingles of a tile, and most columns of a token matrix.
+MOST, MOST_TOKENS, SLAB = 2048, 2_000_000, 4096
 _RANDOM = np.random.default_rng(42)
 _TIMES = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLUS = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -52,13 +57,14 @@ def bands(hashes: np.ndarray) -> list[int]:
 
 
 def _signed(size: int):
-    @F.pandas_udf("struct<_code:string,_n:int,_keys:array<long>>")
+    @F.pandas_udf("struct<_code:string,_size:int,_sim:long,_keys:array<long>>")
     def task(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         import xxhash
 
         for batch in batches:
             sets = [shingles(x if isinstance(x, str) else None, size) for x in batch]
-            yield pd.DataFrame({"_code": [xxhash.xxh3_128_hexdigest(h.tobytes()) for h in sets], "_n": np.array([len(h) for h in sets], dtype="int32"), "_keys": [bands(h) for h in sets]})
+            sims = np.array([simhash.majority(np.split(h, range(65_536, len(h), 65_536))) for h in sets], dtype=np.uint64).view(np.int64)
+            yield pd.DataFrame({"_code": [xxhash.xxh3_128_hexdigest(h.tobytes()) for h in sets], "_size": np.array([len(h) for h in sets], dtype="int32"), "_sim": sims, "_keys": [bands(h) for h in sets]})
 
     return task
 
@@ -72,47 +78,118 @@ def _sets(size: int):
     return task
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (u, v) whose shingle sets are alike enough."""
-    a, b = sets.select(F.col("code").alias("u"), F.col("set").alias("su")), sets.select(F.col("code").alias("v"), F.col("set").alias("sv"))
-    both = F.size(F.array_intersect("su", "sv"))
-    return pairs.join(a, "u").join(b, "v").filter(both + 1e-9 >= least * (F.size("su") + F.size("sv") - both)).select("u", "v")
+def alike(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places (in left, in right) of the pairs of sets that are similar enough; left and right list places in ``sets``."""
+    sizes = np.array([len(s) for s in sets])
+    token = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    held, count = token[1], token[2]
+    # Tokens of one set only take no part in what two sets share.
+    rank = np.where(count > 1, np.cumsum(count > 1) - 1, -1)[held]
+    owner = np.repeat(np.arange(len(sets)), sizes)[rank >= 0]
+    rank = rank[rank >= 0]
+    order = np.argsort(rank, kind="stable")
+    owner, rank = owner[order], rank[order]
+    place_left, place_right = np.full(len(sets), -1), np.full(len(sets), -1)
+    place_left[left], place_right[right] = np.arange(len(left)), np.arange(len(right))
+    both = np.zeros((len(left), len(right)), dtype=np.float32)
+    width = int(rank[-1]) + 1 if len(rank) else 0
+    for start in range(0, width, SLAB):
+        a, b = np.searchsorted(rank, [start, start + SLAB])
+        who, what = owner[a:b], rank[a:b] - start
+        x, y = (np.zeros((n, min(SLAB, width - start)), dtype=np.float32) for n in both.shape)
+        for matrix, place in ((x, place_left), (y, place_right)):
+            own = place[who] >= 0
+            matrix[place[who][own], what[own]] = 1
+        both += x @ y.T
+    total = sizes[left][:, None] + sizes[right][None, :]
+    return np.nonzero(both + 1e-6 >= least * (total - both))
+
+
+def _stars(frame: pd.DataFrame, least: float) -> pd.DataFrame:
+    """Links of a star for each component of each task's nodes."""
+    key = frame[["centre", "i", "j"]].to_numpy()
+    starts = np.concatenate(([0], np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, [len(key)]))
+    ids, sides, sets = frame.id.to_numpy(), frame.side.to_numpy(), frame.set.to_list()
+    out = [np.empty((2, 0), dtype=np.int64)]
+    for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+        if b - a < 2:
+            continue
+        side = sides[a:b]
+        left = np.flatnonzero(side == 0)
+        right = np.flatnonzero(side == 1) if key[a, 1] != key[a, 2] else left
+        p, q = alike(sets[a:b], left, right, least)
+        label = np.arange(b - a)
+        simhash.join_labels(label, left[p], right[q])
+        linked = np.flatnonzero(label != np.arange(b - a))
+        out.append(np.stack([ids[a:b][linked], ids[a:b][label[linked]]]))
+    u, v = np.concatenate(out, axis=1)
+    return pd.DataFrame({"u": u, "v": v})
+
+
+def _task_stars(least: float):
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Whole tasks of a partition sorted by task, when a tile's worth of shingles is there."""
+        held: list[pd.DataFrame] = []
+        tokens = 0
+        for batch in batches:
+            held.append(batch)
+            tokens += int(batch.set.str.len().sum())
+            if tokens < MOST_TOKENS:
+                continue
+            frame = pd.concat(held)
+            key = frame[["centre", "i", "j"]].to_numpy()
+            open_ = (key == key[-1]).all(axis=1)
+            yield _stars(frame[~open_], least)
+            held, tokens = [frame[open_]], int(frame.set[open_].str.len().sum())
+        if held:
+            yield _stars(pd.concat(held), least)
+
+    return task
 
 
-def _could(least: float) -> Column:
-    """Whether the sizes of two sets allow that similarity."""
-    return F.least("nu", "nv") + 1e-9 >= least * F.greatest("nu", "nv")
+def gathered(nodes: DataFrame) -> DataFrame:
+    """(centre, id): the groups of nodes that are to be compared, each centre in its own; nodes(id, sim, keys)."""
+    keyed = nodes.select("id", F.explode("keys").alias("key"))
+    centre = F.min(F.struct(F.xxhash64("id").alias("at"), F.col("id").alias("id")))["id"]
+    centres = stored(keyed.groupBy("key").agg(centre.alias("centre"), F.count("*").alias("of")).filter("of > 1"), "centres")
+    by_band = join_hot(keyed, centres, "key", "of").select("centre", "id")
+    # Fingerprints within reach: equal ones gather around one node, and these around the star's.
+    same = stored(nodes.groupBy("sim").agg(F.min("id").alias("centre"), F.count("*").alias("of")), "fingerprints")
+    by_code = join_hot(nodes.select("sim", "id"), same.filter("of > 1"), "sim", "of").select("centre", "id")
+    stars = simhash.links(same.select(F.col("sim").alias("code")))
+    node = lambda name, to: same.select(F.col("sim").alias(name), F.col("centre").alias(to))
+    by_star = stars.join(node("u", "id"), "u").join(node("v", "centre"), "v").select("centre", "id")
+    pairs = stored(by_band.union(by_code).union(by_star).filter("centre != id").distinct(), "pairs")
+    return pairs.union(pairs.select("centre", F.col("centre").alias("id")).distinct())
 
 
 def answers(rows: DataFrame, text: Column, size: int = SIZE, least: float = LEAST) -> DataFrame:
-    """(_code, _component, _n): for each shingle set the smallest doc_id reachable; rows(_id, _code, _n, _keys) are stored."""
-    nodes = stored(rows.groupBy(F.col("_code").alias("code")).agg(F.min("_id").alias("low"), F.count("*").alias("of"), F.first("_n").alias("n"), F.first("_keys").alias("keys")), "nodes")
-    keyed = nodes.select("code", "n", F.explode("keys").alias("key"))
-    centre = lambda seed: F.min(F.struct(F.xxhash64(F.lit(seed), "code").alias("at"), F.col("code").alias("v"), F.col("n").alias("nv")))
-    centres = stored(keyed.groupBy("key").agg(F.count("*").alias("of"), centre(1).alias("c1"), centre(2).alias("c2")).filter("of > 1"), "centres")
-    members = stored(keyed.join(centres, "key").select("key", F.col("code").alias("u"), F.col("n").alias("nu"), "c1", "c2"), "members")
-    wanted = members.select(F.col("u").alias("_code")).distinct()
-    sets = stored(rows.select("_code", text.alias("text")).join(wanted, "_code", "left_semi").groupBy("_code").agg(F.first("text").alias("text")).select(F.col("_code").alias("code"), _sets(size)("text").alias("set")), "sets")
-
-    def candidates(found: DataFrame) -> DataFrame:
-        return found.filter(_could(least)).filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-
-    stars = members.select("u", "nu", F.explode(F.array("c1", "c2")).alias("c")).select("u", "nu", "c.v", "c.nv")
-    first = stored(_verified(candidates(stars), sets, least), "links")
-    roots = simhash.components(first)
-    root_of = lambda name: roots.select(F.col("code").alias(name), F.col("root").alias(f"{name}_root"))
-    placed = stored(members.select("key", "u", "nu", F.col("c1.v").alias("c")).join(root_of("u"), "u", "left").join(root_of("c"), "c", "left").select("key", "u", "nu", F.coalesce("u_root", "u").alias("ru"), F.coalesce("c_root", "c").alias("rc")), "placed")
-    others = placed.filter("ru != rc").select("key", "u", "nu", "ru")
-    every = placed.select("key", F.col("u").alias("v"), F.col("nu").alias("nv"), F.col("ru").alias("rv"))
-    second = stored(_verified(candidates(others.join(every, "key").filter("ru != rv")), sets, least), "links")
-    roots = simhash.components(first.union(second)) if second.limit(1).count() else roots
-    return simhash.rooted(nodes, roots)
+    """For each shingle set (_code) its component's root and smallest doc_id, and its documents (_n); rows(_rid, _id, _code, _size, _sim, _keys) are stored."""
+    nodes = stored(
+        rows.groupBy("_code").agg(F.min("_rid").alias("id"), F.min("_id").alias("low"), F.count("*").alias("of"), F.first("_size").alias("n"), F.first("_sim").alias("sim"), F.first("_keys").alias("keys")), "nodes"
+    )
+    groups = stored(gathered(nodes.select("id", "sim", "keys")), "groups")
+    # A node's id is that of one of its rows, so its set is made once, from that row.
+    wanted = broadcast_if_small(stored(groups.select(F.col("id").alias("_rid")).distinct(), "wanted"), 500_000)
+    sets = stored(rows.select("_rid", text.alias("text")).join(wanted, "_rid").select(F.col("_rid").alias("id"), _sets(size)("text").alias("set")), "sets")
+    sized = groups.join(nodes.select("id", "n"), "id")
+    large = sized.groupBy("centre").agg(F.count("*").alias("k"), F.sum("n").alias("tokens")).filter((F.col("k") > MOST) | (F.col("tokens") > MOST_TOKENS))
+    # Each large group stands for thousands of nodes.
+    large = broadcast_if_small(stored(large.select("centre", F.greatest(F.ceil(F.col("k") / MOST), F.ceil(F.col("tokens") / MOST_TOKENS)).cast("int").alias("tiles")), "large"))
+    tiled = groups.join(large, "centre", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("id", "centre"), F.col("tiles")).cast("int"))
+    meets = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j"), (F.col("own") > o).cast("int").alias("side")))
+    placed = tiled.select("centre", "id", F.explode(meets).alias("m")).select("centre", "m.*", "id")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    task = ["centre", "i", "j"]
+    found = placed.join(sets, "id").repartition(n, *task).sortWithinPartitions(*task).mapInPandas(_task_stars(least), "u long, v long")
+    known = simhash.rooted(nodes.select(F.col("id").alias("code"), "low", "of"), simhash.components(found))
+    return stored(known.withColumnRenamed("_code", "id").join(nodes.select("id", F.col("_code")), "id").select("_code", "_root", "_component", "_n"), "answers")
 
 
 def deduplicated(docs: DataFrame, size: int = SIZE, least: float = LEAST) -> DataFrame:
     """The document with the smallest doc_id of each component, with its own columns, once."""
 
     def coded(rows: DataFrame, keep: list[str]) -> DataFrame:
-        return stored(rows.select(*keep, F.col("doc_id").alias("_id"), _signed(size)("text").alias("_s")).select(*keep, "_id", "_s.*"), "codes")
+        return stored(rows.select(*keep, F.monotonically_increasing_id().alias("_rid"), F.col("doc_id").alias("_id"), _signed(size)("text").alias("_s")).select(*keep, "_rid", "_id", "_s.*"), "codes")
 
     return simhash.first_of_each(docs, coded, lambda rows, box: answers(rows, F.col(f"{box}.text"), size, least))

@@ -68,16 +68,21 @@ def shingle_hashes(text: str | None, size: int = 3) -> Iterator[np.ndarray]:
         yield np.array([digest(joined[a:b], SEED) for a, b in zip(first[at : at + 65_536], last[at : at + 65_536], strict=True)], dtype="<u8")
 
 
-def fingerprint(text: str | None, size: int = 3) -> int:
-    """SimHash of a whole text."""
+def majority(slices: Iterator[np.ndarray] | list[np.ndarray]) -> int:
+    """The bits that are set in more than half of all hashes."""
     total, n = np.zeros(64, dtype=np.int64), 0
-    for hashes in shingle_hashes(text, size):
+    for hashes in slices:
         total += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         n += len(hashes)
     bits = (2 * total > n).astype(np.uint8)
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, size: int = 3) -> int:
+    """SimHash of a whole text."""
+    return majority(shingle_hashes(text, size))
+
+
 @F.pandas_udf(LongType())
 def fingerprints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in batches:
@@ -325,21 +330,21 @@ def components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
 
 
 def coded(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The kept columns with ``_id`` and ``_code`` (the fingerprint), stored."""
-    return stored(docs.select(*keep, F.col("doc_id").alias("_id"), fingerprints("text").alias("_code")), "codes")
+    """The kept columns with ``_rid`` (a number of the row), ``_id`` and ``_code`` (the fingerprint), stored."""
+    return stored(docs.select(*keep, F.monotonically_increasing_id().alias("_rid"), F.col("doc_id").alias("_id"), fingerprints("text").alias("_code")), "codes")
 
 
 def answers(codes: DataFrame) -> DataFrame:
-    """(_code, _component, _n): for each fingerprint the smallest doc_id reachable, and its documents; codes(_id, _code)."""
+    """For each fingerprint (_code) the smallest doc_id reachable (_component) and its documents (_n); codes(_id, _code)."""
     nodes = stored(codes.groupBy(F.col("_code").alias("code")).agg(F.min("_id").alias("low"), F.count("*").alias("of")), "nodes")
     return rooted(nodes, components(links(nodes.select("code"))))
 
 
 def rooted(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """(_code, _component, _n), stored, from nodes(code, low, of) and their components."""
+    """(_code, _root, _component, _n), stored, from nodes(code, low, of) and their components."""
     found = stored(nodes.join(roots, "code", "left").select("code", F.coalesce("root", "code").alias("root"), "low", "of"), "rooted")
     least = stored(found.groupBy("root").agg(F.min("low").alias("component"), F.count("*").alias("n")), "least")
-    return stored(join_hot(found, least, "root", "n").select(F.col("code").alias("_code"), F.col("component").alias("_component"), F.col("of").alias("_n")), "answers")
+    return stored(join_hot(found, least, "root", "n").select(F.col("code").alias("_code"), F.col("root").alias("_root"), F.col("component").alias("_component"), F.col("of").alias("_n")), "answers")
 
 
 def hex_code(code: Column) -> Column:
@@ -361,19 +366,14 @@ def first_of_each(docs: DataFrame, coded, answers) -> DataFrame:
     """The first document of each component, where ``coded`` gives rows a node and ``answers`` nodes a component.
 
     Rows that repeat that doc_id give way to the first of them by content; a component without any doc_id keeps
-    one row, the first by content. The choice is made on narrow rows; texts move once, to meet it.
+    one row, the first by content. The choice is made on narrow rows; a text stays where it is unless the rows that go are many.
     """
     (box,) = free_names(docs, "_row")
     sign = F.xxhash64(*[F.to_json(F.struct(c)) if "map<" in t else F.col(c) for c, t in docs.dtypes])
     rows = coded(docs.select(F.struct(*docs.columns).alias(box), sign.alias("_sign"), "doc_id", "text"), [box, "_sign"])
-    narrow = rows.select("_id", "_code", "_sign")
-    kept = join_hot(narrow, answers(rows, box), "_code", "_n").filter(F.col("_id").eqNullSafe(F.col("_component")))
-    group = F.coalesce(F.col("_id").cast("string"), F.concat(F.lit("code "), F.col("_code").cast("string")))
-    chosen = stored(kept.groupBy(group.alias("_group")).agg(F.min(F.struct("_sign", "_code")).alias("_first")).select("_first.*", F.col("_group")), "chosen")
-    taken = rows.withColumn("_group", group).join(chosen, ["_group", "_code", "_sign"], "left_semi")
-    # Rows equal in every column have one sign; where there are such, all but one go.
-    again = stored(narrow.withColumn("_group", group).join(chosen, ["_group", "_code", "_sign"], "left_semi").groupBy("_group").agg(F.count("*").alias("n")).filter("n > 1").select("_group"), "again")
-    if small_enough(again, 0):
-        return taken.select(f"{box}.*")
-    once = taken.join(again, "_group", "left_anti").select(box)
-    return once.union(taken.join(again, "_group", "left_semi").dropDuplicates(["_group"]).select(box)).select(f"{box}.*")
+    narrow = rows.select("_rid", "_id", "_code", "_sign")
+    firsts = join_hot(narrow, answers(rows, box), "_code", "_n").filter(F.col("_id").eqNullSafe(F.col("_component")))
+    group = F.coalesce(F.col("_id").cast("string"), F.concat(F.lit("root "), F.col("_root").cast("string")))
+    chosen = firsts.groupBy(group.alias("_group")).agg(F.min(F.struct("_sign", "_code", "_rid")).alias("_first")).select("_first._rid")
+    gone = stored(narrow.select("_rid").join(chosen, "_rid", "left_anti"), "gone")
+    return rows.join(broadcast_if_small(gone, 500_000), "_rid", "left_anti").select(f"{box}.*")
