@@ -9,8 +9,8 @@ ROOT = os.path.dirname(os.path.abspath(entry.__file__))
 NAMES = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert set(o) <= set(q) and len(q) > 100; print(sorted(n for n in q if n.startswith('op') or n == 'pipeline'))"
 
 
-def names(folder):
-    return subprocess.run([sys.executable, "-B", "-c", NAMES], cwd=folder, capture_output=True, text=True, check=True).stdout
+def names(folder, **env):
+    return subprocess.run([sys.executable, "-B", "-c", NAMES], cwd=folder, capture_output=True, text=True, check=True, env=os.environ | env).stdout
 
 
 def copied(tmp_path, *without):
@@ -25,7 +25,13 @@ def test_registry_needs_no_session_and_no_corpus_subpackage(tmp_path):
 
 def test_pipeline_alone_can_go(tmp_path):
     if os.path.isdir(f"{ROOT}/tidemark/llm"):
-        assert "'pipeline'" not in names(copied(tmp_path, "corpus_pipeline.py"))
+        copy = copied(tmp_path, "corpus_pipeline.py")
+        assert "'pipeline'" not in names(copy) and "'pipeline'" not in names(copy, PYTHONPATH=ROOT)
+
+
+def test_only_what_lies_beside_the_entry_counts(tmp_path):
+    """A copy without the corpus parts registers none, even where the path of another copy holds them."""
+    assert names(copied(tmp_path, "llm", "corpus_pipeline.py"), PYTHONPATH=ROOT).strip() == "[]"
 
 
 def test_flagship(spark):
