@@ -2,10 +2,11 @@ import itertools
 import zlib
 from collections import Counter, defaultdict
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm.sharding import curve_table, shard_report, write_shards
+from tidemark.llm.sharding import curve_table, depths, shard_report, write_shards
 from tidemark.session import table
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -54,3 +55,30 @@ def test_written_files(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "out"))
     assert sorted(map(tuple, back.select(*docs.columns).collect())) == sorted(map(tuple, docs.collect()))
     assert back.select("shard").distinct().count() == 16
+
+
+def test_files_can_be_skipped(spark, tmp_path):
+    """By the written files' own statistics: shards that a filter on one source or one language must read, of 16."""
+    docs = table(spark, "/root/testdata/sf0.1", "documents")
+    write_shards(docs, str(tmp_path / "out"))
+    ranges = defaultdict(dict)
+    for path in (tmp_path / "out").rglob("*.parquet"):
+        shard, meta = path.parent.name, pq.ParquetFile(path).metadata
+        for g in range(meta.num_row_groups):
+            for c in range(meta.num_columns):
+                col = meta.row_group(g).column(c)
+                if col.path_in_schema in ("source", "lang"):
+                    low, high = ranges[shard].get(col.path_in_schema, (col.statistics.min, col.statistics.max))
+                    ranges[shard][col.path_in_schema] = min(low, col.statistics.min), max(high, col.statistics.max)
+    assert len(ranges) == 16
+    for name, most in (("source", 6), ("lang", 8)):
+        values = [r[0] for r in docs.select(name).distinct().collect()]
+        left = [sum(r[name][0] <= v <= r[name][1] for r in ranges.values()) for v in values]
+        assert sum(left) / len(left) <= most
+
+
+def test_axis_cells_follow_the_order_of_values(spark):
+    rows = spark.createDataFrame([(v,) for v in "aaaaaaaabbccdz"], "v string")
+    got = {r["v"]: (r["axis"], r["n"]) for r in depths(rows, "v", 3).collect()}
+    # Middle rows of 14: 4, 9, 11, 12.5, 13.5, in eighths.
+    assert got == {"a": (2, 8), "b": (5, 2), "c": (6, 2), "d": (7, 1), "z": (7, 1)}

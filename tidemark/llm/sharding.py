@@ -1,17 +1,22 @@
 """Sharding along a Hilbert curve over quantised metadata (operator 5, native).
 
-Language, source and length are quantised to ``bits`` bits each; a document's cell is its place on the
-Hilbert curve through that grid. Documents are ordered by (curve index, keyed hash, doc_id, size, checksum)
-and the order is cut into equal runs, so each shard covers few cells and its files have narrow value ranges
-in every dimension. The law is ``rows``: shards differ by one document at most.
-
-The global position takes no global sort. Equal rows are counted first, then each cell is divided into strips
-of about ``strip_rows`` rows by the keyed hash; the prefix sums run over strips, and row numbers within them.
-A cell with a third of all rows is just more strips.
-
-Defined cases: a null text has size 1 and checksum 0; null lang, source and doc_id are values of their own;
-repeated rows take consecutive places; an empty table gives an empty result; with fewer rows than shards the
-first shards hold a row each, as the cut falls.
+Language, source and length are quantised to ``bits`` bits each by equal depth: a value's place is the share of rows
+before it in the order of values, so neighbouring values share or adjoin cells, and crowded ranges get more cells
+than empty ones. Length, which filters name least, takes half the range, so that the curve parts languages and sources
+first. A document's cell is its place on the Hilbert curve through that grid. Documents are ordered by
+(curve index, keyed hash, doc_id, size, checksum) and the order is cut into equal runs. A run covers a compact part of
+the grid, so its files have narrow ranges of all three dimensions, and a filter on any of them skips most files. The
+law is ``rows``: shards differ by one document at most.
+
+No step sorts all rows. The distinct values of a dimension are range-partitioned and numbered in two levels. Equal
+rows are counted first, then each cell is divided into strips of about ``strip_rows`` rows by the keyed hash; the
+prefix sums run over strips, and row numbers within them. A cell with a third of all rows is just more strips, and a
+value with as many is joined by broadcast.
+
+Defined cases: a null text has size 1 and checksum 0; null lang and source come before all others, null doc_id is a
+value of its own; repeated rows take consecutive places; ties in the order are equal rows; only the metadata of a long text
+moves; extra columns are not read; an empty table gives an empty result; with fewer rows than shards the first
+shards hold a row each, as the cut falls.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stored, unit_hash
+from tidemark.llm.common import join_hot, small_enough, stored, unit_hash
 
 
 def hilbert_index(axes: Column, bits: int, dims: int) -> Column:
@@ -64,20 +69,40 @@ def curve_table(spark: SparkSession, bits: int, dims: int) -> DataFrame:
     return spark.range(n**dims).select(F.col("id").alias("cell"), hilbert_index(axes, bits, dims).alias("curve"))
 
 
-def metadata_cell(bits: int) -> Column:
-    """A document's grid cell: language and source by hash, length by its power of the square root of two."""
+def depths(rows: DataFrame, value: str, bits: int) -> DataFrame:
+    """(value, axis, n), stored: each distinct value's cell of the axis, by the share of rows before its middle row."""
+    counts = stored(rows.groupBy(value).agg(F.count("*").alias("n")).repartitionByRange(value).withColumn("part", F.spark_partition_id()), "values")
+    parts = counts.groupBy("part").agg(F.sum("n").alias("m"))  # a row a partition
+    before = F.coalesce(F.sum("m").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("part", before.alias("before"), F.sum("m").over(Window.partitionBy()).alias("total"))
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    share = (F.col("before") + F.col("inside") + F.col("n") / 2) / F.col("total")
+    return stored(counts.withColumn("inside", inside).join(F.broadcast(parts), "part").select(value, F.floor(share * (1 << bits)).cast("int").alias("axis"), "n"), "depths")
+
+
+def on_axis(rows: DataFrame, value: str, axis: str, bits: int) -> DataFrame:
+    """The rows with their cell of one axis in place of the value."""
+    places = depths(rows, value, bits).withColumnRenamed("axis", axis)
+    met = rows.join(F.broadcast(places.drop("n")), value) if small_enough(places, 100_000) else join_hot(rows, places, value, "n")
+    return met.drop(value)
+
+
+def axes(rows: DataFrame, bits: int) -> DataFrame:
+    """rows(lang, source, size, ...) with ``cell``, the number of the grid cell, in place of lang and source."""
     n = 1 << bits
-    lang = F.pmod(F.xxhash64(F.coalesce("lang", F.lit("~"))), F.lit(n))
-    source = F.pmod(F.xxhash64(F.coalesce("source", F.lit("~"))), F.lit(n))
-    length = F.least(F.floor(F.log2(F.col("size").cast("double")) * (n / 24.0)), F.lit(n - 1))
-    return (lang + source * n + length * n * n).cast("long")
+    # Lengths in steps of a quarter of a power of two.
+    named = rows.withColumns({"_v0": F.coalesce(F.concat(F.lit("v"), "source"), F.lit("")), "_v1": F.coalesce(F.concat(F.lit("v"), "lang"), F.lit("")), "_v2": F.floor(F.log2(F.col("size").cast("double")) * 4).cast("int")}).drop("lang", "source")
+    for d in range(3):  # length takes half the range
+        named = on_axis(named, f"_v{d}", f"_a{d}", bits - (d == 2))
+    return named.withColumn("cell", (F.col("_a0") + F.col("_a1") * n + F.col("_a2") * n * n).cast("long")).drop("_a0", "_a1", "_a2")
 
 
-def hilbert_shards(rows: DataFrame, shards: int = 16, bits: int = 4, strip_rows: int = 4096, seed: str = "shard") -> DataFrame:
+def hilbert_shards(rows: DataFrame, shards: int = 16, bits: int = 5, strip_rows: int = 4096, seed: str = "shard") -> DataFrame:
     """rows(doc_id, size, text_crc32, lang, source) to doc_id, size, text_crc32, curve, shard, slot."""
     spark, by = rows.sparkSession, ["curve", "strip"]
-    cells = F.broadcast(curve_table(spark, bits, 3))  # a bound from the parameters: 4,096 rows at 4 bits
-    same = rows.select("doc_id", "size", "text_crc32", metadata_cell(bits).alias("cell")).groupBy("cell", "doc_id", "size", "text_crc32").agg(F.count("*").alias("copies"))
+    cells = F.broadcast(curve_table(spark, bits, 3))  # a bound from the parameters: 32,768 rows at 5 bits
+    narrow = stored(rows.select("doc_id", "size", "text_crc32", "lang", "source"), "metadata")
+    same = axes(narrow, bits).groupBy("cell", "doc_id", "size", "text_crc32").agg(F.count("*").alias("copies"))
     same = stored(same.join(cells, "cell").select("curve", "doc_id", "size", "text_crc32", "copies", unit_hash(seed, F.col("doc_id"), F.col("size"), F.col("text_crc32")).alias("h")), "cells")
     width = F.broadcast(same.groupBy("curve").agg(F.ceil(F.count("*") / strip_rows).alias("strips")))  # at most one row a cell
     placed = same.join(width, "curve").withColumn("strip", F.floor(F.col("h") / F.lit(float(1 << 60)) * F.col("strips")).cast("long")).drop("strips")
