@@ -1,29 +1,38 @@
 """Surrogates for personal data (operator 10, native).
 
-Entities are found by patterns: e-mail and IPv4 addresses, phone, card and social security numbers, IBANs, access
-keys, values after a password-like name in any case, and names after a title or with a known first name. Each gets a
-surrogate of its type, derived from a keyed digest of its canonical form: letters become letters of the same case
-and script, digits become digits, signs stay; cards keep their issuer digit and their check-sum state, phones
-their country code, addresses stay addresses, hexadecimal stays hexadecimal. A known first name becomes another of the
-same gender and script (by a keyed rotation of the list, so no two meet); a surname becomes another word of
-its script, and one after a woman's title keeps a woman's ending. The same entity has the same surrogate
-everywhere, in whatever format it is written.
+Entities are found by patterns: e-mail, IPv4 and IPv6 addresses, phone numbers (international, North American, and national
+ones with a leading 0), card and social security numbers, IBANs, access keys, values after a password-like name in
+any case, and names after a title or a cue such as ``name:``, or with a known first name. Version and section numbers of
+four parts, ``Ms Office`` and the like are passed over. Names without title, cue or known first name, street addresses and
+dates of birth are not found.
+
+Each entity gets a surrogate of its type, derived from a keyed digest of its canonical form: letters become letters
+of the same case and script, digits become digits, signs stay; cards keep their issuer digit and their check-sum
+state, IBANs their country and their check digits' validity, phones their country code, addresses stay addresses, hexadecimal
+stays hexadecimal. A known first name becomes another of the same gender and script (the next in a keyed
+order of the list, so no two meet); a surname becomes another word of its script, and one after a woman's title keeps a
+woman's ending. The same entity has the same surrogate everywhere, in whatever format it is written.
 
 Collision checks: all distinct entities of the corpus are gathered by type; a surrogate that another entity has
-too, or that is itself an entity of the corpus, is drawn anew with the next round number, until none is left.
-Documents are rewritten in place, without a shuffle, where round 0 settled all of their entities; only entities of
-later rounds are joined back to the documents that have them.
-
-Defined cases: a null text stays null; texts without entities are unchanged; repeated rows are rewritten alike; an
-empty table gives an empty result.
+too, or that is itself an entity of the corpus, is drawn anew with the next round number, until none is left. A format can
+be full: there are 676 addresses like ``a@b.co``. So every ``GROW`` rounds the surrogates become a character longer
+(an IPv4 address becomes an IPv6 one), and all entities are served.
+Documents are rewritten in place, without a shuffle, where round 0 settled all entities. Else only documents with an
+entity take part in a join, by broadcast where the texts with entities of later rounds are few.
+
+Defined cases: a null text stays null; texts without entities are unchanged; repeated rows are rewritten alike; of two
+patterns that match at one place the first of the list counts; a text is rewritten whole, whatever its length; extra
+columns stay, whatever their names, but the name of the count column must be new; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import free_names, small_enough, stored
+from tidemark.llm.common import broadcast_if_small, free_names, small_enough, stored
 
 # Titles and first names by gender and script.
 TITLES_M = ["Mr", "Mister", "Herr", "Monsieur", "Señor", "Господин"]
@@ -34,27 +43,35 @@ FIRST = {
     "cm": ["Иван", "Пётр", "Сергей", "Алексей", "Дмитрий", "Николай"],
     "cf": ["Анна", "Мария", "Ольга", "Елена", "Наталья", "Ирина"],
 }
+CUES = ["name", "Name", "NAME", "patient", "Patient", "contact", "Contact", "employee", "Employee", "customer", "Customer"]
+PRODUCTS = ["Access", "Edge", "Excel", "Exchange", "Office", "Outlook", "Paint", "Project", "Teams", "Windows", "Word"]
+PAGEANTS = ["America", "Earth", "Europe", "France", "Germany", "International", "Universe", "World"]
+NUMBERED = ["build", "chapter", "clause", "paragraph", "release", "revision", "section", "sections", "ver", "version", "versions", "v"]
 _CAP = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zà-öø-ÿа-яё]+(?:-[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zà-öø-ÿа-яё]+)?"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: Types in the order in which a place of the text is tried.
 PATTERNS = {
+    "none": rf"\b(?i:{'|'.join(NUMBERED)})[ .:]{{0,2}}[0-9]+(?:\.[0-9]+){{3}}|\b(?:Ms\.? (?:{'|'.join(PRODUCTS)})|Miss (?:{'|'.join(PAGEANTS)}))\b",
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "secret": r"(?i:password|passwd|pwd|token|secret|api_?key) {0,2}[=:] {0,2}[\"']?[A-Za-z0-9+/_-]{8,}",
     "key": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
-    "phone": r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9-])[0-9]{3}[-.][0-9]{3}[-.][0-9]{4}(?![0-9-])",
+    "phone": r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9-])[0-9]{3}[-.][0-9]{3}[-.][0-9]{4}(?![0-9-])|(?<![0-9.,/-])0(?=(?:[ /-]?[0-9]){8,11}(?![0-9]))[0-9]{1,4}[ /-][0-9]{2,8}(?:[ -][0-9]{2,4}){0,4}(?![0-9])",
     "card": r"(?<![0-9])[0-9]{4}(?:[ -]?[0-9]{4}){3}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
-    "name": rf"\b(?:{'|'.join(TITLES_M + TITLES_F)})\.? {_CAP}(?: {_CAP})?|\b(?:{'|'.join(sum(FIRST.values(), []))}) {_CAP}",
+    "ipv6": r"(?<![0-9A-Za-z:.])(?=[A-Fa-f:]{0,8}[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])",
+    "name": rf"\b(?:{'|'.join(TITLES_M + TITLES_F)})\.? {_CAP}(?: {_CAP})?|\b(?:{'|'.join(CUES)})(?: is|[:=]) {_CAP} {_CAP}|\b(?:{'|'.join(sum(FIRST.values(), []))}) {_CAP}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: One of these is in every text with an entity; they are quick to rule out.
-SIGNS = (r"[0-9@]|A[KS]IA", r"(?i:(?:passw|pwd|token|secret|api_?key)[a-z]{0,4}) {0,2}[=:]", rf"(?=[A-ZА-ЯЁ])\b(?:{'|'.join(TITLES_M + TITLES_F + sum(FIRST.values(), []))})\.? ")
+SIGNS = (r"[0-9@]|A[KS]IA", rf"\b(?:{'|'.join(CUES)})(?: is|[:=]) ", r"(?i:(?:passw|pwd|token|secret|api_?key)[a-z]{0,4}) {0,2}[=:]", rf"(?=[A-ZА-ЯЁ])\b(?:{'|'.join(TITLES_M + TITLES_F + sum(FIRST.values(), []))})\.? ")
 #: What stands before a secret's value in its match.
 SECRET_HEAD = r"^([A-Za-z_]+ {0,2}[=:] {0,2}[\"']?)"
 #: Characters of the stream that a digit or letter takes.
 _WIDE = 4
+#: Rounds after which surrogates grow by a character.
+GROW = 8
 
 
 def let(value: Column, body) -> Column:
@@ -63,12 +80,12 @@ def let(value: Column, body) -> Column:
 
 
 def kind_of(hit: Column) -> Column:
-    out = F.lit(None).cast("string")
+    out = F.lit("none")
     for name, pattern in reversed(PATTERNS.items()):
         out = F.when(hit.rlike(f"^(?:{pattern})$"), F.lit(name)).otherwise(out)
     # Sixteen digits whose check sum is not zero are no card.
     digits = F.regexp_replace(hit, "[^0-9]", "")
-    return F.coalesce(F.when((out == "card") & (_luhn(digits) != 0), F.lit("none")).otherwise(out), F.lit("none"))
+    return F.when((out == "card") & (_luhn(digits) != 0), F.lit("none")).otherwise(out)
 
 
 def canonical(kind: Column, hit: Column) -> Column:
@@ -116,28 +133,42 @@ def _luhn(digits: Column) -> Column:
     return F.pmod(F.aggregate(F.filter(chars, lambda x: x["c"] != ""), F.lit(0), add), F.lit(10))
 
 
+def _mod97(iban: Column) -> Column:
+    """An IBAN's remainder: its first four characters last, letters as two digits."""
+    turned = F.concat(F.substring(iban, F.lit(5), F.length(iban)), F.substring(iban, 1, 4))
+    value = lambda c: F.ascii(c) - F.when(c.rlike("[0-9]"), 48).otherwise(55)
+    return F.aggregate(F.split(turned, ""), F.lit(0), lambda s, c: F.when(c == "", s).otherwise((s * F.when(c.rlike("[0-9]"), 10).otherwise(100) + value(c)) % 97))
+
+
 def surrogate(key: str, kind: Column, value: Column, turn: Column) -> Column:
     """The surrogate of a canonical form (a name's word, for names), in canonical form."""
-    chars = F.split(value, "")
+    # What a later round adds takes its class from the last character; an address grows at its head.
+    more = F.when(kind.isin("card", "iban", "ip"), 0).otherwise(F.floor(turn / GROW)).cast("int")
+    last = F.when(value.rlike("[0-9]$"), "0").when(value.rlike("[A-Z]$"), "A").when(value.rlike("[а-яё]$"), "а").otherwise("a")
+    grown = F.when(kind == "email", F.concat(F.repeat(F.lit("a"), more), value)).otherwise(F.concat(value, F.repeat(last, more)))
 
     def keep(i: Column) -> Column:
         country = F.when(F.length(value) > 10, F.length(value) - 10).otherwise(0)  # a phone's country code and first area digit stay
         return F.when(kind == "phone", i <= country).when(kind == "card", i == 0).when(kind == "key", i < 4).when(kind == "iban", i < 2).otherwise(F.lit(False))
 
-    hexadecimal = (kind == "secret") & value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")
+    hexadecimal = (kind == "ipv6") | ((kind == "secret") & value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"))
     woman = kind == "surname_f"
 
     def drawn(stream: Column) -> Column:
-        text = F.array_join(F.transform(chars, lambda c, i: _character(kind, hexadecimal, keep(i), c, i, stream)), "")
+        text = F.array_join(F.transform(F.split(grown, ""), lambda c, i: _character(kind, hexadecimal, keep(i), c, i, stream)), "")
         # The host's last label stays, so that the address is one.
         email = let(text, lambda t: F.concat(F.regexp_extract(t, r"^(.*\.)[^.]+$", 1), F.regexp_extract(value, r"([^.]+)$", 1)))
         address = F.concat_ws(".", *[(_draw(stream, F.lit(i), 223 if i == 0 else 254) + 1).cast("string") for i in range(4)])
+        longer = F.concat(F.lit("fd"), F.substring(stream, 1, 2), *[F.concat(F.lit(":"), F.substring(stream, 4 * i + 1, 4)) for i in range(1, 8)])
         # The last digit is what leaves the check sum as it was.
         card = let(F.concat(F.substring(text, 1, 15), F.lit("0")), lambda t: F.concat(F.substring(t, 1, 15), F.pmod(_luhn(value) - _luhn(t), F.lit(10)).cast("string")))
+        rest = F.substring(text, F.lit(5), F.length(text))
+        valid = F.concat(F.substring(text, 1, 2), F.lpad((98 - _mod97(F.concat(F.substring(text, 1, 2), F.lit("00"), rest))).cast("string"), 2, "0"), rest)
         endings = F.when(woman & value.rlike("[аеи]я$|[ео]ва$|ина$"), F.concat(F.substring(text, F.lit(1), F.length(text) - 2), F.lit("ва")))
-        return F.when(kind == "email", email).when(kind == "ip", address).when(kind == "card", card).when(endings.isNotNull(), endings).otherwise(text)
+        ip = F.when(turn < GROW, address).otherwise(longer)
+        return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when((kind == "iban") & (_mod97(value) == 1), valid).when(endings.isNotNull(), endings).otherwise(text)
 
-    return let(_stream(key, kind, value, turn), drawn)
+    return let(_stream(key, kind, grown, turn), drawn)
 
 
 def _as_written(hit: Column, made: Column) -> Column:
@@ -148,21 +179,24 @@ def _as_written(hit: Column, made: Column) -> Column:
         x = F.substring(made, s["at"], F.lit(1))
         return F.when(c.rlike("[A-Za-z0-9]"), F.struct(F.concat(s["out"], x).alias("out"), (s["at"] + 1).alias("at"))).otherwise(F.struct(F.concat(s["out"], c).alias("out"), s["at"].alias("at")))
 
-    return F.aggregate(F.split(hit, ""), zero, put)["out"]
+    # What a later round has added comes last.
+    return let(F.aggregate(F.split(hit, ""), zero, put), lambda s: F.concat(s["out"], F.substring(made, s["at"], F.length(made))))
 
 
 def _email_case(hit: Column, made: Column) -> Column:
-    return F.array_join(F.zip_with(F.split(hit, ""), F.split(made, ""), lambda a, b: F.when(a.rlike("[A-Z]"), F.upper(b)).otherwise(b)), "")
+    more = F.length(made) - F.length(hit)
+    return F.array_join(F.transform(F.split(made, ""), lambda c, i: F.when(F.substring(hit, i - more + 1, F.lit(1)).rlike("[A-Z]") & (i >= more), F.upper(c)).otherwise(c)), "")
 
 
 def name_words(hit: Column) -> Column:
-    """A name's words with their parts: title, known first names by list, or surname by gender."""
+    """A name's words with their parts: title (or cue), known first names by list, or surname by gender."""
     words = F.split(hit, " ")
-    first = F.regexp_replace(F.get(words, F.lit(0)), r"\.$", "")
-    woman = first.isin(*TITLES_F, *FIRST["f"], *FIRST["cf"])
+    first = F.regexp_replace(F.get(words, F.lit(0)), r"[.:=]$", "")
+    known = F.when(first.isin(*CUES), F.get(words, F.size(words) - 2)).otherwise(first)
+    woman = known.isin(*TITLES_F, *FIRST["f"], *FIRST["cf"])
 
     def part(w: Column, i: Column) -> Column:
-        out = F.when((i == 0) & first.isin(*TITLES_M, *TITLES_F), F.lit("title"))
+        out = F.when(((i == 0) & first.isin(*TITLES_M, *TITLES_F, *CUES)) | (w == "is"), F.lit("title"))
         for name, known in FIRST.items():
             out = out.when((i < F.size(words) - 1) & w.isin(*known), F.lit(f"first_{name}"))
         return F.struct(w.alias("w"), out.when(woman, F.lit("surname_f")).otherwise(F.lit("surname")).alias("part"))
@@ -171,12 +205,11 @@ def name_words(hit: Column) -> Column:
 
 
 def _rotated(key: str, part: Column, word: Column) -> Column:
-    import hashlib
-
+    """A known first name's successor in the keyed order of its list."""
     out = word
     for name, known in FIRST.items():
-        shift = 1 + int(hashlib.sha256(f"{key}|{name}".encode()).hexdigest(), 16) % (len(known) - 1)
-        table = F.create_map(*[F.lit(x) for i, w in enumerate(known) for x in (w, known[(i + shift) % len(known)])])
+        order = sorted(known, key=lambda w, name=name: hashlib.sha256(f"{key}|{name}|{w}".encode()).hexdigest())
+        table = F.create_map(*[F.lit(x) for w, v in zip(order, [*order[1:], order[0]], strict=True) for x in (w, v)])
         out = F.when(part == f"first_{name}", F.element_at(table, word)).otherwise(out)
     return out
 
@@ -238,12 +271,14 @@ def settled(entities: DataFrame, key: str, most_rounds: int = 64) -> DataFrame:
             break
         taken = good.select("kind", "made") if taken is None else taken.union(good.select("kind", "made"))
     else:
-        raise ValueError("some entities find no free surrogate: their format has too few values")
+        raise ValueError(f"some entities find no free surrogate in {most_rounds} rounds")
     return late if late is not None else entities.limit(0).select("kind", "value", F.lit(0).alias("turn"))
 
 
 def anonymised(docs: DataFrame, key: str, text: str = "text", n_entities: str | None = None) -> DataFrame:
     """The table with surrogates in its text column, and the number of entities in another column if one is named."""
+    if n_entities is not None and n_entities.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"the table has a column {n_entities} already")
     found = docs.select(F.explode(mentions(hits_of(F.col(text)))).alias("m")).select("m.*").distinct()
     entities = stored(found, "entities")
     late = stored(settled(entities, key), "late")
@@ -254,11 +289,14 @@ def anonymised(docs: DataFrame, key: str, text: str = "text", n_entities: str |
     if n_entities is not None:
         own = own.withColumn(n_entities, F.coalesce(F.size(F.filter(hits, lambda h: kind_of(h) != "none")), F.lit(0)))
         names.append(n_entities)
+    at_once = own.withColumn(text, rewritten(F.col(text), F.col(hits), key, None)).select(*names)
     if small_enough(late, 0):
-        return own.withColumn(text, rewritten(F.col(text), F.col(hits), key, None)).select(*names)
+        return at_once
     # Texts that mention an entity of a later round, once each, with the rounds of those entities.
-    signed = own.withColumn(sign, F.when(F.size(hits) > 0, F.sha2(F.col(text), 256)))
-    each = signed.filter(F.col(sign).isNotNull()).select(sign, F.explode(mentions(F.col(hits))).alias("m")).select(sign, "m.*").distinct().join(late, ["kind", "value"])
+    with_hits = F.coalesce(F.size(hits), F.lit(0)) > 0
+    signed = own.filter(with_hits).withColumn(sign, F.sha2(F.col(text), 256))
+    each = signed.select(sign, F.explode(mentions(F.col(hits))).alias("m")).select(sign, "m.*").distinct().join(broadcast_if_small(late), ["kind", "value"])
     maps = stored(each.groupBy(sign).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\x1f", "kind", "value"), "turn"))).alias(rounds)), "maps")
-    joined = signed.join(maps, sign, "left")
-    return joined.withColumn(text, F.when(F.col(rounds).isNull(), rewritten(F.col(text), F.col(hits), key, None)).otherwise(rewritten(F.col(text), F.col(hits), key, F.col(rounds)))).select(*names)
+    joined = signed.join(broadcast_if_small(maps), sign, "left")
+    again = joined.withColumn(text, F.when(F.col(rounds).isNull(), rewritten(F.col(text), F.col(hits), key, None)).otherwise(rewritten(F.col(text), F.col(hits), key, F.col(rounds)))).select(*names)
+    return again.unionByName(own.filter(~with_hits).select(*names))
