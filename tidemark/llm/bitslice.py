@@ -7,17 +7,24 @@ sum of slices; its k-th greatest value is found from the most significant slice
 out can change a score only within a range that the query's own components give, so every row outside that
 range of the k-th value is decided; the boundary rows are resolved with their exact integer scores.
 
-The work is row blocks by query blocks, both of bounded size, joined on block numbers and spread by Spark; a
-block gives its own k best rows a query, and a window over those keeps the k best of all.
-
-Defined cases: a vector that is null or holds a null or non-finite component takes no part; vectors of
-different lengths meet as if the shorter ended in zeros; equal scores go to the smaller vec_id; repeated rows
-count as rows of their own, except that a query never meets a row with its own vec_id; rows whose vec_id is
-null are no queries or candidates; an empty table gives an empty result. |1024 x| must stay below 2 ** 24.
+Rows are dealt once into blocks of about ``BLOCK_CELLS`` components; a block is indexed once, and the queries come to it
+in batches. Where there are fewer blocks than cores, each block serves as many groups of queries as that takes. A block
+gives its own k best rows a query, and a window over those keeps the k best of all. Rows that are repeated exactly are
+one indexed row with a count, so they make no block hot.
+
+Defined cases: a vector that is null or holds a component that is null or not finite (or is not after the scaling) takes
+no part; vectors of different lengths meet as if the shorter ended in zeros; equal scores go to the smaller
+vec_id; repeated rows count as rows of their own, except that a query never meets a row with its own vec_id and
+is asked once; rows of one vec_id with different vectors are queries of their own; rows whose vec_id is null are no queries or
+candidates; an empty table gives an empty result; extra columns are not read. Where the squares of a vector's integers
+add up to less than 2 ** 62, every score of two such vectors is a long. Vectors beyond that meet all others in exact
+arithmetic of unbounded integers; a pair whose score is no long is left out, and only that pair.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -27,26 +34,42 @@ from tidemark.llm.common import stored
 
 SCALE = 1024
 #: Bits of each attribute below this one stay out of the slice sum.
-CUT = 3
-BLOCK_ROWS, BLOCK_QUERIES = 8192, 512
+CUT = 4
+#: Components of a block of rows.
+BLOCK_CELLS = 4_194_304
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(vec_id, v array<int>) of the vectors that take part."""
+    """(vec_id, v array<int>, w array<double>) of the vectors that take part: v of those whose scores are longs, else w."""
     v = F.col(vector_col)
-    fine = F.col(id_col).isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return vectors.filter(fine).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(x.cast("double") * SCALE).cast("int")).alias("v"))
+    fine = F.col(id_col).isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double") * SCALE) < float("inf")))
+    whole = lambda d: F.when(F.abs(d) < float(1 << 52), F.floor(d).cast("double")).otherwise(d)
+    rows = vectors.filter(fine).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(v, lambda x: whole(x.cast("double") * SCALE)).alias("w"))
+    short = F.aggregate("w", F.lit(0.0), lambda s, x: s + x * x) < float(1 << 62)
+    return rows.select("vec_id", F.when(short, F.transform("w", lambda x: x.cast("int"))).alias("v"), F.when(~short, F.col("w")).alias("w"))
 
 
-def _matrix(column: pd.Series, dims: int) -> np.ndarray:
-    out = np.zeros((len(column), dims), dtype=np.int64)
+def _matrix(column: pd.Series, dims: int, dtype: type = np.int64) -> np.ndarray:
+    """Vectors as rows, with zeros after their end; as Python's integers where dtype is object."""
+    out = np.zeros((len(column), dims), dtype=dtype)
     for i, v in enumerate(column):
-        out[i, : len(v)] = v
+        out[i, : len(v)] = v if dtype is not object else [int(x) for x in v]
     return out
 
 
+def signed_digits(weight: int) -> Iterator[tuple[int, int]]:
+    """(exponent, 1 or -1) of the powers of two that add up to the weight, with the fewest possible."""
+    at = 0
+    while weight:
+        if weight & 1:
+            digit = 2 - (weight & 3)
+            yield at, digit
+            weight -= digit
+        weight, at = weight >> 1, at + 1
+
+
 class SliceIndex:
-    """Bit slices of a block of integer vectors: ``slices[d, b]`` is a bitmap of the rows that have bit b in dimension d."""
+    """Bit slices of a block of integer vectors: ``slices[1][d, b]`` is a bitmap of the rows that have bit b in dimension d."""
 
     def __init__(self, rows: np.ndarray) -> None:
         self.rows, (self.n, self.dims) = rows, rows.shape
@@ -57,24 +80,22 @@ class SliceIndex:
         planes = np.zeros((self.dims, self.bits, words * 64), dtype=bool)
         for b in range(self.bits):
             planes[:, b, : self.n] = ((shifted >> b) & 1).astype(bool).T
-        self.slices = np.packbits(planes, axis=-1, bitorder="little").view(np.uint64)
+        slices = np.packbits(planes, axis=-1, bitorder="little").view(np.uint64)
         self.valid = np.packbits(np.arange(words * 64) < self.n, bitorder="little").view(np.uint64)
+        #: The slices, and their complements.
+        self.slices = {1: slices, -1: ~slices & self.valid}
 
     def add_up(self, query: np.ndarray, cut: int) -> tuple[list[np.ndarray], int]:
         """Slices, least first, of the weighted sum of the attributes' bits from ``cut`` up, and their common weight's exponent.
 
-        A negative weight adds the complement; the constants that this leaves aside are the same for all rows.
+        Weights are taken in signed digits. A negative digit adds the complement; the constants that this leaves aside
+        are the same for all rows.
         """
         columns: dict[int, list[np.ndarray]] = {}
-        for d in np.flatnonzero(query):
-            weight, flip = abs(int(query[d])), query[d] < 0
-            for b in range(cut, self.bits):
-                bitmap = ~self.slices[d, b] & self.valid if flip else self.slices[d, b]
-                w, at = weight, b
-                while w:
-                    if w & 1:
-                        columns.setdefault(at, []).append(bitmap)
-                    w, at = w >> 1, at + 1
+        for d in np.flatnonzero(query).tolist():
+            for at, sign in signed_digits(int(query[d])):
+                for b in range(cut, self.bits):
+                    columns.setdefault(at + b, []).append(self.slices[sign][d, b])
         if not columns:
             return [], 0
         total, least, at = [], min(columns), min(columns)
@@ -137,36 +158,83 @@ class SliceIndex:
         return self.at_least(total, self.threshold(total, k) - (undecided >> least) - 1)
 
 
+class Block:
+    """A block of rows: an index over those with short integers, and the few others as they are."""
+
+    def __init__(self, rows: pd.DataFrame) -> None:
+        rows = rows.sort_values("vec_id", kind="stable")
+        wide = rows.v.isna().to_numpy()
+        self.short, self.wide = rows[~wide], rows[wide]
+        self.dims = max(1, *self.short.v.str.len()) if len(self.short) else 1
+        self.index = SliceIndex(_matrix(self.short.v, self.dims))
+        #: Most rows that a query's own vec_id can take.
+        self.own = int(self.short.vec_id.value_counts().max()) if len(self.short) else 0
+
+    def search(self, query: int, v: np.ndarray | None, w: np.ndarray | None, k: int) -> pd.DataFrame:
+        """vec_id, score and copies of the k best rows, without the query's own."""
+        if v is None:
+            found = [self._exactly(self.short, self.short.v, w), self._exactly(self.wide, self.wide.w, w)]
+        else:
+            asked = _matrix([v], max(self.dims, len(v)))[0][: self.dims]
+            at = self.index.candidates(asked, k + self.own)
+            found = [self._frame(self.short.iloc[at], self.index.rows[at] @ asked)]
+            if len(self.wide):
+                found.append(self._exactly(self.wide, self.wide.w, v))
+        found = pd.concat(found)
+        found = found[found.vec_id != query]
+        return found.iloc[np.lexsort((found.vec_id, -found.score))[:k]]
+
+    @staticmethod
+    def _frame(rows: pd.DataFrame, score: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"vec_id": rows.vec_id.to_numpy(), "score": score.astype(np.int64), "copies": rows.copies.to_numpy()})
+
+    def _exactly(self, rows: pd.DataFrame, vectors: pd.Series, query: np.ndarray) -> pd.DataFrame:
+        """All rows whose score is a long, by unbounded integers."""
+        dims = max([len(query), *map(len, vectors)])
+        score = _matrix(vectors, dims, object) @ _matrix([query], dims, object)[0]
+        fits = np.array([-(1 << 63) <= x < 1 << 63 for x in score], dtype=bool)
+        return self._frame(rows[fits], score[fits])
+
+
 def _search(k: int):
-    def task(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows) or not len(queries):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        rows, queries = rows.sort_values("vec_id", kind="stable"), queries.sort_values("vec_id", kind="stable")
-        dims = max(rows.v.str.len().max(), queries.v.str.len().max(), 1)
-        index, ids, asked = SliceIndex(_matrix(rows.v, dims)), rows.vec_id.to_numpy(), _matrix(queries.v, dims)
-        own = np.bincount(np.searchsorted(np.unique(ids), ids)).max()  # most rows that a query's own vec_id can take
-        found = []
-        for query, vec in zip(queries.vec_id.to_numpy(), asked, strict=True):
-            at = index.candidates(vec, k + int(own))
-            at = at[ids[at] != query]
-            score = index.rows[at] @ vec
-            best = np.lexsort((ids[at], -score))[:k]
-            found.append((np.full(len(best), query), ids[at][best], score[best]))
-        return pd.DataFrame({n: np.concatenate(x) for n, x in zip(("query_id", "vec_id", "score"), zip(*found, strict=True), strict=True)})
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Partitions sorted by task, rows before queries: a task's block is indexed once, then its queries pass by."""
+        held: list[pd.DataFrame] = []
+        at, block = None, None
+        for batch in batches:
+            for key, part in batch.groupby("task", sort=False):
+                if key != at:
+                    at, block, held = key, None, []
+                rows, queries = part[~part.asked], part[part.asked]
+                if len(rows):
+                    held.append(rows)
+                if not len(queries) or not held:
+                    continue
+                block = block or Block(pd.concat(held))
+                found = [block.search(q, v, w, k).assign(query_id=q, sign=s) for q, s, v, w in zip(queries.vec_id, queries.sign, queries.v, queries.w, strict=True)]
+                yield pd.concat(found)[["query_id", "sign", "vec_id", "score", "copies"]]
 
     return task
 
 
 def top_k(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     """The k best rows of each query (vec_id divisible by ``every``): query_id, rank, vec_id, score."""
-    rows = stored(usable(vectors).withColumn("u", F.xxhash64("vec_id", "v")), "vectors")
-    total = rows.count()
-    row_blocks = max(1, -(-total // BLOCK_ROWS))
-    queries = rows.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"])
-    query_blocks = max(1, -(-total // (every * BLOCK_QUERIES)))
-    # Equal vectors spread over blocks by a second hash of the partition-independent row, so no block is hot.
-    blocked = rows.select(F.pmod("u", F.lit(row_blocks)).alias("rb"), "vec_id", "v").withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    asked = queries.select(F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int").alias("qb"), "vec_id", "v").withColumn("rb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(row_blocks - 1).cast("long"))))
-    found = blocked.groupBy("rb", "qb").cogroup(asked.groupBy("rb", "qb")).applyInPandas(_search(k), "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    spark = vectors.sparkSession
+    counted = usable(vectors).groupBy("vec_id", "v", "w").agg(F.count("*").alias("copies"))
+    rows = stored(counted.withColumn("sign", F.xxhash64("vec_id", "v", "w")), "vectors")
+    total, dims = rows.agg(F.count("*"), F.max(F.size(F.coalesce(F.col("v").cast("array<double>"), "w")))).first()
+    blocks = max(1, -(-total * max(1, dims or 1) // BLOCK_CELLS))
+    cores = max(1, spark.sparkContext.defaultParallelism)
+    groups = -(-cores // blocks)
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    block = F.pmod("sign", F.lit(blocks)).cast("int")
+    group = F.pmod(F.xxhash64(F.lit("query"), "sign"), F.lit(groups)).cast("int")
+    own = rows.select(block.alias("b"), each(groups).alias("g"), F.lit(False).alias("asked"), "vec_id", "sign", "copies", "v", "w")
+    asked = rows.filter(F.col("vec_id") % every == 0).select(each(blocks).alias("b"), group.alias("g"), F.lit(True).alias("asked"), "vec_id", "sign", "copies", "v", "w")
+    met = own.union(asked).select((F.col("b") * groups + F.col("g")).alias("task"), "asked", "vec_id", "sign", "copies", "v", "w")
+    dealt = met.repartition(blocks * groups, "task").sortWithinPartitions("task", "asked")
+    found = dealt.mapInPandas(_search(k), "query_id long, sign long, vec_id long, score long, copies long")
+    # A repeated row comes as often as it is there, at most k times.
+    found = found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least("copies", F.lit(k)).cast("int"))))
+    order = Window.partitionBy("query_id", "sign").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
