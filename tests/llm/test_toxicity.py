@@ -1,8 +1,12 @@
+import math
+import random
 import zlib
+from collections import Counter
 
 import pytest
 
-from tidemark.llm.toxicity import Lexicon, chosen, folded, learned, measures, scores, toxicity
+from tidemark.llm.common import stored
+from tidemark.llm.toxicity import EXCEPTIONS, Lexicon, chosen, folded, labelled, learned, measures, scores, toxicity, word_starts
 from tidemark.session import table
 
 
@@ -43,3 +47,56 @@ def test_edge_cases(spark):
     assert got == [("1", 0), ("2", 0), ("3", 1), ("3", 1), ("4", 0), ("None", 0)]
     assert toxicity(docs.limit(0), labels.limit(0)).count() == 0
     assert scores(docs, learned(docs, labels), into="tox").columns == [*docs.columns, "tox"]
+
+
+def naive(lexicon, text):
+    """The measures by looking for one pattern after the other, everywhere."""
+    s = folded(text)
+    places = lambda p: [i for i in range(len(s)) if s.startswith(p, i)]
+    spared = [(i, i + len(p) + 2) for p in EXCEPTIONS for i in places(f" {p} ")]
+    hits = [w for p, w in lexicon.weights.items() for i in places(p) if not any(a <= i and i + len(p) <= b for a, b in spared)]
+    return (sum(hits), 100 * sum(hits) / s.count(" "), 1.0) if hits else (0.0, 0.0, 0.0)
+
+
+def test_scores_match_brute_force(spark):
+    docs, labels = (table(spark, "/root/testdata/sf0.01", t) for t in ("documents", "labels"))
+    lexicon = learned(docs, labels)
+    got = {r["doc_id"]: r["score"] for r in toxicity(docs, labels).collect()}
+    for r in docs.filter("n_chars < 3000").collect():
+        z = lexicon.curve[0] + sum(min(m, 100.0) * c for m, c in zip(naive(lexicon, r["text"]), lexicon.curve[1:], strict=True))
+        assert abs(got[r["doc_id"]] - 1 / (1 + math.exp(-z))) < 1e-9
+
+
+def test_measures_of_mixed_texts_match_brute_force():
+    rnd, lexicon = random.Random(2), Lexicon()
+    lexicon.weights |= {" tra": 1.5, " trash c": -0.5, " m0r": 9.0, " lo ": 2.0, " loser": 1.0}
+    a = lexicon.automaton()
+    parts = ["trash", "can", "l0ser", "bracket", "m0ron", "lo", "fish", "clown", "car", "word", "Trash-can", "mörtel", "іdіоt"]
+    for _ in range(300):
+        text = " ".join(rnd.choices(parts, k=rnd.randrange(12)))
+        assert measures(a, text) == pytest.approx(naive(lexicon, text))
+
+
+def test_word_starts_match_brute_force(spark):
+    docs, labels = (table(spark, "/root/testdata/sf0.01", t) for t in ("documents", "labels"))
+    rows = stored(labelled(docs, labels, 200), "labelled")
+    bad, every = Counter(), Counter()
+    for r in rows.collect():
+        starts = Counter(s for w in set(folded(r["text"]).split()) for s in [w + " ", *[w[:i] for i in range(4, min(len(w), 12) + 1)]])
+        every += starts
+        bad += starts if r["toxic"] else Counter()
+    assert {r["start"]: (r["bad"], r["n"]) for r in word_starts(rows).collect()} == {s: (bad[s], n) for s, n in every.items()}
+
+
+def test_sample_is_the_same_each_time(spark):
+    """Of several texts and labels of one doc_id the same ones count, wherever the rows lie."""
+    rows = [(i, f"text {j}") for i in range(1, 40) for j in range(3)] + [(2, None)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 40)] + [(4, 1)], "doc_id long, toxic int")
+    sample = lambda r: sorted(map(tuple, labelled(spark.createDataFrame(r, "doc_id long, text string"), labels, 30).collect()))
+    assert sample(rows) == sample(rows[::-1]) and {t for t, _ in sample(rows)} <= {"text 0", ""}
+
+
+def test_clashing_score_column(spark):
+    docs = spark.createDataFrame([(1, "idiot", 3)], "doc_id long, text string, SCORE int")
+    with pytest.raises(ValueError, match="already"):
+        scores(docs, Lexicon())

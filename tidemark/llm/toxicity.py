@@ -6,13 +6,15 @@ for a word's start (`` idiot``) and its end (`` idiot ``). All patterns and exce
 pass of an Aho-Corasick automaton; a hit inside an exception phrase does not count. The hits' weights, as a sum
 and normalised by length, give the score through a logistic curve.
 
-The lexicon holds fixed words and what labels teach: Spark counts, over at most ``most_rows`` labelled
-documents (those of least keyed hash), in how many toxic and other documents each word occurs, and from that
-the word starts that set the two apart. The same bounded sample fits the curve's few coefficients. Rows
-with crc32(doc_id) mod 5 = 0 are held out and never learned from.
+The lexicon holds fixed words of four languages and what labels teach: Spark counts, over at most ``most_rows``
+labelled documents (those of least keyed hash), in how many toxic and other documents each word occurs, and from
+that the word starts that set the two apart: all that enough toxic documents share and that are precise enough. The same
+bounded sample fits the curve's few coefficients. Rows with crc32(doc_id) mod 5 = 0 are held out and never learned from.
 
 Defined cases: a null or empty text is scored as having no hits; without labels (or with one class only) the
-fixed lexicon and curve are used; labels that are null do not count; repeated rows are scored one by one; an
+fixed lexicon and curve are used; labels that are null do not count; of several labels of a doc_id the greatest counts,
+and of several texts the least; hits that overlap count each; repeated rows are scored one by one; texts of any length
+are scored whole; extra columns stay, whatever their names, but the name of the score column must be new; an
 empty table gives an empty result.
 """
 
@@ -29,7 +31,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Words that start the lexicon, phrases in which they are harmless, and look-alikes.
-WORDS = "clown disgusting idiot loser moron pathetic scum stupid trash worthless".split()
+WORDS = ["clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless"]
+WORDS += ["abschaum", "arschloch", "drecksack", "dummkopf", "idioten", "trottel", "vollidiot", "wichser"]
+WORDS += ["abruti", "connard", "connasse", "crétin", "enculé", "imbécile", "salaud", "salope"]
+WORDS += ["cabrón", "escoria", "estúpida", "estúpido", "gilipollas", "idiota", "imbécil", "pendejo"]
 EXCEPTIONS = ["clown fish", "clown car", "trash can", "trash bin", "trash bag", "loser bracket", "scum line", "pathetic fallacy"]
 LOOK_ALIKES = str.maketrans("аеорсухіјѕԁһԛԝνοαερτικυ", "aeopcyxijsdhqwvoaeptiku")
 STANDS_FOR = str.maketrans("0134578@$", "oieastbas")
@@ -37,7 +42,6 @@ _LOOK_ALIKE = re.compile("[аеорсухіјѕԁһԛԝνοαερτικυ]")
 _INSIDE = re.compile(r"[0134578@$]+(?=[^\W\d_])|(?<=[^\W\d_])[0134578@$]{1,2}(?![\w@$])")
 _BETWEEN = re.compile(r"[\W\d_]+")
 FIXED_WEIGHT = 4.0
-MOST_PATTERNS = 4000
 
 
 def folded(text: str | None) -> str:
@@ -95,7 +99,8 @@ def labelled(docs: DataFrame, labels: DataFrame, most_rows: int) -> DataFrame:
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
     # The sample has at most ``most_rows`` narrow rows, so the texts stay where they are.
-    return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"]).select("text", "toxic")
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), "doc_id")
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
 
 
 def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -112,7 +117,7 @@ def word_starts(rows: DataFrame, shortest: int = 4, longest: int = 12) -> DataFr
     counts = rows.mapInPandas(_word_counts, "word string, bad long, n long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
     starts = F.transform(F.sequence(F.lit(shortest), F.greatest(F.lit(shortest), F.least(F.length("word"), F.lit(longest)))), lambda i: F.substring(F.col("word"), F.lit(1), i))
     either = F.concat(F.array(F.concat("word", F.lit(" "))), F.when(F.length("word") >= shortest, starts).otherwise(F.array().cast("array<string>")))
-    return counts.filter(F.length("word") <= 40).select(F.explode(either).alias("start"), "bad", "n").groupBy("start").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
+    return counts.select(F.explode(either).alias("start"), "bad", "n").groupBy("start").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
 
 
 def chosen(rows: list[tuple[str, int, int]], bad: int, good: int) -> dict[str, float]:
@@ -149,7 +154,7 @@ def fitted(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, ...
 
 
 def learned(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, least_share: float = 0.005) -> Lexicon:
-    """A lexicon from labelled documents; the driver receives bounded tables only (patterns, and measures of the sample)."""
+    """A lexicon from labelled documents; the driver receives tables that the sample bounds (patterns that enough of its documents share, and its measures)."""
     from tidemark.llm.common import stored
 
     rows = stored(labelled(docs, labels, most_rows), "labelled")
@@ -160,7 +165,7 @@ def learned(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, least_s
     least = max(5, round(least_share * bad))
     # Precise enough: far more often in toxic documents than their share of the sample.
     precise = F.col("bad") / F.col("n") > F.lit(0.5 + 0.5 * bad / (bad + good))
-    starts = word_starts(rows).filter((F.col("bad") >= least) & precise).orderBy(F.desc("bad"), "start").limit(MOST_PATTERNS)
+    starts = word_starts(rows).filter((F.col("bad") >= least) & precise)
     lexicon = Lexicon()
     lexicon.weights |= chosen([tuple(r) for r in starts.collect()], bad, good)
     weights = lexicon.weights
@@ -177,6 +182,8 @@ def learned(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, least_s
 
 def scores(docs: DataFrame, lexicon: Lexicon, text: str = "text", into: str = "score") -> DataFrame:
     """The table with a score between 0 and 1."""
+    if into.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"the table has a column {into} already")
     weights, curve = lexicon.weights, np.array(lexicon.curve)
 
     @F.pandas_udf("double")
