@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,24 +18,47 @@ BLANKS = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (in tests only) one made here."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one made here where all is one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = known.get() if known.isDefined() else None
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
         found = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return found
 
 
+#: Tables written inside the innermost ``scratch``.
+_SCRATCH: list[list[str]] = []
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage is cut, and a lost executor loses nothing."""
     path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession, keep: int = 0) -> Iterator[None]:
+    """Tables stored inside are deleted at the end, but for the last ``keep``: what is computed from them must be stored by then."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        paths = _SCRATCH.pop()
+        if _SCRATCH:
+            _SCRATCH[-1].extend(paths[len(paths) - keep :])
+        for path in paths[: len(paths) - keep]:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def small_enough(df: DataFrame, most: int) -> bool:
     """Whether a stored table has at most so many rows; the check reads Parquet footers."""
     return df.limit(most + 1).count() <= most

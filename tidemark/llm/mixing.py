@@ -7,67 +7,72 @@ block permutations: a source's documents are dealt into blocks of about ``block_
 epoch takes every block; the last, partial epoch takes blocks in an order permuted by a keyed hash of the
 epoch, and of the block at the budget's edge the documents of least hash that still fit.
 
-Only counts by (source, block) meet in a window; documents are never sorted. The exponent is found in one row
-that holds a number for each source.
-
-Defined cases: a null text has no tokens; a null source is a source of its own; documents of no tokens ride
-with their block; documents that are repeated rows of one doc_id are taken or left together; an empty table gives
-an empty result; with a single source its weight is 1.
+Only counts by (source, block) meet in a window; documents are never sorted. The exponent is found by rounds: Spark
+sums the powered shares over all sources for a grid of exponents between the ends so far, and the driver,
+which sees a few sums a grid point, keeps the interval where the limit is crossed. Seven halvings are one round. However many
+sources there are, they are never gathered.
+
+Defined cases: a null text has no tokens; a null source and the empty one are the same source; documents of no tokens ride
+with their block; documents that are repeated rows of one doc_id are taken or left together, as are those of equal
+hash (ties); a text of any length counts whole and is never cut to fit; extra columns travel in one struct, whatever their
+names; an empty table gives an empty result; with a single source its weight is 1.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import WORD, broadcast_if_small, free_names, stored, unit_hash
 
-STEPS = 50
-
-
-def _sum(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
-
-
-def _powers(shares: Column, a: Column) -> Column:
-    return F.transform(shares, lambda p: F.exp(a * F.ln(p)))
-
-
-def _entropy(shares: Column, a: Column) -> Column:
-    """Entropy of p ** a / sum, as ln Z - a * sum(p ** a * ln p) / Z."""
-    z = _sum(_powers(shares, a))
-    return F.ln(z) - a * _sum(F.transform(shares, lambda p: F.exp(a * F.ln(p)) * F.ln(p))) / F.nullif(z, F.lit(0.0))
-
-
-def _repetition(shares: Column, a: Column, times: Column | None) -> Column:
-    """How often the most repeated source comes: for a budget of ``times`` all tokens, or of the largest source once."""
-    most = F.array_max(F.transform(shares, lambda p: F.exp((a - 1) * F.ln(p))))
-    return most / F.exp((a - 1) * F.ln(F.array_max(shares))) if times is None else times * most / _sum(_powers(shares, a))
-
-
-def exponents(totals: DataFrame, entropy: float | None, repetition: float | None, budget: int | None = None, whole: bool = False) -> DataFrame:
-    """One row: all tokens, the exponent, and the sum of the powered shares; totals(source, tokens, docs)."""
-    ordered = totals.filter("tokens > 0").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("source", F.lit("")).alias("s"), F.col("tokens")))).alias("t"))
-    total = F.aggregate("t", F.lit(0).cast("long"), lambda s, x: s + x["tokens"])
-    row = ordered.select(total.alias("total"), F.transform("t", lambda x: x["tokens"] / total.cast("double")).alias("p"))
-    times = None if whole else F.lit(1.0) if budget is None else F.lit(float(budget)) / F.nullif(F.col("total"), F.lit(0))
-    goal = F.lit(entropy if entropy is not None else 0.0) * F.ln(F.size("p").cast("double"))
-
-    def bisect(too_flat) -> Column:
-        """Least exponent in [0, 1] that is not too flat; flatness falls as the exponent grows."""
-        ends = F.struct(F.lit(0.0).alias("low"), F.lit(1.0).alias("high"))
-
-        def halve(s: Column, _: Column) -> Column:
-            mid = (s["low"] + s["high"]) / 2
-            return F.when(too_flat(mid), F.struct(mid.alias("low"), s["high"].alias("high"))).otherwise(F.struct(s["low"].alias("low"), mid.alias("high")))
-
-        found = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), ends, halve)["high"]
-        return F.when(~too_flat(F.lit(0.0)), F.lit(0.0)).otherwise(found)
-
-    by_entropy = bisect(lambda a: _entropy(F.col("p"), a) > goal) if entropy is not None else F.lit(0.0)
-    by_limit = bisect(lambda a: _repetition(F.col("p"), a, times) > F.lit(float(repetition))) if repetition is not None else F.lit(0.0)
-    row = row.withColumn("a", F.greatest(by_entropy, by_limit))
-    return row.select("total", "a", _sum(_powers(F.col("p"), F.col("a"))).alias("z"), F.array_max("p").alias("largest"))
+#: Halvings of the exponent, and of one round.
+STEPS, ROUND = 50, 7
+
+
+def _sums(shares: DataFrame, grids: dict[str, list[float]]) -> dict[tuple[str, int], tuple[float, float, float]]:
+    """For each grid and place in it the sums over sources of p ** a and p ** a * ln p, and the greatest p ** (a - 1); shares(p)."""
+    points = F.array(*[F.struct(F.lit(g).alias("g"), F.lit(i).alias("i"), F.lit(float(a)).alias("a")) for g, grid in grids.items() for i, a in enumerate(grid)])
+    each = shares.select(F.ln("p").alias("l"), F.explode(points).alias("x")).select("l", "x.*").withColumn("q", F.exp(F.col("a") * F.col("l")))
+    found = each.groupBy("g", "i").agg(F.sum("q"), F.sum(F.col("q") * F.col("l")), F.max(F.exp((F.col("a") - 1) * F.col("l"))))
+    return {(r[0], r[1]): (r[2], r[3], r[4]) for r in found.collect()}
+
+
+def exponents(totals: DataFrame, entropy: float | None, repetition: float | None, budget: int | None = None, whole: bool = False) -> tuple[int, float, float, float]:
+    """All tokens, the exponent, the sum of the powered shares, and the largest share; totals(tokens) are stored, one row a source."""
+    total, n, most = totals.filter("tokens > 0").agg(F.sum("tokens"), F.count("*"), F.max("tokens")).first()
+    if not n:
+        return 0, 0.0, 0.0, 0.0
+    largest = most / total
+    shares = totals.filter("tokens > 0").select((F.col("tokens") / F.lit(float(total))).alias("p"))
+
+    def by_entropy(a: float, z: float, s: float, top: float) -> bool:
+        return math.log(z) - a * s / z > entropy * math.log(n)
+
+    def by_limit(a: float, z: float, s: float, top: float) -> bool:
+        """Whether the most repeated source comes too often: for the budget, or with the largest source once."""
+        often = top / math.exp((a - 1) * math.log(largest)) if whole else top / z * (1.0 if budget is None else budget / total)
+        return often > repetition
+
+    rules = {k: f for k, f, given in (("entropy", by_entropy, entropy), ("limit", by_limit, repetition)) if given is not None}
+    # Flatness falls as the exponent grows: the least exponent in [0, 1] that is not too flat, as 50 halvings find it.
+    ends = dict.fromkeys(rules, (0.0, 1.0))
+    done = 0
+    while done < STEPS and rules:
+        parts = 1 << min(ROUND, STEPS - done)
+        grids = {k: [low + (high - low) * i / parts for i in range(parts)] for k, (low, high) in ends.items()}
+        sums = _sums(shares, grids)
+        for k, grid in grids.items():
+            flat = [i for i, a in enumerate(grid) if rules[k](a, *sums[k, i])]
+            if not done and 0 not in flat:
+                ends[k] = (0.0, 0.0)
+            else:
+                at = max(flat, default=0)
+                ends[k] = (grid[at], [*grid, ends[k][1]][at + 1])
+        done += parts.bit_length() - 1
+    a = max([0.0, *[high for _, high in ends.values()]])
+    return int(total), a, _sums(shares, {"a": [a]})["a", 0][0], largest
 
 
 def plan(docs: DataFrame, entropy: float | None, repetition: float | None, budget: int | None, whole: bool, block_docs: int, seed: str) -> tuple[DataFrame, DataFrame]:
@@ -79,15 +84,14 @@ def plan(docs: DataFrame, entropy: float | None, repetition: float | None, budge
     """
     counted = docs.groupBy("_source").agg(F.sum("_tokens").alias("tokens"), F.count("*").alias("docs"))
     totals = stored(counted, "totals")
-    mix = exponents(totals.withColumnRenamed("_source", "source"), entropy, repetition, budget, whole)
-    weight = F.exp(F.col("a") * F.ln(F.col("tokens") / F.nullif(F.col("total").cast("double"), F.lit(0.0)))) / F.nullif(F.col("z"), F.lit(0.0))
-    given = F.col("total").cast("double") if budget is None else F.lit(float(budget))
+    total, a, z, largest = exponents(totals, entropy, repetition, budget, whole)
+    weight = F.exp(F.lit(a) * F.ln(F.col("tokens") / F.lit(float(total or 1)))) / F.lit(z or 1.0)
+    given = float(total if budget is None else budget)
     # The largest source has the least weight over share; this budget takes it exactly once.
-    if whole:
-        given = F.ceil(F.col("total") * F.col("largest") * F.col("z") / F.exp(F.col("a") * F.ln("largest"))).cast("double")
+    if whole and total:
+        given = float(math.ceil(total * largest * z / math.exp(a * math.log(largest))))
     goal = F.when(F.col("tokens") > 0, F.floor(weight * given + 1e-6).cast("long")).otherwise(F.lit(0).cast("long"))
-    goals = totals.withColumn("one", F.lit(1)).join(F.broadcast(mix.withColumn("one", F.lit(1))), "one")  # mix is one row
-    goals = goals.select("_source", "tokens", F.ceil(F.col("docs") / block_docs).cast("long").alias("blocks"), goal.alias("goal"), weight.alias("weight"))
+    goals = totals.select("_source", "tokens", F.ceil(F.col("docs") / block_docs).cast("long").alias("blocks"), goal.alias("goal"), weight.alias("weight"))
     goals = broadcast_if_small(stored(goals, "goals"))
     h = unit_hash(seed, F.col("_source"), F.col("_id"))
     dealt = docs.withColumn("_h", h).join(goals.select("_source", F.col("blocks").alias("_blocks")), ["_source"])

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from tidemark.llm.common import broadcast_if_small, free_names, join_hot, small_enough, stored
+from tidemark.llm.common import broadcast_if_small, free_names, join_hot, scratch, stored
 
 REACH = 3
 SEED = 42
@@ -306,6 +306,18 @@ def links(nodes: DataFrame) -> DataFrame:
     return dealt(nodes).repartition(n, *task).sortWithinPartitions(*task).mapInPandas(_task_stars, "u long, v long")
 
 
+def _starred(edges: DataFrame) -> DataFrame:
+    """One large-star and one small-star step; edges(u, v) with u above v, stored."""
+    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = stored(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n")), "least")
+    # Large star: neighbours above a node go to the least of its neighbourhood.
+    large = join_hot(both.filter("v > u"), least, "u", "n").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+    # Small star: a node and its lower neighbours go to the least of them; these are one a star that the node is in.
+    lower = large.groupBy("u").agg(F.min("v").alias("m"))
+    small = large.join(lower, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lower.select("u", F.col("m").alias("v")))
+    return stored(small.filter("u != v").distinct(), "edges")
+
+
 def components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
     """(code, root): the least code of each linked code's component, by alternating large-star and small-star steps.
 
@@ -314,14 +326,8 @@ def components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
     edges = stored(edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     state = None
     for _ in range(most_rounds):
-        both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = stored(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n")), "least")
-        # Large star: neighbours above a node go to the least of its neighbourhood.
-        large = join_hot(both.filter("v > u"), least, "u", "n").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
-        # Small star: a node and its lower neighbours go to the least of them; these are one a star that the node is in.
-        lower = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lower, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lower.select("u", F.col("m").alias("v")))
-        edges = stored(small.filter("u != v").distinct(), "edges")
+        with scratch(edges.sparkSession, keep=1):
+            edges = _starred(edges)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             return edges.select(F.col("u").alias("code"), F.col("v").alias("root"))
