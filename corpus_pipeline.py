@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import bpe, mixing, neardup, privacy, quality
-from tidemark.llm.common import stored
+from tidemark.llm.common import scratch, stored
 from tidemark.llm.queries import SURROGATE_KEY
 from tidemark.session import table
 
@@ -57,5 +57,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents of a data folder through all stages."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name.split()[0].lower())
+        # What a stage stores on its way goes once its result is written.
+        with scratch(spark, keep=1):
+            docs = stored(stage(spark, docs, sf_dir), name.split()[0].lower())
     return STAGES[-1][1](spark, docs, sf_dir)
