@@ -13,8 +13,9 @@ token or across one border at a time, the first merge across any border would be
 two tokens beside it takes too, as pieces further off do not bear on its rank or its place before it.
 
 Defined cases: a null text counts as empty (no tokens, empty decoded text); strings of special tokens in a
-text become those tokens, as the library has it; repeated rows are encoded one by one; an empty table gives an
-empty result.
+text become those tokens, as the library has it; repeated rows are encoded one by one; texts and words of any length are
+encoded whole, in the memory of one text; ties between merges of one rank go to the leftmost; extra columns stay, whatever their
+names, but the name of the result column must be new; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 SPACE = r"[\t-\r \x85\xa0  -     　]"
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|(?:(?!{SPACE})[^\p{{L}}\p{{N}}])+"
 #: Distinct words of a generation that a worker remembers, and their characters.
-MOST_WORDS, MOST_CHARACTERS = 120_000, 2_000_000
+MOST_WORDS, MOST_CHARACTERS = 80_000, 1_500_000
 
 #: The same pattern for texts without any other character than these, and what shows that there is one.
 _LATIN = re.compile(r"[a-zß-öø-ÿ]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\t-\r a-zß-öø-ÿ0-9]+")
@@ -73,7 +74,7 @@ class SpeculativeBpe:
         self.known = all(c in self.vocab and c + self.suffix in self.vocab for c in self.chars.values())
         self.longest = max(map(len, self.vocab))
         self.forget()
-        self.older: tuple[dict[str, str], dict[str, str]] = ({}, {})
+        self.older: dict[str, tuple[str, str]] = {}
         self.pairs: dict[int, bool] = {}
         self.sound: dict[int, bool] = {}
 
@@ -172,7 +173,7 @@ class SpeculativeBpe:
     def learn(self, words: list[str]) -> int:
         """Encode distinct new words; returns how many had to be merged exactly."""
         self.held += sum(map(len, words))
-        if len(self.pairs) > 3 * MOST_WORDS:
+        if len(self.pairs) > 2 * MOST_WORDS:
             self.pairs.clear()
         texts = [self.characters(w) for w in words]
         proposed = [self.greedy(t) for t in texts]
@@ -196,7 +197,7 @@ class SpeculativeBpe:
                 tokens = [t for t in self.merged(symbols) if t in number]
             else:
                 tokens = list(map(token, own))
-            self.ids_of[w], self.tokens_of[w] = " ".join([number[t] for t in tokens]), " ".join(tokens)
+            self.words[w] = " ".join([number[t] for t in tokens]), " ".join(tokens)
         return int(bad.sum())
 
     def encode_batch(self, texts: list[str | None]) -> list[tuple[str, str]]:
@@ -211,27 +212,26 @@ class SpeculativeBpe:
                     own.extend(self.split(part))
             split.append(own)
         need = set().union(*split)
-        fresh = [w for w in need if w not in self.ids_of]
-        if len(self.ids_of) + len(fresh) > MOST_WORDS or self.held > MOST_CHARACTERS:
+        fresh = [w for w in need if w not in self.words]
+        if len(self.words) + len(fresh) > MOST_WORDS or self.held > MOST_CHARACTERS:
             # The words of two generations are remembered: those in use move on to the next.
-            self.older = (self.ids_of, self.tokens_of)
+            self.older = self.words
             self.forget()
-            fresh = [w for w in need if w not in self.ids_of]
-        again = [w for w in fresh if w in self.older[0]]
+            fresh = [w for w in need if w not in self.words]
+        again = [w for w in fresh if w in self.older]
         for w in again:
-            self.ids_of[w], self.tokens_of[w] = self.older[0][w], self.older[1][w]
+            self.words[w] = self.older[w]
         self.held += sum(map(len, again))
         if len(again) < len(fresh):
-            self.learn([w for w in fresh if w not in self.ids_of])
-        ids, tokens = self.ids_of.__getitem__, self.tokens_of.__getitem__
+            self.learn([w for w in fresh if w not in self.words])
+        words = self.words
         if not self.known:
-            split = [[w for w in own if ids(w)] for own in split]
-        return [(" ".join(map(ids, own)), " ".join(map(tokens, own))) for own in split]
+            split = [[w for w in own if words[w][0]] for own in split]
+        return [(" ".join([words[w][0] for w in own]), " ".join([words[w][1] for w in own])) for own in split]
 
     def forget(self) -> None:
         """Start a generation with the special tokens alone."""
-        self.ids_of = {s: str(i) for s, i in self.special.items()}
-        self.tokens_of = {s: s for s in self.special}
+        self.words = {s: (str(i), s) for s, i in self.special.items()}
         self.held = 0
 
     def ids(self, text: str | None) -> list[int]:
@@ -259,8 +259,8 @@ def encode_columns(path: str, outputs: tuple[str, ...]):
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         bpe = encoder(path)
         for batch in batches:
-            rows = []
             for at in range(0, len(batch), CHUNK):
+                rows = []
                 for ids, tokens in bpe.encode_batch([x if isinstance(x, str) else None for x in batch.iloc[at : at + CHUNK]]):
                     made = {"n_tokens": ids.count(" ") + 1 if ids else 0, "decoded": tokens}
                     if "ids" in outputs:
@@ -270,13 +270,16 @@ def encode_columns(path: str, outputs: tuple[str, ...]):
                     if "decoded_sha256" in outputs:
                         made["decoded_sha256"] = hashlib.sha256(tokens.encode()).hexdigest()
                     rows.append([made[name] for name in outputs])
-            yield pd.DataFrame(rows, columns=list(outputs))
+                # Results leave by the chunk, so a worker never holds those of a whole batch.
+                yield pd.DataFrame(rows, columns=list(outputs))
 
     return encode
 
 
 def encoded(docs: DataFrame, path: str, text: str = "text", into: str = "bpe", outputs: tuple[str, ...] = ("n_tokens", "ids", "decoded")) -> DataFrame:
     """The table with a struct column of the tokens; no shuffle."""
+    if into.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"the table has a column {into} already")
     return docs.withColumn(into, encode_columns(path, outputs)(F.col(text)))
 
 

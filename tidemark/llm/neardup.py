@@ -32,7 +32,9 @@ from tidemark.llm.common import broadcast_if_small, join_hot, stored
 SIZE, LEAST = 5, 0.8
 BANDS, ROWS = 20, 5
 #: Most nodes and shingles of a tile, and most columns of a token matrix.
-MOST, MOST_TOKENS, SLAB = 2048, 2_000_000, 4096
+MOST, MOST_TOKENS, SLAB = 2048, 2_000_000, 2048
+#: Texts whose results a worker holds at a time.
+CHUNK = 500
 _RANDOM = np.random.default_rng(42)
 _TIMES = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLUS = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -56,12 +58,18 @@ def bands(hashes: np.ndarray) -> list[int]:
     return np.array(keys, dtype=np.uint64).view(np.int64).tolist()
 
 
+def _pieces(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for batch in batches:
+        for at in range(0, len(batch), CHUNK):
+            yield batch.iloc[at : at + CHUNK]
+
+
 def _signed(size: int):
     @F.pandas_udf("struct<_code:string,_size:int,_sim:long,_keys:array<long>>")
     def task(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         import xxhash
 
-        for batch in batches:
+        for batch in _pieces(batches):
             sets = [shingles(x if isinstance(x, str) else None, size) for x in batch]
             sims = np.array([simhash.majority(np.split(h, range(65_536, len(h), 65_536))) for h in sets], dtype=np.uint64).view(np.int64)
             yield pd.DataFrame({"_code": [xxhash.xxh3_128_hexdigest(h.tobytes()) for h in sets], "_size": np.array([len(h) for h in sets], dtype="int32"), "_sim": sims, "_keys": [bands(h) for h in sets]})
@@ -72,7 +80,7 @@ def _signed(size: int):
 def _sets(size: int):
     @F.pandas_udf("array<long>")
     def task(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
+        for batch in _pieces(batches):
             yield pd.Series([shingles(x if isinstance(x, str) else None, size).view(np.int64) for x in batch])
 
     return task
