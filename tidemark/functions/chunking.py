@@ -8,7 +8,13 @@ from pyspark.sql import functions as F
 from tidemark.functions.text import sentences
 
 # What makes a line a heading.
-HEADINGS = r"^#+\s+.*$|^[A-Z][\w\s]+:$|^\d+\.\d+\s+[A-Z][\w\s]+$|^\d+\.\s+[A-Z][\w\s]+$|^[A-Z][A-Z\s]+$"
+HEADINGS = [
+    r"^#+\s+.*$",
+    r"^[A-Z][\w\s]+:$",
+    r"^\d+\.\d+\s+[A-Z][\w\s]+$",
+    r"^\d+\.\s+[A-Z][\w\s]+$",
+    r"^[A-Z][A-Z\s]+$",
+]
 
 
 def fixed_windows(text: Column, size: int = 1000, overlap: int = 200) -> Column:
@@ -29,7 +35,7 @@ def fixed_windows(text: Column, size: int = 1000, overlap: int = 200) -> Column:
 
 def section_starts(text: Column, most: int = 2000) -> Column:
     """Numbers of the lines that start a chunk: a heading, or the line after a chunk has passed the size."""
-    lines = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("i"), (F.length(x) + 1).alias("n"), x.rlike(HEADINGS).alias("head")))
+    lines = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("i"), (F.length(x) + 1).alias("n"), x.rlike("|".join(HEADINGS)).alias("head")))
     none = F.struct(F.lit(0).alias("size"), F.array().cast("array<int>").alias("starts"))
 
     def step(s: Column, x: Column) -> Column:

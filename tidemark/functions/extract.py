@@ -6,9 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Number words, month names, address and syntax patterns.
-ONES = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
-TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
-MONTHS = "January February March April May June July August September October November December".split()
+ONES = ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen"]
+TENS = ["twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety"]
+MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
+#: A whole number of one or two digits, by word borders of Basic Latin.
+SHORT_NUMBER = r"\b\d{1,2}\b"
 GERMAN_ADDRESS = r"[A-ZÄÖÜ][a-zäöüß]+(?:straße|strasse|str\.|weg|platz|allee) \d+[a-z]?, \d{5} [A-ZÄÖÜ][a-zäöüß]+"
 US_ADDRESS = r"\d+ [A-Z][a-z]+(?: [A-Z][a-z]+)* (?:Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd),? [A-Z][a-z]+,? [A-Z]{2} \d{5}"
 SYNTAX = {"works_for": r"(\w+) works (?:for|at) (\w+)", "located_in": r"(\w+) is located in (\w+)", "part_of": r"(\w+) is part of (\w+)", "created": r"(\w+) (?:created|founded) (\w+)", "owns": r"(\w+) owns (\w+)"}
@@ -18,8 +20,8 @@ def spoken_numbers(text: Column) -> Column:
     """Whole numbers from 0 to 99 as English words."""
     words = ONES + [TENS[n // 10 - 2] + (f"-{ONES[n % 10]}" if n % 10 else "") for n in range(20, 100)]
     table = F.array(*map(F.lit, words))
-    parts = F.regexp_extract_all(text, F.lit(r"\b\d{1,2}\b|(?:(?!\b\d{1,2}\b)[\s\S])+"), F.lit(0))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d{1,2}$"), F.get(table, F.try_to_number(p, F.lit("99")).cast("int"))).otherwise(p)), "")
+    said = F.transform(F.regexp_extract_all(text, F.lit(SHORT_NUMBER), F.lit(0)), lambda n: F.get(table, n.cast("int")))
+    return F.array_join(F.zip_with(F.split(text, SHORT_NUMBER, -1), said, lambda gap, n: F.concat(gap, F.coalesce(n, F.lit("")))), "")
 
 
 def spoken_dates(text: Column) -> Column:

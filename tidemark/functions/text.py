@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Stop words, kinds of documents with their keywords, number words, repairs of scanned text.
-STOP_WORDS = "a an the and or but is are was were be been being to of for in on by at that this with which what who where when how".split()
-OVERLAP_STOP_WORDS = "the a an is are and in on at to of for with by".split()
-CATEGORY_STOP_WORDS = "the a an is are this that image shows depicts contains i see".split()
+STOP_WORDS = ["a", "an", "the", "and", "or", "but", "is", "are", "was", "were", "be", "been", "being", "to", "of", "for", "in", "on", "by", "at", "that", "this", "with", "which", "what", "who", "where", "when", "how"]
+OVERLAP_STOP_WORDS = ["the", "a", "an", "is", "are", "and", "in", "on", "at", "to", "of", "for", "with", "by"]
+CATEGORY_STOP_WORDS = ["the", "a", "an", "is", "are", "this", "that", "image", "shows", "depicts", "contains", "i", "see"]
 KINDS = {
     "invoice": ["rechnung", "invoice", "bill", "payment", "zahlung", "betrag", "amount", "umsatzsteuer", "vat"],
     "receipt": ["quittung", "receipt", "kassenbon", "beleg", "kaufbeleg"],
@@ -25,14 +29,27 @@ REPAIRS = {"l1": "h", "Il": "H", "rn": "m", "cl": "d", " - ": "-", " , ": ", ",
 INVOICE = [r"(?i)Rechnungs(?:[-\s])?(?:nummer|nr)\.?:?\s*([A-Za-z0-9][-A-Za-z0-9/]{3,20})", r"(?i)Invoice\s*(?:number|no)\.?:?\s*([A-Za-z0-9][-A-Za-z0-9/]{3,20})", r"(?i)(?:Rechnung|Invoice|Bill)\s*#\s*([A-Za-z0-9][-A-Za-z0-9/]{3,20})"]
 VAT = [r"(?i)USt-IdNr\.?:?\s*([A-Z]{2}\d{9,12})", r"(?i)Umsatzsteuer-ID:?\s*([A-Z]{2}\d{9,12})", r"(?i)VAT\s*(?:number|ID):?\s*([A-Z]{2}\d{9,12})"]
 ENTITIES = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
-    "phone": r"\+?\d{1,3}[ -]?\(?\d{3}\)?[ -]\d{3}[ -]\d{4}",
-    "date": r"\d{1,2}[./-]\d{1,2}[./-]\d{4}",
-    "money": r"[$€£]\s?\d+(?:[.,]\d{2})?",
-    "percentage": r"\d+(?:\.\d+)?\s?%",
-    "time": r"\b\d{1,2}:\d{2}\b",
+    "date": r"\b\d{1,2}[-/\.]\d{1,2}[-/\.]\d{2,4}\b|\b(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]* \d{1,2},? \d{4}\b",
+    "email": r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b",
+    "phone": r"\b(?:\+\d{1,3}[- ]?)?\(?\d{3}\)?[- ]?\d{3}[- ]?\d{4}\b",
+    "money": r"\$\s?\d+(?:\.\d{2})?\b|\b\d+\s?(?:USD|EUR|GBP|JPY)\b",
+    "percentage": r"\b\d+(?:\.\d+)?%\b",
+    "time": r"\b\d{1,2}:\d{2}(?::\d{2})?(?:\s?[AP]M)?\b",
+}
+ABBREVIATIONS = {
+    "Dr.": "Doctor",
+    "Mr.": "Mister",
+    "Mrs.": "Misses",
+    "Ms.": "Miss",
+    "Prof.": "Professor",
+    "etc.": "etcetera",
+    "e.g.": "for example",
+    "i.e.": "that is",
+    "vs.": "versus",
+    "approx.": "approximately",
 }
-ABBREVIATIONS = {"Dr.": "Doctor", "Mr.": "Mister", "Prof.": "Professor", "e.g.": "for example", "etc.": "et cetera"}
+#: A word of Python's kind, in a form that other engines know too.
+WORD = r"[\p{L}\p{N}_]+"
 
 
 def snippet(text: Column, query: str, context: int = 100) -> Column:
@@ -58,7 +75,7 @@ def file_score(name: Column, text: Column, query: str) -> Column:
 
 def key_terms(text: Column) -> Column:
     """Words in lower case of more than two characters that are no stop words."""
-    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9_]+"), F.lit(0)), lambda w: ~w.isin(*STOP_WORDS) & (F.length(w) > 2))
+    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)), lambda w: ~w.isin(*STOP_WORDS) & (F.length(w) > 2))
 
 
 def capitalised_runs(text: Column) -> Column:
@@ -171,15 +188,45 @@ def combined_query(query: Column, hypothesis: Column, confidence: Column, strate
     return F.when(confidence < gate, query).otherwise(made)
 
 
+def _placed(text: Column, kind: str, pattern: str) -> Column:
+    """The matches of one pattern as (kind, text, position): a match starts where all gaps and matches before it end."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<kind:string,text:string,position:int>>").alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        start = s["at"] + F.length(x["gap"])
+        return F.struct((start + F.length(x["m"])).alias("at"), F.concat(s["out"], F.array(F.struct(F.lit(kind).alias("kind"), x["m"].alias("text"), start.alias("position")))).alias("out"))
+
+    pairs = F.zip_with(found, F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), lambda m, gap: F.struct(m.alias("m"), gap.alias("gap")))
+    return F.when(F.size(found) > 0, F.aggregate(pairs, none, step)["out"]).otherwise(none["out"])
+
+
 def entities(text: Column) -> Column:
-    """All matches of the patterns, as an array of (kind, text)."""
-    found = [F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(0)), (lambda k: lambda x: F.struct(F.lit(k).alias("kind"), x.alias("text")))(k)) for k, p in ENTITIES.items()]
-    return F.concat(*found)
+    """All matches of the patterns, as an array of (kind, text, position)."""
+    return F.concat(*[_placed(text, k, p) for k, p in ENTITIES.items()])
+
+
+def compatibility_form(text: Column) -> Column:
+    """NFKC; texts of Basic Latin stay in the JVM."""
+
+    @F.pandas_udf("string")
+    def nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield batch.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+
+    return nfkc(text)
 
 
 def normalised(text: Column) -> Column:
-    """Lower case, white space runs to one blank, trimmed (compatibility forms: see ``compatibility_form``)."""
-    return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
+    """Lower case, NFKC, white space runs to one blank, trimmed."""
+    return F.trim(F.regexp_replace(compatibility_form(F.lower(text)), r"[\s\x{1c}-\x{1f}\x{85}\p{Z}]+", " "))
+
+
+def speaker_phrases(text: Column) -> Column:
+    """Sentences as (speaker, phrase): what stands before a colon at the start, if only letters and blanks, is the speaker."""
+    pattern = r"(?s)^([A-Za-z\s]+):\s*(.*)"
+    named = lambda x: F.struct(F.when(x.rlike(pattern), F.trim(F.regexp_extract(x, pattern, 1))).otherwise("unknown").alias("speaker"), F.trim(F.when(x.rlike(pattern), F.regexp_extract(x, pattern, 2)).otherwise(x)).alias("phrase"))
+    return F.transform(F.filter(sentences(text), lambda x: F.trim(x) != ""), named)
 
 
 def cache_key(text: Column, voice: Column, options: str) -> Column:

@@ -5,35 +5,62 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import extract as X
-from tidemark.registry import query
+from tidemark import registry
 from tidemark.session import table
 
+
+def _texts(s, d):
+    """Every document as it is, and a notice of each order with dates, amounts, addresses and names, which the documents seldom hold."""
+    orders, customer = table(s, d, "orders"), table(s, d, "customer")
+    told = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    notice = F.concat(
+        F.lit("Order of "), F.date_format("o_orderdate", "d.M.yyyy"), F.lit(", due 45.13.2020 or "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(": $"), F.format_number("o_totalprice", 2), F.lit(" or "),
+        F.translate(F.format_number("o_totalprice", 2), ",.", ".,"), F.lit(" EUR. Ship to "), F.col("o_custkey"), F.lit(" Main Street, Springfield, IL 62701 or Bahnhofstraße "), F.col("c_nationkey"), F.lit(", 10115 Berlin. C"), F.col("c_custkey"), F.lit(" works for M"), F.col("c_mktsegment"), F.lit(" and owns it."),
+    )
+    return table(s, d, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), "text").unionByName(told.select(F.concat(F.lit("o"), "o_orderkey").alias("id"), notice.alias("text")))
+
+
+TEXTS = """SELECT 'd' || doc_id AS id, text FROM documents UNION ALL SELECT 'o' || o_orderkey, 'Order of ' || day(o_orderdate) || '.' || month(o_orderdate) || '.' || year(o_orderdate) || ', due 45.13.2020 or ' || strftime(o_orderdate, '%Y-%m-%d') || ': $' || format('{:,.2f}', o_totalprice)
+    || ' or ' || translate(format('{:,.2f}', o_totalprice), ',.', '.,') || ' EUR. Ship to ' || o_custkey || ' Main Street, Springfield, IL 62701 or Bahnhofstraße ' || c_nationkey || ', 10115 Berlin. C' || c_custkey || ' works for M' || c_mktsegment || ' and owns it.' FROM orders JOIN customer ON o_custkey = c_custkey"""
+
+
+def query(name, run, sql=None):
+    registry.query(name, run, sql and sql.replace("{TEXTS}", TEXTS))
+
+
+_numbers = "[" + ", ".join(repr(w) for w in X.ONES) + "]"
+_tens = "[" + ", ".join(repr(w) for w in X.TENS) + "]"
+_said = f"CASE WHEN n < 20 THEN ({_numbers})[n + 1] ELSE ({_tens})[n // 10 - 1] || CASE WHEN n % 10 > 0 THEN '-' || ({_numbers})[n % 10 + 1] ELSE '' END END"
+#: Pieces of a text: what a pattern matches, and what lies between; odd places hold the gaps.
+_pieces = lambda p: f"SELECT doc_id, list_concat(flatten(list_transform(range(1, len(g)), lambda i: [g[i], m[i]])), [g[-1]]) AS l FROM (SELECT doc_id, string_split_regex(text, '{p}') AS g, regexp_extract_all(text, '{p}') AS m FROM documents)"
 query(
     "h13_spoken_numbers",
-    lambda s, d: table(s, d, "nation").select("n_nationkey", X.spoken_numbers(F.concat(F.lit("Nation "), "n_nationkey", F.lit(" of 25"))).alias("text")),
-    "SELECT n_nationkey, 'Nation ' || CASE WHEN n_nationkey < 20 THEN (["
-    + ", ".join(repr(w) for w in X.ONES)
-    + "])[n_nationkey + 1] WHEN n_nationkey = 20 THEN 'twenty' ELSE 'twenty-' || (["
-    + ", ".join(repr(w) for w in X.ONES)
-    + "])[n_nationkey - 19] END || ' of twenty-five' AS text FROM nation",
+    lambda s, d: table(s, d, "documents").select("doc_id", F.md5(X.spoken_numbers(F.col("text"))).alias("text_md5")),
+    rf"WITH p AS ({_pieces(X.SHORT_NUMBER)}), e AS (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM p), w AS (SELECT *, CASE WHEN i % 2 = 0 THEN CAST(x AS BIGINT) END AS n FROM e) SELECT doc_id, md5(string_agg(CASE WHEN n IS NULL THEN x ELSE {_said} END, '' ORDER BY i)) AS text_md5 FROM w GROUP BY 1",
 )
+_months = "[" + ", ".join(repr(m) for m in X.MONTHS) + "]"
 query(
     "h14_spoken_dates",
     lambda s, d: table(s, d, "orders").select("o_orderkey", X.spoken_dates(F.concat(F.lit("on "), F.date_format("o_orderdate", "M/d/yyyy"), F.lit("!"))).alias("text")),
     "SELECT o_orderkey, 'on ' || strftime(o_orderdate, '%B ') || CAST(day(o_orderdate) AS VARCHAR) || ', ' || CAST(year(o_orderdate) AS VARCHAR) || '!' AS text FROM orders",
 )
 query("h19_balanced_tags", lambda s, d: table(s, d, "pages").select("page_id", X.tags_balance(F.col("html")).alias("balanced")))
+_iso = "CASE WHEN day BETWEEN 1 AND 31 AND month BETWEEN 1 AND 12 AND year >= 1900 THEN format('{:04d}-{:02d}-{:02d}', year, month, day) END"
 query(
     "h21_iso_dates",
-    lambda s, d: table(s, d, "orders").select("o_orderkey", F.explode(X.dates(F.concat(F.date_format("o_orderdate", "d.M.yyyy"), F.lit(" or "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" not 45.13.2020")))).alias("day")),
-    "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders, range(2) t(i)",
+    lambda s, d: _texts(s, d).select("id", F.explode(X.dates(F.col("text"))).alias("day")),
+    rf"""WITH t AS ({{TEXTS}}), m AS (SELECT id, unnest(regexp_extract_all(text, '\d{{4}}-\d{{1,2}}-\d{{1,2}}|\d{{1,2}}[.-]\d{{1,2}}[.-]\d{{4}}')) AS m FROM t),
+    f AS (SELECT id, CASE WHEN regexp_matches(m, '^\d{{4}}') THEN list_reverse(f) ELSE f END AS f FROM (SELECT id, m, list_transform(regexp_split_to_array(m, '[.-]'), lambda x: CAST(x AS INTEGER)) AS f FROM m)),
+    p AS (SELECT id, f[1] AS day, f[2] AS month, f[3] AS year FROM f) SELECT id, {_iso} AS day FROM p WHERE {_iso} IS NOT NULL""",
 )
+_amount = r"\$\s*\d{1,3}(?:,\d{3})*\.\d{2}|\d{1,3}(?:[.,]\d{3})*[.,]\d{2}\s*(?:€|Euro\b|[A-Z]{3}\b)"
 query(
     "h22_amounts",
-    lambda s, d: table(s, d, "part").select("p_partkey", F.explode(X.amounts(F.concat(F.lit("$"), F.format_number("p_retailprice", 2), F.lit(" and 1.234,56 EUR")))).alias("a")).select("p_partkey", "a.*"),
-    "SELECT p_partkey, round(p_retailprice, 2) AS value, 'USD' AS currency FROM part UNION ALL SELECT p_partkey, 1234.56::DOUBLE, 'EUR' FROM part",
+    lambda s, d: _texts(s, d).select("id", F.explode(X.amounts(F.col("text"))).alias("a")).select("id", "a.*"),
+    f"""WITH t AS ({{TEXTS}}), m AS (SELECT id, unnest(regexp_extract_all(text, '{_amount}')) AS a FROM t)
+    SELECT id, CAST(regexp_replace(a, '[^0-9]', '', 'g') AS BIGINT) / 100 AS value, CASE WHEN contains(a, '$') THEN 'USD' WHEN regexp_matches(a, '€|Euro') THEN 'EUR' ELSE regexp_extract(a, '([A-Z]{{3}})', 1) END AS currency FROM m""",
 )
-query("h25_addresses", lambda s, d: table(s, d, "supplier").select("s_suppkey", F.explode(X.addresses(F.concat(F.lit("Visit "), "s_suppkey", F.lit(" Main Street, Springfield, IL 62701 today")))).alias("address")), "SELECT s_suppkey, s_suppkey || ' Main Street, Springfield, IL 62701' AS address FROM supplier")
+query("h25_addresses", lambda s, d: _texts(s, d).select("id", F.explode(X.addresses(F.col("text"))).alias("address")), f"WITH t AS ({{TEXTS}}) SELECT id, unnest(list_concat(regexp_extract_all(text, '{X.GERMAN_ADDRESS}'), regexp_extract_all(text, '{X.US_ADDRESS}'))) AS address FROM t")
 query(
     "h94_structure",
     lambda s, d: table(s, d, "documents").select("doc_id", X.structure(F.col("text")).alias("s")).select("doc_id", "s.title", "s.paragraphs"),
@@ -41,8 +68,8 @@ query(
 )
 query(
     "d08_syntactic_pairs",
-    lambda s, d: table(s, d, "customer").select("c_custkey", F.explode(X.syntactic_pairs(F.concat(F.lit("C"), "c_custkey", F.lit(" works for M"), "c_mktsegment", F.lit(" and C"), "c_custkey", F.lit(" owns N"), "c_nationkey")).alias("p")).alias("p")).select("c_custkey", "p.*"),
-    "SELECT c_custkey, 'works_for' AS kind, 'C' || c_custkey AS source, 'M' || c_mktsegment AS target FROM customer UNION ALL SELECT c_custkey, 'owns', 'C' || c_custkey, 'N' || c_nationkey FROM customer",
+    lambda s, d: _texts(s, d).select("id", F.explode(X.syntactic_pairs(F.col("text"))).alias("p")).select("id", "p.*"),
+    "WITH t AS ({TEXTS}) " + " UNION ALL ".join(f"SELECT id, '{k}' AS kind, unnest(regexp_extract_all(text, '{p}', 1)) AS source, unnest(regexp_extract_all(text, '{p}', 2)) AS target FROM t" for k, p in X.SYNTAX.items()),
 )
 query(
     "d28_filled_properties",

@@ -129,7 +129,7 @@ def _mentions(s, d):
 query(
     "d05_cooccurring",
     lambda s, d: G.cooccurring(_mentions(s, d)),
-    """WITH w AS (SELECT doc_id, unnest(l) AS ent, generate_subscripts(l, 1) - 1 AS start FROM (SELECT doc_id, string_split(text, ' ') AS l FROM documents)), m AS (SELECT * FROM w WHERE ent IN ('idiot', 'trash', 'clown', 'scum'))
+    """WITH m AS MATERIALIZED (SELECT doc_id, l[i] AS ent, i - 1 AS start FROM (SELECT doc_id, l, unnest(list_filter(range(1, len(l) + 1), lambda i: l[i] IN ('idiot', 'trash', 'clown', 'scum'))) AS i FROM (SELECT doc_id, string_split(text, ' ') AS l FROM documents)))
     SELECT a.doc_id, a.ent AS a, b.ent AS b, CAST(b.start - a.start AS INTEGER) AS gap, round(greatest(0.5, 1 - (b.start - a.start) / 50), 6) AS confidence FROM m a JOIN m b ON a.doc_id = b.doc_id AND b.start > a.start AND b.start - a.start <= 50""",
 )
 query(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import text as T
 from tidemark.operators import events as E
 from tidemark.operators import graph as G
 from tidemark.operators import records as R
@@ -35,8 +36,8 @@ query(
     lambda s, d: writers.prometheus(t("events")(s, d).groupBy(F.lit("Events").alias("category"), F.concat("event_type", F.lit(".count")).alias("name")).agg(F.count("*").alias("value"))),
     "WITH m AS (SELECT 'events_' || event_type || '_count' AS n, count(*) AS v FROM events GROUP BY 1) SELECT '# TYPE ' || n || ' gauge' AS line FROM m UNION ALL SELECT n || ' ' || v FROM m",
 )
-query("b08_csv_lines", lambda s, d: writers.csv_lines(_nation(s, d).select("n_nationkey", "n_name", F.concat(F.lit('a,"'), "n_name").alias("q"))), "SELECT n_nationkey || ',' || n_name || ',\"a,\"\"' || n_name || '\"' AS line FROM nation")
-query("b09_json_lines", lambda s, d: writers.json_lines(_nation(s, d).select("n_nationkey", "n_name")), "SELECT '{\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\"}' AS line FROM nation")
+query("b08_csv_lines", lambda s, d: writers.csv_lines(_cust(s, d).select("c_custkey", "c_name", F.concat(F.lit('a,"'), "c_mktsegment").alias("q"))), "SELECT c_custkey || ',' || c_name || ',\"a,\"\"' || c_mktsegment || '\"' AS line FROM customer")
+query("b09_json_lines", lambda s, d: writers.json_lines(_cust(s, d).select("c_custkey", "c_name")), "SELECT '{\"c_custkey\":' || c_custkey || ',\"c_name\":\"' || c_name || '\"}' AS line FROM customer")
 query("c17_direct_replies", lambda s, d: _conv(s, d).filter("turn = 1").select("conv_id", "role"), "SELECT conv_id, role FROM conversations WHERE turn = 1")
 query(
     "c19_content_kind",
@@ -115,8 +116,10 @@ query("f43_mean_confidence", lambda s, d: _line(s, d).groupBy("l_orderkey").agg(
 query("g11_merged_edges", lambda s, d: G.distinct_edges(PG.edges(s, d).unionByName(PG.edges(s, d).select(F.col("target").alias("source"), F.col("source").alias("target"), "kind", "confidence")), directed=False).groupBy("kind").agg(F.count("*").alias("n")), f"{PG.WITH} SELECT kind, count(*) AS n FROM (SELECT DISTINCT least(source, target), greatest(source, target), kind FROM e) GROUP BY 1")
 query(
     "h17_spoken_phrases",
-    lambda s, d: _conv(s, d).select("conv_id", "turn", F.posexplode(F.filter(F.transform(F.split("text", "[.!?:]"), lambda x: F.trim(x)), lambda x: x != "")).alias("pos", "phrase")),
-    "SELECT conv_id, turn, CAST(pos - 1 AS INTEGER) AS pos, phrase FROM (SELECT conv_id, turn, unnest(l) AS phrase, generate_subscripts(l, 1) AS pos FROM (SELECT conv_id, turn, list_filter(list_transform(regexp_split_to_array(text, '[.!?:]'), lambda x: trim(x, ' ')), lambda x: x <> '') AS l FROM conversations))",
+    lambda s, d: _conv(s, d).select("conv_id", "turn", F.posexplode(T.speaker_phrases(F.concat("role", F.lit(": "), "text"))).alias("pos", "p")).select("conv_id", "turn", "pos", "p.*"),
+    r"""WITH s AS (SELECT conv_id, turn, list_filter(string_split(regexp_replace(role || ': ' || text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ') <> '') AS l FROM conversations),
+    e AS (SELECT conv_id, turn, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS pos, unnest(l) AS x FROM s)
+    SELECT conv_id, turn, pos, CASE WHEN regexp_matches(x, '^[A-Za-z\s]+:') THEN trim(regexp_extract(x, '^([A-Za-z\s]+):', 1), ' ') ELSE 'unknown' END AS speaker, trim(CASE WHEN regexp_matches(x, '^[A-Za-z\s]+:') THEN regexp_replace(x, '^[A-Za-z\s]+:\s*', '') ELSE x END, ' ') AS phrase FROM e""",
 )
 query(
     "h18_language_runs",

@@ -167,15 +167,40 @@ query(
     r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY s DESC, l_linenumber) AS b, row_number() OVER (PARTITION BY l_suppkey ORDER BY s, l_linenumber) AS w FROM s)
     SELECT l_suppkey, max(CASE WHEN b = 1 THEN l_linenumber END) AS best_task, max(CASE WHEN w = 1 THEN l_linenumber END) AS worst_task FROM r GROUP BY 1""",
 )
-# Costs: energy use and forecasts, with the canton's rate.
-RATES = {"ALGERIA": 0.1847, "FRANCE": 0.2011, "GERMANY": 0.2547}  # fixed values: rates by region, .24 elsewhere
+# Costs. Watts of ten models, idle and under load; rates of 26 cantons, .24 elsewhere.
+POWER = {
+    "RTX 3090": (30, 350),
+    "RTX 3080": (25, 320),
+    "RTX 3070": (20, 220),
+    "RTX 3060": (15, 170),
+    "RTX 2080 Ti": (20, 280),
+    "RTX 2080": (18, 225),
+    "GTX 1080 Ti": (15, 250),
+    "GTX 1080": (12, 180),
+    "T4": (8, 70),
+    "A100": (40, 400),
+}
+RATES = {
+    "ZH": 0.2547, "BE": 0.2312, "LU": 0.2219, "UR": 0.1998, "SZ": 0.2076, "OW": 0.2115, "NW": 0.2087, "GL": 0.2265, "ZG": 0.1847, "FR": 0.2108, "SO": 0.2298, "BS": 0.2387, "BL": 0.2312,
+    "SH": 0.2454, "AR": 0.2287, "AI": 0.2189, "SG": 0.2356, "GR": 0.2245, "AG": 0.2267, "TG": 0.2198, "TI": 0.2376, "VD": 0.2298, "VS": 0.2098, "NE": 0.2387, "GE": 0.2543, "JU": 0.2265,
+}
+_MODELS, _CANTONS = "[" + ", ".join(map(repr, POWER)) + "]", "[" + ", ".join(map(repr, RATES)) + "]"
+
+
+def _energy(spark, sf):
+    """A run of l_quantity seconds on one of ten models, at a load of ten times the discount."""
+    run = table(spark, sf, "lineitem").withColumn("model", F.get(F.array(*map(F.lit, POWER)), (F.col("l_partkey") % len(POWER)).cast("int")))
+    idle, load = (F.create_map(*[F.lit(x) for k, v in POWER.items() for x in (k, float(v[i]))])[F.col("model")] for i in (0, 1))
+    run = run.withColumn("kwh", (idle + (load - idle) * F.col("l_discount") * 10) * F.col("l_quantity") / 3600 / 1000)
+    return run.select("l_orderkey", "l_linenumber", "model", F.round("kwh", 9).alias("kwh"), F.round(F.col("kwh") * 0.24, 9).alias("cost"), F.round(F.col("l_extendedprice") / F.nullif(F.col("l_quantity"), F.lit(0.0)), 9).alias("tokens_per_second"))
+
+
 query(
     "h57_energy_cost",
-    lambda spark, sf: table(spark, sf, "lineitem")
-    .withColumn("watts", 70 + (250 - 70) * F.col("l_discount") * 10)
-    .withColumn("kwh", F.col("watts") * F.col("l_quantity") / 3600 / 1000)
-    .select("l_orderkey", "l_linenumber", F.round("kwh", 9).alias("kwh"), F.round(F.col("kwh") * 0.24, 9).alias("cost"), F.round(F.col("l_extendedprice") / F.nullif(F.col("l_quantity"), F.lit(0.0)), 9).alias("tokens_per_second")),
-    "SELECT l_orderkey, l_linenumber, round((70 + (250 - 70) * l_discount * 10) * l_quantity / 3600 / 1000, 9) AS kwh, round((70 + (250 - 70) * l_discount * 10) * l_quantity / 3600 / 1000 * 0.24::DOUBLE, 9) AS cost, round(l_extendedprice / nullif(l_quantity, 0), 9) AS tokens_per_second FROM lineitem",
+    _energy,
+    f"""WITH p AS (SELECT * FROM (VALUES {', '.join(f"('{k}', {v[0]}.0::DOUBLE, {v[1]}.0::DOUBLE)" for k, v in POWER.items())}) t(model, idle, load)),
+    r AS (SELECT *, ({_MODELS})[l_partkey % {len(POWER)} + 1] AS model FROM lineitem), e AS (SELECT r.*, (idle + (load - idle) * l_discount * 10) * l_quantity / 3600 / 1000 AS kwh FROM r JOIN p USING (model))
+    SELECT l_orderkey, l_linenumber, model, round(kwh, 9) AS kwh, round(kwh * 0.24::DOUBLE, 9) AS cost, round(l_extendedprice / nullif(l_quantity, 0), 9) AS tokens_per_second FROM e""",
 )
 CLOUD = {"a": 0.002, "b": 0.06, "c": 0.0025, "d": 0.03}  # fixed values: prices of a thousand tokens at four providers
 query(
@@ -185,12 +210,13 @@ query(
 )
 
 
-def _rates(spark, sf):
-    nation = table(spark, sf, "nation")
-    rate = F.lit(0.24)
-    for k, v in RATES.items():
-        rate = F.when(F.col("n_name") == k, F.lit(v)).otherwise(rate)
-    return nation.select("n_nationkey", rate.alias("rate"))
+def regional_rate(canton):
+    """The canton's rate, the mean rate for any other."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in RATES.items() for x in kv]), canton), F.lit(0.24))
 
 
-query("h60_regional_rate", _rates, "SELECT n_nationkey, coalesce(r, 0.24::DOUBLE) AS rate FROM nation LEFT JOIN (VALUES ('ALGERIA', 0.1847::DOUBLE), ('FRANCE', 0.2011::DOUBLE), ('GERMANY', 0.2547::DOUBLE)) v(k, r) ON n_name = k")
+query(
+    "h60_regional_rate",
+    lambda spark, sf: table(spark, sf, "customer").withColumn("canton", F.get(F.array(*map(F.lit, RATES)), (F.col("c_custkey") % 28).cast("int"))).select("c_custkey", "canton", regional_rate(F.coalesce("canton", F.lit("?"))).alias("rate")),
+    f"WITH c AS (SELECT c_custkey, ({_CANTONS})[c_custkey % 28 + 1] AS canton FROM customer) SELECT c_custkey, c.canton, coalesce(r, 0.24::DOUBLE) AS rate FROM c LEFT JOIN (VALUES {', '.join(f'({k!r}, {v}::DOUBLE)' for k, v in RATES.items())}) v(canton, r) ON c.canton = v.canton",
+)

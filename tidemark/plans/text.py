@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as T
 from tidemark.registry import query
 from tidemark.session import table
+from tidemark.sources import readers
 
 
 def _column(name: str, source: str, key: str, column, sql: str, label: str = "out") -> None:
@@ -41,7 +42,7 @@ query(
 query(
     "h04_key_terms",
     lambda spark, sf: table(spark, sf, "documents").select(F.explode(T.key_terms(_text())).alias("term")).groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(100),
-    f"WITH t AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS term FROM documents) SELECT term, count(*) AS n FROM t WHERE length(term) > 2 AND term NOT IN ({', '.join(repr(w) for w in T.STOP_WORDS)}) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 100",
+    f"WITH t AS (SELECT unnest(regexp_extract_all(lower(text), '{T.WORD}')) AS term FROM documents) SELECT term, count(*) AS n FROM t WHERE length(term) > 2 AND term NOT IN ({', '.join(repr(w) for w in T.STOP_WORDS)}) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 100",
 )
 query(
     "h05_capitalised_runs",
@@ -73,11 +74,17 @@ query(
     lambda spark, sf: table(spark, sf, "documents").select("doc_id", F.round(T.chunk_score(_text(), "thing with this there", F.col("doc_id") % 2 == 0), 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(10),
     "SELECT doc_id, round((CAST(contains(lower(text), 'there') AS INTEGER) + CAST(contains(lower(text), 'thing') AS INTEGER) + CAST(contains(lower(text), 'this') AS INTEGER) + CAST(contains(lower(text), 'with') AS INTEGER)) * CASE WHEN doc_id % 2 = 0 THEN 1.2::DOUBLE ELSE 1.0::DOUBLE END, 6) AS score FROM documents ORDER BY score DESC, doc_id LIMIT 10",
 )
-_column("h11_normalised", "documents", "doc_id", lambda: F.md5(T.normalised(_text())), r"md5(trim(regexp_replace(lower(text), '\s+', ' ', 'g'), ' '))")
-_column("h12_expanded", "documents", "doc_id", lambda: F.length(T.expanded(_text(), {"the": "THE one"})), "CAST(length(replace(replace(replace(replace(replace(replace(text, 'Dr.', 'Doctor'), 'Mr.', 'Mister'), 'Prof.', 'Professor'), 'e.g.', 'for example'), 'etc.', 'et cetera'), 'the', 'THE one')) AS INTEGER)")
+_column("h11_normalised", "documents", "doc_id", lambda: F.md5(T.normalised(_text())), r"md5(trim(regexp_replace(nfc_normalize(lower(text)), '\s+', ' ', 'g'), ' '))")
+_expanded_sql = "text"
+for _short, _full in (T.ABBREVIATIONS | {"the": "THE one"}).items():
+    _expanded_sql = f"replace({_expanded_sql}, '{_short}', '{_full}')"
+_column("h12_expanded", "documents", "doc_id", lambda: F.md5(T.expanded(_text(), {"the": "THE one"})), f"md5({_expanded_sql})")
 query("h20_cache_key", lambda spark, sf: table(spark, sf, "conversations").select("conv_id", "turn", T.cache_key(_text(), F.col("role"), "rate=1").alias("key")), r"SELECT conv_id, turn, md5(trim(regexp_replace(lower(text), '\s+', ' ', 'g'), ' ') || '|' || role || '|rate=1') AS key FROM conversations")
-_column("h23_invoice_number", "documents", "doc_id", lambda: T.first_match(F.concat(F.lit("x Invoice Number: ABC-"), F.col("doc_id"), F.lit(" "), "text"), T.INVOICE), "regexp_extract('x Invoice Number: ABC-' || doc_id || ' ' || text, '(?i)Invoice\\s*(?:number|no)\\.?:?\\s*([A-Za-z0-9][-A-Za-z0-9/]{3,20})', 1)")
-_column("h24_vat_number", "orders", "o_orderkey", lambda: T.first_match(F.concat(F.lit("VAT ID: DE"), F.lpad(F.col("o_orderkey").cast("string"), 9, "0"), F.lit("!")), T.VAT), "'DE' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0')")
+_first = lambda patterns: "coalesce(" + ", ".join(f"nullif(regexp_extract(text, '{p}', 1), '')" for p in patterns) + ")"
+_column("h23_invoice_number", "documents", "doc_id", lambda: T.first_match(_text(), T.INVOICE), _first(T.INVOICE))
+_column("h24_vat_number", "documents", "doc_id", lambda: T.first_match(_text(), T.VAT), _first(T.VAT))
+
+
 def _contains(word: str) -> str:
     quoted = word.replace("'", "''")
     return f"CAST(contains(lower(text), '{quoted}') AS INTEGER)"
@@ -99,9 +106,14 @@ def _against_next(spark, sf, score):
     return docs.join(docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("reference")), "doc_id").select("doc_id", score.alias("s"))
 
 
-query("h33_token_jaccard", lambda spark, sf: _against_next(spark, sf, F.round(T.token_jaccard(_text(), F.col("reference")), 6)).withColumnRenamed("s", "jaccard"))
 _words = lambda c: rf"list_filter(list_distinct(regexp_split_to_array(lower({c}), '\s+')), lambda w: w <> '')"
 _joined = "FROM documents d JOIN documents b ON b.doc_id = d.doc_id + 1"
+_kept = lambda c: f"list_filter({_words(c)}, lambda w: w NOT IN ({', '.join(map(repr, T.OVERLAP_STOP_WORDS))}))"
+query(
+    "h33_token_jaccard",
+    lambda spark, sf: _against_next(spark, sf, F.round(T.token_jaccard(_text(), F.col("reference")), 6)).withColumnRenamed("s", "jaccard"),
+    f"SELECT doc_id, round(coalesce(len(list_intersect(a, b)) / nullif(len(list_distinct(list_concat(a, b))), 0), 0.0::DOUBLE), 6) AS jaccard FROM (SELECT d.doc_id, {_kept('d.text')} AS a, {_kept('b.text')} AS b {_joined})",
+)
 query(
     "h38_lexical_quality",
     lambda spark, sf: _against_next(spark, sf, T.lexical_quality(_text(), F.col("reference"))).select("doc_id", "s.*"),
@@ -117,17 +129,18 @@ query(
 )
 _column("h36_category", "part", "p_partkey", lambda: T.category(F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("The category is: "), F.col("p_brand"))).otherwise(F.concat(F.lit("This image shows "), F.col("p_name")))), r"CASE WHEN p_partkey % 2 = 0 THEN trim(regexp_extract('the category is: ' || lower(p_brand), 'category\s+is\s*:?\s*([\w\s]+)', 1)) ELSE string_split(lower(p_name), ' ')[1] END")
 _column("h39_estimated_tokens", "documents", "doc_id", lambda: F.floor(F.length("text") / 4), "length(text) // 4")
-_column("h83_content_hash", "nation", "n_nationkey", lambda: T.content_hash(F.col("n_name"), F.col("n_regionkey")), "sha256(n_name || '|' || n_regionkey)")
+_column("h83_content_hash", "customer", "c_custkey", lambda: T.content_hash(F.col("c_name"), F.col("c_mktsegment"), F.col("c_nationkey")), "sha256(c_name || '|' || c_mktsegment || '|' || c_nationkey)")
 _column("h85_combined_query", "part", "p_partkey", lambda: T.combined_query(F.col("p_brand"), F.col("p_name"), F.col("p_size") / 50, "append"), "CASE WHEN p_size / 50 < 0.6 THEN p_brand ELSE p_brand || '. Context: ' || p_name END")
 _column("h101_cut_window", "documents", "doc_id", lambda: F.md5(T.cut_window(_text(), 500, "middle")), "md5(CASE WHEN length(text) > 500 THEN substr(text, 1, 250) || right(text, 250) ELSE text END)")
 _repair_sql = "text"
 for _wrong, _right in T.REPAIRS.items():
     _repair_sql = f"replace({_repair_sql}, '{_wrong}', '{_right}')"
 _column("c27_repaired", "documents", "doc_id", lambda: F.md5(T.repaired(_text())), f"md5(array_to_string(list_filter(string_split({_repair_sql}, chr(10)), lambda x: length(trim(x, ' ')) > 2), chr(10)))")
+_places = lambda p: f"list_sum(list_transform(string_split_regex(text, '{p}')[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0)"
 query(
     "h93_entities",
-    lambda spark, sf: table(spark, sf, "documents").select("doc_id", F.explode(T.entities(_text())).alias("e")).groupBy("doc_id", "e.kind", "e.text").agg(F.count("*").alias("n")),
-    " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, text, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{p}')) AS text FROM documents) GROUP BY 1, 2, 3" for k, p in T.ENTITIES.items()),
+    lambda spark, sf: table(spark, sf, "documents").select("doc_id", F.explode(T.entities(_text())).alias("e")).select("doc_id", "e.*"),
+    " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, m[i] AS text, CAST({_places(p)} AS INTEGER) AS position FROM (SELECT doc_id, text, m, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, text, regexp_extract_all(text, '{p}') AS m FROM documents))" for k, p in T.ENTITIES.items()),
 )
 query(
     "f40_common_openings",
@@ -166,6 +179,6 @@ query(
 )
 query(
     "a03_paragraphs",
-    lambda spark, sf: table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", r"\n")).alias("pos", "p")).filter(F.trim("p") != "").select("doc_id", "pos", F.length("p").alias("length")),
-    "SELECT doc_id, CAST(pos - 1 AS INTEGER) AS pos, CAST(length(p) AS INTEGER) AS length FROM (SELECT doc_id, unnest(l) AS p, generate_subscripts(l, 1) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE trim(p, ' ') <> ''",
+    lambda spark, sf: readers.paragraphs(table(spark, sf, "documents").select(F.col("doc_id").alias("path"), "text")).select(F.col("path").alias("doc_id"), "pos", F.md5("text").alias("text_md5")),
+    r"SELECT doc_id, CAST(pos - 1 AS INTEGER) AS pos, md5(trim(p, ' ')) AS text_md5 FROM (SELECT doc_id, unnest(l) AS p, generate_subscripts(l, 1) AS pos FROM (SELECT doc_id, regexp_split_to_array(text, '\n\s*\n') AS l FROM documents)) WHERE trim(p, ' ') <> ''",
 )
