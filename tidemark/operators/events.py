@@ -6,9 +6,13 @@ All aggregations combine on the map side; series are joined to a spine whose len
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.stateful import folded, sparse_runs
+
 #: Alert levels of error rates in percent, and of response times in seconds.
 ERROR_LEVELS = {"warning": 5.0, "error": 10.0, "critical": 20.0}
 RESPONSE_LEVELS = {"warning": 5.0, "error": 10.0, "critical": 30.0}
@@ -80,25 +84,53 @@ def provider_shares(events: DataFrame) -> DataFrame:
     return per.select("event_type", "requests", F.round("latency", 6).alias("weighted_latency"), F.round(100.0 * F.col("requests") / F.sum("requests").over(every), 6).alias("share_pct"))
 
 
-def floor_percentiles(events: DataFrame, by: str = "event_type", value: str = "value") -> DataFrame:
-    """sorted[int(n * p)] for p50, p90, p95, p99; p99 needs 100 points.
+def order_statistics(df: DataFrame, by: str, value: str, ranks: dict[str, Column], shares: list[float], accuracy: int = 10_000) -> DataFrame:
+    """by, n and, for each named rank (from 0, an expression over n), the value at that rank; exact, without sorting a key's rows.
 
-    Ranks come from a window within the group, not from collected arrays.
+    Each share has as many ranks, and a rank lies within one of the share's.
+
+    ``shares`` are about the ranks' shares of the rows. Mergeable sketches bracket each; one more pass counts the rows
+    below the bracket, and only values inside it, a few thousandths of the rows, are brought in order.
     """
-    w = Window.partitionBy(by)
-    ranked = events.select(by, value, (F.row_number().over(w.orderBy(value)) - 1).alias("i"), F.count("*").over(w).alias("n"))
-    at = lambda p: F.max(F.when(F.col("i") == F.floor(F.col("n") * p), F.col(value)))
-    out = ranked.groupBy(by).agg(F.max("n").alias("n"), at(0.5).alias("p50"), at(0.9).alias("p90"), at(0.95).alias("p95"), at(0.99).alias("p99"))
+    slack = 4 / accuracy
+    ends = F.array(*[F.lit(min(1.0, max(0.0, p + d))) for p in shares for d in (-slack, slack)])
+    sketch = df.filter(F.col(value).isNotNull()).groupBy(by).agg(F.percentile_approx(value, ends, accuracy).alias("_e"), F.count("*").alias("n"))
+    met = df.filter(F.col(value).isNotNull()).join(sketch, by)
+    low, high = (lambda i: F.get("_e", F.lit(2 * i))), (lambda i: F.get("_e", F.lit(2 * i + 1)))
+    x = F.col(value)
+    below = met.groupBy(by).agg(F.max("n").alias("n"), F.array(*[F.count_if(x < low(i)) for i in range(len(shares))]).alias("_below"), F.array(*[F.max(F.when(x < low(i), x)) for i in range(len(shares))]).alias("_last"), F.array(*[F.min(F.when(x > high(i), x)) for i in range(len(shares))]).alias("_next"))
+    inside = F.array_compact(F.array(*[F.when((x >= low(i)) & (x <= high(i)), F.lit(i)) for i in range(len(shares))]))
+    counts = met.select(by, value, F.explode(inside).alias("_i")).groupBy(by, "_i", value).agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(by, "_i").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    summed = counts.withColumn("_c", F.sum("_c").over(w)).join(below, by).withColumn("_upto", F.col("_c") + F.get("_below", F.col("_i")))
+    of = len(ranks) // len(shares)
+
+    def at(rank: Column, i: int) -> Column:
+        """The value at a rank that the i-th bracket, or the value beside it, holds."""
+        own, under = F.col("_i") == i, F.get("_below", F.lit(i)) > rank
+        found = F.min(F.when(own & ~under & (F.col("_upto") > rank), x))
+        return F.coalesce(found, F.max(F.when(own, F.when(under, F.get("_last", F.lit(i))).otherwise(F.get("_next", F.lit(i))))))
+
+    return summed.groupBy(by).agg(F.max("n").alias("n"), *[at(rank, i // of).alias(name) for i, (name, rank) in enumerate(ranks.items())])
+
+
+def floor_percentiles(events: DataFrame, by: str = "event_type", value: str = "value") -> DataFrame:
+    """sorted[int(n * p)] for p50, p90, p95, p99; p99 needs 100 points."""
+    shares = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
+    out = order_statistics(events, by, value, {name: F.floor(F.col("n") * p) for name, p in shares.items()}, list(shares.values()))
     return out.withColumn("p99", F.when(F.col("n") >= 100, F.col("p99")))
 
 
 def linear_percentiles(events: DataFrame, by: str = "event_type", value: str = "value") -> DataFrame:
     """mean, extremes, interpolated percentiles, and rows above 1.5 times the 95th."""
-    stats = events.groupBy(by).agg(
-        F.round(F.avg(value), 6).alias("avg"), F.max(value).alias("max"), F.min(value).alias("min"), *[F.round(F.percentile(value, p / 100), 6).alias(f"p{p}") for p in (25, 50, 75, 90, 95, 99)], F.percentile(value, 0.95).alias("cut")
-    )
-    spikes = events.join(F.broadcast(stats.select(by, "cut")), by).filter(F.col(value) > 1.5 * F.col("cut")).groupBy(by).agg(F.count("*").alias("spikes"))
-    return stats.drop("cut").join(spikes, by, "left").withColumn("spikes", F.coalesce("spikes", F.lit(0)))
+    points = [25, 50, 75, 90, 95, 99]
+    at = lambda p: (F.col("n") - 1) * (p / 100)
+    ranks = {f"{side}{p}": F.floor(at(p)) if side == "a" else F.ceil(at(p)) for p in points for side in "ab"}
+    found = order_statistics(events, by, value, ranks, [p / 100 for p in points])
+    between = lambda p: F.col(f"a{p}") + (F.col(f"b{p}") - F.col(f"a{p}")) * (at(p) - F.floor(at(p)))
+    cuts = found.select(by, *[F.round(between(p), 6).alias(f"p{p}") for p in points], between(95).alias("cut"))
+    stats = events.join(cuts.select(by, "cut"), by).groupBy(by).agg(F.round(F.avg(value), 6).alias("avg"), F.max(value).alias("max"), F.min(value).alias("min"), F.count_if(F.col(value) > 1.5 * F.col("cut")).alias("spikes"))
+    return stats.join(cuts.drop("cut"), by).select(by, "avg", "max", "min", *[f"p{p}" for p in points], "spikes")
 
 
 def last_points(events: DataFrame, n: int = 1000, by: str = "event_type") -> DataFrame:
@@ -224,14 +256,21 @@ def step_durations(events: DataFrame) -> DataFrame:
 def cooled_down(alerts: DataFrame, seconds: int = 300, by: tuple[str, ...] = ("event_type",)) -> DataFrame:
     """Alerts that are sent: none within the cooldown after the last one SENT of its key.
 
-    An ordered fold over each key's alert times. Keys are cut where a gap alone ends the cooldown, so that
-    a hot key becomes many short runs, folded apart from each other.
+    Keys are cut where a gap alone ends the cooldown, so that a hot key becomes many runs; each is folded in order.
     """
-    w = Window.partitionBy(*by).orderBy("ts", "event_id")
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    gap = F.when(at - F.lag(at).over(w) >= seconds * 1_000_000, 1).otherwise(0)
-    runs = alerts.withColumn("_at", at).withColumn("_run", gap).withColumn("_run", F.sum("_run").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    folded = runs.groupBy(*by, "_run").agg(F.sort_array(F.collect_list(F.struct("_at", "event_id"))).alias("a"))
-    none = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("sent"))
-    fold = F.aggregate("a", none, lambda s, x: F.when(s["last"].isNull() | (x["_at"] - s["last"] >= seconds * 1_000_000), F.struct(x["_at"].alias("last"), F.concat(s["sent"], F.array(x["event_id"])).alias("sent"))).otherwise(s))["sent"]
-    return folded.select(*by, F.explode(fold).alias("event_id"))
+    micros = seconds * 1_000_000
+    kinds = dict(alerts.dtypes)
+
+    def step(rows: pd.DataFrame, last: int | None) -> tuple[pd.DataFrame, int]:
+        at, sent, i = rows["_at"].to_numpy(), [], 0
+        while i < len(at):
+            if last is None or at[i] - last >= micros:
+                last = int(at[i])
+                sent.append(i)
+            # The next that may be sent is the first at or after the end of the cooldown.
+            i = max(i + 1, int(np.searchsorted(at, last + micros)))
+        return rows.iloc[sent][[*by, "event_id"]], last
+
+    timed = alerts.select(*by, "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("_at"))
+    runs = sparse_runs(timed, list(by), "_at", micros, "_run")
+    return folded(runs, [*by, "_run"], ["_at", "event_id"], step, ", ".join(f"{c} {kinds[c]}" for c in (*by, "event_id")))

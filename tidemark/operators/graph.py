@@ -9,14 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import shared_dir
+
 
 def _kept(df: DataFrame) -> DataFrame:
-    """Cut lineage in the checkpoint folder that the session names (one is made where none is set, as in tests)."""
+    """Cut lineage in the checkpoint folder that the session names."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 
@@ -90,10 +90,10 @@ def structure(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return n.join(m, "one").select("nodes", "edges", F.round(2 * F.col("edges") / F.col("nodes"), 6).alias("avg_degree"), F.round(2 * F.col("edges") / F.nullif(F.col("nodes") * (F.col("nodes") - 1), F.lit(0)), 9).alias("density"))
 
 
-def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 50) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 200) -> DataFrame:
     """(id, component): the least id that a node is connected with.
 
-    Labels go to neighbours and then jump to their label's label, so long paths take few rounds.
+    Labels go to neighbours and then jump to their label's label, so long paths take few rounds; should they run out, that is an error.
     """
     both = _kept(edges.select("source", "target").unionAll(edges.select(F.col("target").alias("source"), F.col("source").alias("target"))).distinct())
     labels = _kept(nodes.select("id", F.col("id").alias("component")))
@@ -104,8 +104,8 @@ def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 50) -> Dat
         moved = _kept(next_.join(jump, "component", "left").select("id", F.least("component", F.coalesce("up", "component")).alias("component"), "old"))
         labels = moved.select("id", "component")
         if not moved.filter("component != old").limit(1).count():
-            break
-    return labels
+            return labels
+    raise RuntimeError(f"components are not settled after {most_rounds} rounds")
 
 
 def reached(edges: DataFrame, seeds: DataFrame, hops: int, directed: bool = False) -> DataFrame:

@@ -4,28 +4,64 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def sparse_runs(df: DataFrame, by: list[str], at: str, width: float, into: str) -> DataFrame:
+    """The rows with the number of their run: consecutive rows of a key, each less than ``width`` after the one before.
+
+    Rows of one bucket of that width are in one run anyway, so only buckets, not rows, are brought in order.
+    """
+    buckets = df.withColumn("_b", F.floor(F.col(at) / width))
+    edges = buckets.groupBy(*by, "_b").agg(F.min(at).alias("_low"), F.max(at).alias("_high"))
+    w = Window.partitionBy(*by).orderBy("_b")
+    new = F.when(F.col("_low") - F.lag("_high").over(w) >= width, 1).otherwise(0)
+    runs = edges.withColumn("_new", new).select(*by, "_b", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(into))
+    return buckets.join(runs, [*by, "_b"]).drop("_b")
+
+
+def folded(df: DataFrame, by: list[str], order: list[str], step, schema: str) -> DataFrame:
+    """A fold over the sorted rows of each key, a batch at a time: step(rows, state) gives (result, state); a new key starts with None.
+
+    A key is one task's work, in order, but never held: memory is a batch, however long the key.
+    """
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, state = None, None
+        for batch in batches:
+            for key, rows in batch.groupby(by, sort=False, dropna=False):
+                state = state if key == last else None
+                last = key
+                out, state = step(rows, state)
+                yield out
+
+    return df.repartition(*by).sortWithinPartitions(*by, *order).mapInPandas(task, schema)
+
+
 def anchored_groups(df: DataFrame, by: str, key: str, centre: str, tolerance: float) -> DataFrame:
     """Items in order of their centre; an item joins the group while within the tolerance of the group's FIRST item.
 
-    A fold over each page's sorted items; items of a page further apart than the tolerance start a run of their own, so
-    folds stay short.
+    Items further apart than the tolerance start a run of their own, so a page's runs are folded apart from each other.
     """
-    w = Window.partitionBy(by).orderBy(centre, key)
-    gap = F.when(F.col(centre) - F.lag(centre).over(w) > tolerance, 1).otherwise(0)
-    runs = df.withColumn("_gap", gap).withColumn("_run", F.sum("_gap").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    items = runs.groupBy(by, "_run").agg(F.sort_array(F.collect_list(F.struct(F.col(centre).alias("c"), F.col(key).alias("k")))).alias("items"))
-    none = F.struct(F.lit(None).cast("double").alias("anchor"), F.array().cast(f"array<struct<anchor:double,k:{dict(df.dtypes)[key]}>>").alias("out"))
+    kinds = dict(df.dtypes)
 
-    def step(s: Column, x: Column) -> Column:
-        anchor = F.when(s["anchor"].isNull() | (x["c"] - s["anchor"] > tolerance), x["c"].cast("double")).otherwise(s["anchor"])
-        return F.struct(anchor.alias("anchor"), F.concat(s["out"], F.array(F.struct(anchor.alias("anchor"), x["k"].alias("k")))).alias("out"))
+    def step(rows: pd.DataFrame, anchor: float | None) -> tuple[pd.DataFrame, float]:
+        c = rows[centre].to_numpy(dtype=float)
+        anchors, at = np.empty(len(c)), 0
+        while at < len(c):
+            anchor = c[at] if anchor is None or c[at] - anchor > tolerance else anchor
+            # All items up to the tolerance belong to it: none is looked at twice.
+            end = max(at + 1, int(np.searchsorted(c - anchor, tolerance, side="right")))
+            anchors[at:end] = anchor
+            at = end
+        return pd.DataFrame({by: rows[by], key: rows[key], "anchor": anchors}), anchor
 
-    return items.select(by, F.explode(F.aggregate("items", none, step)["out"]).alias("o")).select(by, F.col("o.k").alias(key), F.col("o.anchor").alias("anchor"))
+    # Runs are cut where the gap is beyond the tolerance, by the next double above it.
+    runs = sparse_runs(df.select(by, key, centre), [by], centre, float(np.nextafter(tolerance, np.inf)), "_run")
+    return folded(runs, [by, "_run"], [centre, key], step, f"{by} {kinds[by]}, {key} {kinds[key]}, anchor double")
 
 
 def ratio(a: str, b: str) -> float:
@@ -49,16 +85,18 @@ def string_ratio(a: Column | str, b: Column | str) -> Column:
 def greedy_clusters(df: DataFrame, block: str, key: str, label: str, least: float) -> DataFrame:
     """Within a block and in key order, an item joins the first cluster whose SEED is similar enough, else it seeds one.
 
-    A block is one task's work; choose blocks (type, first letters, length band) that stay small. Lengths bound the ratio
+    Items of one label always join the same cluster, so only a block's distinct labels meet in a task, each with its least
+    key; choose blocks (type, first letters, length band) whose labels are few. Lengths bound the ratio
     (2 * shorter / both), so most comparisons are settled without matching.
     """
     kind = dict(df.dtypes)
+    named = df.select(F.col(block).alias("_block"), F.col(key).alias("_key"), F.coalesce(label, F.lit("")).alias("_label"))
 
     def task(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(key, kind="stable")
+        rows = rows.sort_values("_first", kind="stable")
         seeds: list[tuple[int, str]] = []
         out = []
-        for k, text in zip(rows[key], rows[label].fillna(""), strict=True):
+        for k, text in zip(rows._first, rows._label, strict=True):
             for seed, name in seeds:
                 if 2 * min(len(name), len(text)) >= least * (len(name) + len(text)) and ratio(name, text) >= least:
                     break
@@ -66,9 +104,18 @@ def greedy_clusters(df: DataFrame, block: str, key: str, label: str, least: floa
                 seed = k
                 seeds.append((k, text))
             out.append(seed)
-        return pd.DataFrame({block: rows[block], key: rows[key], "seed": out})
-
-    return df.select(block, key, label).groupBy(block).applyInPandas(task, f"{block} {kind[block]}, {key} {kind[key]}, seed {kind[key]}")
+        return pd.DataFrame({"_b": rows._block, "_l": rows._label, "seed": out})
+
+    once = named.groupBy("_block", "_label").agg(F.min("_key").alias("_first"))
+    if kind[block].startswith("struct"):  # pandas groups by plain values
+        once = once.withColumn("_block", F.to_json("_block"))
+        named = named.withColumn("_json", F.to_json("_block"))
+    else:
+        named = named.withColumn("_json", F.col("_block"))
+    kinds = dict(once.dtypes)
+    seeds = once.groupBy("_block").applyInPandas(task, f"_b {kinds['_block']}, _l string, seed {kind[key]}")
+    met = named.join(seeds, F.col("_json").eqNullSafe(F.col("_b")) & (F.col("_label") == F.col("_l")))
+    return met.select(F.col("_block").alias(block), F.col("_key").alias(key), "seed")
 
 
 def retried(entries: DataFrame, most: int = 3) -> DataFrame:

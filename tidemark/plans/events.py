@@ -121,4 +121,8 @@ query(
     _on(E.step_durations),
     """SELECT user_id, event_id, epoch_us(until) - epoch_us(ts) AS duration_us FROM (SELECT *, lead(event_type) OVER w AS nxt, lead(ts) OVER w AS until FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE event_type = 'click' AND nxt = 'purchase'""",
 )
-query("e11_cooled_down_alerts", lambda spark, sf: E.cooled_down(table(spark, sf, "events").filter("event_type = 'error'"), 3600))
+COOLED = """WITH RECURSIVE a AS (SELECT event_type, event_id, epoch_us(ts) AS at, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i FROM events WHERE event_type = 'error'),
+    n AS (SELECT x.event_type, x.i, min(y.i) AS next FROM a x JOIN a y ON x.event_type = y.event_type AND y.at >= x.at + 3600000000 GROUP BY 1, 2),
+    s(event_type, i) AS (SELECT DISTINCT event_type, CAST(1 AS BIGINT) FROM a UNION ALL SELECT s.event_type, n.next FROM s JOIN n USING (event_type, i))
+    SELECT event_type, event_id FROM a JOIN s USING (event_type, i)"""
+query("e11_cooled_down_alerts", lambda spark, sf: E.cooled_down(table(spark, sf, "events").filter("event_type = 'error'"), 3600), COOLED)

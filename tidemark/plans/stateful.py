@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from tidemark.functions import chunking as C
 from tidemark.operators import stateful as S
+from tidemark.plans.events import COOLED
 from tidemark.registry import query
-from tidemark.session import table
+from tidemark.session import shared_dir, table
 from tidemark.streaming import windows as W
 
 
 def _shared(spark) -> str:
-    """The folder that driver and executors share; a local one only where none is set, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-stream-")
+    """The folder that driver and executors share."""
+    return shared_dir(spark)
+
 
+#: Anchors one after the other: the next is the least centre beyond the last one's tolerance.
+ANCHORED = """WITH RECURSIVE a AS (SELECT {by}, min({centre}) AS anchor FROM {table} GROUP BY 1 UNION ALL
+    SELECT a.{by}, min(t.{centre}) FROM a JOIN {table} t ON t.{by} = a.{by} AND t.{centre} - a.anchor > {tolerance} GROUP BY a.{by}, a.anchor)
+    SELECT t.{by}, t.{key}, max(a.anchor) AS anchor FROM {table} t JOIN a ON a.{by} = t.{by} AND a.anchor <= t.{centre} GROUP BY 1, 2"""
 
 query("e12_fixed_windows", lambda s, d: table(s, d, "documents").select("doc_id", F.posexplode(C.fixed_windows(F.col("text"))).alias("pos", "w")).select("doc_id", "pos", "w.*"))
 query("h09_sections", lambda s, d: table(s, d, "documents").select("doc_id", F.explode(C.section_starts(F.col("text"))).alias("line")))
@@ -26,7 +30,7 @@ query(
     lambda s, d: table(s, d, "documents").select("doc_id", C.adaptive_sizes((F.col("doc_id") % 10) / 10, F.col("doc_id") % 7 == 0, F.col("doc_id") % 2 == 0).alias("c")).select("doc_id", "c.*"),
     "SELECT doc_id, CASE WHEN doc_id % 10 > 7 OR doc_id % 7 = 0 THEN 800 WHEN doc_id % 2 = 0 THEN 1200 ELSE 1500 END AS size, CASE WHEN doc_id % 10 > 7 OR doc_id % 7 = 0 THEN 250 WHEN doc_id % 2 = 0 THEN 200 ELSE 150 END AS overlap FROM documents",
 )
-query("e06_anchored_rows", lambda s, d: S.anchored_groups(table(s, d, "part").select("p_brand", "p_partkey", "p_retailprice"), "p_brand", "p_partkey", "p_retailprice", 25.0))
+query("e06_anchored_rows", lambda s, d: S.anchored_groups(table(s, d, "part").select("p_brand", "p_partkey", "p_retailprice"), "p_brand", "p_partkey", "p_retailprice", 25.0), ANCHORED.format(table="part", by="p_brand", key="p_partkey", centre="p_retailprice", tolerance="25.0"))
 query("d19_greedy_clusters", lambda s, d: S.greedy_clusters(table(s, d, "part").select("p_brand", "p_partkey", "p_name"), "p_brand", "p_partkey", "p_name", 0.85))
 query("h34_string_ratio", lambda s, d: table(s, d, "part").select("p_partkey", F.round(S.string_ratio("p_name", "p_type"), 6).alias("ratio")))
 query(
@@ -64,4 +68,4 @@ query(
     "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
 )
 query("k06_streamed_thresholds", lambda s, d: W.run_to_end(W.threshold_events(W.event_stream(s, d), 300.0), _shared(s)).select("event_id", "event_type", "value"), "SELECT event_id, event_type, value FROM events WHERE value > 300.0")
-query("e11_streamed_cooldown", lambda s, d: W.run_to_end(W.cooled_down(W.event_stream(s, d).filter("event_type = 'error'"), 3600), _shared(s)))
+query("e11_streamed_cooldown", lambda s, d: W.run_to_end(W.cooled_down(W.event_stream(s, d).filter("event_type = 'error'"), 3600), _shared(s)), COOLED)

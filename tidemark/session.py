@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 
@@ -48,3 +49,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder; Spark's reader opens it, so any store that Spark knows will do."""
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or one made here where all is one machine."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and context._jsc.sc().getCheckpointDir().isDefined():
+        found = context._jsc.sc().getCheckpointDir().get()
+    if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="tidemark-checkpoint-")
+        context.setCheckpointDir(found)
+    return found
