@@ -125,6 +125,24 @@ def reached(edges: DataFrame, seeds: DataFrame, hops: int, directed: bool = Fals
     return found
 
 
+def paths(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
+    """(start, id, path) of every node within so many directed hops: a shortest path as an array of ids, the first by order of ids.
+
+    A frontier holds one path a start and node, so paths never multiply.
+    """
+    step = edges.select("source", "target").distinct()
+    frontier = _kept(starts.select(F.col("id").alias("start"), "id", F.array("id").alias("path")).distinct())
+    found = frontier
+    for _ in range(hops):
+        more = frontier.join(step, F.col("id") == F.col("source")).select("start", F.col("target").alias("id"), F.concat("path", F.array("target")).alias("path"))
+        first = more.groupBy("start", "id").agg(F.min("path").alias("path")).join(found.select("start", "id"), ["start", "id"], "left_anti")
+        frontier = _kept(first)
+        found = found.unionByName(frontier)
+        if not frontier.limit(1).count():
+            break
+    return found
+
+
 def ontology_counts(nodes: DataFrame, edges: DataFrame, kinds: list[str], rules: DataFrame) -> DataFrame:
     """Valid entities (kind known) and valid edges (kind allows both ends' kinds); rules(kind, domain, range)."""
     good = nodes.agg(F.count("*").alias("entities"), F.count(F.when(F.col("kind").isin(*kinds), 1)).alias("valid_entities")).withColumn("one", F.lit(1))

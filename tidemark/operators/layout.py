@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.stateful import anchored_groups
+from tidemark.operators.stateful import anchored_groups, box_relations
 
 
 def aligned_pairs(items: DataFrame, page: str, key: str, x: str, y: str, tolerance: float) -> DataFrame:
@@ -41,12 +41,10 @@ def authors(entities: DataFrame, author: str, kind: str = "person") -> DataFrame
     return entities.filter((F.col("kind") == kind) & F.contains("entity", F.col(author))).select("doc_id", "entity", F.lit("document").alias("target"), F.lit("author_of").alias("relation"), F.lit(0.9).alias("confidence"))
 
 
-def spatial_confidence(p: Column, q: Column) -> Column:
-    """Overlap over the smaller box for boxes that meet, .8 for directions."""
-    wide = F.least(p["x2"], q["x2"]) - F.greatest(p["x1"], q["x1"])
-    high = F.least(p["y2"], q["y2"]) - F.greatest(p["y1"], q["y1"])
-    area = lambda b: (b["x2"] - b["x1"]) * (b["y2"] - b["y1"])
-    return F.when((wide > 0) & (high > 0), wide * high / F.nullif(F.least(area(p), area(q)), F.lit(0.0))).otherwise(F.lit(0.8))
+def visual_relations(boxes: DataFrame, page: str, key: str, wide: float, high: float, least: float = 0.5) -> DataFrame:
+    """Relations of a page's boxes, brought to a page of width and height 1, with a confidence of at least ``least``."""
+    to = {"x1": wide, "x2": wide, "y1": high, "y2": high}
+    return box_relations(boxes.select(page, key, *[(F.col(c) / n).alias(c) for c, n in to.items()]), page, key).filter(F.col("confidence") >= least)
 
 
 def regions_of_interest(maps: DataFrame, key: str, cells: str, share: float = 0.5) -> DataFrame:

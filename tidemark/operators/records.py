@@ -50,11 +50,6 @@ def merged_results(parts: DataFrame, key: str, text: str, confidence: str, posit
     return parts.groupBy(key).agg(F.md5(joined).alias("text_md5"), F.round(F.sum(F.col(confidence) * n) / F.nullif(F.sum(n), F.lit(0)), 6).alias("weighted"), F.round(F.avg(confidence), 6).alias("mean"))
 
 
-def type_suggestions(required_share: Column, optional_share: Column) -> Column:
-    """.7 required and .3 optional share."""
-    return 0.7 * required_share + 0.3 * optional_share
-
-
 def with_alternatives(scores: DataFrame, by: str, item: str, score: str) -> DataFrame:
     """The best item of each key, and the next two with their distance from it."""
     w = Window.partitionBy(by).orderBy(F.desc(score), item)

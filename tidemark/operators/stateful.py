@@ -138,8 +138,9 @@ def evicted(entries: DataFrame, as_of: str, max_age_days: int, budget: float) ->
 
 
 def box_relations(boxes: DataFrame, page: str, key: str) -> DataFrame:
-    """Relations of a page's box pairs (x1, y1, x2, y2): containment, overlap, or direction.
+    """Relations of a page's box pairs (x1, y1, x2, y2): containment, overlap, or direction, with a confidence.
 
+    Boxes that meet have their overlap over the smaller one as confidence, directions .8.
     Pairs meet within their page only.
     """
     box = F.struct("x1", "y1", "x2", "y2")
@@ -159,7 +160,8 @@ def box_relations(boxes: DataFrame, page: str, key: str) -> DataFrame:
         .when(p["x2"] < q["x1"], "left_of")
         .when(q["x2"] < p["x1"], "right_of")
     )
-    return a.join(b, page).filter("a != b").select(page, "a", "b", kind.alias("relation")).filter("relation IS NOT NULL")
+    sure = F.when(meets, both / F.nullif(F.least(area(p), area(q)), F.lit(0.0))).otherwise(F.lit(0.8))
+    return a.join(b, page).filter("a != b").select(page, "a", "b", kind.alias("relation"), sure.alias("confidence")).filter("relation IS NOT NULL")
 
 
 def joined_parts(parts: DataFrame) -> DataFrame:

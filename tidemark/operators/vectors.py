@@ -59,7 +59,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, block: int = 4096) ->
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def _block_pairs(least: float):
+def _block_pairs(least: float, across: bool):
     def task(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"a": [], "b": [], "score": []}).astype({"a": "int64", "b": "int64", "score": "float64"})
@@ -68,15 +68,17 @@ def _block_pairs(least: float):
         score = np.round(np.divide(x @ y.T, long, out=np.zeros_like(long), where=long > 0), 6)
         u, v = left.vec_id.to_numpy(), right.vec_id.to_numpy()
         own = left.i.iloc[0] == left.j.iloc[0]
-        keep = (score >= least) & (left.label.to_numpy()[:, None] != right.label.to_numpy()[None, :])
+        keep = score >= least
+        if across:
+            keep &= left.label.to_numpy()[:, None] != right.label.to_numpy()[None, :]
         p, q = np.nonzero(keep & ((u[:, None] < v[None, :]) if own else True))
         return pd.DataFrame({"a": np.minimum(u[p], v[q]), "b": np.maximum(u[p], v[q]), "score": score[p, q]})
 
     return task
 
 
-def similar_pairs(vectors: DataFrame, least: float, block: int = 2048) -> DataFrame:
-    """All pairs of different labels with a cosine of at least ``least``.
+def similar_pairs(vectors: DataFrame, least: float, block: int = 2048, across: bool = True) -> DataFrame:
+    """All pairs (of different labels, unless ``across`` is off) with a cosine of at least ``least``.
 
     Rows are dealt into blocks by a hash; each pair of blocks is one matrix product, and only pairs that reach the limit
     leave the task. Rows without an id, label or vector are in no pair.
@@ -86,7 +88,7 @@ def similar_pairs(vectors: DataFrame, least: float, block: int = 2048) -> DataFr
     own = rows.withColumn("at", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int"))
     left = own.withColumn("i", F.col("at")).withColumn("j", F.explode(F.sequence("at", F.lit(n - 1))))
     right = own.withColumn("j", F.col("at")).withColumn("i", F.explode(F.sequence(F.lit(0), "at")))
-    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(_block_pairs(least), "a long, b long, score double").distinct()
+    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(_block_pairs(least, across), "a long, b long, score double").distinct()
 
 
 def parts(v: Column | str, n: int, width: int) -> Column:

@@ -38,18 +38,12 @@ query(
 )
 query("b08_csv_lines", lambda s, d: writers.csv_lines(_cust(s, d).select("c_custkey", "c_name", F.concat(F.lit('a,"'), "c_mktsegment").alias("q"))), "SELECT c_custkey || ',' || c_name || ',\"a,\"\"' || c_mktsegment || '\"' AS line FROM customer")
 query("b09_json_lines", lambda s, d: writers.json_lines(_cust(s, d).select("c_custkey", "c_name")), "SELECT '{\"c_custkey\":' || c_custkey || ',\"c_name\":\"' || c_name || '\"}' AS line FROM customer")
-query("c17_direct_replies", lambda s, d: _conv(s, d).filter("turn = 1").select("conv_id", "role"), "SELECT conv_id, role FROM conversations WHERE turn = 1")
 query(
     "c19_content_kind",
     lambda s, d: t("events")(s, d).select("event_id", readers.content_kind(F.when(F.col("event_type") == "click", "image/png").when(F.col("event_type") == "view", "application/pdf").otherwise("x/y")).alias("kind")).groupBy("kind").agg(F.count("*").alias("n")),
     "SELECT CASE event_type WHEN 'click' THEN 'image' WHEN 'view' THEN 'document' ELSE 'other' END AS kind, count(*) AS n FROM events GROUP BY 1",
 )
 query("c20_daily_quota", lambda s, d: E.daily_quota(t("events")(s, d), 2).groupBy("can_send").agg(F.count("*").alias("n")), "SELECT can_send, count(*) AS n FROM (SELECT count(*) < 2 AS can_send FROM events GROUP BY user_id, CAST(ts AS DATE)) GROUP BY 1")
-query(
-    "c26_model_dashboard",
-    lambda s, d: _line(s, d).groupBy("l_partkey").agg(F.count("*").alias("uses")).orderBy(F.desc("uses"), "l_partkey").limit(10),
-    "SELECT l_partkey, count(*) AS uses FROM lineitem GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
-)
 query(
     "d04_append_and_delete",
     lambda s, d: _cust(s, d).select("c_custkey").unionAll(_cust(s, d).filter("c_mktsegment = 'BUILDING'").select("c_custkey")).join(_cust(s, d).filter("c_acctbal < 0").select("c_custkey"), "c_custkey", "left_anti"),
@@ -87,12 +81,6 @@ query(
     lambda s, d: _docs(s, d).select("doc_id", F.lower("text").alias("low")).join(F.broadcast(t("region")(s, d).select("r_name", F.lower(F.substring("r_name", 1, 3)).alias("needle"))), F.contains(F.col("low"), F.col("needle"))).groupBy("r_name").agg(F.count("*").alias("support")),
     "SELECT r_name, count(*) AS support FROM documents JOIN region ON contains(lower(text), lower(substr(r_name, 1, 3))) GROUP BY 1",
 )
-query("d26_zipped_records", lambda s, d: _cust(s, d).select(F.col("c_custkey").alias("k"), "c_name").join(_orders(s, d).select((F.col("o_orderkey") + 1).alias("k"), "o_orderstatus"), "k"), "SELECT c_custkey AS k, c_name, o_orderstatus FROM customer JOIN orders ON c_custkey = o_orderkey + 1")
-query(
-    "d31_cross_modal",
-    lambda s, d: _part(s, d).filter(F.contains(F.lower("p_type"), F.lower(F.split_part("p_type", F.lit(" "), F.lit(3))))).select("p_partkey", F.round(F.least(0.9 * F.length(F.split_part("p_type", F.lit(" "), F.lit(3))) / F.length("p_type"), F.lit(0.9)), 6).alias("confidence")).filter("confidence >= 0.2"),
-    "SELECT p_partkey, round(least(0.9::DOUBLE * length(split_part(p_type, ' ', 3)) / length(p_type), 0.9), 6) AS confidence FROM part WHERE contains(lower(p_type), lower(split_part(p_type, ' ', 3))) AND round(least(0.9::DOUBLE * length(split_part(p_type, ' ', 3)) / length(p_type), 0.9), 6) >= 0.2",
-)
 query("f11_property_coverage", lambda s, d: _line(s, d).unpivot(["l_returnflag"], ["l_discount", "l_tax"], "property", "x").groupBy("l_returnflag", "property").agg(F.count("*").alias("n"), F.round(F.avg((F.col("x") > 0).cast("double")), 6).alias("coverage")), "SELECT l_returnflag, property, count(*) AS n, round(avg(CAST(x > 0 AS INTEGER)), 6) AS coverage FROM (SELECT l_returnflag, unnest(['l_discount', 'l_tax']) AS property, unnest([l_discount, l_tax]) AS x FROM lineitem) GROUP BY 1, 2")
 query("f24_inference_means", lambda s, d: _line(s, d).groupBy("l_linestatus").agg(F.round(F.avg("l_quantity"), 6).alias("avg_resolution"), F.round(100.0 * F.avg((F.col("l_tax") > 0.04).cast("double")), 6).alias("resized_pct")), "SELECT l_linestatus, round(avg(l_quantity), 6) AS avg_resolution, round(100.0 * avg(CAST(l_tax > 0.04 AS INTEGER)), 6) AS resized_pct FROM lineitem GROUP BY 1")
 query("f36_resolution_report", lambda s, d: R.resolution_report(_part(s, d).select("p_brand", F.col("p_name").alias("cluster")), "p_brand", "cluster"), "SELECT p_brand, count(*) AS before, count(DISTINCT p_name) AS after, count(*) - count(DISTINCT p_name) AS merged, round(100.0 * (count(*) - count(DISTINCT p_name)) / count(*), 6) AS reduction_pct FROM part GROUP BY 1")
@@ -112,7 +100,6 @@ query(
     "SELECT o_orderkey, CASE WHEN (o_custkey % 3) / 5 > 0.3 THEN 'invalid' WHEN (o_orderkey % 5) / 5 >= 0.7 THEN 'valid' ELSE 'uncertain' END AS status FROM orders",
 )
 query("f42_repeated_claims", lambda s, d: R.repeated(_line(s, d), "l_suppkey", "l_orderkey"), "SELECT l_orderkey, l_suppkey, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
-query("f43_mean_confidence", lambda s, d: _line(s, d).groupBy("l_orderkey").agg(F.round((F.lit(0.8) + F.avg("l_discount")) / 2, 6).alias("quality")), "SELECT l_orderkey, round((0.8::DOUBLE + avg(l_discount)) / 2, 6) AS quality FROM lineitem GROUP BY 1")
 query("g11_merged_edges", lambda s, d: G.distinct_edges(PG.edges(s, d).unionByName(PG.edges(s, d).select(F.col("target").alias("source"), F.col("source").alias("target"), "kind", "confidence")), directed=False).groupBy("kind").agg(F.count("*").alias("n")), f"{PG.WITH} SELECT kind, count(*) AS n FROM (SELECT DISTINCT least(source, target), greatest(source, target), kind FROM e) GROUP BY 1")
 query(
     "h17_spoken_phrases",
@@ -126,19 +113,12 @@ query(
     lambda s, d: R.language_runs(_conv(s, d), "conv_id", "turn", F.when(F.col("text").rlike("[äöüß]"), "de").when(F.col("text").rlike("[éèçê]"), "fr").otherwise("en")),
     "WITH l AS (SELECT conv_id, turn, CASE WHEN regexp_matches(text, '[äöüß]') THEN 'de' WHEN regexp_matches(text, '[éèçê]') THEN 'fr' ELSE 'en' END AS language FROM conversations), m AS (SELECT *, CASE WHEN language = lag(language) OVER (PARTITION BY conv_id ORDER BY turn) THEN 0 ELSE 1 END AS new FROM l), r AS (SELECT *, CAST(sum(new) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS run FROM m) SELECT conv_id, run, min(language) AS language, count(*) AS n FROM r GROUP BY 1, 2",
 )
-query("h27_document_metadata", lambda s, d: _docs(s, d).select("doc_id", F.length("text").alias("chars"), F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("words"), F.size(F.split("text", "\n")).alias("lines")), r"SELECT doc_id, CAST(length(text) AS INTEGER) AS chars, CAST(len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS INTEGER) AS words, CAST(len(string_split(text, chr(10))) AS INTEGER) AS lines FROM documents")
 query("h47_fusion_confidence", lambda s, d: t("embeddings")(s, d).alias("a").join(t("embeddings")(s, d).select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b")), "vec_id").select("vec_id", F.round((V.cosine("embedding", "b") + 1.0) / 2, 6).alias("confidence")), "SELECT a.vec_id, round((list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) + 1.0) / 2, 6) AS confidence FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 query("h48_cross_modal_top_k", lambda s, d: V.top_k(t("embeddings")(s, d), t("embeddings")(s, d).filter("vec_id % 20 = 0"), 8).join(t("embeddings")(s, d).select("vec_id", "label"), "vec_id").select("query_id", "vec_id", F.round(F.col("score") * F.when(F.col("label") % 2 == 0, 0.9).otherwise(1.0), 9).alias("score")), "WITH p AS (SELECT q.vec_id AS query_id, v.vec_id, v.label, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score FROM embeddings q JOIN embeddings v ON q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) SELECT query_id, vec_id, round(score * CASE WHEN label % 2 = 0 THEN 0.9::DOUBLE ELSE 1.0::DOUBLE END, 9) AS score FROM r WHERE rank <= 8")
-query("h53_valid_entities", lambda s, d: _cust(s, d).select("c_custkey", ((F.col("c_name") != "") & (F.col("c_acctbal") > 0)).alias("valid")).groupBy("valid").agg(F.count("*").alias("n")), "SELECT c_name <> '' AND c_acctbal > 0 AS valid, count(*) AS n FROM customer GROUP BY 1")
-query("h54_valid_edges", lambda s, d: PG.edges(s, d).join(PG.nodes(s, d).select(F.col("id").alias("target"), F.col("kind").alias("range")), "target").groupBy("kind", (F.col("range") == "Nation").alias("valid")).agg(F.count("*").alias("n")), f"{PG.WITH} SELECT e.kind, n.kind = 'Nation' AS valid, count(*) AS n FROM e JOIN n ON n.id = target GROUP BY 1, 2")
-query("h55_type_suggestions", lambda s, d: _part(s, d).select("p_partkey", F.round(R.type_suggestions((F.col("p_size") % 3) / 2, (F.col("p_size") % 5) / 4), 6).alias("score")), "SELECT p_partkey, round(0.7::DOUBLE * ((p_size % 3) / 2) + 0.3::DOUBLE * ((p_size % 5) / 4), 6) AS score FROM part")
-query("h56_edge_suggestions", lambda s, d: _line(s, d).groupBy("l_returnflag").agg(F.round((1 / F.countDistinct("l_suppkey") + 1 / F.countDistinct("l_linenumber")) / 2, 9).alias("score")), "SELECT l_returnflag, round((1 / count(DISTINCT l_suppkey) + 1 / count(DISTINCT l_linenumber)) / 2, 9) AS score FROM lineitem GROUP BY 1")
 query("h59_image_forecast", lambda s, d: _part(s, d).select("p_partkey", F.round(F.greatest(F.lit(0.0), F.col("p_size") * 0.00765 - F.col("p_retailprice") * 0.0001), 9).alias("saving")), "SELECT p_partkey, round(greatest(0.0, p_size * 0.00765::DOUBLE - p_retailprice * 0.0001::DOUBLE), 9) AS saving FROM part")
 query("h80_row_lengths", lambda s, d: _docs(s, d).select("doc_id", F.transform(F.split("text", "\n"), lambda x: F.size(F.split(x, " \\| "))).alias("n")).select("doc_id", (F.array_max("n") == F.array_min("n")).alias("consistent")), "SELECT doc_id, list_max(n) = list_min(n) AS consistent FROM (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: len(string_split(x, ' | '))) AS n FROM documents)")
 query("h88_byte_ranges", lambda s, d: _docs(s, d).select("doc_id", F.posexplode(R.byte_ranges(F.col("n_chars").cast("int"), 4096)).alias("pos", "r")).select("doc_id", "pos", "r.start", "r.end"), 'SELECT doc_id, CAST(i AS INTEGER) AS pos, CAST(i * 4096 AS INTEGER) AS start, CAST(least((i + 1) * 4096, n_chars) AS INTEGER) AS "end" FROM (SELECT doc_id, n_chars, unnest(range(CAST(ceil(n_chars / 4096) AS BIGINT))) AS i FROM documents)')
-query("h89_chunking_choice", lambda s, d: _docs(s, d).select("doc_id", F.when(F.col("n_chars") < 1000, "none").when(F.col("n_chars") < 5000, "fixed").when(F.contains("text", F.lit("|")), "table").otherwise("semantic").alias("method")), "SELECT doc_id, CASE WHEN n_chars < 1000 THEN 'none' WHEN n_chars < 5000 THEN 'fixed' WHEN contains(text, '|') THEN 'table' ELSE 'semantic' END AS method FROM documents")
 query("h98_complexity", lambda s, d: _part(s, d).select("p_partkey", F.round(0.2 + 0.2 * F.least(F.col("p_size") / 20, F.lit(1.0)) + F.least((F.col("p_partkey") % 4) / 5, F.lit(0.3)) + F.least(F.col("p_size") / 20, F.lit(0.3)), 6).alias("complexity")), "SELECT p_partkey, round(0.2::DOUBLE + 0.2::DOUBLE * least(p_size / 20, 1.0) + least((p_partkey % 4) / 5, 0.3) + least(p_size / 20, 0.3), 6) AS complexity FROM part")
-query("i07_nodes_of_kind", lambda s, d: PG.nodes(s, d).groupBy("kind").agg(F.count("*").alias("n")), f"{PG.WITH} SELECT kind, count(*) AS n FROM n GROUP BY 1")
 query("i04_path_edges", lambda s, d: G.complete_edges(PG.edges(s, d), G.reached(PG.edges(s, d), PG.nodes(s, d).filter("id = 'c1'"), 3, directed=True).select("id")).select("source", "target", "kind"), f"{PG.WITH}, w(id, hop) AS (SELECT 'c1', 0 UNION ALL SELECT target, hop + 1 FROM w JOIN e ON source = id WHERE hop < 3) SELECT source, target, kind FROM e WHERE source IN (SELECT id FROM w) AND target IN (SELECT id FROM w)")
 query("j01_key_findings", lambda s, d: S.top(_line(s, d).select("l_orderkey", "l_linenumber", F.greatest("l_discount", "l_tax").alias("score")), 10, F.desc("score"), F.col("l_orderkey"), F.col("l_linenumber")), "SELECT l_orderkey, l_linenumber, greatest(l_discount, l_tax) AS score FROM lineitem ORDER BY score DESC, l_orderkey, l_linenumber LIMIT 10")
 query("j02_top_concepts", lambda s, d: _docs(s, d).select(F.explode(F.split("text", " ")).alias("w")).filter(F.length("w") > 6).groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(20), "SELECT w, count(*) AS n FROM (SELECT unnest(string_split(text, ' ')) AS w FROM documents) WHERE length(w) > 6 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")

@@ -18,8 +18,8 @@ CONTENT = {"image": "image", "audio": "audio", "video": "video"}
 
 
 def csv(spark: SparkSession, path: str) -> DataFrame:
-    """The first row names the columns; all others are rows of strings."""
-    return spark.read.csv(path, header=True, inferSchema=False)
+    """The first row names the columns; all others are rows of strings. A quote inside a quoted field is doubled."""
+    return spark.read.csv(path, header=True, inferSchema=False, escape='"')
 
 
 def json_documents(spark: SparkSession, path: str) -> DataFrame:
