@@ -44,7 +44,14 @@ query(
     lambda s, d: table(s, d, "orders").select("o_orderkey", X.spoken_dates(F.concat(F.lit("on "), F.date_format("o_orderdate", "M/d/yyyy"), F.lit("!"))).alias("text")),
     "SELECT o_orderkey, 'on ' || strftime(o_orderdate, '%B ') || CAST(day(o_orderdate) AS VARCHAR) || ', ' || CAST(year(o_orderdate) AS VARCHAR) || '!' AS text FROM orders",
 )
-query("h19_balanced_tags", lambda s, d: table(s, d, "pages").select("page_id", X.tags_balance(F.col("html")).alias("balanced")))
+query(
+    "h19_balanced_tags",
+    lambda s, d: table(s, d, "pages").select("page_id", X.tags_balance(F.col("html")).alias("balanced")),
+    r"""WITH RECURSIVE d AS (SELECT page_id, regexp_extract_all(html, '<(/?[A-Za-z][\w:-]*)(?:[^>]*[^>/])?>', 1) AS t FROM pages),
+    r(page_id, i, open, good) AS (SELECT page_id, 0, []::VARCHAR[], true FROM d UNION ALL
+      SELECT page_id, i + 1, CASE WHEN x NOT LIKE '/%' THEN list_append(open, x) WHEN len(open) > 0 AND open[-1] = substr(x, 2) THEN open[1:len(open) - 1] ELSE open END, good AND (x NOT LIKE '/%' OR (len(open) > 0 AND open[-1] = substr(x, 2))) FROM (SELECT r.*, t[r.i + 1] AS x FROM r JOIN d USING (page_id) WHERE r.i < len(t)))
+    SELECT page_id, good AND len(open) = 0 AS balanced FROM r JOIN d USING (page_id) WHERE i = len(t)""",
+)
 _iso = "CASE WHEN day BETWEEN 1 AND 31 AND month BETWEEN 1 AND 12 AND year >= 1900 THEN format('{:04d}-{:02d}-{:02d}', year, month, day) END"
 query(
     "h21_iso_dates",

@@ -22,9 +22,33 @@ ANCHORED = """WITH RECURSIVE a AS (SELECT {by}, min({centre}) AS anchor FROM {ta
     SELECT a.{by}, min(t.{centre}) FROM a JOIN {table} t ON t.{by} = a.{by} AND t.{centre} - a.anchor > {tolerance} GROUP BY a.{by}, a.anchor)
     SELECT t.{by}, t.{key}, max(a.anchor) AS anchor FROM {table} t JOIN a ON a.{by} = t.{by} AND a.anchor <= t.{centre} GROUP BY 1, 2"""
 
-query("e12_fixed_windows", lambda s, d: table(s, d, "documents").select("doc_id", F.posexplode(C.fixed_windows(F.col("text"))).alias("pos", "w")).select("doc_id", "pos", "w.*"))
-query("h09_sections", lambda s, d: table(s, d, "documents").select("doc_id", F.explode(C.section_starts(F.col("text"))).alias("line")))
-query("h15_packed_sentences", lambda s, d: table(s, d, "documents").select("doc_id", F.posexplode(C.packed_sentences(F.col("text"))).alias("pos", "segment")).select("doc_id", "pos", F.length("segment").alias("length")))
+query(
+    "e12_fixed_windows",
+    lambda s, d: table(s, d, "documents").select("doc_id", F.posexplode(C.fixed_windows(F.col("text"))).alias("pos", "w")).select("doc_id", "pos", "w.*"),
+    """WITH RECURSIVE d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE text <> ''),
+    w(doc_id, pos, "start", "end") AS (SELECT doc_id, -1, CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM d UNION ALL
+      SELECT doc_id, pos + 1, st, CASE WHEN plain < n THEN coalesce(least(CASE WHEN a > 0 THEN plain + a END, CASE WHEN b > 0 THEN plain + b END, CASE WHEN c > 0 THEN plain + c END), plain) ELSE n END
+      FROM (SELECT doc_id, pos, n, st, plain, strpos(substr(text, plain + 1), '.') AS a, strpos(substr(text, plain + 1), chr(10)) AS b, strpos(substr(text, plain + 1), ' ') AS c
+        FROM (SELECT w.doc_id, w.pos, d.n, d.text, CASE WHEN w.pos < 0 THEN 0 ELSE w."end" - 200 END AS st, least(CASE WHEN w.pos < 0 THEN 0 ELSE w."end" - 200 END + 1000, d.n) AS plain FROM w JOIN d USING (doc_id) WHERE w.pos < 0 OR w."end" < d.n)))
+    SELECT doc_id, CAST(pos AS INTEGER) AS pos, CAST("start" AS INTEGER) AS "start", CAST("end" AS INTEGER) AS "end" FROM w WHERE pos >= 0""",
+)
+query(
+    "h09_sections",
+    lambda s, d: table(s, d, "documents").select("doc_id", F.explode(C.section_starts(F.col("text"))).alias("line")),
+    f"""WITH RECURSIVE d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
+    r(doc_id, i, size, cut) AS (SELECT doc_id, 0, length(l[1]) + 1, true FROM d UNION ALL
+      SELECT doc_id, i + 1, CASE WHEN head OR size > 2000 THEN 0 ELSE size END + length(x) + 1, head OR size > 2000 FROM (SELECT r.doc_id, r.i, r.size, l[r.i + 2] AS x, regexp_matches(l[r.i + 2], '{'|'.join(C.HEADINGS)}') AS head FROM r JOIN d USING (doc_id) WHERE r.i + 1 < len(l)))
+    SELECT doc_id, CAST(i AS INTEGER) AS line FROM r WHERE cut""",
+)
+query(
+    "h15_packed_sentences",
+    lambda s, d: table(s, d, "documents").select("doc_id", F.posexplode(C.packed_sentences(F.col("text"))).alias("pos", "segment")).select("doc_id", "pos", F.length("segment").alias("length")),
+    r"""WITH RECURSIVE d AS (SELECT doc_id, text, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS l FROM documents WHERE length(text) > 1000),
+    r(doc_id, i, open, closed) AS (SELECT doc_id, 0, '', NULL::VARCHAR FROM d UNION ALL
+      SELECT doc_id, i + 1, CASE WHEN length(open) + length(x) + 1 > 1000 THEN x WHEN open = '' THEN x ELSE open || ' ' || x END, CASE WHEN length(open) + length(x) + 1 > 1000 AND open <> '' THEN open END FROM (SELECT r.*, l[r.i + 1] AS x FROM r JOIN d USING (doc_id) WHERE r.i < len(l))),
+    s AS (SELECT doc_id, i, closed AS x FROM r WHERE closed IS NOT NULL UNION ALL SELECT r.doc_id, r.i + 1, open FROM r JOIN d USING (doc_id) WHERE r.i = len(l) AND open <> '' UNION ALL SELECT doc_id, 0, text FROM documents WHERE length(text) <= 1000)
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS pos, CAST(length(x) AS INTEGER) AS length FROM s""",
+)
 query(
     "h10_adaptive_sizes",
     lambda s, d: table(s, d, "documents").select("doc_id", C.adaptive_sizes((F.col("doc_id") % 10) / 10, F.col("doc_id") % 7 == 0, F.col("doc_id") % 2 == 0).alias("c")).select("doc_id", "c.*"),
@@ -56,6 +80,9 @@ query(
 query(
     "h16_word_error_rate",
     lambda s, d: table(s, d, "part").select("p_partkey", F.round(S.word_error_rate(F.col("p_name"), F.col("p_type")), 6).alias("wer")),
+    r"""WITH w AS (SELECT p_partkey, list_filter(regexp_split_to_array(lower(p_name), '\s+'), lambda x: x <> '') AS a, list_filter(regexp_split_to_array(lower(p_type), '\s+'), lambda x: x <> '') AS b FROM part),
+    k AS (SELECT *, list_distinct(list_concat(a, b)) AS k FROM w), c AS (SELECT p_partkey, len(a) AS n, array_to_string(list_transform(a, lambda x: chr(CAST(64 + list_position(k, x) AS INTEGER))), '') AS x, array_to_string(list_transform(b, lambda x: chr(CAST(64 + list_position(k, x) AS INTEGER))), '') AS y FROM k)
+    SELECT p_partkey, round(levenshtein(x, y) / greatest(1, n), 6) AS wer FROM c""",
 )
 query(
     "f44_joined_parts",

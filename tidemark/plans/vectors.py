@@ -27,8 +27,16 @@ query("h42_norms", lambda s, d: _e(s, d).select("vec_id", F.round(V.norm("embedd
 query(
     "h44_document_similarity",
     lambda s, d: _e(s, d).join(_e(s, d).select((F.col("vec_id") - 2).alias("vec_id"), F.col("embedding").alias("other")), "vec_id").select("vec_id", F.round(V.document_similarity("embedding", "other", 4, 16), 6).alias("similarity")),
+    f"""WITH p AS (SELECT a.vec_id, i, max({_COS.format(a="a.embedding[i * 16 + 1 : i * 16 + 16]", b="b.embedding[j * 16 + 1 : j * 16 + 16]")}) AS c, any_value({_COS.format(a="a.embedding", b="b.embedding")}) AS whole FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 2, range(4) x(i), range(4) y(j) GROUP BY 1, 2)
+    SELECT vec_id, round(0.3::DOUBLE * any_value(whole) + 0.7::DOUBLE * (sum(c) / 4), 6) AS similarity FROM p GROUP BY 1""",
+)
+query(
+    "h45_late_fusion",
+    lambda s, d: _e(s, d).join(_e(s, d).select((F.col("vec_id") - 3).alias("vec_id"), F.col("embedding").alias("other")), "vec_id").select("vec_id", F.transform(V.late_fusion("embedding", "other"), lambda x: F.round(x, 6)).alias("fused")),
+    """WITH u AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) AS u FROM embeddings),
+    m AS (SELECT a.vec_id, list_transform(list_zip(a.u, b.u), lambda x: 0.5::DOUBLE * x[1] + 0.5::DOUBLE * x[2]) AS m FROM u a JOIN u b ON b.vec_id = a.vec_id + 3)
+    SELECT vec_id, list_transform(m, lambda x: round(x / sqrt(list_dot_product(m, m)), 6)) AS fused FROM m""",
 )
-query("h45_late_fusion", lambda s, d: _e(s, d).join(_e(s, d).select((F.col("vec_id") - 3).alias("vec_id"), F.col("embedding").alias("other")), "vec_id").select("vec_id", F.transform(V.late_fusion("embedding", "other"), lambda x: F.round(x, 6)).alias("fused")))
 query(
     "d06_similar_pairs",
     lambda s, d: V.similar_pairs(_e(s, d), 0.7),
