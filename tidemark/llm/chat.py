@@ -10,7 +10,8 @@ range-partitioned by that order and numbered within (conversation, partition); p
 
 Defined cases: rows repeated exactly are turns of their own, next to each other; a null text is an empty content;
 a null role is a speaker named ``unknown``; null conv_id and turn are values of their own (nulls first);
-a conversation of system turns only has no participant and no row; an empty table gives an empty result.
+a conversation of system turns only has no participant and no row; turns that tie in (turn, role, text) are equal rows; a
+text of any length stays whole in its segment; extra columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stored
+from tidemark.llm.common import join_hot, stored
 
 START, END = "<|im_start|>", "<|im_end|>\n"
 
@@ -43,9 +44,13 @@ def numbered(turns: DataFrame, conv: str, turn: str, role: str, text: str) -> Da
 def rotated(turns: DataFrame, segment_turns: int = 64, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """A row for each conversation, participant and segment: the messages, the rendered text, and the spans to train on."""
     placed = numbered(turns, conv, turn, role, text).withColumn("_segment", F.floor(F.col("_at") / segment_turns))
-    segments = placed.groupBy("_conv", "_segment").agg(F.sort_array(F.collect_list(F.struct("_at", "_turn", "_role", "_text"))).alias("_turns"))
-    speakers = placed.filter("_role != 'system'").select(F.col("_conv").alias("_c"), F.col("_role").alias("_as")).distinct()
-    each = segments.join(speakers, F.col("_conv").eqNullSafe(F.col("_c")))
+    # A key that tells a null conversation from all others.
+    key = F.coalesce(F.concat(F.lit("c"), F.col("_conv").cast("string")), F.lit("null"))
+    segments = stored(placed.groupBy("_conv", "_segment").agg(F.sort_array(F.collect_list(F.struct("_at", "_turn", "_role", "_text"))).alias("_turns")).withColumn("_key", key), "segments")
+    # The participants of a conversation are few; its segments need not be, and then do not meet in one task.
+    talks = segments.select("_key", F.explode("_turns._role").alias("_as")).filter("_as != 'system'").distinct().groupBy("_key").agg(F.collect_set("_as").alias("_all"))
+    talks = stored(talks.join(segments.groupBy("_key").agg(F.count("*").alias("_n")), "_key"), "talks")
+    each = join_hot(segments, talks, "_key", "_n").withColumn("_as", F.explode("_all"))
 
     def message(t: Column) -> Column:
         kind = F.when(t["_role"] == "system", F.lit("system")).when(t["_role"] == F.col("_as"), F.lit("assistant")).otherwise(F.lit("user"))

@@ -8,8 +8,12 @@ the fullest row that still takes it. A segment tree over remaining capacities fi
 Each packed row holds ids (little-endian, padded to the capacity), cumulative segment lengths, positions that
 restart at 0 with each segment, and for every segment the document, the offset in it, and the length.
 
+Rows depend on how documents lie in the input's partitions, as windows do not cross them; the tokens packed do not.
+
 Defined cases: a null or empty text (or id list) has no tokens and no segment; repeated rows are packed one by
-one; a null doc_id stays null in its segments; an empty table gives an empty result.
+one; of equal lengths the earlier comes first, and of rows with equal room the one used last; a text of any length is
+cut into as many rows as it takes; a null doc_id stays null in its segments; extra columns are not read; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
