@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +34,24 @@ def relevant_subgraph(nodes: DataFrame, edges: DataFrame, n: int = 10, least: fl
     return out.withColumn("score", F.round((F.col("sa") + F.col("sb")) / 2, 6)).filter(F.col("score") > edge_least).select("source", "target", "score")
 
 
+def label_support(texts: DataFrame, key: str, text: str, labels: DataFrame, label: str, needle: str, most: int = 1000) -> DataFrame:
+    """(label, support): in how many texts each label's needle occurs; a text is searched once, for all needles.
+
+    labels holds at most ``most`` rows (an ontology's), which become one pattern; overlapping needles are found by looking ahead.
+    """
+    known = [r[0] for r in labels.select(needle).distinct().limit(most + 1).collect()]
+    if len(known) > most:
+        raise ValueError(f"more than {most} labels")
+    # Needles of one length at a time: a look-ahead finds those that overlap.
+    found = F.lit(None).cast("array<string>")
+    for n in sorted({len(k) for k in known}):
+        pattern = "(?=(" + "|".join(re.escape(k) for k in sorted(known) if len(k) == n) + "))"
+        here = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)))
+        found = here if n == min(map(len, known)) else F.concat(found, here)
+    met = texts.select(key, F.explode(found).alias(needle))
+    return met.join(labels.select(label, needle), needle).groupBy(label).agg(F.count("*").alias("support"))
+
+
 def claim_status(verified: Column, contradicted: Column, total: Column) -> Column:
     """invalid where contradictions exceed .3, valid from .7 verified, else uncertain; valid without claims."""
     v, c = verified / F.nullif(total, F.lit(0)), contradicted / F.nullif(total, F.lit(0))

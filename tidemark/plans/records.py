@@ -78,7 +78,7 @@ query(
 )
 query(
     "d22_claims_against_labels",
-    lambda s, d: _docs(s, d).select("doc_id", F.lower("text").alias("low")).join(F.broadcast(t("region")(s, d).select("r_name", F.lower(F.substring("r_name", 1, 3)).alias("needle"))), F.contains(F.col("low"), F.col("needle"))).groupBy("r_name").agg(F.count("*").alias("support")),
+    lambda s, d: R.label_support(_docs(s, d).select("doc_id", F.lower("text").alias("low")), "doc_id", "low", t("region")(s, d).select("r_name", F.lower(F.substring("r_name", 1, 3)).alias("needle")), "r_name", "needle"),
     "SELECT r_name, count(*) AS support FROM documents JOIN region ON contains(lower(text), lower(substr(r_name, 1, 3))) GROUP BY 1",
 )
 query("f11_property_coverage", lambda s, d: _line(s, d).unpivot(["l_returnflag"], ["l_discount", "l_tax"], "property", "x").groupBy("l_returnflag", "property").agg(F.count("*").alias("n"), F.round(F.avg((F.col("x") > 0).cast("double")), 6).alias("coverage")), "SELECT l_returnflag, property, count(*) AS n, round(avg(CAST(x > 0 AS INTEGER)), 6) AS coverage FROM (SELECT l_returnflag, unnest(['l_discount', 'l_tax']) AS property, unnest([l_discount, l_tax]) AS x FROM lineitem) GROUP BY 1, 2")
