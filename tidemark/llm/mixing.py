@@ -31,9 +31,15 @@ from tidemark.llm.common import WORD, broadcast_if_small, free_names, stored, un
 STEPS, ROUND = 50, 7
 
 
-def _sums(shares: DataFrame, grids: dict[str, list[float]]) -> dict[tuple[str, int], tuple[float, float, float]]:
-    """For each grid and place in it the sums over sources of p ** a and p ** a * ln p, and the greatest p ** (a - 1); shares(p)."""
-    points = F.array(*[F.struct(F.lit(g).alias("g"), F.lit(i).alias("i"), F.lit(float(a)).alias("a")) for g, grid in grids.items() for i, a in enumerate(grid)])
+def _point(low: float, high: float, parts: int, i):
+    """The i-th of ``parts`` points from the low end; the same arithmetic here and in Spark."""
+    return low + (high - low) * i / float(parts)
+
+
+def _sums(shares: DataFrame, grids: dict[str, tuple[float, float, int]]) -> dict[tuple[str, int], tuple[float, float, float]]:
+    """For each grid (low, high, points) and place in it the sums over sources of p ** a and p ** a * ln p, and the greatest p ** (a - 1); shares(p)."""
+    grid = lambda g, low, high, parts: F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda i: F.struct(F.lit(g).alias("g"), i.alias("i"), _point(F.lit(low), F.lit(high), parts, i).alias("a")))
+    points = F.concat(*[grid(g, *ends) for g, ends in grids.items()])
     each = shares.select(F.ln("p").alias("l"), F.explode(points).alias("x")).select("l", "x.*").withColumn("q", F.exp(F.col("a") * F.col("l")))
     found = each.groupBy("g", "i").agg(F.sum("q"), F.sum(F.col("q") * F.col("l")), F.max(F.exp((F.col("a") - 1) * F.col("l"))))
     return {(r[0], r[1]): (r[2], r[3], r[4]) for r in found.collect()}
@@ -61,18 +67,18 @@ def exponents(totals: DataFrame, entropy: float | None, repetition: float | None
     done = 0
     while done < STEPS and rules:
         parts = 1 << min(ROUND, STEPS - done)
-        grids = {k: [low + (high - low) * i / parts for i in range(parts)] for k, (low, high) in ends.items()}
-        sums = _sums(shares, grids)
-        for k, grid in grids.items():
+        sums = _sums(shares, {k: (*pair, parts) for k, pair in ends.items()})
+        for k, (low, high) in ends.items():
+            grid = [_point(low, high, parts, i) for i in range(parts)]
             flat = [i for i, a in enumerate(grid) if rules[k](a, *sums[k, i])]
             if not done and 0 not in flat:
                 ends[k] = (0.0, 0.0)
             else:
                 at = max(flat, default=0)
-                ends[k] = (grid[at], [*grid, ends[k][1]][at + 1])
+                ends[k] = (grid[at], [*grid, high][at + 1])
         done += parts.bit_length() - 1
     a = max([0.0, *[high for _, high in ends.values()]])
-    return int(total), a, _sums(shares, {"a": [a]})["a", 0][0], largest
+    return int(total), a, _sums(shares, {"a": (a, a, 1)})["a", 0][0], largest
 
 
 def plan(docs: DataFrame, entropy: float | None, repetition: float | None, budget: int | None, whole: bool, block_docs: int, seed: str) -> tuple[DataFrame, DataFrame]:
