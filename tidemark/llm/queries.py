@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bitslice, bpe, chat, mixing, oracles, packing, privacy, quality, sharding, simhash, toxicity
+from tidemark.llm import alignment, bitslice, bpe, chat, mixing, oracles, packing, prefixbpe, privacy, quality, resampling, sharding, simhash, toxicity
 from tidemark.session import table
 
 
@@ -69,6 +69,25 @@ def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return privacy.anonymised(docs, SURROGATE_KEY, n_entities="n_entities")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight and score of every document for the benchmark's words, and the rank of the twentieth that is drawn."""
+    return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every document under the 50k byte-level vocabulary."""
+    import public_tokenizers
+
+    return prefixbpe.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and groups of every document's tokens under the byte-level and the sentence-piece vocabulary."""
+    import public_tokenizers
+
+    return alignment.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_best_fit_packing,
@@ -81,6 +100,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_bpe,
         op9_toxicity,
         op10_surrogates,
+        op11_importance_resampling,
+        op12_prefix_bpe,
+        op13_token_alignment,
     )
     return {f.__name__: f for f in every}
 
