@@ -71,23 +71,26 @@ def joined(crc: np.ndarray, more: np.ndarray, size: np.ndarray) -> np.ndarray:
     return crc ^ more
 
 
-class Words:
-    """CRCs of words, and of words behind a blank, remembered."""
+class Words(dict):
+    """Word to its row in a table of CRCs: of the word, of the word behind a blank, and its bytes; a new word is looked up once."""
 
     def __init__(self) -> None:
-        self.place: dict[str, int] = {}
-        self.values: list[tuple[int, int, int]] = []
+        self.table, self.fresh = np.zeros((0, 3), dtype=np.int64), []
 
-    def places(self, words: list[str]) -> np.ndarray:
-        if len(self.place) > MOST_WORDS:
+    def __missing__(self, word: str) -> int:
+        data = word.encode()
+        at = self[word] = len(self.table) + len(self.fresh)
+        self.fresh.append((zlib.crc32(data), zlib.crc32(b" " + data), len(data)))
+        return at
+
+    def rows(self, words: list[str]) -> np.ndarray:
+        if len(self) > MOST_WORDS:
+            self.clear()
             self.__init__()
-        place = self.place
-        for w in words:
-            if w not in place:
-                data = w.encode()
-                place[w] = len(self.values)
-                self.values.append((zlib.crc32(data), zlib.crc32(b" " + data), len(data)))
-        return np.fromiter(map(place.__getitem__, words), dtype=np.int64, count=len(words))
+        at = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
+        if self.fresh:
+            self.table, self.fresh = np.concatenate([self.table, np.array(self.fresh, dtype=np.int64)]), []
+        return self.table[at]
 
 
 def windows(offsets: np.ndarray, doc: np.ndarray, crc: np.ndarray, behind: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
@@ -109,10 +112,12 @@ def windows(offsets: np.ndarray, doc: np.ndarray, crc: np.ndarray, behind: np.nd
 
 def features(texts: list[str], known: Words, longest: int, buckets: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """For each text its number of words, and the buckets of all its features in order."""
-    split = [splitter().pre_tokenize_str(t.encode().lower().decode()) for t in texts]
-    n_words = np.array([len(s) for s in split], dtype=np.int64)
-    place = known.places([w for s in split for w, _ in s])
-    values = np.array(known.values, dtype=np.int64).reshape(-1, 3)[place]
+    split, words, n_words = splitter().pre_tokenize_str, [], np.zeros(len(texts), dtype=np.int64)
+    for i, text in enumerate(texts):
+        own = [w for w, _ in split(text.encode().lower().decode())]
+        n_words[i] = len(own)
+        words += own
+    values = known.rows(words)
     size, doc = values[:, 2], np.repeat(np.arange(len(texts)), n_words)
     # Offsets in the texts of words joined by one blank; the characters' own offsets would count whatever lies between.
     ends = np.cumsum(size + 1) - 1
