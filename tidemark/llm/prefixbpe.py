@@ -31,9 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Distinct matches of a generation that a worker remembers, and their bytes; pairs of tokens with a verdict.
-MOST_MATCHES, MOST_BYTES, MOST_PAIRS = 80_000, 1_500_000, 300_000
+MOST_MATCHES, MOST_BYTES, MOST_PAIRS = 160_000, 3_000_000, 400_000
 #: In a table: no token yet, and the place before the first byte.
 NONE, START = -1, 1 << 31
+#: A pair of tokens that is no token has this rank.
+NO_RANK = 1 << 40
 #: Parts matches in a text with a character a byte.
 APART = "\u0100"
 #: Texts that a worker holds as lists of matches at a time.
@@ -52,6 +54,7 @@ class PrefixBpe:
         self.token = {i: t for t, i in self.rank.items()}
         self.size = {i: len(t) for i, t in self.token.items()}
         self.longest = max(self.size.values())
+        self.four = {i: i.to_bytes(4, "little") for i in self.token}
         #: Finds the tokens that end at each byte of a text with a character a byte.
         self.tokens = ahocorasick.Automaton()
         for t, i in self.rank.items():
@@ -65,14 +68,16 @@ class PrefixBpe:
 
     def merged(self, data: bytes) -> list[int]:
         """Exact merging of a few bytes: the pair of least rank, leftmost first, until none is left."""
-        parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            ranks = [self.rank.get(a + b) for a, b in zip(parts, parts[1:], strict=False)]
-            least = min((r for r in ranks if r is not None), default=None)
-            if least is None:
-                break
+        parts, get, none = [data[i : i + 1] for i in range(len(data))], self.rank.get, NO_RANK
+        ranks = [get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+        while ranks and (least := min(ranks)) != none:
             at = ranks.index(least)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del ranks[at]
+            if at:
+                ranks[at - 1] = get(parts[at - 1] + parts[at], none)
+            if at < len(ranks):
+                ranks[at] = get(parts[at] + parts[at + 1], none)
         return [self.rank[p] for p in parts]
 
     def compatible(self, before: int, token: int) -> bool:
@@ -88,8 +93,10 @@ class PrefixBpe:
         pairs, judge, size = self.pairs.get, self.compatible, self.size
         for at, token in self.tokens.iter(text, max(0, begin + 1 - self.longest), end):
             at += 1
+            if last[at] != NONE or at <= begin:
+                continue
             start = at - size[token]
-            if at <= begin or start < 0 or last[at] != NONE or (before := last[start]) == NONE:
+            if start < 0 or (before := last[start]) == NONE:
                 continue
             verdict = pairs(before << 32 | token)
             if verdict or (verdict is None and judge(before, token)):
@@ -127,7 +134,14 @@ class PrefixBpe:
 
     def learn(self, matches: list[str]) -> None:
         """Encode distinct new matches: one table holds them all, as a character that is no byte parts them."""
-        data = [m.encode() for m in matches]
+        data, whole, four = [], self.rank, self.four
+        for m in matches:
+            own = m.encode()
+            if (token := whole.get(own)) is None:
+                data.append(own)
+            else:
+                self.known[m] = four[token]
+        matches = [m for m in matches if m not in self.known]
         text = APART.join([d.decode("latin-1") for d in data])
         last = [NONE] * (len(text) + 1)
         at, starts = 0, []
@@ -137,7 +151,7 @@ class PrefixBpe:
             at += len(d) + 1
         self.fill(text, last, -1, len(text))
         for m, d, start in zip(matches, data, starts, strict=True):
-            self.known[m] = np.array(self.walked(d, last, start), dtype="<u4").tobytes()
+            self.known[m] = b"".join(map(four.__getitem__, self.walked(d, last, start)))
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
