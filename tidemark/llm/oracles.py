@@ -71,3 +71,21 @@ WITH RECURSIVE tok AS (SELECT doc_id, coalesce(source, '') AS s, len(regexp_extr
   copies AS (SELECT *, fully + CASE WHEN room > 0 AND (room >= sums_n OR upto <= room) THEN 1 ELSE 0 END AS times FROM part)
 SELECT doc_id, s AS source, n AS n_tokens, e AS epoch, block, CAST(CASE WHEN e = fully THEN place END AS INTEGER) AS place FROM (SELECT *, unnest(range(CAST(times AS BIGINT))) AS e FROM copies)
 """
+
+#: CRC-32 by its table of 256 words, over the distinct features; the benchmark's texts are the rows without a place.
+RESAMPLING = r"""
+WITH d AS (SELECT row_number() OVER () AS i, doc_id, text FROM documents), a AS (SELECT i, doc_id, text FROM d UNION ALL SELECT NULL, NULL, text FROM benchmark),
+w AS (SELECT i, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM a),
+f AS (SELECT i, f, count(*) AS n FROM (SELECT i, unnest(list_concat(w, list_transform(range(1, len(w)), lambda j: concat_ws(' ', w[j], w[j + 1])), list_transform(range(1, len(w) - 1), lambda j: concat_ws(' ', w[j], w[j + 1], w[j + 2])))) AS f FROM w) GROUP BY 1, 2),
+slots AS (SELECT list_transform(range(256), lambda b: list_reduce(list_concat([b], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS slot),
+h AS (SELECT f, hex(encode(f)) AS h, slot FROM (SELECT DISTINCT f FROM f), slots),
+b AS (SELECT f, xor(list_reduce(list_concat([4294967295], list_transform(range(len(h) // 2), lambda j: CAST('0x' || substr(h, 2 * j + 1, 2) AS BIGINT))), lambda c, x: xor(c >> 8, slot[1 + (xor(c, x) & 255)])), 4294967295) % 10000 AS bucket FROM h),
+g AS (SELECT i, bucket, sum(n) AS n FROM f JOIN b USING (f) GROUP BY 1, 2),
+st AS (SELECT bucket, coalesce(sum(n) FILTER (WHERE i IS NOT NULL), 0) AS s, coalesce(sum(n) FILTER (WHERE i IS NULL), 0) AS t FROM g GROUP BY 1),
+gain AS (SELECT bucket, CAST(floor(1000.0::DOUBLE * ln(CAST(t + 1 AS DOUBLE) * CAST(all_s + 10000 AS DOUBLE) / (CAST(s + 1 AS DOUBLE) * CAST(all_t + 10000 AS DOUBLE)))) AS BIGINT) AS gain FROM st, (SELECT sum(s) AS all_s, sum(t) AS all_t FROM st)),
+u AS (SELECT i, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS weight FROM g JOIN gain USING (bucket) WHERE i IS NOT NULL GROUP BY 1),
+v AS (SELECT w.i, w.doc_id, len(w.w) >= 20 AS able, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + CAST(floor(-1000.0::DOUBLE * ln(-ln((CAST(CAST('0x' || substr(sha256('42:' || coalesce(CAST(w.doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS DOUBLE) + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM w LEFT JOIN u USING (i) WHERE w.i IS NOT NULL),
+r AS (SELECT i, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, i) AS rank, count(*) OVER () AS n FROM v WHERE able)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 5 * n // 100 THEN rank END AS rank FROM v LEFT JOIN r USING (i)
+"""

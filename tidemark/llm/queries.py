@@ -108,4 +108,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_perspective_rotation": chat.ORACLE, "op3_bit_sliced_top_k": oracles.TOP_K, "op4_temperature_mixing": oracles.MIXTURE, "op6_quality_rules": oracles.QUALITY}
+    return {"op2_perspective_rotation": chat.ORACLE, "op3_bit_sliced_top_k": oracles.TOP_K, "op4_temperature_mixing": oracles.MIXTURE, "op6_quality_rules": oracles.QUALITY, "op11_importance_resampling": oracles.RESAMPLING}
