@@ -69,3 +69,20 @@ def test_distinct_counts_and_containment(spark):
     assert abs({r["column"]: r["distinct"] for r in P.united(halves).collect()}["all"] - 60_000) <= 3 * P.STANDARD_ERROR * 60_000
     pairs = {(r["inner"], r["outer"]) for r in P.contained(made).collect()}
     assert {("most", "all"), ("few", "most"), ("few", "all")} <= pairs and ("all", "most") not in pairs and ("all", "few") not in pairs
+
+
+def test_registered_sketches_on_a_table(spark):
+    """h92_distinct_counts and h92_contained_columns against exact counts."""
+    from tidemark import registry
+    from tidemark.session import table
+
+    sf = "/root/testdata/sf0.01"
+    orders, line = table(spark, sf, "orders"), table(spark, sf, "lineitem")
+    exact = orders.agg(F.countDistinct("o_orderkey").alias("o_orderkey"), F.countDistinct("o_orderstatus").alias("o_orderstatus"), F.countDistinct(F.to_date("o_orderdate")).alias("o_day")).first()
+    got = {r["column"]: r["distinct"] for r in registry.queries()["h92_distinct_counts"](spark, sf).collect()}
+    for c in ("o_orderkey", "o_orderstatus", "o_day"):
+        assert abs(got[c] - exact[c]) <= 3 * P.STANDARD_ERROR * exact[c]
+    assert got["o_none"] == 0
+    values = {c: {r[0] for r in line.select(c).distinct().collect()} for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")}
+    pairs = {(r["inner"], r["outer"]) for r in registry.queries()["h92_contained_columns"](spark, sf).collect()}
+    assert {(a, b) for a in values for b in values if a != b and values[a] <= values[b]} <= pairs

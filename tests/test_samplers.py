@@ -24,7 +24,7 @@ def plain(rows, most=MOST):
         for run in runs:
             kept = run[-most:]
             energy = sum((b[0] - a[0]) / 3.6e9 * (a[2] + b[2]) / 2 for a, b in zip(kept, kept[1:], strict=False))
-            out.append((key, run[0][0], run[-1][0], len(run), len(kept), round(energy, 4), round(sum(w for *_, w in kept) / len(kept), 4), max(w for *_, w in kept)))
+            out.append((key, run[0][0], run[-1][0], len(run), len(kept), round(energy, 6), round(sum(w for *_, w in kept) / len(kept), 6), max(w for *_, w in kept)))
     return sorted(out)
 
 

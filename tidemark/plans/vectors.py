@@ -32,10 +32,10 @@ query(
 )
 query(
     "h45_late_fusion",
-    lambda s, d: _e(s, d).join(_e(s, d).select((F.col("vec_id") - 3).alias("vec_id"), F.col("embedding").alias("other")), "vec_id").select("vec_id", F.transform(V.late_fusion("embedding", "other"), lambda x: F.round(x, 6)).alias("fused")),
+    lambda s, d: _e(s, d).join(_e(s, d).select((F.col("vec_id") - 3).alias("vec_id"), F.col("embedding").alias("other")), "vec_id").select("vec_id", F.transform(V.late_fusion("embedding", "other"), lambda x: F.round(x, 6) + F.lit(0.0)).alias("fused")),
     """WITH u AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) AS u FROM embeddings),
     m AS (SELECT a.vec_id, list_transform(list_zip(a.u, b.u), lambda x: 0.5::DOUBLE * x[1] + 0.5::DOUBLE * x[2]) AS m FROM u a JOIN u b ON b.vec_id = a.vec_id + 3)
-    SELECT vec_id, list_transform(m, lambda x: round(x / sqrt(list_dot_product(m, m)), 6)) AS fused FROM m""",
+    SELECT vec_id, list_transform(m, lambda x: round(x / sqrt(list_dot_product(m, m)), 6) + 0::DOUBLE) AS fused FROM m""",
 )
 query(
     "d06_similar_pairs",

@@ -58,7 +58,7 @@ def summary(run: tuple) -> tuple:
     at, watts = np.asarray(run[3], dtype=np.int64), np.asarray(run[5], dtype=np.float64)
     hours = np.diff(at) / 3.6e9
     energy = float(((watts[1:] + watts[:-1]) / 2 * hours).sum())
-    return run[0], run[1], run[2], len(at), round(energy, 4), round(float(watts.mean()), 4), float(watts.max())
+    return run[0], run[1], run[2], len(at), round(energy, 6), round(float(watts.mean()), 6), float(watts.max())
 
 
 class Ring(StatefulProcessor):
