@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import stateful as S
 from tidemark.registry import query
 from tidemark.session import shared_dir, table
-from tidemark.sources import readers, writers
+from tidemark.sources import mixed, readers, writers
 from tidemark.streaming import windows as W
 
 
@@ -89,6 +89,34 @@ def _folder(s, d):
 query("a20_a44_a53_files", lambda s, d: readers.files(s, _folder(s, d), "*.*").filter("extension IN ('txt', 'json')").groupBy("extension", "handler", F.regexp_extract("path", "lang=([a-z]+)", 1).alias("lang")).agg(F.sum((F.col("length") > 0).cast("int")).alias("files")), "SELECT DISTINCT unnest(['txt', 'json']) AS extension, unnest(['text', 'json']) AS handler, lang, CAST(1 AS BIGINT) AS files FROM documents")
 
 
+def _mixed(s, d):
+    """Documents by the remainder of their number: JSON lines, delimited rows, and text and XML files of a block of documents each; all read by one source."""
+    path = _at(s, "mixed")
+    docs = _docs(s, d).select("doc_id", "text", F.expr("doc_id DIV 200").alias("block"))
+    part = lambda n: docs.filter(F.pmod("doc_id", F.lit(4)) == n)
+    blocks = lambda n: part(n).repartition("block").sortWithinPartitions("block", "doc_id")
+    part(0).select("doc_id", "text").write.json(f"{path}/json")
+    part(1).select("doc_id", "text").write.csv(f"{path}/csv", header=True, escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    blocks(2).select("block", "text").write.partitionBy("block").text(f"{path}/text")
+    blocks(3).select("block", "text").write.partitionBy("block").format("xml").option("rowTag", "p").save(f"{path}/xml")
+    mixed.register(s)
+    found = s.read.format("mixed").load(path).filter("handler IN ('json', 'csv', 'text', 'xml')")
+    item = F.coalesce(F.try_element_at("attributes", F.lit("doc_id")), F.regexp_extract("path", "(block=[0-9]+)", 1))
+    return found.select("handler", item.alias("item"), F.length("text").alias("chars"), F.md5("text").alias("digest"))
+
+
+query(
+    "l01_l09_mixed_folder",
+    _mixed,
+    r"""WITH d AS (SELECT doc_id, text, doc_id % 4 AS part, 'block=' || (doc_id // 200) AS block FROM documents),
+    r AS (SELECT CASE part WHEN 0 THEN 'json' ELSE 'csv' END AS handler, CAST(doc_id AS VARCHAR) AS item, text AS x FROM d WHERE part < 2
+      UNION ALL SELECT 'text', block, string_agg(text, chr(10) ORDER BY doc_id) || chr(10) FROM d WHERE part = 2 GROUP BY block
+      UNION ALL SELECT 'xml', block, trim(regexp_replace(string_agg(text, ' ' ORDER BY doc_id), '[ 	
+]+', ' ', 'g'), ' ') FROM d WHERE part = 3 GROUP BY block)
+    SELECT handler, item, CAST(length(x) AS INTEGER) AS chars, md5(x) AS digest FROM r""",
+)
+
+
 def _ontology(s, d):
     path = _at(s, "ontology")
     kinds = _part(s, d).select("p_brand", "p_type").distinct().groupBy("p_brand").agg(F.sort_array(F.collect_set("p_type")).alias("types"))
