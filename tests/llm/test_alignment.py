@@ -86,6 +86,26 @@ def test_random_texts(texts):
         same(got, text)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.sampled_from("aabcdeinZ'stveäßÆɏΩσЖџ¡²½ªµ 10.,!–…\n\t\r"), max_size=60))
+def test_common_texts_are_split_as_by_the_library(text):
+    assert BOTH.usual and (not text or BOTH.common.fullmatch(text))
+    want = LIB_A.encode(" " + text, add_special_tokens=False).ids if text else []
+    assert BOTH.side_a([text])[0].tolist() == want
+
+
+def test_special_strings_and_other_characters():
+    texts = ["<|endoftext|>", "a<|endoftext|>b", "\x1c x", "\x85\xa0y", "日本", "\u0378", "x" * 9_000]
+    assert [x.tolist() for x in BOTH.side_a(texts)] == [LIB_A.encode(" " + t, add_special_tokens=False).ids for t in texts]
+
+
+def test_forgetting_pieces_changes_nothing(monkeypatch):
+    monkeypatch.setattr(alignment, "MOST_PIECES", 3)
+    own = TwoTokenizers(A, B)
+    for _ in range(2):
+        assert [x.tolist() for x in own.side_a(["a b c", "d e f", ""])] == [x.tolist() for x in BOTH.side_a(["a b c", "d e f", ""])]
+
+
 def want_digests(rows):
     found = [(doc, brute(text)) for doc, text in rows]
     count = Counter(p for _, f in found for p in f[5])

@@ -1,7 +1,8 @@
 """Alignment of two tokenizers' tokens over the same bytes (operator 13).
 
 Tokenizer A is a file of the tokenizers library, tokenizer B one of sentencepiece, which puts a blank before each text;
-A gets the same blank. A batch of documents becomes two frames of tokens: document, first byte, id. Documents follow one
+A gets the same blank. Where A is byte-level with its usual pattern, texts of common letters are split here and each distinct piece
+is merged by the library once; all other texts go through the library whole. A batch of documents becomes two frames of tokens: document, first byte, id. Documents follow one
 another on one line of bytes, so both frames are in order. ``pandas.merge_asof``, keyed by document, finds for each
 token's start the other side's token that covers it. Two tokens overlap just if the start of one lies in the other, so
 the union of both directions holds every overlapping pair, once. Bytes where tokens of both sides end cut a document into groups.
@@ -21,7 +22,9 @@ not read; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -37,6 +40,13 @@ from tidemark.llm.common import stored
 #: Texts, and characters of texts, that a worker aligns at a time; a longer text comes by itself.
 CHUNK, CHUNK_CHARACTERS = 256, 400_000
 ALIGNED = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, groups_sha256 string, pairs array<long>, times array<int>"
+#: Fixed value: the pattern that byte-level files of the tokenizers library split by.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Texts of these characters alone are split alike by any version of Unicode: ASCII, Latin, Greek and Cyrillic letters and signs.
+COMMON = r"[\t\n\r -~¡-ɏΑ-ΡΣ-ωЀ-џ‐-‧]*"
+#: Distinct pieces that a worker remembers, and their characters.
+MOST_PIECES, MOST_PIECE_CHARACTERS = 200_000, 4_000_000
+NONE = np.zeros(0, dtype=np.int64)
 #: A pair's number is A's id times this plus B's id.
 SHIFT = 1 << 32
 
@@ -46,36 +56,81 @@ class TwoTokenizers:
 
     def __init__(self, path_a: str, path_b: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has its own tasks
+        import regex
         import sentencepiece
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
-        byte = {c: b for b, c in byte_characters().items()}
+        self.char = byte_characters()
+        byte = {c: b for b, c in self.char.items()}
         size = self.a.get_vocab_size()
         self.bytes_a = [bytes(byte.get(c, 63) for c in self.a.id_to_token(i)) for i in range(size)]
         self.bytes_b = [self._piece(i) for i in range(self.b.get_piece_size())]
         self.size_a, self.size_b = (np.array([len(t) for t in side]) for side in (self.bytes_a, self.bytes_b))
+        self.pool_b, self.first_b = np.frombuffer(b"".join(self.bytes_b), dtype=np.uint8), np.cumsum(self.size_b) - self.size_b
         #: An id's text inside a group and at the end of its side of the group.
         self.text_a = np.array([f"{i}{end}" for end in ",|" for i in range(size)], dtype=object)
         self.text_b = np.array([f"{i}{end}" for end in ",;" for i in range(len(self.bytes_b))], dtype=object)
 
+        spec = json.loads(self.a.to_str())
+        usual = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+        self.usual = spec["normalizer"] is None and usual.items() <= (spec["pre_tokenizer"] or {}).items() and not any(t["normalized"] for t in spec["added_tokens"] if not t["special"])
+        self.pieces, self.common = regex.compile(PIECES), re.compile(COMMON)
+        self.eight = [i.to_bytes(8, "little") for i in range(size)]
+        self.known: dict[str, bytes] = {}
+        self.held = 0
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Merge new pieces by the library, and see that their tokens hold their bytes."""
+        if len(self.known) + len(pieces) > MOST_PIECES or self.held > MOST_PIECE_CHARACTERS:
+            self.known, self.held = {}, 0
+        fresh = list(pieces - self.known.keys())
+        tokenize, eight, own_bytes, char = self.a.model.tokenize, self.eight, self.bytes_a, self.char
+        for p in fresh:
+            data = p.encode()
+            ids = [t.id for t in tokenize(data.decode("latin-1").translate(char))]
+            if b"".join([own_bytes[i] for i in ids]) != data:
+                raise ValueError(f"the vocabulary has no tokens for {p!r}")
+            self.known[p] = b"".join([eight[i] for i in ids])
+        self.held += sum(map(len, fresh))
+
+    def side_a(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of side A, a blank before each text; none where the tokens' bytes are not those of the text."""
+        out: list[np.ndarray] = [NONE] * len(texts)
+        plain = [bool(t) and self.usual and self.common.fullmatch(t) is not None for t in texts]
+        split = {i: self.pieces.findall(f" {texts[i]}") for i, is_plain in enumerate(plain) if is_plain}
+        self._learn(set().union(*split.values()))
+        for i, own in split.items():
+            out[i] = np.frombuffer(b"".join(map(self.known.__getitem__, own)), dtype="<i8")
+        other = [i for i, is_plain in enumerate(plain) if texts[i] and not is_plain]
+        for i, e in zip(other, self.a.encode_batch_fast([f" {texts[i]}" for i in other], add_special_tokens=False), strict=True):
+            if b"".join(map(self.bytes_a.__getitem__, e.ids)) == b" " + texts[i].encode():
+                out[i] = np.array(e.ids, dtype=np.int64)
+        return out
+
     def _piece(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
 
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Ids of both sides for every text; none where a side's bytes are not those of the text."""
-        side_a = [e.ids for e in self.a.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False)]
-        side_b = self.b.encode(texts, num_threads=1)
-        out_a, out_b, none = [], [], np.zeros(0, dtype=np.int64)
-        for text, ids_a, ids_b in zip(texts, side_a, side_b, strict=True):
-            want = b" " + text.encode() if text else b""
-            same = text and b"".join(map(self.bytes_a.__getitem__, ids_a)) == want and b"".join(map(self.bytes_b.__getitem__, ids_b)) == want
-            out_a.append(np.array(ids_a, dtype=np.int64) if same else none)
-            out_b.append(np.array(ids_b, dtype=np.int64) if same else none)
-        return out_a, out_b
+        side_a = self.side_a(texts)
+        side_b = [np.array(ids, dtype=np.int64) for ids in self.b.encode(texts, num_threads=1)]
+        want = [b" " + t.encode() if t else b"" for t in texts]
+        # All texts of a chunk at once; where one differs, text by text.
+        every = self._joined_b(side_b) == b"".join(want)
+        same = [len(ids_a) and (every or b"".join(map(self.bytes_b.__getitem__, ids_b.tolist())) == own) for ids_a, ids_b, own in zip(side_a, side_b, want, strict=True)]
+        return [x if s else NONE for x, s in zip(side_a, same, strict=True)], [x if s else NONE for x, s in zip(side_b, same, strict=True)]
+
+    def _joined_b(self, side: list[np.ndarray]) -> bytes:
+        """The bytes of all tokens of side B."""
+        flat = np.concatenate(side) if side else NONE
+        size = self.size_b[flat]
+        end = np.cumsum(size)
+        at = np.arange(end[-1] if len(end) else 0) + np.repeat(self.first_b[flat] - (end - size), size)
+        return self.pool_b[at].tobytes()
 
 
 @lru_cache(maxsize=2)
