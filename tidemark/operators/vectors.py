@@ -1,16 +1,22 @@
 """Vector operators: cosine, top-k, similarity joins by label blocks, late interaction, fusion.
 
-Arithmetic is in double. A search meets a stated set of queries with all rows in blocks; the similarity join
-meets each pair of row blocks once.
+Arithmetic is in double. A search brings a stated set of queries to all blocks of rows, which are dealt once; the similarity join
+brings rows to the blocks of all cells that are near enough.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.cells import SLACK, cores, fit, in_cells, passing_by, usable
+from tidemark.session import shared_dir
+
 
 def dot(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -25,70 +31,120 @@ def cosine(a: Column | str, b: Column | str) -> Column:
     return F.coalesce(dot(a, b) / F.nullif(norm(a) * norm(b), F.lit(0.0)), F.lit(0.0))
 
 
-def _block_best(k: int):
-    def task(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows) or not len(queries):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-        a, q = np.stack(rows.embedding.to_numpy()).astype(np.float64), np.stack(queries.embedding.to_numpy()).astype(np.float64)
-        long = np.outer(np.sqrt((q * q).sum(1)), np.sqrt((a * a).sum(1)))
-        score = np.divide(q @ a.T, long, out=np.zeros_like(long), where=long > 0)
-        ids, asked = rows.vec_id.to_numpy(), queries.vec_id.to_numpy()
-        score = np.where(asked[:, None] == ids[None, :], -np.inf, np.round(score, 6))
-        out = []
-        for i, own in enumerate(score):
-            best = np.lexsort((ids, -own))[:k]
+FOUND = "query_id long, vec_id long, score double"
+
+
+class Rows:
+    """A block's rows as a matrix with norms."""
+
+    def __init__(self, rows: pd.DataFrame) -> None:
+        self.ids, self.x = rows.vec_id.to_numpy(dtype=np.int64), np.stack(rows.embedding.to_numpy()).astype(np.float64)
+        self.norm = np.sqrt((self.x * self.x).sum(1))
+        self.label = rows.label.to_numpy() if "label" in rows else None
+
+    def cosines(self, others: Rows) -> np.ndarray:
+        """Rounded cosines, a row for each of the others; 0 for a zero vector."""
+        long = np.outer(others.norm, self.norm)
+        return np.round(np.divide(others.x @ self.x.T, long, out=np.zeros_like(long), where=long > 0), 6)
+
+
+def best_of(k: int):
+    """For ``passing_by``: the k best of a block's rows for each query, without its own id."""
+
+    def compare(block: Rows, queries: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        asked = Rows(queries)
+        score = block.cosines(asked)
+        score[asked.ids[:, None] == block.ids[None, :]] = -np.inf
+        for q, own in zip(asked.ids, score, strict=True):
+            # All rows that tie with the k-th stay until ids decide.
+            near = np.flatnonzero(own >= np.partition(own, -k)[-k]) if len(own) > k else np.arange(len(own))
+            best = near[np.lexsort((block.ids[near], -own[near]))[:k]]
             best = best[np.isfinite(own[best])]
-            out.append(pd.DataFrame({"query_id": asked[i], "vec_id": ids[best], "score": own[best]}))
-        return pd.concat(out)
+            yield pd.DataFrame({"query_id": q, "vec_id": block.ids[best], "score": own[best]})
 
-    return task
+    return compare
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    """The k best rows of each query; at most k a block come together."""
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, block: int = 4096) -> DataFrame:
     """The k nearest rows of each query by cosine, ties to the smaller id; any number of queries.
 
-    Rows and queries are dealt into blocks by a hash; a block pair is one matrix product and gives its own k best.
+    Rows are dealt once into blocks by a hash, and the queries are brought to every block: a task holds its block and the queries
+    pass by. Where there are fewer blocks than cores, blocks are held more than once, each time for a part of the queries.
     """
-    rows, asked = vectors.select("vec_id", "embedding").filter("embedding IS NOT NULL"), queries.select("vec_id", "embedding").filter("embedding IS NOT NULL")
-    n, m = max(1, -(-rows.count() // block)), max(1, -(-asked.count() // block))
+    rows, asked = usable(vectors), usable(queries)
+    blocks = max(1, -(-rows.count() // block))
+    groups = -(-cores(vectors.sparkSession) // blocks)
     each = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
-    a = rows.withColumn("rb", F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(n)).cast("int")).withColumn("qb", each(m))
-    q = asked.withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(m)).cast("int")).withColumn("rb", each(n))
-    found = a.groupBy("rb", "qb").cogroup(q.groupBy("rb", "qb")).applyInPandas(_block_best(k), "query_id long, vec_id long, score double")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    at = lambda b, g: (b * groups + g).alias("task")
+    own = rows.select(F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(blocks)).cast("int").alias("b"), each(groups).alias("g"), "vec_id", "embedding").select(at(F.col("b"), F.col("g")), "vec_id", "embedding")
+    come = asked.select(each(blocks).alias("b"), F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(groups)).cast("int").alias("g"), "vec_id", "embedding").select(at(F.col("b"), F.col("g")), "vec_id", "embedding")
+    return ranked(passing_by(own, come, blocks * groups, Rows, best_of(k), FOUND), k)
 
 
-def _block_pairs(least: float, across: bool):
-    def task(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": [], "score": []}).astype({"a": "int64", "b": "int64", "score": "float64"})
-        x, y = np.stack(left.embedding.to_numpy()).astype(np.float64), np.stack(right.embedding.to_numpy()).astype(np.float64)
-        long = np.outer(np.sqrt((x * x).sum(1)), np.sqrt((y * y).sum(1)))
-        score = np.round(np.divide(x @ y.T, long, out=np.zeros_like(long), where=long > 0), 6)
-        u, v = left.vec_id.to_numpy(), right.vec_id.to_numpy()
-        own = left.i.iloc[0] == left.j.iloc[0]
-        keep = score >= least
+def _pairs_of(least: float, across: bool):
+    def compare(block: Rows, others: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        come = Rows(others)
+        keep = block.cosines(come)
+        score, keep = keep, keep >= least
         if across:
-            keep &= left.label.to_numpy()[:, None] != right.label.to_numpy()[None, :]
-        p, q = np.nonzero(keep & ((u[:, None] < v[None, :]) if own else True))
-        return pd.DataFrame({"a": np.minimum(u[p], v[q]), "b": np.maximum(u[p], v[q]), "score": score[p, q]})
+            keep &= come.label[:, None] != block.label[None, :]
+        # Rows of the block itself pass by too: there each pair counts once. A repeated row is no pair with itself.
+        keep &= come.ids[:, None] != block.ids[None, :]
+        keep &= (~others.same.to_numpy(dtype=bool)[:, None]) | (come.ids[:, None] < block.ids[None, :])
+        p, q = np.nonzero(keep)
+        yield pd.DataFrame({"a": np.minimum(come.ids[p], block.ids[q]), "b": np.maximum(come.ids[p], block.ids[q]), "score": score[p, q]})
+
+    return compare
+
 
-    return task
+def near_cells(centroids: np.ndarray, radius: np.ndarray, least: float) -> list[list[int]]:
+    """For each cell the cells from it on that may hold a vector with a cosine of at least ``least`` to one of its own."""
+    most = np.sqrt(max(0.0, 2 - 2 * (least - 1e-6))) + SLACK
+    out = []
+    for i in range(len(centroids)):
+        gap = np.sqrt(np.maximum(((centroids[i:] - centroids[i]) ** 2).sum(1), 0)) - radius[i:] - radius[i]
+        out.append((np.flatnonzero((gap <= most) & (radius[i] >= 0) & (radius[i:] >= 0)) + i).tolist())
+    return out
 
 
-def similar_pairs(vectors: DataFrame, least: float, block: int = 2048, across: bool = True) -> DataFrame:
+def similar_pairs(vectors: DataFrame, least: float, block: int = 2048, across: bool = True, cells: int | None = None) -> DataFrame:
     """All pairs (of different labels, unless ``across`` is off) with a cosine of at least ``least``.
 
-    Rows are dealt into blocks by a hash; each pair of blocks is one matrix product, and only pairs that reach the limit
-    leave the task. Rows without an id, label or vector are in no pair.
+    Vectors lie in cells; pairs of cells whose centroids and radii leave no such pair are never met. A cell's rows are split into blocks of about
+    ``block`` rows, each is held once, and the rows of the cells from it on pass by. Rows without an id, label or vector are in no pair. With a limit of 0 or less
+    zero vectors would count too, so nothing is left out then.
     """
-    rows = vectors.select("vec_id", "label", "embedding").dropna()
-    n = max(1, -(-rows.count() // block))
-    own = rows.withColumn("at", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int"))
-    left = own.withColumn("i", F.col("at")).withColumn("j", F.explode(F.sequence("at", F.lit(n - 1))))
-    right = own.withColumn("j", F.col("at")).withColumn("i", F.explode(F.sequence(F.lit(0), "at")))
-    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(_block_pairs(least, across), "a long, b long, score double").distinct()
+    named = vectors.select("vec_id", "label", "embedding").dropna()
+    n = named.count()
+    cells = cells or min(4096, max(1, n // (4 * block)))
+    centroids = fit(named, cells)
+    path = f"{shared_dir(vectors.sparkSession)}/cells-{uuid.uuid4().hex}"
+    in_cells(named, centroids, "label").write.parquet(path)
+    rows = vectors.sparkSession.read.parquet(path)
+    sizes = {r["cell"]: (r["n"], r["far"]) for r in rows.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()}  # a row a cell
+    radius = np.array([sizes[c][1] if c in sizes else -1.0 for c in range(len(centroids))])
+    near = near_cells(centroids, radius, least) if least > 0 else [[j for j in range(i, len(centroids)) if j in sizes] if i in sizes else [] for i in range(len(centroids))]
+    blocks = [-(-sizes[c][0] // block) if c in sizes else 0 for c in range(len(centroids))]
+    first = np.concatenate([[0], np.cumsum(blocks)]).tolist()
+    # Blocks that a cell's rows have to pass: those of all cells up to it that it is near, and in its own cell those from its own block on.
+    passes: list[list[int]] = [[] for _ in centroids]
+    for i, own in enumerate(near):
+        for j in own:
+            if i != j:
+                passes[j] += range(first[i], first[i + 1])
+    made = [(c, first[c], max(1, blocks[c]), passes[c]) for c in range(len(centroids)) if c in sizes]
+    known = F.broadcast(vectors.sparkSession.createDataFrame(made, "cell int, first int, blocks int, passes array<int>"))
+    placed = rows.join(known, "cell").withColumn("own", F.col("first") + F.pmod(F.xxhash64("vec_id", "embedding"), F.col("blocks")).cast("int"))
+    held = placed.select(F.col("own").alias("task"), "vec_id", "embedding", "label", F.lit(True).alias("same"))
+    inside = F.sequence(F.col("first"), F.col("own"))
+    come = placed.select(F.explode(F.concat("passes", inside)).alias("task"), "own", "vec_id", "embedding", "label").withColumn("same", F.col("task") == F.col("own")).drop("own")
+    return passing_by(held, come, first[-1], Rows, _pairs_of(least, across), "a long, b long, score double").distinct()
 
 
 def parts(v: Column | str, n: int, width: int) -> Column:

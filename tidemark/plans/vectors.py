@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from tidemark.operators import index as I
 from tidemark.operators import vectors as V
 from tidemark.registry import query
-from tidemark.session import table
+from tidemark.session import shared_dir, table
 
 _e = lambda s, d: table(s, d, "embeddings")
 _COS = "list_cosine_similarity(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
@@ -42,3 +45,18 @@ query(
     lambda s, d: V.similar_pairs(_e(s, d), 0.7),
     f"SELECT * FROM (SELECT a.vec_id AS a, b.vec_id AS b, round({_COS.format(a='a.embedding', b='b.embedding')}, 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND a.label <> b.label) WHERE score >= 0.7",
 )
+
+
+def _indexed(s, d):
+    """An index built of all vectors, and the five nearest rows of each twentieth found in it."""
+    path = f"{shared_dir(s)}/index-{uuid.uuid4().hex}"
+    index = I.build(_e(s, d), path)
+    return I.search(s, index, _e(s, d).filter("vec_id % 20 = 0"), 5)[0].select("query_id", "rank", "vec_id", "score")
+
+
+query(
+    "b14_vector_index",
+    _indexed,
+    f"""WITH p AS (SELECT q.vec_id AS query_id, v.vec_id, round({_COS.format(a="q.embedding", b="v.embedding")}, 6) AS score FROM embeddings q JOIN embeddings v ON q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id),
+    r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM p) SELECT * FROM r WHERE rank <= 5""",
+)
