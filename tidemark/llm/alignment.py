@@ -76,24 +76,21 @@ class TwoTokenizers:
 
         spec = json.loads(self.a.to_str())
         usual = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
-        self.usual = spec["normalizer"] is None and usual.items() <= (spec["pre_tokenizer"] or {}).items() and not any(t["normalized"] for t in spec["added_tokens"] if not t["special"])
+        self.usual = set(self.char.values()) <= self.a.get_vocab().keys() and spec["normalizer"] is None and usual.items() <= (spec["pre_tokenizer"] or {}).items() and not any(t["normalized"] for t in spec["added_tokens"] if not t["special"])
         self.pieces, self.common = regex.compile(PIECES), re.compile(COMMON)
         self.eight = [i.to_bytes(8, "little") for i in range(size)]
         self.known: dict[str, bytes] = {}
         self.held = 0
 
     def _learn(self, pieces: set[str]) -> None:
-        """Merge new pieces by the library, and see that their tokens hold their bytes."""
+        """Merge new pieces by the library. As the vocabulary has a token for each byte, a piece's tokens hold its bytes."""
         if len(self.known) + len(pieces) > MOST_PIECES or self.held > MOST_PIECE_CHARACTERS:
             self.known, self.held = {}, 0
         fresh = list(pieces - self.known.keys())
-        tokenize, eight, own_bytes, char = self.a.model.tokenize, self.eight, self.bytes_a, self.char
+        tokenize, eight, char, blank = self.a.model.tokenize, self.eight, self.char, self.char[32]
         for p in fresh:
-            data = p.encode()
-            ids = [t.id for t in tokenize(data.decode("latin-1").translate(char))]
-            if b"".join([own_bytes[i] for i in ids]) != data:
-                raise ValueError(f"the vocabulary has no tokens for {p!r}")
-            self.known[p] = b"".join([eight[i] for i in ids])
+            plain = p.replace(" ", blank) if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(char)
+            self.known[p] = b"".join([eight[t.id] for t in tokenize(plain)])
         self.held += sum(map(len, fresh))
 
     def side_a(self, texts: list[str]) -> list[np.ndarray]:
@@ -121,6 +118,7 @@ class TwoTokenizers:
         want = [b" " + t.encode() if t else b"" for t in texts]
         # All texts of a chunk at once; where one differs, text by text.
         every = self._joined_b(side_b) == b"".join(want)
+        every = every and [int(self.size_b[ids].sum()) for ids in side_b] == list(map(len, want))
         same = [len(ids_a) and (every or b"".join(map(self.bytes_b.__getitem__, ids_b.tolist())) == own) for ids_a, ids_b, own in zip(side_a, side_b, want, strict=True)]
         return [x if s else NONE for x, s in zip(side_a, same, strict=True)], [x if s else NONE for x, s in zip(side_b, same, strict=True)]
 
@@ -171,14 +169,14 @@ def align(both: TwoTokenizers, texts: list[str]) -> list[tuple]:
     text = np.empty(len(a) + len(b), dtype=object)
     text[np.arange(len(a)) + np.searchsorted(group_b, group_a)] = both.text_a[a.id.to_numpy() + last_a * len(both.size_a)]
     text[np.arange(len(b)) + np.searchsorted(group_a, group_b, side="right")] = both.text_b[b.id.to_numpy() + last_b * len(both.size_b)]
-    # The distinct pairs of each document, with their numbers of links.
-    pair = a.id.to_numpy()[place_a] * SHIFT + b.id.to_numpy()[place_b]
-    doc = a.doc.to_numpy()[place_a]
-    order = np.lexsort((pair, doc))
-    pair, doc = pair[order], doc[order]
-    first = np.flatnonzero(np.r_[True, (pair[1:] != pair[:-1]) | (doc[1:] != doc[:-1])])
-    times = np.diff(np.r_[first, len(pair)]).astype(np.int32)
-    pair, of = pair[first], doc[first]
+    # The distinct pairs of each document, with their numbers of links: document and both ids in one number are sorted.
+    wide_a, wide_b = len(both.size_a).bit_length(), len(both.size_b).bit_length()
+    key = np.sort(a.doc.to_numpy()[place_a] << (wide_a + wide_b) | a.id.to_numpy()[place_a] << wide_b | b.id.to_numpy()[place_b])
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    times = np.diff(np.r_[first, len(key)]).astype(np.int32)
+    of = key[first] >> (wide_a + wide_b)
+    pair = (key[first] >> wide_b & ((1 << wide_a) - 1)) * SHIFT + (key[first] & ((1 << wide_b) - 1))
+    doc = key >> (wide_a + wide_b)
     n = len(texts)
     n_links, n_groups = np.bincount(doc, minlength=n), np.bincount(a.doc.to_numpy()[last_a], minlength=n)
     size_a, size_b = [len(x) for x in ids_a], [len(x) for x in ids_b]
