@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules that register queries when imported.
-PLANS = ("events", "search", "graph", "vectors", "scores", "text", "stateful", "records", "extract", "entities", "results", "files", "streams", "measured")
+PLANS = ("events", "search", "graph", "vectors", "scores", "text", "stateful", "records", "extract", "entities", "results", "files", "streams", "measured", "combined")
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 
