@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.joins import checkpointed, join_counted
 from tidemark.operators.stateful import folded, sparse_runs
 
 #: Alert levels of error rates in percent, and of response times in seconds.
@@ -84,53 +85,78 @@ def provider_shares(events: DataFrame) -> DataFrame:
     return per.select("event_type", "requests", F.round("latency", 6).alias("weighted_latency"), F.round(100.0 * F.col("requests") / F.sum("requests").over(every), 6).alias("share_pct"))
 
 
-def order_statistics(df: DataFrame, by: str, value: str, ranks: dict[str, Column], shares: list[float], accuracy: int = 10_000) -> DataFrame:
-    """by, n and, for each named rank (from 0, an expression over n), the value at that rank; exact, without sorting a key's rows.
+def order_statistics(df: DataFrame, by: str, value: str, ranks: dict[str, Column], shares: list[float], accuracy: int = 10_000, above: tuple[int, float] | None = None) -> DataFrame:
+    """by, n, mean, least, most and, for each named rank (from 0, an expression over n), the value at that rank; exact, without sorting a key's rows.
 
     Each share has as many ranks, and a rank lies within one of the share's.
 
-    ``shares`` are about the ranks' shares of the rows. Mergeable sketches bracket each; one more pass counts the rows
-    below the bracket, and only values inside it, a few thousandths of the rows, are brought in order.
+    ``shares`` are about the ranks' shares of the rows. Two scans: mergeable sketches bracket each share; then one pass sums up each key, counts the rows
+    below each bracket, and keeps the values inside it, a few thousandths of the rows, with their counts. The sketches are a row a key; they are
+    broadcast where there are few, and joined apart for hot keys where there are many. With ``above`` = (i, f) the i-th share's ranks i0 <= x <= i1 bracket f
+    times a value between them too, and ``_beyond`` holds what is needed to count the rows above it, see ``linear_percentiles``.
     """
     slack = 4 / accuracy
     ends = F.array(*[F.lit(min(1.0, max(0.0, p + d))) for p in shares for d in (-slack, slack)])
-    sketch = df.filter(F.col(value).isNotNull()).groupBy(by).agg(F.percentile_approx(value, ends, accuracy).alias("_e"), F.count("*").alias("n"))
-    met = df.filter(F.col(value).isNotNull()).join(sketch, by)
-    low, high = (lambda i: F.get("_e", F.lit(2 * i))), (lambda i: F.get("_e", F.lit(2 * i + 1)))
-    x = F.col(value)
-    below = met.groupBy(by).agg(F.max("n").alias("n"), F.array(*[F.count_if(x < low(i)) for i in range(len(shares))]).alias("_below"), F.array(*[F.max(F.when(x < low(i), x)) for i in range(len(shares))]).alias("_last"), F.array(*[F.min(F.when(x > high(i), x)) for i in range(len(shares))]).alias("_next"))
-    inside = F.array_compact(F.array(*[F.when((x >= low(i)) & (x <= high(i)), F.lit(i)) for i in range(len(shares))]))
-    counts = met.select(by, value, F.explode(inside).alias("_i")).groupBy(by, "_i", value).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(by, "_i").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    summed = counts.withColumn("_c", F.sum("_c").over(w)).join(below, by).withColumn("_upto", F.col("_c") + F.get("_below", F.col("_i")))
+    whole = df.select(F.col(by), F.col(value).alias("_x")).filter("_x IS NOT NULL")
+    sketch = checkpointed(whole.groupBy(by).agg(F.percentile_approx("_x", ends, accuracy).alias("_e"), F.count("*").alias("n")))
+    met = join_counted(whole, sketch, by, "n")
+    brackets = [(F.get("_e", F.lit(2 * i)), F.get("_e", F.lit(2 * i + 1))) for i in range(len(shares))]
+    if above:
+        # The ranks beside the bracket's ends may lie one value outside it, so this bracket is that of the two shares around.
+        brackets.append((F.get("_e", F.lit(2 * above[0])) * above[1] * (1 - 1e-9), F.get("_e", F.lit(2 * above[0] + 1)) * above[1] * (1 + 1e-9)))
+    x = F.col("_x")
+    kinds = [F.struct(F.lit(-1).alias("i"), F.lit(None).cast("double").alias("v")), *[F.when((x >= low) & (x <= high), F.struct(F.lit(i).alias("i"), x.cast("double").alias("v"))) for i, (low, high) in enumerate(brackets)]]
+    own = F.col("_k.i") == -1
+    each = lambda f: F.array(*[f(low, high) for low, high in brackets])
+    spread = met.select(by, "n", "_x", "_e", F.explode(F.array_compact(F.array(*kinds))).alias("_k"))
+    cells = checkpointed(
+        spread.groupBy(by, "n", F.col("_k.i").alias("_i"), F.col("_k.v").alias("_v")).agg(
+            F.count("*").alias("_c"),
+            F.avg(F.when(own, x)).alias("mean"),
+            F.min(F.when(own, x)).alias("least"),
+            F.max(F.when(own, x)).alias("most"),
+            each(lambda low, high: F.count_if(own & (x < low))).alias("_below"),
+            each(lambda low, high: F.count_if(own & (x > high))).alias("_over"),
+            each(lambda low, high: F.max(F.when(own & (x < low), x))).alias("_last"),
+            each(lambda low, high: F.min(F.when(own & (x > high), x))).alias("_next"),
+        )
+    )
+    totals = cells.filter("_i = -1").select(by, "mean", "least", "most", "_below", "_over", "_last", "_next")
+    w = Window.partitionBy(by, "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    summed = cells.filter("_i >= 0").select(by, "n", "_i", "_v", "_c", F.sum("_c").over(w).alias("_sum"))
+    inside = join_counted(summed, totals.join(sketch.select(by, "n").withColumnRenamed("n", "_n"), by), by, "_n").withColumn("_upto", F.col("_sum") + F.get("_below", F.col("_i")))
     of = len(ranks) // len(shares)
 
     def at(rank: Column, i: int) -> Column:
         """The value at a rank that the i-th bracket, or the value beside it, holds."""
-        own, under = F.col("_i") == i, F.get("_below", F.lit(i)) > rank
-        found = F.min(F.when(own & ~under & (F.col("_upto") > rank), x))
-        return F.coalesce(found, F.max(F.when(own, F.when(under, F.get("_last", F.lit(i))).otherwise(F.get("_next", F.lit(i))))))
+        here, under = F.col("_i") == i, F.get("_below", F.lit(i)) > rank
+        found = F.min(F.when(here & ~under & (F.col("_upto") > rank), F.col("_v")))
+        return F.coalesce(found, F.max(F.when(here, F.when(under, F.get("_last", F.lit(i))).otherwise(F.get("_next", F.lit(i))))))
 
-    return summed.groupBy(by).agg(F.max("n").alias("n"), *[at(rank, i // of).alias(name) for i, (name, rank) in enumerate(ranks.items())])
+    made = inside.groupBy(by).agg(*[F.max(c).alias(c) for c in ("n", "mean", "least", "most", "_over")], *[at(rank, i // of).alias(name) for i, (name, rank) in enumerate(ranks.items())])
+    if not above:
+        return made.drop("_over")
+    near = cells.filter(F.col("_i") == len(shares)).select(by, "_v", "_c")
+    return made.withColumn("_over", F.get("_over", F.lit(len(shares)))), near
 
 
 def floor_percentiles(events: DataFrame, by: str = "event_type", value: str = "value") -> DataFrame:
     """sorted[int(n * p)] for p50, p90, p95, p99; p99 needs 100 points."""
     shares = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
     out = order_statistics(events, by, value, {name: F.floor(F.col("n") * p) for name, p in shares.items()}, list(shares.values()))
-    return out.withColumn("p99", F.when(F.col("n") >= 100, F.col("p99")))
+    return out.select(by, "n", *shares).withColumn("p99", F.when(F.col("n") >= 100, F.col("p99")))
 
 
 def linear_percentiles(events: DataFrame, by: str = "event_type", value: str = "value") -> DataFrame:
-    """mean, extremes, interpolated percentiles, and rows above 1.5 times the 95th."""
+    """mean, extremes, interpolated percentiles, and rows above 1.5 times the 95th, for values of 0 or more."""
     points = [25, 50, 75, 90, 95, 99]
     at = lambda p: (F.col("n") - 1) * (p / 100)
     ranks = {f"{side}{p}": F.floor(at(p)) if side == "a" else F.ceil(at(p)) for p in points for side in "ab"}
-    found = order_statistics(events, by, value, ranks, [p / 100 for p in points])
+    found, near = order_statistics(events, by, value, ranks, [p / 100 for p in points], above=(points.index(95), 1.5))
     between = lambda p: F.col(f"a{p}") + (F.col(f"b{p}") - F.col(f"a{p}")) * (at(p) - F.floor(at(p)))
-    cuts = found.select(by, *[F.round(between(p), 6).alias(f"p{p}") for p in points], between(95).alias("cut"))
-    stats = events.join(cuts.select(by, "cut"), by).groupBy(by).agg(F.round(F.avg(value), 6).alias("avg"), F.max(value).alias("max"), F.min(value).alias("min"), F.count_if(F.col(value) > 1.5 * F.col("cut")).alias("spikes"))
-    return stats.join(cuts.drop("cut"), by).select(by, "avg", "max", "min", *[f"p{p}" for p in points], "spikes")
+    made = checkpointed(found.select(by, F.round("mean", 6).alias("avg"), F.col("most").alias("max"), F.col("least").alias("min"), *[F.round(between(p), 6).alias(f"p{p}") for p in points], (1.5 * between(95)).alias("_cut"), "_over", "n"))
+    more = join_counted(near, made.select(by, "_cut", "n"), by, "n").groupBy(by).agg(F.sum(F.when(F.col("_v") > F.col("_cut"), F.col("_c")).otherwise(0)).alias("_more"))
+    return made.join(more, by, "left").select(by, "avg", "max", "min", *[f"p{p}" for p in points], (F.col("_over") + F.coalesce("_more", F.lit(0))).alias("spikes"))
 
 
 def last_points(events: DataFrame, n: int = 1000, by: str = "event_type") -> DataFrame:

@@ -9,15 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.session import shared_dir
-
-
-def _kept(df: DataFrame) -> DataFrame:
-    """Cut lineage in the checkpoint folder that the session names."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+from tidemark.operators.joins import checkpointed, join_counted
 
 
 def complete_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -93,19 +85,28 @@ def structure(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 200) -> DataFrame:
     """(id, component): the least id that a node is connected with.
 
-    Labels go to neighbours and then jump to their label's label, so long paths take few rounds; should they run out, that is an error.
+    Alternating stars: a node's greater neighbours go to the least of its neighbourhood, then a node and its lesser neighbours go to the least of
+    them, until no edge changes. Rounds grow with the logarithm of the longest path; should they run out, that is an error. Stars of hubs are joined
+    apart from the others, so no hub is one task's work; a row of counts a round reaches the driver.
     """
-    both = _kept(edges.select("source", "target").unionAll(edges.select(F.col("target").alias("source"), F.col("source").alias("target"))).distinct())
-    labels = _kept(nodes.select("id", F.col("id").alias("component")))
+    stars = checkpointed(edges.filter("source != target").select(F.greatest("source", "target").alias("u"), F.least("source", "target").alias("v")).dropna().distinct())
+    state = None
     for _ in range(most_rounds):
-        near = both.join(labels.select(F.col("id").alias("target"), "component"), "target").groupBy(F.col("source").alias("id")).agg(F.min("component").alias("near"))
-        next_ = labels.join(near, "id", "left").select("id", F.least("component", F.coalesce("near", "component")).alias("component"), F.col("component").alias("old"))
-        jump = next_.select(F.col("id").alias("component"), F.col("component").alias("up"))
-        moved = _kept(next_.join(jump, "component", "left").select("id", F.least("component", F.coalesce("up", "component")).alias("component"), "old"))
-        labels = moved.select("id", "component")
-        if not moved.filter("component != old").limit(1).count():
-            return labels
-    raise RuntimeError(f"components are not settled after {most_rounds} rounds")
+        both = stars.select("u", "v").unionAll(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        centre = checkpointed(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n")))
+        large = checkpointed(join_counted(both.filter("v > u"), centre, "u", "n").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct())
+        lower = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        # A node with one lesser neighbour, as nearly all have after the first round, needs no join.
+        several = checkpointed(lower.filter("n > 1"))
+        moved = join_counted(large, several, "u", "n").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
+        stars = checkpointed(moved.unionAll(lower.select("u", F.col("m").alias("v"))).distinct())
+        now = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == state:
+            break
+        state = now
+    else:
+        raise RuntimeError(f"components are not settled after {most_rounds} rounds")
+    return nodes.select("id").join(stars.select(F.col("u").alias("id"), F.col("v").alias("component")), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 def reached(edges: DataFrame, seeds: DataFrame, hops: int, directed: bool = False) -> DataFrame:
@@ -114,11 +115,11 @@ def reached(edges: DataFrame, seeds: DataFrame, hops: int, directed: bool = Fals
     if not directed:
         step = step.unionAll(edges.select(F.col("target").alias("source"), F.col("source").alias("target")))
     step = step.distinct()
-    found = _kept(seeds.select("id").distinct().withColumn("hop", F.lit(0)))
+    found = checkpointed(seeds.select("id").distinct().withColumn("hop", F.lit(0)))
     frontier = found
     for hop in range(1, hops + 1):
         new = frontier.join(step, F.col("id") == F.col("source")).select(F.col("target").alias("id")).distinct().join(found.select("id"), "id", "left_anti")
-        frontier = _kept(new.withColumn("hop", F.lit(hop)))
+        frontier = checkpointed(new.withColumn("hop", F.lit(hop)))
         found = found.unionByName(frontier)
         if not frontier.limit(1).count():
             break
@@ -131,12 +132,12 @@ def paths(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
     A frontier holds one path a start and node, so paths never multiply.
     """
     step = edges.select("source", "target").distinct()
-    frontier = _kept(starts.select(F.col("id").alias("start"), "id", F.array("id").alias("path")).distinct())
+    frontier = checkpointed(starts.select(F.col("id").alias("start"), "id", F.array("id").alias("path")).distinct())
     found = frontier
     for _ in range(hops):
         more = frontier.join(step, F.col("id") == F.col("source")).select("start", F.col("target").alias("id"), F.concat("path", F.array("target")).alias("path"))
         first = more.groupBy("start", "id").agg(F.min("path").alias("path")).join(found.select("start", "id"), ["start", "id"], "left_anti")
-        frontier = _kept(first)
+        frontier = checkpointed(first)
         found = found.unionByName(frontier)
         if not frontier.limit(1).count():
             break
