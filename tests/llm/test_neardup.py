@@ -1,5 +1,8 @@
 import random
 
+import pytest
+
+from tidemark.llm import neardup
 from tidemark.llm.neardup import bands, deduplicated, shingles
 from tidemark.session import table
 
@@ -50,3 +53,46 @@ def test_chains_in_a_hot_bucket_and_defined_cases(spark):
     kept = deduplicated(docs)
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == firsts(rows)
     assert deduplicated(docs.limit(0)).count() == 0 and bands(shingles("")) == []
+
+
+def near_copies(n, words=120, seed=2, far=0):
+    """Copies of one text with a word changed in each; of the last ``far``, chains of texts that change more and more."""
+    rnd = random.Random(seed)
+    base, rows = [f"w{i}" for i in range(words)], []
+    for i in range(n - far):
+        own = list(base)
+        own[rnd.randrange(words)] = f"v{i}"
+        rows.append((i, " ".join(own)))
+    own = list(base)
+    for i in range(n - far, n):
+        own[rnd.randrange(words)] = f"x{i}"
+        rows.append((i, " ".join(own)))
+    return rows
+
+
+@pytest.mark.parametrize("most, pivots", [(40, 3)])
+def test_large_groups_in_chunks(spark, monkeypatch, most, pivots):
+    """Groups above one tile: near copies, chains that leave them step by step, several clusters; as brute force."""
+    monkeypatch.setattr(neardup, "MOST", most)
+    monkeypatch.setattr(neardup, "PIVOTS", pivots)
+    rows = near_copies(160, far=60) + [(1_000 + i, t.replace("w", "u")) for i, t in near_copies(30, seed=5)]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], SCHEMA)
+    assert sorted(r["doc_id"] for r in deduplicated(docs).collect()) == firsts(rows)
+
+
+def test_a_hot_group_sends_linear_rows(spark, monkeypatch):
+    sent, real = [], neardup.compared
+
+    def counted(placed, sets, least):
+        sent.append(placed.count())
+        return real(placed, sets, least)
+
+    monkeypatch.setattr(neardup, "compared", counted)
+    monkeypatch.setattr(neardup, "MOST", 400)
+    totals = []
+    for n in (1_500, 3_000):
+        sent.clear()
+        docs = spark.createDataFrame([(i, t, None, None, None) for i, t in near_copies(n)], SCHEMA).repartition(4)
+        assert [r["doc_id"] for r in deduplicated(docs).select("doc_id").collect()] == [0]
+        totals.append(sum(sent))
+    assert totals[1] <= 2.2 * totals[0] and totals[1] < 2 * 3_000

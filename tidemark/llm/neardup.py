@@ -8,10 +8,14 @@ part of the pairs only: at a similarity of .8 about ten of 64 bits differ, and n
 from MinHash bands (20 bands of 5 least values: a pair at .8 is missed with chance 4e-4, at .9 with 1e-8).
 
 A bucket's nodes gather around its centre, the node of least keyed hash; the buckets of a cluster mostly have the same
-centre, so a node joins few groups. A group is one task; one of more than ``MOST`` nodes or ``MOST_TOKENS``
-shingles is dealt out as pairs of tiles. A task compares all pairs of its nodes on their whole sets, by products
-of token matrices, and returns a spanning star for each component: candidate pairs never become rows. A hot group
-of near copies costs its tasks quadratic arithmetic, with no candidate left out, but only linear rows.
+centre, so a node joins few groups. Each node is compared in the largest of its groups first; after that only groups with nodes of several
+components are compared. A group is one task; a task compares all pairs of its nodes on their whole sets, by products
+of token matrices, and returns a spanning star for each component: candidate pairs never become rows. A group of more than ``MOST``
+nodes or ``MOST_TOKENS`` shingles is compared in chunks: first all its nodes with some pivots, again with new pivots as long as
+that joins enough; then the nodes outside the group's largest component with all nodes of the group. Pairs inside one component
+are not compared, as they are joined already; all others are, so no link between components is lost. In a group of near copies nearly all nodes
+hang on the pivots, and what is sent to tasks grows with its nodes. It grows with their square only in the nodes that
+are similar to few others, beyond ``MOST`` of them.
 
 Defined cases: null and blank texts have an empty set and are alike; shorter texts than a shingle are one shingle;
 texts of any length are hashed whole; null doc_ids, repeated rows, empty tables and extra columns as in operator 7.
@@ -23,16 +27,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import simhash
-from tidemark.llm.common import broadcast_if_small, join_hot, stored
+from tidemark.llm.common import broadcast_if_small, join_hot, small_enough, stored
 
 SIZE, LEAST = 5, 0.8
 BANDS, ROWS = 20, 5
 #: Most nodes and shingles of a tile, and most columns of a token matrix.
 MOST, MOST_TOKENS, SLAB = 2048, 2_000_000, 2048
+#: Most pivots of a large group, and most rounds of pivots.
+PIVOTS, PIVOT_ROUNDS = 128, 6
 #: Texts whose results a worker holds at a time.
 CHUNK = 500
 _RANDOM = np.random.default_rng(42)
@@ -171,6 +177,72 @@ def gathered(nodes: DataFrame) -> DataFrame:
     return pairs.union(pairs.select("centre", F.col("centre").alias("id")).distinct())
 
 
+def compared(placed: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links of the components of each task's nodes, stored; placed(centre, i, j, side, id), sets(id, set)."""
+    n = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    task = ["centre", "i", "j"]
+    return stored(placed.join(sets, "id").repartition(n, *task).sortWithinPartitions(*task).mapInPandas(_task_stars(least), "u long, v long"), "links")
+
+
+def _placed(rows: DataFrame, i: Column, j: Column, side: int) -> DataFrame:
+    return rows.select("centre", i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(side).alias("side"), "id")
+
+
+def large_groups(members: DataFrame, large: DataFrame, sets: DataFrame, least: float, known: DataFrame | None) -> DataFrame:
+    """Links of the groups of large(centre, tiles), stored; members(centre, id, n) are their nodes, n the shingles of a node.
+
+    ``known`` are links found before. Without any, one round of pivots is all that is done.
+    """
+    whole = members.join(large, "centre").withColumn("own", F.pmod(F.xxhash64("id", "centre"), F.col("tiles")).cast("int"))
+    whole = stored(whole.select("centre", "id", "n", "tiles", "own"), "members")
+    links, apart, before, first_only = known, whole, None, known is None
+    for turn in range(PIVOT_ROUNDS):
+        # About twice as many as wanted by a hash, then the first of those, as long as their shingles fit.
+        counts = broadcast_if_small(stored(apart.groupBy("centre").agg(F.count("*").alias("of")), "counts"))
+        drawn = apart.join(counts, "centre").withColumn("h", F.xxhash64(F.lit(turn), "id")).filter(F.pmod("h", F.col("of")) < 2 * PIVOTS)
+        order = Window.partitionBy("centre").orderBy("h", "id")
+        first = drawn.withColumns({"r": F.row_number().over(order), "t": F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))})
+        pivots = stored(first.filter((F.col("r") == 1) | ((F.col("r") <= PIVOTS) & (F.col("t") <= MOST_TOKENS // 4))).select("centre", "id", "tiles"), "pivots")
+        met = _placed(pivots.select("centre", "id", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("own")), F.col("own"), F.lit(-1), 1)
+        found = compared(_placed(whole.join(pivots.select("centre").distinct(), "centre", "left_semi"), F.col("own"), F.lit(-1), 0).unionByName(met), sets, least)
+        if first_only:
+            return found
+        links = links.unionByName(found)
+        roots = simhash.components(links).withColumnRenamed("code", "id")
+        rooted = whole.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        sizes = rooted.groupBy("centre", "root").agg(F.count("*").alias("of"))
+        main = broadcast_if_small(stored(sizes.groupBy("centre").agg(F.max_by("root", F.struct("of", "root")).alias("main")), "main"))
+        rooted = stored(rooted.join(main, "centre").withColumn("apart", F.col("root") != F.col("main")).drop("root", "main"), "rooted")
+        apart = rooted.filter("apart").drop("apart")
+        left = stored(apart.groupBy("centre").agg(F.count("*").alias("of"), F.sum("n").alias("tokens")), "left")
+        now = left.agg(F.coalesce(F.sum("of"), F.lit(0)), F.coalesce(F.max(F.greatest(F.col("of") / MOST, F.col("tokens") / MOST_TOKENS)), F.lit(0.0))).first()
+        if now[1] <= 1 or (before is not None and 4 * now[0] > 3 * before):
+            break
+        before = now[0]
+    if not now[0]:
+        return links
+    # What lies apart meets everything: its own tiles pair by pair, and the tiles of the largest component.
+    tiles = F.greatest(F.ceil(F.col("of") / MOST), F.ceil(F.col("tokens") / MOST_TOKENS)).cast("int")
+    tiled = rooted.join(broadcast_if_small(stored(left.select("centre", tiles.alias("o")), "apart")), "centre").withColumn("at", F.pmod(F.xxhash64(F.lit("apart"), "id", "centre"), F.col("o")).cast("int"))
+    each = lambda n: F.sequence(F.lit(0), n - 1)
+    away = tiled.filter("apart")
+    pairs = away.select("centre", "id", F.explode(F.transform(each(F.col("o")), lambda x: F.struct(F.least("at", x).alias("i"), F.greatest("at", x).alias("j"), (F.col("at") > x).cast("int").alias("side")))).alias("m")).select("centre", "m.*", "id")
+    outside = _placed(away.select("centre", "id", "at", "o", F.explode(each(F.col("tiles"))).alias("c")), F.col("at"), F.col("o") + F.col("c"), 0)
+    inside = _placed(tiled.filter("NOT apart").select("centre", "id", "o", "own", F.explode(each(F.col("o"))).alias("x")), F.col("x"), F.col("o") + F.col("own"), 1)
+    return links.unionByName(compared(pairs.unionByName(outside).unionByName(inside), sets, least))
+
+
+def grouped_links(members: DataFrame, sets: DataFrame, least: float, known: DataFrame | None) -> DataFrame:
+    """Links within the groups of members(centre, id, n), stored; without links known before, of large groups those to some pivots only."""
+    members = stored(members, "grouped")
+    large = members.groupBy("centre").agg(F.count("*").alias("k"), F.sum("n").alias("tokens")).filter((F.col("k") > MOST) | (F.col("tokens") > MOST_TOKENS))
+    # Each large group stands for thousands of nodes.
+    large = stored(large.select("centre", F.greatest(F.ceil(F.col("k") / MOST), F.ceil(F.col("tokens") / MOST_TOKENS)).cast("int").alias("tiles")), "large")
+    some, large = not small_enough(large, 0), broadcast_if_small(large)
+    found = compared(_placed(members.join(large, "centre", "left_anti") if some else members, F.lit(0), F.lit(0), 0), sets, least)
+    return found.unionByName(large_groups(members, large, sets, least, known)) if some else found
+
+
 def answers(rows: DataFrame, text: Column, size: int = SIZE, least: float = LEAST) -> DataFrame:
     """For each shingle set (_code) its component's root and smallest doc_id, and its documents (_n); rows(_rid, _id, _code, _size, _sim, _keys) are stored."""
     nodes = stored(
@@ -180,16 +252,17 @@ def answers(rows: DataFrame, text: Column, size: int = SIZE, least: float = LEAS
     # A node's id is that of one of its rows, so its set is made once, from that row.
     wanted = broadcast_if_small(stored(groups.select(F.col("id").alias("_rid")).distinct(), "wanted"), 500_000)
     sets = stored(rows.select("_rid", text.alias("text")).join(wanted, "_rid").select(F.col("_rid").alias("id"), _sets(size)("text").alias("set")), "sets")
-    sized = groups.join(nodes.select("id", "n"), "id")
-    large = sized.groupBy("centre").agg(F.count("*").alias("k"), F.sum("n").alias("tokens")).filter((F.col("k") > MOST) | (F.col("tokens") > MOST_TOKENS))
-    # Each large group stands for thousands of nodes.
-    large = broadcast_if_small(stored(large.select("centre", F.greatest(F.ceil(F.col("k") / MOST), F.ceil(F.col("tokens") / MOST_TOKENS)).cast("int").alias("tiles")), "large"))
-    tiled = groups.join(large, "centre", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("id", "centre"), F.col("tiles")).cast("int"))
-    meets = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j"), (F.col("own") > o).cast("int").alias("side")))
-    placed = tiled.select("centre", "id", F.explode(meets).alias("m")).select("centre", "m.*", "id")
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    task = ["centre", "i", "j"]
-    found = placed.join(sets, "id").repartition(n, *task).sortWithinPartitions(*task).mapInPandas(_task_stars(least), "u long, v long")
+    sized = stored(groups.join(nodes.select("id", "n"), "id"), "sized")
+    # A node is first compared in the largest of its groups alone; that joins most clusters. What is left are the groups with nodes of several components.
+    counts = stored(sized.groupBy("centre").agg(F.count("*").alias("k"), F.count("*").alias("size")), "group-sizes")
+    home = join_hot(sized, counts, "centre", "k").groupBy("id").agg(F.max_by(F.struct("centre", "n"), F.struct("size", "centre")).alias("g"))
+    links = grouped_links(home.select("g.centre", "id", "g.n"), sets, least, None)
+    roots = simhash.components(links).withColumnRenamed("code", "id")
+    rooted = sized.select("centre", "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    several = stored(rooted.groupBy("centre").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("k")).filter("a != b").select("centre", "k"), "several")
+    if not small_enough(several, 0):
+        links = links.unionByName(grouped_links(join_hot(sized, several, "centre", "k"), sets, least, links))
+    found = links
     known = simhash.rooted(nodes.select(F.col("id").alias("code"), "low", "of"), simhash.components(found))
     return stored(known.withColumnRenamed("_code", "id").join(nodes.select("id", F.col("_code")), "id").select("_code", "_root", "_component", "_n"), "answers")
 
