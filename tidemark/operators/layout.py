@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.cells import passing_by
 from tidemark.operators.stateful import anchored_groups, box_relations
 
 
@@ -22,16 +23,46 @@ def aligned_pairs(items: DataFrame, page: str, key: str, x: str, y: str, toleran
     return out
 
 
+class Needles:
+    """The entities of a page as one automaton."""
+
+    def __init__(self, rows: pd.DataFrame) -> None:
+        import ahocorasick
+
+        self.page, self.found = rows.task.iloc[0], ahocorasick.Automaton()
+        for e in rows.entity:
+            self.found.add_word(e, e)
+        self.found.make_automaton()
+
+
+def _inside(page: Needles, blocks: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    out = [(page.page, b, e, t == e) for b, t in zip(blocks.block, blocks.text, strict=True) for e in {e for _, e in page.found.iter(t)}]
+    if out:
+        yield pd.DataFrame(out, columns=["page", "block", "entity", "exact"])
+
+
+def occurrences(entities: DataFrame, blocks: DataFrame, page: str) -> DataFrame:
+    """(page, block, entity, exact) wherever a block of a page contains an entity of that page; exact where it is the whole block.
+
+    A page's entities become one automaton, and its blocks pass by: the work grows with the page's text and what is found in it. Empty entities and
+    rows with nulls are in nothing.
+    """
+    kinds = dict(entities.dtypes) | dict(blocks.dtypes)
+    known = entities.select(F.col(page).alias("task"), "entity").filter("entity <> ''").dropna().distinct()
+    come = blocks.select(F.col(page).alias("task"), "block", "text").dropna()
+    tasks = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return passing_by(known, come, tasks, Needles, _inside, f"page {kinds[page]}, block {kinds['block']}, entity string, exact boolean").withColumnRenamed("page", page)
+
+
 def placed_in_blocks(entities: DataFrame, blocks: DataFrame, page: str) -> DataFrame:
     """For each entity (page, entity) the block it equals, else the first block that contains it; blocks(page, block, text)."""
-    met = entities.select(page, "entity").distinct().join(blocks, page).filter(F.contains("text", F.col("entity")))
-    best = met.groupBy(page, "entity").agg(F.min(F.struct((F.col("text") != F.col("entity")).alias("part"), F.col("block"))).alias("best"))
+    best = occurrences(entities, blocks, page).groupBy(page, "entity").agg(F.min(F.struct((~F.col("exact")).alias("part"), F.col("block"))).alias("best"))
     return best.select(page, "entity", "best.block", (~F.col("best.part")).alias("exact"))
 
 
 def same_paragraph(entities: DataFrame, paragraphs: DataFrame, page: str) -> DataFrame:
     """Pairs of a document's entities in one paragraph, with how many paragraphs they share; paragraphs(page, block, text)."""
-    within = entities.select(page, "entity").distinct().join(paragraphs, page).filter(F.contains("text", F.col("entity"))).select(page, "block", "entity")
+    within = occurrences(entities, paragraphs, page).select(page, "block", "entity")
     a, b = within.withColumnRenamed("entity", "a"), within.withColumnRenamed("entity", "b")
     return a.join(b, [page, "block"]).filter("a < b").groupBy(page, "a", "b").agg(F.count("*").alias("n"))
 

@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
+from collections import Counter
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 # The sixteen classes of documents, and what each feature adds to them.
@@ -64,22 +68,29 @@ def phase_summary(events: DataFrame, key: str, phase: str, seconds: str, status:
 
 
 def bleu(pairs: DataFrame, key: str, candidate: str, reference: str, longest: int = 4, epsilon: float = 0.1) -> DataFrame:
-    """Sentence BLEU with clipped n-grams up to four; an n without a hit counts epsilon.
-
-    N-grams are rows: counts of both sides meet in one grouped aggregate.
-    """
+    """Sentence BLEU with clipped n-grams up to four; an n without a hit counts epsilon. A row counts its own n-grams; nothing is shuffled."""
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]"), F.lit(0))
+
+    @F.pandas_udf("array<long>")
+    def hits(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        grams = lambda w, n: Counter(zip(*[w[i:] for i in range(n)], strict=False))
+        for left, right in batches:
+            out = []
+            for a, b in zip(left, right, strict=True):
+                a, b = (() if x is None else tuple(x) for x in (a, b))
+                out.append([(grams(a, n) & grams(b, n)).total() for n in range(1, longest + 1)])
+            yield pd.Series(out)
+
     sides = pairs.select(key, words(F.col(candidate)).alias("c"), words(F.col(reference)).alias("r"))
-    grams = lambda w: F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w))), lambda i: i + n - 1 <= F.size(w)), lambda i: F.struct(n.alias("n"), F.array_join(F.slice(w, i, n), " ").alias("g")))))
-    each = lambda w, side: sides.select(key, F.explode(grams(F.col(w))).alias("x")).select(key, "x.*", F.lit(side).alias("side"))
-    met = each("c", 0).unionByName(each("r", 1)).groupBy(key, "n", "g").agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"))
-    per = met.groupBy(key, "n").agg(F.sum(F.least("a", "b")).alias("hits"), F.sum("a").alias("of")).filter("of > 0")
-    precision = F.when(F.col("hits") > 0, F.col("hits").cast("double")).otherwise(F.lit(epsilon)) / F.col("of")
-    logs = per.groupBy(key).agg(F.sum(F.ln(precision)).alias("logs"), F.count("*").alias("orders"), F.sum(F.when(F.col("n") == 1, F.col("hits"))).alias("first"))
-    sized = sides.select(key, F.size("c").alias("nc"), F.size("r").alias("nr"))
+    met = sides.select(key, F.size("c").alias("nc"), F.size("r").alias("nr"), hits("c", "r").alias("h"))
+    logs, orders = F.lit(0.0), F.lit(0)
+    for n in range(1, longest + 1):
+        found, of = F.get("h", F.lit(n - 1)), F.col("nc") - (n - 1)
+        logs = logs + F.when(of > 0, F.ln(F.when(found > 0, found.cast("double")).otherwise(F.lit(epsilon)) / of)).otherwise(0.0)
+        orders = orders + (of > 0).cast("int")
     brevity = F.when(F.col("nc") > F.col("nr"), 1.0).otherwise(F.exp(1.0 - F.col("nr") / F.nullif(F.col("nc"), F.lit(0))))
-    score = F.when(F.coalesce("first", F.lit(0)) == 0, 0.0).otherwise(brevity * F.exp(F.col("logs") / longest + (longest - F.col("orders")) / longest * F.ln(F.lit(epsilon))))
-    return sized.join(logs, key, "left").select(key, F.round(score, 6).alias("bleu"))
+    score = F.when(F.coalesce(F.get("h", F.lit(0)), F.lit(0)) == 0, 0.0).otherwise(brevity * F.exp(logs / longest + (longest - orders) / longest * F.ln(F.lit(epsilon))))
+    return met.select(key, F.round(score, 6).alias("bleu"))
 
 
 def document_classes(features: dict[str, Column]) -> Column:

@@ -82,27 +82,54 @@ def string_ratio(a: Column | str, b: Column | str) -> Column:
     return similar(a, b)
 
 
+class LikelySeeds:
+    """Seeds in their order, and those whose ratio with a text may reach the limit, by counts of characters in 64 cells."""
+
+    CELLS = 64
+
+    def __init__(self, least: float) -> None:
+        self.least, self.known = least, []
+        self.counts, self.sizes = np.zeros((16, self.CELLS), dtype=np.int32), np.zeros(16, dtype=np.int64)
+
+    def _counts(self, text: str) -> np.ndarray:
+        return np.bincount(np.frombuffer(text.encode("utf-32-le"), dtype="<u4") % self.CELLS, minlength=self.CELLS).astype(np.int32)
+
+    def add(self, key, text: str) -> None:
+        n = len(self.known)
+        if n == len(self.sizes):
+            self.counts, self.sizes = np.concatenate([self.counts, np.zeros_like(self.counts)]), np.concatenate([self.sizes, np.zeros_like(self.sizes)])
+        self.counts[n], self.sizes[n] = self._counts(text), len(text)
+        self.known.append((key, text))
+
+    def for_text(self, text: str) -> Iterator[tuple]:
+        """What two texts have in common in cells is at least what their matching blocks hold."""
+        n = len(self.known)
+        both = np.minimum(self.counts[:n], self._counts(text)).sum(1)
+        likely = 2 * both >= self.least * (self.sizes[:n] + len(text)) - 1e-9
+        return (self.known[i] for i in np.flatnonzero(likely).tolist())
+
+
 def greedy_clusters(df: DataFrame, block: str, key: str, label: str, least: float) -> DataFrame:
     """Within a block and in key order, an item joins the first cluster whose SEED is similar enough, else it seeds one.
 
     Items of one label always join the same cluster, so only a block's distinct labels meet in a task, each with its least
-    key; choose blocks (type, first letters, length band) whose labels are few. Lengths bound the ratio
-    (2 * shorter / both), so most comparisons are settled without matching.
+    key; choose blocks (type, first letters, length band) whose labels are few. The characters that two labels share, with how
+    often, bound their ratio; that is one array operation over all seeds, and only seeds within the bound are matched.
     """
     kind = dict(df.dtypes)
     named = df.select(F.col(block).alias("_block"), F.col(key).alias("_key"), F.coalesce(label, F.lit("")).alias("_label"))
 
     def task(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("_first", kind="stable")
-        seeds: list[tuple[int, str]] = []
+        seeds = LikelySeeds(least)
         out = []
         for k, text in zip(rows._first, rows._label, strict=True):
-            for seed, name in seeds:
-                if 2 * min(len(name), len(text)) >= least * (len(name) + len(text)) and ratio(name, text) >= least:
+            for seed, name in seeds.for_text(text):
+                if ratio(name, text) >= least:
                     break
             else:
                 seed = k
-                seeds.append((k, text))
+                seeds.add(k, text)
             out.append(seed)
         return pd.DataFrame({"_b": rows._block, "_l": rows._label, "seed": out})
 

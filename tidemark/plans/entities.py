@@ -120,8 +120,8 @@ query(
 # Metadata, tables and forms.
 query(
     "h95_metadata_entities",
-    lambda s, d: FO.metadata_entities(_docs(s, d).select("doc_id", F.create_map(F.lit("title"), F.array(F.substring(F.get(F.split("text", "\n"), F.lit(0)), 1, 60)), F.lit("author"), F.array("source"), F.lit("keywords"), F.slice(F.split("text", " "), 1, 3), F.lit("language"), F.array("lang")).alias("metadata")), "doc_id"),
-    """WITH m AS (SELECT doc_id, 'title' AS field, 'document_title' AS kind, substr(string_split(text, chr(10))[1], 1, 60) AS text FROM documents UNION ALL SELECT doc_id, 'author', 'person', source FROM documents UNION ALL SELECT doc_id, 'keywords', 'document_metadata', unnest(string_split(text, ' ')[1:3]) FROM documents)
+    lambda s, d: FO.metadata_entities(_docs(s, d).select("doc_id", F.create_map(F.lit("title"), F.array(F.get(F.split("text", "\n"), F.lit(0))), F.lit("author"), F.array("source"), F.lit("keywords"), F.array_distinct(F.filter(F.split("text", " "), lambda w: F.length(w) >= 10)), F.lit("language"), F.array("lang")).alias("metadata")), "doc_id"),
+    """WITH m AS (SELECT doc_id, 'title' AS field, 'document_title' AS kind, string_split(text, chr(10))[1] AS text FROM documents UNION ALL SELECT doc_id, 'author', 'person', source FROM documents UNION ALL SELECT doc_id, 'keywords', 'document_metadata', unnest(list_distinct(list_filter(string_split(text, ' '), lambda w: length(w) >= 10))) FROM documents)
     SELECT doc_id, kind, text, field, 0.9::DOUBLE AS confidence FROM m WHERE trim(text, ' ') <> '' UNION ALL SELECT doc_id, 'document_metadata', 'Document Metadata', NULL, 1.0::DOUBLE FROM documents""",
 )
 query(
