@@ -126,6 +126,18 @@ def reached(edges: DataFrame, seeds: DataFrame, hops: int, directed: bool = Fals
     return found
 
 
+def term_subgraph(nodes: DataFrame, edges: DataFrame, query: str) -> tuple[DataFrame, DataFrame]:
+    """The nodes whose label or kind holds a word of the query, their neighbours, and all edges between these; nothing for a blank query."""
+    text, hit = F.lower(F.concat_ws(" ", "label", "kind")), F.lit(False)
+    for term in dict.fromkeys(query.lower().split()):
+        hit = hit | F.contains(text, F.lit(term))
+    own = nodes.filter(hit).select("id")
+    near = lambda a, b: edges.select(F.col(a).alias("id"), F.col(b).alias("other")).join(own, "id", "left_semi").select(F.col("other").alias("id"))
+    every = own.unionAll(near("source", "target")).unionAll(near("target", "source")).distinct()
+    kept = nodes.join(every, "id", "left_semi")
+    return kept, complete_edges(edges, kept)
+
+
 def paths(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
     """(start, id, path) of every node within so many directed hops: a shortest path as an array of ids, the first by order of ids.
 

@@ -142,3 +142,9 @@ query(
     lambda s, d: table(s, d, "lineitem").groupBy("l_returnflag", "l_partkey").agg(F.round(F.least(F.lit(1.0), F.max("l_discount") + 0.1 * (F.count("*") - 1)), 6).alias("confidence"), F.countDistinct("l_suppkey").alias("sources")),
     "SELECT l_returnflag, l_partkey, round(least(1.0, max(l_discount) + 0.1::DOUBLE * (count(*) - 1)), 6) AS confidence, count(DISTINCT l_suppkey) AS sources FROM lineitem GROUP BY 1, 2",
 )
+
+_TERMS = "00012 asia"
+_OWN = f"""{WITH}, own AS (SELECT id FROM n WHERE {' OR '.join(f"contains(lower(label || ' ' || kind), '{t}')" for t in _TERMS.split())}),
+    every AS (SELECT id FROM own UNION SELECT target FROM e JOIN own ON source = id UNION SELECT source FROM e JOIN own ON target = id)"""
+query("d23_term_subgraph_nodes", lambda s, d: G.term_subgraph(nodes(s, d), edges(s, d), _TERMS)[0].select("id", "label"), f"{_OWN} SELECT id, label FROM n JOIN every USING (id)")
+query("d23_term_subgraph_edges", lambda s, d: G.term_subgraph(nodes(s, d), edges(s, d), _TERMS)[1].select("source", "target", "kind"), f"{_OWN} SELECT source, target, e.kind FROM e JOIN every a ON a.id = source JOIN every b ON b.id = target")

@@ -124,3 +124,24 @@ query(
     _followed,
     "SELECT a.user_id AS key, a.event_id AS first_id, b.event_id AS then_id FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'click' AND b.event_type = 'purchase' AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 3 HOUR",
 )
+
+
+def _contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as a stream: the turns of all sessions up to the third arrive first, then up to the sixth, then the rest."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.when(F.pmod("conv_id", F.lit(9)) != F.col("turn"), F.col("text")).alias("text"))
+    folder, out, done = (_folder(spark, x) for x in ("turns", "contexts", "progress"))
+    for some in ("turn < 3", "turn >= 3 AND turn < 6", "turn >= 6"):
+        turns.filter(some).write.mode("append").parquet(folder)
+        W.resumed(W.session_contexts(spark.readStream.schema(turns.schema).parquet(folder)), out, done)
+    return spark.read.parquet(out).drop("batch")
+
+
+query(
+    "k07_streamed_contexts",
+    _contexts,
+    """WITH t AS (SELECT conv_id, turn, role, CASE WHEN conv_id % 9 <> turn THEN text END AS text FROM conversations),
+    o AS (SELECT conv_id, turn, role, text, coalesce(text, '') <> '' AS ok, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i FROM t),
+    g AS (SELECT *, sum(CAST(ok AS INTEGER)) OVER (PARTITION BY conv_id ORDER BY i) - CAST(ok AS INTEGER) AS seen FROM o)
+    SELECT conv_id, turn, role, CASE WHEN ok THEN 'ok' ELSE 'error' END AS status, CAST(least(5, seen) AS INTEGER) AS before,
+      CASE WHEN ok THEN md5(coalesce((SELECT string_agg(h.role || ': ' || h.text, '' ORDER BY h.i) FROM g h WHERE h.conv_id = g.conv_id AND h.ok AND h.i < g.i AND h.seen >= g.seen - 5), '')) END AS context_md5 FROM g""",
+)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -99,6 +100,30 @@ def resumed(stream: DataFrame, out: str, done: str, mode: str = "append") -> Str
     return query
 
 
+def session_contexts(turns: DataFrame, most: int = 5) -> DataFrame:
+    """A stream of (conv_id long, turn long, role string, text string) to each message with the digest of the ``most`` messages of its session before it.
+
+    The messages of a session are taken in the order of turn, role and text within what has arrived together; state is the last ``most`` of each session, so a
+    session of any length costs no more. A message without a session, role or text is an error: it is passed on with that status and enters no context.
+    """
+
+    def task(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = list(state.get[0]) if state.exists else []
+        rows = pd.concat(list(batches)).sort_values(["turn", "role", "text"], kind="stable")
+        out = []
+        for turn, role, text in zip(rows.turn, rows.role, rows.text, strict=True):
+            if pd.isna(key[0]) or not role or not text:
+                out.append((key[0], turn, role, "error", len(held), None))
+                continue
+            out.append((key[0], turn, role, "ok", len(held), hashlib.md5("".join(held).encode()).hexdigest()))
+            held = [*held, f"{role}: {text}"][-most:]
+        state.update((held,))
+        yield pd.DataFrame(out, columns=["conv_id", "turn", "role", "status", "before", "context_md5"])
+
+    keyed = turns.select("conv_id", "turn", "role", "text").groupBy("conv_id")
+    return keyed.applyInPandasWithState(task, "conv_id long, turn long, role string, status string, before int, context_md5 string", "held array<string>", "append", GroupStateTimeout.NoTimeout)
+
+
 def run_to_end(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     """Run a stream over all that is there and read what it wrote; each batch is written by its number, so a repeat overwrites itself."""
     out, done = f"{folder}/stream-{uuid.uuid4().hex}", f"{folder}/progress-{uuid.uuid4().hex}"
