@@ -1,4 +1,5 @@
 import re
+import time
 from difflib import SequenceMatcher
 
 import pytest
@@ -54,6 +55,16 @@ def test_anchored_groups(spark):
     assert got == {0: 0.0, 1: 0.0, 2: 0.08, 3: 0.08, 4: 0.5, 5: 0.5, 6: 0.56}
 
 
+def test_anchored_groups_of_many_short_pages(spark):
+    """Pages cost their rows, not a frame each: 120,000 runs took minutes that way."""
+    pages = spark.range(40_000).select(F.col("id").alias("page"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("item")).withColumn("y", (F.col("item") * F.when(F.col("page") % 2 == 0, 1.0).otherwise(0.01)))
+    began = time.monotonic()
+    got = S.anchored_groups(pages, "page", "item", "y", 0.015)
+    wrong = F.count_if(F.col("anchor") != F.when(F.col("page") % 2 == 0, F.col("item").cast("double")).when(F.col("item") == 2, 0.02).otherwise(0.0))
+    assert tuple(got.agg(F.count("*"), wrong).first()) == (120_000, 0)
+    assert time.monotonic() - began < 30
+
+
 def test_greedy_clusters(spark):
     rows = [("a", 1, "John Doe"), ("a", 2, "John  Doe"), ("a", 3, "Jane Smith"), ("b", 4, "John Doe"), ("a", 5, None)]
     got = {r["id"]: r["seed"] for r in S.greedy_clusters(spark.createDataFrame(rows, "kind string, id long, label string"), "kind", "id", "label", 0.85).collect()}

@@ -48,20 +48,22 @@ def anchored_groups(df: DataFrame, by: str, key: str, centre: str, tolerance: fl
     """
     kinds = dict(df.dtypes)
 
-    def step(rows: pd.DataFrame, anchor: float | None) -> tuple[pd.DataFrame, float]:
-        c = rows[centre].to_numpy(dtype=float)
-        anchors, at = np.empty(len(c)), 0
-        while at < len(c):
-            anchor = c[at] if anchor is None or c[at] - anchor > tolerance else anchor
-            # All items up to the tolerance belong to it: none is looked at twice.
-            end = max(at + 1, int(np.searchsorted(c - anchor, tolerance, side="right")))
-            anchors[at:end] = anchor
-            at = end
-        return pd.DataFrame({by: rows[by], key: rows[key], "anchor": anchors}), anchor
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Pages and runs are many and short: a row is a step of one loop, whatever its page, and a batch gives one frame.
+        last, anchor = None, None
+        for rows in batches:
+            anchors = []
+            for page, run, c in zip(rows[by].tolist(), rows._run.tolist(), rows[centre].astype(float).tolist(), strict=True):
+                if (page, run) != last:
+                    last, anchor = (page, run), c
+                elif c - anchor > tolerance:
+                    anchor = c
+                anchors.append(anchor)
+            yield pd.DataFrame({by: rows[by], key: rows[key], "anchor": np.array(anchors, dtype=float)})
 
     # Runs are cut where the gap is beyond the tolerance, by the next double above it.
     runs = sparse_runs(df.select(by, key, centre), [by], centre, float(np.nextafter(tolerance, np.inf)), "_run")
-    return folded(runs, [by, "_run"], [centre, key], step, f"{by} {kinds[by]}, {key} {kinds[key]}, anchor double")
+    return runs.repartition(by, "_run").sortWithinPartitions(by, "_run", centre, key).mapInPandas(task, f"{by} {kinds[by]}, {key} {kinds[key]}, anchor double")
 
 
 def ratio(a: str, b: str) -> float:
