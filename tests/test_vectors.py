@@ -1,7 +1,11 @@
 import math
+import tracemalloc
 
+import numpy as np
+import pandas as pd
 import pytest
 
+from tidemark.operators import cells as C
 from tidemark.operators import vectors as V
 from tidemark.session import table
 
@@ -35,3 +39,37 @@ def test_cosine_edge_cases(spark):
 def test_late_fusion_is_unit(spark):
     df = spark.createDataFrame([([1.0, 0.0], [0.0, 1.0])], "a array<double>, b array<double>")
     assert df.select(V.late_fusion("a", "b")).first()[0] == pytest.approx([math.sqrt(0.5)] * 2)
+
+
+def brute_best(rows, queries, k):
+    """(query, row, score) by the operator's order, from all rounded cosines."""
+    out = []
+    for q in queries.itertuples():
+        scored = sorted((-round(cosine(q.embedding, r.embedding), 6), r.vec_id) for r in rows.itertuples() if r.vec_id != q.vec_id)
+        out += [(q.vec_id, i, -s + 0.0) for s, i in scored[:k]]
+    return out
+
+
+@pytest.mark.parametrize("scores, k", [(1, 3), (40, 3), (1 << 20, 3), (1 << 20, 500)])
+def test_best_of_in_portions(monkeypatch, scores, k):
+    monkeypatch.setattr(C, "SCORES", scores)
+    rng = np.random.default_rng(2)
+    x = rng.integers(-2, 3, (60, 3)).astype(float)  # many ties, zero vectors
+    rows = pd.DataFrame({"vec_id": np.r_[np.arange(55), np.arange(5)], "embedding": list(x)})
+    frames = list(V.best_of(k)(V.Rows(rows), rows.iloc[:20]))
+    got = [(q, i, s + 0.0) for f in frames for q, i, s in f.itertuples(index=False)]
+    assert got == brute_best(rows, rows.iloc[:20], k)
+
+
+@pytest.mark.parametrize("compare, columns", [(V.best_of(5), {}), (V._pairs_of(0.9, True), {"label": 1, "same": False})])
+def test_a_batch_of_visitors_is_not_one_matrix(compare, columns):
+    """10,000 visitors to 4,096 rows took over a GB of a task's memory."""
+    rng = np.random.default_rng(3)
+    frame = lambda n, at: pd.DataFrame({"vec_id": np.arange(at, at + n), "embedding": list(rng.normal(size=(n, 16)))}).assign(**columns)
+    block, visitors = V.Rows(frame(4_096, 0)), frame(10_000, 5_000)
+    tracemalloc.start()
+    for _ in compare(block, visitors):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6

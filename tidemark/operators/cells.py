@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Distances are doubles: bounds give way by so much.
 SLACK = 1e-7
+#: A matrix of scores or distances in a task has about so many numbers, whatever the rows of a batch.
+SCORES = 1 << 20
 
 
 def usable(vectors: DataFrame, *others: str) -> DataFrame:
@@ -50,6 +52,13 @@ def fit(vectors: DataFrame, cells: int, sample: int = 100_000, rounds: int = 8,
     return np.stack(model.clusterCenters())
 
 
+def portions(rows: pd.DataFrame, wide: int) -> Iterator[pd.DataFrame]:
+    """A batch's rows, so many at a time that a matrix with ``wide`` numbers for each of them is bounded."""
+    step = max(1, SCORES // max(1, wide))
+    for at in range(0, len(rows), step):
+        yield rows.iloc[at : at + step]
+
+
 def distances(unit: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((unit * unit).sum(1)[:, None] - 2 * unit @ centroids.T + (centroids * centroids).sum(1)[None, :], 0))
 
@@ -61,9 +70,9 @@ def in_cells(vectors: DataFrame, centroids: np.ndarray, *others: str) -> DataFra
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if len(batch):
-                d = distances(units(batch.embedding), centroids)
-                yield batch.assign(cell=d.argmin(1).astype("int32"), far=d.min(1))
+            for part in portions(batch, len(centroids)):
+                d = distances(units(part.embedding), centroids)
+                yield part.assign(cell=d.argmin(1).astype("int32"), far=d.min(1))
 
     return rows.mapInPandas(task, schema)
 
@@ -71,7 +80,8 @@ def in_cells(vectors: DataFrame, centroids: np.ndarray, *others: str) -> DataFra
 def passing_by(rows: DataFrame, visitors: DataFrame, tasks: int, prepare: Callable, compare: Callable, schema: str) -> DataFrame:
     """Rows and visitors of a column ``task``: each task's rows are held once, prepared, and its visitors pass by batch by batch.
 
-    Memory is one task's rows, whatever the number of visitors; ``compare(prepared, visitors)`` gives frames of the schema.
+    Memory is one task's rows and a batch of visitors, whatever their number; ``compare(prepared, visitors)`` gives frames of the schema, and makes
+    no more of a batch at a time than is bounded (``portions``).
     """
     columns = sorted(set(rows.columns) | set(visitors.columns))
     both = rows.withColumn("visits", F.lit(False)).unionByName(visitors.withColumn("visits", F.lit(True)), allowMissingColumns=True).select("visits", *columns)

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.cells import SLACK, cores, fit, in_cells, passing_by, usable
+from tidemark.operators.cells import SLACK, cores, fit, in_cells, passing_by, portions, usable
 from tidemark.session import shared_dir
 
 
@@ -48,19 +48,24 @@ class Rows:
         return np.round(np.divide(others.x @ self.x.T, long, out=np.zeros_like(long), where=long > 0), 6)
 
 
-def best_of(k: int):
-    """For ``passing_by``: the k best of a block's rows for each query, without its own id."""
+def best_of(k: int, allowed=None):
+    """For ``passing_by``: the k best of a block's rows for each query, without its own id; ``allowed`` sets what else does not count to -inf."""
 
     def compare(block: Rows, queries: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        asked = Rows(queries)
-        score = block.cosines(asked)
-        score[asked.ids[:, None] == block.ids[None, :]] = -np.inf
-        for q, own in zip(asked.ids, score, strict=True):
+        for part in portions(queries, len(block.ids)):
+            asked = Rows(part)
+            score = block.cosines(asked)
+            score[asked.ids[:, None] == block.ids[None, :]] = -np.inf
+            if allowed is not None:
+                allowed(block, part, score)
             # All rows that tie with the k-th stay until ids decide.
-            near = np.flatnonzero(own >= np.partition(own, -k)[-k]) if len(own) > k else np.arange(len(own))
-            best = near[np.lexsort((block.ids[near], -own[near]))[:k]]
-            best = best[np.isfinite(own[best])]
-            yield pd.DataFrame({"query_id": q, "vec_id": block.ids[best], "score": own[best]})
+            least = np.partition(score, -k, axis=1)[:, -k, None] if len(block.ids) > k else -np.inf
+            q, r = np.nonzero((score >= least) & np.isfinite(score))
+            own = score[q, r]
+            order = np.lexsort((block.ids[r], -own, q))
+            q, r, own = q[order], r[order], own[order]
+            first = np.arange(len(q)) - np.searchsorted(q, q) < k
+            yield pd.DataFrame({"query_id": asked.ids[q[first]], "vec_id": block.ids[r[first]], "score": own[first]})
 
     return compare
 
@@ -89,16 +94,17 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, block: int = 4096) ->
 
 def _pairs_of(least: float, across: bool):
     def compare(block: Rows, others: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        come = Rows(others)
-        keep = block.cosines(come)
-        score, keep = keep, keep >= least
-        if across:
-            keep &= come.label[:, None] != block.label[None, :]
-        # Rows of the block itself pass by too: there each pair counts once. A repeated row is no pair with itself.
-        keep &= come.ids[:, None] != block.ids[None, :]
-        keep &= (~others.same.to_numpy(dtype=bool)[:, None]) | (come.ids[:, None] < block.ids[None, :])
-        p, q = np.nonzero(keep)
-        yield pd.DataFrame({"a": np.minimum(come.ids[p], block.ids[q]), "b": np.maximum(come.ids[p], block.ids[q]), "score": score[p, q]})
+        for part in portions(others, len(block.ids)):
+            come = Rows(part)
+            score = block.cosines(come)
+            keep = score >= least
+            if across:
+                keep &= come.label[:, None] != block.label[None, :]
+            # Rows of the block itself pass by too: there each pair counts once. A repeated row is no pair with itself.
+            keep &= come.ids[:, None] != block.ids[None, :]
+            keep &= (~part.same.to_numpy(dtype=bool)[:, None]) | (come.ids[:, None] < block.ids[None, :])
+            p, q = np.nonzero(keep)
+            yield pd.DataFrame({"a": np.minimum(come.ids[p], block.ids[q]), "b": np.maximum(come.ids[p], block.ids[q]), "score": score[p, q]})
 
     return compare
 
