@@ -3,7 +3,7 @@
 ``build`` fits centroids on a bounded sample and writes every row into a table partitioned by its cell; large cells are split into
 blocks. ``search`` reads, for each query, cells in the order of the least distance that they can hold, in rounds: after each the query's k-th
 best score leaves out all cells that cannot hold a better row. A round reads only the folders of the cells that some query asks for, and holds
-each block once while those queries pass by. With ``probes`` a query stops after so many cells, and results may be incomplete.
+each block once, or small cells together, while those queries pass by, once each with the cells that they ask for. With ``probes`` a query stops after so many cells, and results may be incomplete.
 
 Defined cases: rows without an id, without a vector, or with a null or non-finite component are not indexed and ask nothing; a zero vector has
 cosine 0 with all; ties go to the smaller id; repeated rows are found as often as they are there; a query's own id is never among its results; an empty
@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.cells import SLACK, cores, distances, fit, in_cells, passing_by, units, usable
+from tidemark.operators.cells import SLACK, cores, distances, fit, in_cells, passing_by, portions, units, usable
 from tidemark.operators.vectors import FOUND, Rows, best_of, ranked
 from tidemark.session import shared_dir
 
@@ -78,9 +78,7 @@ def next_cells(index: Index, k: int, round_: int, probes: int | None):
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         full = np.flatnonzero(index.sizes > 0)
-        for batch in batches:
-            if not len(batch):
-                continue
+        for batch in (part for rows in batches for part in portions(rows, len(full))):
             far = distances(units(batch.embedding), index.centroids[full])
             least = np.maximum(far - index.radius[full][None, :] - SLACK, 0)
             out = []
@@ -97,6 +95,63 @@ def next_cells(index: Index, k: int, round_: int, probes: int | None):
     return task
 
 
+#: Small cells share a task until they have so many rows together.
+TASK = 4096
+
+
+def places(index: Index, wanted: list[int], parts: int) -> np.ndarray:
+    """For each cell its first task, -1 if it is not wanted: a block each of a large cell, and small cells together, in ``parts`` tasks at least if rows allow."""
+    full = min(TASK, max(1, int(index.sizes[wanted].sum()) // max(1, parts)))
+    first, task, room = np.full(len(index.sizes), -1, dtype=np.int64), -1, 0
+    for c in sorted(wanted):
+        n, blocks = int(index.sizes[c]), int(index.blocks[c])
+        if blocks > 1 or n > room:
+            task, room = task + 1, full
+        first[c], room = task, room - n
+        if blocks > 1:
+            task, room = task + blocks - 1, 0
+    return first
+
+
+def visits(index: Index, first: np.ndarray):
+    """A query's rows for the tasks that hold cells of its plan, each with those cells."""
+
+    tasks = len(np.unique(first))
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in (part for rows in batches for part in portions(rows, 64 * tasks)):
+            out = []
+            for i, cells in enumerate(batch.cells):
+                cells = np.sort(np.asarray(cells, dtype=np.int64))
+                at, starts = np.unique(first[cells], return_index=True)
+                for t, own in zip(at.tolist(), np.split(cells, starts[1:]), strict=True):
+                    out += [(i, t + b, own) for b in range(int(index.blocks[own].max()))]
+            rows = [i for i, _, _ in out]
+            yield pd.DataFrame({"task": [t for _, t, _ in out], "vec_id": batch.query_id.to_numpy()[rows], "embedding": batch.embedding.to_numpy()[rows], "cells": [c for _, _, c in out], "worst": batch.worst.to_numpy()[rows]})
+
+    return task
+
+
+class Cells(Rows):
+    """A task's rows with their cells."""
+
+    def __init__(self, rows: pd.DataFrame) -> None:
+        super().__init__(rows)
+        self.cells, self.at = np.unique(rows.cell.to_numpy(dtype=np.int64), return_inverse=True)
+
+
+def _asked_for(block: Cells, asked: pd.DataFrame, score: np.ndarray) -> None:
+    """Rows of cells that a query has not planned, or that are below its k-th best, do not count."""
+    wanted = np.zeros((len(asked), len(block.cells)), dtype=bool)
+    own = np.concatenate(asked.cells.to_list()).astype(np.int64)
+    rows = np.repeat(np.arange(len(asked)), asked.cells.map(len).to_numpy())
+    at = np.minimum(np.searchsorted(block.cells, own), len(block.cells) - 1)
+    here = block.cells[at] == own
+    wanted[rows[here], at[here]] = True
+    score[~wanted[:, block.at]] = -np.inf
+    score[score < asked.worst.fillna(-np.inf).to_numpy(dtype=float)[:, None]] = -np.inf
+
+
 def search(spark: SparkSession, index: Index, queries: DataFrame, k: int, probes: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(query_id, vec_id, score, rank) of the k nearest rows of each query (vec_id, embedding), and (query_id, cells, rows) that it read.
 
@@ -116,12 +171,12 @@ def search(spark: SparkSession, index: Index, queries: DataFrame, k: int, probes
         wanted = [r["cell"] for r in met.select("cell").distinct().collect()]  # at most as many as cells
         if not wanted:
             break
-        first = np.concatenate([[0], np.cumsum(index.blocks)]).tolist()
-        places = F.broadcast(spark.createDataFrame([(c, first[c], int(index.blocks[c])) for c in wanted], "cell int, first int, blocks int"))
-        held = index.rows(spark, wanted).join(places, "cell").select((F.col("first") + F.col("block")).alias("task"), "vec_id", "embedding")
-        come = plan.select("query_id", "embedding", F.explode("cells").alias("cell")).join(places, "cell").select(F.explode(F.sequence(F.col("first"), F.col("first") + F.col("blocks") - 1)).alias("task"), F.col("query_id").alias("vec_id"), "embedding")
-        tasks = int(min(max(cores(spark), sum(index.blocks[c] for c in wanted)), 10_000))
-        found = passing_by(held, come, tasks, Rows, best_of(k), FOUND)
+        first = places(index, wanted, cores(spark))
+        known = F.broadcast(spark.createDataFrame([(c, int(first[c])) for c in wanted], "cell int, first int"))
+        held = index.rows(spark, wanted).join(known, "cell").select((F.col("first") + F.col("block")).alias("task"), "vec_id", "embedding", "cell")
+        come = plan.select("query_id", "embedding", "worst", "cells").mapInPandas(visits(index, first), "task int, vec_id long, embedding array<double>, cells array<int>, worst double")
+        tasks = int(min(max(cores(spark), max(first[c] + index.blocks[c] for c in wanted)), 10_000))
+        found = passing_by(held, come, tasks, Cells, best_of(k, _asked_for), FOUND)
         ranked(best.drop("rank").unionByName(found), k).write.parquet(f"{folder}/best-{round_}")
         best = spark.read.parquet(f"{folder}/best-{round_}")
         probed = probed.unionByName(met)
