@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark import registry
 from tidemark.functions import chunking as C
+from tidemark.functions import extract as X
 from tidemark.operators import stateful as S
 from tidemark.session import table
 
@@ -44,6 +45,24 @@ def test_sections(spark):
         assert r["s"] == want
 
 
+def test_fixed_windows_of_a_long_text(spark):
+    """A window costs what it holds, not the text before it: two million characters took minutes. Without a stop, and null and empty texts."""
+    texts = ["word and. more\n" * 140_000, "x" * 500_000, "é日 " + "x" * 5_000 + ".", "", None]
+    began = time.monotonic()
+    got = [r["w"] for r in spark.createDataFrame(list(enumerate(texts)), "i int, text string").repartition(1).orderBy("i").select(C.fixed_windows(F.col("text")).alias("w")).collect()]
+    assert time.monotonic() - began < 30
+    assert [w and [tuple(x) for x in w] for w in got] == [windows(texts[0], 1000, 200), windows(texts[1], 1000, 200), windows(texts[2], 1000, 200), [], None]
+
+
+def test_syntactic_pairs(spark):
+    """A text without a pattern's words is not searched by it: of one long word each letter was a start."""
+    rows = [(0, "a" * 60_000), (1, "A works for B works at C. D is located in E and F owns G_1 owns H"), (2, None), (3, " works for  owns "), (4, "Äb is part of oil, X founded Y created Z")]
+    began = time.monotonic()
+    got = {r["i"]: r["p"] and [tuple(x) for x in r["p"]] for r in spark.createDataFrame(rows, "i int, text string").select("i", X.syntactic_pairs(F.col("text")).alias("p")).collect()}
+    assert time.monotonic() - began < 8
+    assert got == {0: [], 1: [("works_for", "A", "B"), ("located_in", "D", "E"), ("owns", "F", "G_1")], 2: None, 3: [], 4: [("part_of", "b", "oil"), ("created", "X", "Y")]}
+
+
 def test_packed_sentences_lose_nothing(spark):
     for r in table(spark, SF, "documents").select("text", C.packed_sentences(F.col("text"), 300).alias("p")).collect():
         assert " ".join(r["p"]).split() == r["text"].split()

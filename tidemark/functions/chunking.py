@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,22 +19,34 @@ HEADINGS = [
     r"^\d+\.\s+[A-Z][\w\s]+$",
     r"^[A-Z][A-Z\s]+$",
 ]
+#: Where a fixed window may end.
+STOP = re.compile(r"[.\n ]")
 
 
 def fixed_windows(text: Column, size: int = 1000, overlap: int = 200) -> Column:
-    """array<struct<start, end>> of overlapping windows, each extended to the next full stop, line end or blank; stops at the end of the text."""
-    n = F.length(text)
-    steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(n / (size - overlap)).cast("int")))
-    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("cuts"))
-
-    def step(s: Column, _: Column) -> Column:
-        plain = F.least(s["at"] + size, n)
-        found = [F.nullif(F.call_function("locate", F.lit(c), text, plain + 1), F.lit(0)) for c in (".", "\n", " ")]
-        end = F.when(plain < n, F.coalesce(F.least(*found), plain)).otherwise(n)
-        after = F.struct(F.when(end >= n, F.lit(-1)).otherwise(end - overlap).alias("at"), F.concat(s["cuts"], F.array(F.struct(s["at"].alias("start"), end.alias("end")))).alias("cuts"))
-        return F.when((s["at"] < 0) | (n == 0), s).otherwise(after)
-
-    return F.aggregate(steps, none, step)["cuts"]
+    """array<struct<start, end>> of overlapping windows, each extended to the next full stop, line end or blank; stops at the end of the text.
+
+    A text is walked once: a place in it is found without counting its characters from the start for each window.
+    """
+
+    def cuts(t: str) -> list[tuple[int, int]]:
+        n, at, out, stops = len(t), 0, [], True
+        while 0 <= at < n:
+            end = min(at + size, n)
+            if end < n and stops:
+                stop = STOP.search(t, end)
+                stops = stop is not None  # without one here there is none further on
+                end = stop.end() if stop else end
+            out.append((at, end))
+            at = end - overlap if end < n and size > overlap else -1
+        return out
+
+    @F.pandas_udf("array<struct<start:int,end:int>>")
+    def windows(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([None if t is None else [{"start": a, "end": b} for a, b in cuts(t)] for t in texts], dtype=object)
+
+    return windows(text)
 
 
 def section_starts(text: Column, most: int = 2000) -> Column:
