@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ SHORT_NUMBER = r"\b\d{1,2}\b"
 GERMAN_ADDRESS = r"[A-ZÄÖÜ][a-zäöüß]+(?:straße|strasse|str\.|weg|platz|allee) \d+[a-z]?, \d{5} [A-ZÄÖÜ][a-zäöüß]+"
 US_ADDRESS = r"\d+ [A-Z][a-z]+(?: [A-Z][a-z]+)* (?:Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd),? [A-Z][a-z]+,? [A-Z]{2} \d{5}"
 SYNTAX = {"works_for": r"(\w+) works (?:for|at) (\w+)", "located_in": r"(\w+) is located in (\w+)", "part_of": r"(\w+) is part of (\w+)", "created": r"(\w+) (?:created|founded) (\w+)", "owns": r"(\w+) owns (\w+)"}
+#: Words of which a text holds one if it matches the pattern.
+SAID = {"works_for": (" works for ", " works at "), "located_in": (" is located in ",), "part_of": (" is part of ",), "created": (" created ", " founded "), "owns": (" owns ",)}
 
 
 def spoken_numbers(text: Column) -> Column:
@@ -90,8 +94,16 @@ def structure(text: Column) -> Column:
 
 
 def syntactic_pairs(text: Column) -> Column:
-    """(kind, source, target) of the patterns 'X works for Y' and the like."""
-    both = lambda k, p: F.zip_with(F.regexp_extract_all(text, F.lit(p), F.lit(1)), F.regexp_extract_all(text, F.lit(p), F.lit(2)), lambda a, b: F.struct(F.lit(k).alias("kind"), a.alias("source"), b.alias("target")))
+    """(kind, source, target) of the patterns 'X works for Y' and the like.
+
+    A text is searched by a pattern only where it holds the pattern's words, and once: both names are taken from what was found.
+    """
+
+    def both(k: str, p: str) -> Column:
+        said = reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in SAID[k]])
+        pairs = F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(0)), lambda m: F.struct(F.lit(k).alias("kind"), F.regexp_extract(m, p, 1).alias("source"), F.regexp_extract(m, p, 2).alias("target")))
+        return F.when(said, pairs).when(text.isNotNull(), F.array().cast("array<struct<kind:string,source:string,target:string>>"))
+
     return F.concat(*[both(k, p) for k, p in SYNTAX.items()])
 
 
