@@ -3,8 +3,11 @@
 import math
 import random
 import re
+import time
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from tidemark.operators import layout as L
 from tidemark.operators import results as R
 from tidemark.operators import stateful as S
@@ -21,6 +24,15 @@ def test_occurrences(spark):
     assert len(rows) == len(set(rows)) and set(rows) == want
 
 
+def test_occurrences_of_many_pages(spark):
+    """Pages cost their blocks and finds, not a frame each: 60,000 pages took over a minute."""
+    pages = spark.range(60_000).select(F.col("id").alias("page"), F.concat(F.lit("e"), F.col("id") % 7).alias("entity"))
+    blocks = spark.range(60_000).select(F.col("id").alias("page"), F.lit(0).alias("block"), F.concat(F.lit("has e"), F.col("id") % 5, F.lit(" and e"), F.col("id") % 7).alias("text"))
+    began = time.monotonic()
+    assert L.occurrences(pages, blocks, "page").agg(F.count("*"), F.count_distinct("page"), F.count_if("exact")).first()[:] == (60_000, 60_000, 0)
+    assert time.monotonic() - began < 25
+
+
 def test_bleu(spark):
     rng = random.Random(2)
     text = lambda: " ".join(rng.choices(["The", "cat", "sat,", "on", "mat!", "a_b"], k=rng.randint(0, 12)))

@@ -197,8 +197,12 @@ def _placed(text: Column, kind: str, pattern: str) -> Column:
         start = s["at"] + F.length(x["gap"])
         return F.struct((start + F.length(x["m"])).alias("at"), F.concat(s["out"], F.array(F.struct(F.lit(kind).alias("kind"), x["m"].alias("text"), start.alias("position")))).alias("out"))
 
-    pairs = F.zip_with(found, F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), lambda m, gap: F.struct(m.alias("m"), gap.alias("gap")))
-    return F.when(F.size(found) > 0, F.aggregate(pairs, none, step)["out"]).otherwise(none["out"])
+    def placed(f: Column) -> Column:
+        pairs = F.zip_with(f, F.slice(F.split(text, pattern, -1), F.lit(1), F.size(f)), lambda m, gap: F.struct(m.alias("m"), gap.alias("gap")))
+        return F.when(F.size(f) > 0, F.aggregate(pairs, none, step)["out"]).otherwise(none["out"])
+
+    # The matches are an element of an array, so that they are found once and not in each place that they are used.
+    return F.get(F.transform(F.array(found), placed), F.lit(0))
 
 
 def entities(text: Column) -> Column:

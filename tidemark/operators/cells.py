@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 SLACK = 1e-7
 #: A matrix of scores or distances in a task has about so many numbers, whatever the rows of a batch.
 SCORES = 1 << 20
+#: Results leave a task from so many rows on.
+TOGETHER = 10_000
 
 
 def usable(vectors: DataFrame, *others: str) -> DataFrame:
@@ -86,19 +88,34 @@ def passing_by(rows: DataFrame, visitors: DataFrame, tasks: int, prepare: Callab
     columns = sorted(set(rows.columns) | set(visitors.columns))
     both = rows.withColumn("visits", F.lit(False)).unionByName(visitors.withColumn("visits", F.lit(True)), allowMissingColumns=True).select("visits", *columns)
 
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, held, ready = None, [], None
         for batch in batches:
-            for key, part in batch.groupby("task", sort=False):
-                if key != at:
-                    at, held, ready = key, [], None
-                own, guests = part[~part.visits], part[part.visits]
-                if len(own):
-                    held.append(own)
-                if len(guests) and (held or ready is not None):
+            if not len(batch):
+                continue
+            key, visits = batch.task.to_numpy(), batch.visits.to_numpy(dtype=bool)
+            cuts = (np.flatnonzero((key[1:] != key[:-1]) | (visits[1:] != visits[:-1])) + 1).tolist()
+            for low, high in zip([0, *cuts], [*cuts, len(batch)], strict=True):
+                if key[low] != at:
+                    at, held, ready = key[low], [], None
+                if not visits[low]:
+                    held.append(batch.iloc[low:high])
+                elif held or ready is not None:
                     if ready is None:
                         ready, held = prepare(pd.concat(held)), []
-                    yield from compare(ready, guests)
+                    yield from compare(ready, batch.iloc[low:high])
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Tasks may be many and small: their frames leave together.
+        out, n = [], 0
+        for frame in compared(batches):
+            out.append(frame)
+            n += len(frame)
+            if n >= TOGETHER or len(out) >= 1000:
+                yield pd.concat(out)
+                out, n = [], 0
+        if out:
+            yield pd.concat(out)
 
     return both.repartition(max(1, tasks), "task").sortWithinPartitions("task", "visits").mapInPandas(task, schema)
 
