@@ -69,3 +69,28 @@ def test_likely_seeds_leave_no_seed_out():
             seeds.add(i, text)
             kept.append((i, text))
         assert left_out > 2_000
+
+
+def test_box_relations(spark):
+    """Relations against a plain version, with nulls and flat boxes; the join does not work out a relation to drop it."""
+    rng = random.Random(8)
+    rows = [(p, i, *(None if rng.random() < 0.05 else float(rng.randint(0, 6)) for _ in range(2))) for p in range(8) for i in range(12)]
+    rows = [(p, i, x, y, None if x is None else x + rng.randint(0, 4), None if y is None else y + rng.randint(0, 4)) for p, i, x, y in rows]
+
+    def plain(p, q):
+        if None in p or None in q:
+            return None
+        area = lambda b: (b[2] - b[0]) * (b[3] - b[1])
+        w, h = min(p[2], q[2]) - max(p[0], q[0]), min(p[3], q[3]) - max(p[1], q[1])
+        if w > 0 and h > 0:
+            return "contains" if w * h / area(q) > 0.9 else "contained_by" if w * h / area(p) > 0.9 else "overlaps", w * h / min(area(p), area(q))
+        for name, holds in (("above", p[3] < q[1]), ("below", q[3] < p[1]), ("left_of", p[2] < q[0]), ("right_of", q[2] < p[0])):
+            if holds:
+                return name, 0.8
+        return None
+
+    whole = [r for r in rows if None not in r]
+    found = S.box_relations(spark.createDataFrame(rows, "page int, item int, x1 double, y1 double, x2 double, y2 double"), "page", "item")
+    want = {(p, i, j, *r) for p, i, *b in whole for o, j, *c in whole if p == o and i != j and (r := plain(b, c))}
+    assert {tuple(r) for r in found.collect() if not {r["a"], r["b"]} & {i for p, i, *b in rows if p == r["page"] and None in b}} == want
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("overlaps") == 1

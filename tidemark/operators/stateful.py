@@ -172,25 +172,21 @@ def box_relations(boxes: DataFrame, page: str, key: str) -> DataFrame:
     Boxes that meet have their overlap over the smaller one as confidence, directions .8.
     Pairs meet within their page only.
     """
-    box = F.struct("x1", "y1", "x2", "y2")
-    a, b = boxes.select(page, F.col(key).alias("a"), box.alias("p")), boxes.select(page, F.col(key).alias("b"), box.alias("q"))
-    area = lambda x: (x["x2"] - x["x1"]) * (x["y2"] - x["y1"])
-    p, q = F.col("p"), F.col("q")
+    side = lambda name, mark: boxes.select(page, F.col(key).alias(name), *[F.col(c).alias(f"{mark}{c}") for c in ("x1", "y1", "x2", "y2")], ((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))).alias(f"{mark}area"))
+    p, q = ({c: F.col(f"{mark}{c}") for c in ("x1", "y1", "x2", "y2", "area")} for mark in ("_p", "_q"))
     wide = F.least(p["x2"], q["x2"]) - F.greatest(p["x1"], q["x1"])
     high = F.least(p["y2"], q["y2"]) - F.greatest(p["y1"], q["y1"])
     both = wide * high
     meets = (wide > 0) & (high > 0)
-    kind = (
-        F.when(meets & (both / F.nullif(area(q), F.lit(0.0)) > 0.9), "contains")
-        .when(meets & (both / F.nullif(area(p), F.lit(0.0)) > 0.9), "contained_by")
-        .when(meets, "overlaps")
-        .when(p["y2"] < q["y1"], "above")
-        .when(q["y2"] < p["y1"], "below")
-        .when(p["x2"] < q["x1"], "left_of")
-        .when(q["x2"] < p["x1"], "right_of")
-    )
-    sure = F.when(meets, both / F.nullif(F.least(area(p), area(q)), F.lit(0.0))).otherwise(F.lit(0.8))
-    return a.join(b, page).filter("a != b").select(page, "a", "b", kind.alias("relation"), sure.alias("confidence")).filter("relation IS NOT NULL")
+    part = lambda of: both / F.nullif(of, F.lit(0.0)) > 0.9
+    apart = {"above": p["y2"] < q["y1"], "below": q["y2"] < p["y1"], "left_of": p["x2"] < q["x1"], "right_of": q["x2"] < p["x1"]}
+    kind = F.when(meets & part(q["area"]), "contains").when(meets & part(p["area"]), "contained_by").when(meets, "overlaps")
+    some = meets
+    for name, holds in apart.items():
+        kind, some = kind.when(holds, name), some | holds
+    sure = F.when(meets, both / F.nullif(F.least(p["area"], q["area"]), F.lit(0.0))).otherwise(F.lit(0.8))
+    # Pairs without a relation are left out by its own short condition: a filter on the relation would have the join work out all of it for each pair.
+    return side("a", "_p").join(side("b", "_q"), page).filter("a != b").filter(some).select(page, "a", "b", kind.alias("relation"), sure.alias("confidence"))
 
 
 def joined_parts(parts: DataFrame) -> DataFrame:
