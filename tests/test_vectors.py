@@ -73,3 +73,46 @@ def test_a_batch_of_visitors_is_not_one_matrix(compare, columns):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 150e6
+
+
+def test_blocks_of_the_similarity_join_move_whole(spark, monkeypatch):
+    """Each vector was a row of its own in every block that it passed: 2,000 vectors in blocks of 64 went as 57,772 rows."""
+    sent = []
+
+    def passing_by(held, come, *others):
+        sent.append(held.count() + come.count())
+        return C.passing_by(held, come, *others)
+
+    monkeypatch.setattr(V, "passing_by", passing_by)
+    monkeypatch.setattr(V, "PASSING", 3, raising=False)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(2_000, 8)).round(3)
+    x[7] = 0
+    rows = [(i, i % 3, v.tolist()) for i, v in enumerate(x)]
+    vectors = spark.createDataFrame(rows + rows[:500], "vec_id long, label int, embedding array<double>")
+    got = [tuple(r) for r in V.similar_pairs(vectors, 0.8, block=64).collect()]
+    norm = np.sqrt((x * x).sum(1))
+    score = np.round(np.divide(x @ x.T, np.outer(norm, norm), out=np.zeros((2_000, 2_000)), where=np.outer(norm, norm) > 0), 6)
+    want = {(a, b, score[a, b]) for a, b in zip(*np.nonzero(np.triu(score >= 0.8, 1)), strict=True) if a % 3 != b % 3}
+    assert len(got) == len(set(got)) and set(got) == want
+    assert sent[0] < 4_000, sent
+
+
+@pytest.mark.parametrize("least", [0.0, -0.5])
+def test_similar_pairs_at_no_limit(spark, least):
+    x = np.array([[1, 0], [0, 0], [-1, 0], [0, 2], [1, 1]], dtype=float)
+    vectors = spark.createDataFrame([(i, 1, v.tolist()) for i, v in enumerate(x)], "vec_id long, label int, embedding array<double>")
+    want = {(a, b, round(cosine(x[a], x[b]), 6)) for a in range(5) for b in range(a + 1, 5) if round(cosine(x[a], x[b]), 6) >= least}
+    assert {tuple(r) for r in V.similar_pairs(vectors, least, across=False).collect()} == want
+    assert V.similar_pairs(vectors.limit(0), least).count() == 0
+
+
+def test_many_pairs_are_worked_out_in_portions():
+    rng = np.random.default_rng(4)
+    frame = lambda at: pd.DataFrame({"vec_id": np.arange(at, at + 512), "label": 1, "same": False, "embedding": list(1 + rng.normal(size=(512, 256)) / 100)})
+    block, visitors = V.Rows(frame(0)), frame(1_000)
+    tracemalloc.start()
+    found = sum(len(f) for f in V._pairs_of(0.9, False)(block, visitors))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == 512 * 512 and peak < 100e6
