@@ -37,6 +37,7 @@ def units(column: pd.Series) -> np.ndarray:
 def fit(vectors: DataFrame, cells: int, sample: int = 100_000, rounds: int = 8, seed: int = 7) -> np.ndarray:
     """Centroids by k-means over a sample of at most about ``sample`` rows, chosen by a hash of their ids. ``cells`` vectors reach the driver, at most."""
     from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import Normalizer
     from pyspark.ml.functions import array_to_vector
 
     rows = usable(vectors)
@@ -46,9 +47,8 @@ def fit(vectors: DataFrame, cells: int, sample: int = 100_000, rounds: int = 8,
     if cells <= 1:
         return np.array([rows.select("embedding").first()["embedding"]])
     share = min(1.0, sample / n)
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
     chosen = rows.filter(F.pmod(F.xxhash64(F.lit(seed), "vec_id", "embedding"), F.lit(1_000_000)) < max(1, round(share * 1_000_000)))
-    unit = chosen.select(array_to_vector(F.transform("embedding", lambda x: x / F.greatest(norm, F.lit(1e-300)))).alias("features"))
+    unit = Normalizer(inputCol="vector", outputCol="features").transform(chosen.select(array_to_vector("embedding").alias("vector"))).select("features")
     model = KMeans(k=cells, maxIter=rounds, seed=seed).fit(unit.persist())
     unit.unpersist()
     return np.stack(model.clusterCenters())
