@@ -60,6 +60,45 @@ def test_combined(spark, height):
         assert sums[page]["engines"] == ",".join(e for e, *_ in ENGINES if e in {v for (p, _), v in engine.items() if p == page})
 
 
+def blocks_in_order(df):
+    return sorted(tuple(r) for r in df.select("page", "position", "place", "segment", "block", "x1", "y1", "text", "confidence").collect())
+
+
+@pytest.mark.parametrize("height", [None, 15.0])
+def test_blocks_are_worked_out_once(spark, height):
+    """The reading order counted bands in a second run of all that its blocks came from."""
+    _, _, placed, r = tables(spark)
+    blocks, met = S.on_page(placed, r), spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            met.add(len(batch))
+            yield batch
+
+    got = S.reading_order(blocks.mapInPandas(counted, blocks.schema), height)
+    assert blocks_in_order(got) == blocks_in_order(S.reading_order(blocks, height))
+    assert met.value == blocks.count() > 0
+
+
+@pytest.mark.parametrize("height", [None, 15.0])
+@pytest.mark.parametrize("most", [0, 12])
+def test_long_pages_are_counted_in_bands(spark, height, most):
+    _, _, placed, r = tables(spark)
+    blocks = S.on_page(placed, r)
+    per = [x["count"] for x in blocks.groupBy("page").count().collect()]
+    assert max(per) > most and (most == 0 or min(per) <= most)
+    assert blocks_in_order(S.reading_order(blocks, height, most)) == blocks_in_order(S.reading_order(blocks, height))
+
+
+def test_segments_that_hold_what_engines_read(spark):
+    _, _, placed, r = tables(spark)
+    own = F.collect_list(F.struct("engine", "block", "bx1", "by1", "bx2", "by2", "text", "confidence")).alias("reads")
+    held = placed.join(r.groupBy("page", "segment").agg(own), ["page", "segment"], "left")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(S.on_page(held)) == rows(S.on_page(placed, r))
+    assert rows(S.pages(held)) == rows(S.pages(placed, r))
+
+
 def test_nothing_to_combine(spark):
     _, _, placed, r = tables(spark)
     assert S.pages(placed, r.limit(0)).filter("segments = 0 AND confidence = 0 AND engines = ''").count() == 12
